@@ -602,5 +602,312 @@ REPORT_SQL = {
 }
 
 
+
+
+# ------------------------------------------------------------------------------------------ operators
+
+_ALL = list(FIXTURE_SQL)
+_PLAIN = r"'^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\s*$'"
+
+
+def _money(x: str) -> str:
+    s = f"replace(replace(CAST({x} AS VARCHAR), ',', ''), '$', '')"
+    return f"CASE WHEN regexp_matches({s}, {_PLAIN}) THEN TRY_CAST(trim({s}) AS DECIMAL(18,2)) END"
+
+
+def _b(cond: str) -> str:
+    return f"CAST(CASE WHEN ({cond}) THEN 1 WHEN NOT ({cond}) THEN 0 END AS BIGINT)"
+
+
+def _tt_heat(d: str = "lkp_desc") -> str:
+    return (f"({d} IN {_in(V.TT_HEATMAP)} OR {d} LIKE {_q(V.TT_CANCEL_PREFIX)}) AND ({d} IS NULL OR {d} NOT LIKE {_q(V.TT_NOTICE_PREFIX)})")
+
+
+def _tt_forecast(d: str = "lkp_desc") -> str:
+    return f"({d} IS NULL OR ({d} NOT IN {_in(V.TT_FORECAST_EXCLUDED)} AND {d} NOT LIKE {_q(V.TT_CANCEL_PREFIX)}))"
+
+
+_DOC_PREDS = {
+    "is_quote_to_agent": _like_any("upper(trim(document_name))", V.DOC_QUOTE_TO_AGENT_CONTAINS),
+    "is_quote_to_agent_prefix": _like_any("upper(trim(document_name))", V.DOC_QUOTE_TO_AGENT_PREFIX),
+    "is_bind_request": _like_any("upper(document_name)", V.DOC_BIND_REQUEST),
+    "is_binder_sent": _like_any("upper(document_name)", V.DOC_BINDER_SENT),
+    "is_endorsement_sent": _like_all("upper(document_name)", V.DOC_ENDORSEMENT_SENT_ALL),
+    "is_policy_sent": _like_all("upper(document_name)", V.DOC_POLICY_SENT_ALL),
+    "is_renewal_invoice": f"upper(trim(document_name)) LIKE {_q(V.DOC_RENEWAL_INVOICE_PREFIX)}",
+}
+
+_LIVE_Q = "COALESCE(flg_active, 1) = 1 AND COALESCE(purge_status, 0) = 0"
+
+
+def _band_max(x: str, n: int) -> str:
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} < 0 THEN 'Data Issue' WHEN {x} <= {n} THEN 'Green' ELSE 'Red' END"
+
+
+def _sub_quotes() -> str:
+    return (f"sq AS (SELECT q.quote_id, q.submission_id, q.bind_dt, q.lkp_transaction_type_id, sb.original_producer_id AS agency_id "
+            f"FROM bms_quote_mst q JOIN bms_submission_mst sb ON sb.submission_id = q.submission_id WHERE {_LIVE.format(a='q')})")
+
+
+def _email_union(code_pred: str) -> str:
+    return f"""em AS (
+  SELECT cd.business_id, cd.quote_id, cd.created_dt FROM bms_email_confirmation_details cd
+  JOIN adm_co_lkp_email_process_parameters pp ON pp.lkp_id = cd.lkp_email_process_parameter_id
+  WHERE pp.lkp_code {code_pred} AND cd.flg_active = 1
+  UNION ALL
+  SELECT tm.business_id, tm.quote_id, tm.created_dt FROM bms_template_memos tm
+  JOIN adm_co_lkp_email_process_parameters pp ON pp.lkp_id = tm.lkp_email_process_parameters_id
+  WHERE pp.lkp_code {code_pred} AND tm.flg_active = 1)"""
+
+
+_EMAIL_TABLES = ["bms_email_confirmation_details", "bms_template_memos", "adm_co_lkp_email_process_parameters"]
+
+
+def _sc_select(view: str, cols: list[str], money: set[str]) -> str:
+    parts = [f"CAST({c} AS DOUBLE) AS {c}" if c in money else f"CAST({c} AS BIGINT) AS {c}" for c in cols]
+    return ", ".join(parts)
+
+
+_SC_MEASURES = ["submissions_created", "submissions_activity", "submissions_quoted", "quotes_started",
+                "raw_quote_rows_started", "quotes_started_bound", "nb_quotes_started", "nb_quotes_bound",
+                "renewal_quotes_started", "renewal_quotes_bound", "declines", "declined_premium", "binds",
+                "binds_from_cohort", "sum_days_to_bind", "cnt_days_to_bind", "bound_premium", "bound_fees",
+                "bound_premium_from_cohort", "bound_fees_from_cohort", "nb_binds", "renewal_binds", "nb_bound_premium",
+                "renewal_bound_premium"]
+_SC_MONEY = {"sum_days_to_bind", "bound_premium", "bound_fees", "bound_premium_from_cohort", "bound_fees_from_cohort",
+             "nb_bound_premium", "renewal_bound_premium", "declined_premium"}
+_QS_MEASURES = ["submissions_quoted", "quotes_started", "raw_quote_rows_started", "quotes_started_bound",
+                "nb_quotes_started", "nb_quotes_bound", "renewal_quotes_started", "renewal_quotes_bound"]
+_PA_MEASURES = ["binds", "binds_from_cohort", "sum_days_to_bind", "cnt_days_to_bind", "bound_premium", "bound_fees",
+                "bound_premium_from_cohort", "bound_fees_from_cohort", "nb_binds", "renewal_binds", "nb_bound_premium",
+                "renewal_bound_premium"]
+
+
+def _sc(select: str) -> str:
+    return _with(_SC_TABLES, f"{_sc_ctes()}\n{select}")
+
+
+def _from_scorecard(cols: list[str]) -> str:
+    return f"SELECT {', '.join(cols)} FROM ({scorecard()}) x"
+
+
+def operator_sql() -> dict[str, str]:
+    fq = "COALESCE(q.original_producer_id, sb.original_producer_id)"
+    doc_cols = ", ".join(f"{_b(v)} AS {k}" for k, v in _DOC_PREDS.items())
+    any_doc = " OR ".join(f"({_DOC_PREDS[k]})" for k in ["is_quote_to_agent", "is_bind_request", "is_policy_sent",
+                                                         "is_quote_to_agent_prefix", "is_renewal_invoice"])
+    mins = ", ".join(f"MIN(CASE WHEN {_DOC_PREDS[p]} THEN created_dt END) AS {n}" for n, p in [
+        ("quote_doc_dt", "is_quote_to_agent"), ("bind_req_dt", "is_bind_request"), ("policy_doc_dt", "is_policy_sent"),
+        ("q2a_dt", "is_quote_to_agent_prefix"), ("inv_dt", "is_renewal_invoice")])
+    lag = _bd_exclusive("sb.created_dt", "q.quote_dt")
+    cal = "(CAST(q.bind_dt AS DATE) - CAST(q.created_dt AS DATE))"
+    sq_money = _money("o.sub_total_premium")
+    agency_sub = ("(SELECT min(trim(a.agency_{c})) FROM adm_co_agencies a WHERE a.agency_id = "
+                  "COALESCE(q.original_producer_id, (SELECT s.original_producer_id FROM bms_submission_mst s "
+                  "WHERE s.submission_id = q.submission_id)))")
+    counts = " UNION ALL ".join(f"SELECT '{n}' AS table_name, CAST(COUNT(*) AS BIGINT) AS row_count FROM {n}" for n in _ALL)
+    return {
+        "src_scan": _with(_ALL, counts),
+        "param_windows": _with(["bms_submission_mst"], f"""d AS (SELECT DISTINCT CAST(created_dt AS DATE) AS as_of FROM bms_submission_mst)
+SELECT as_of, CAST(date_trunc('week', as_of - 14) AS DATE) AS weeks_start, CAST(date_trunc('week', as_of) AS DATE) AS weeks_end,
+  CAST(date_trunc('year', as_of) AS DATE) AS ytd_start, as_of + 1 AS ytd_end, CAST(as_of - INTERVAL 3 MONTH AS DATE) AS rolling3_start,
+  CAST(date_trunc('month', as_of) - INTERVAL 1 MONTH AS DATE) AS prev_month_start FROM d"""),
+        "proj_alias_const": _with(["bms_quote_mst"], f"""x AS (SELECT 1)
+SELECT quote_code AS quote_number, {_q(V.KPI1_TRANSACTION_LABEL)} AS transaction_type, policy_number,
+  CAST(quote_id * 10 AS BIGINT) AS quote_id_x10 FROM bms_quote_mst"""),
+        "flt_soft_delete_lenient": _with(["bms_submission_mst"], f"""x AS (SELECT 1)
+SELECT submission_id, CAST(flg_active AS BIGINT) AS flg_active, CAST(purge_status AS BIGINT) AS purge_status
+FROM bms_submission_mst WHERE {_LIVE_Q} AND user_id_accexecutive IS NOT NULL"""),
+        "flt_soft_delete_strict": _with(["bms_options_mst"], """x AS (SELECT 1)
+SELECT quote_id, product_id, business_id FROM bms_options_mst WHERE flg_active = 1"""),
+        "flt_in_like_3vl": _with(["bms_quote_mst", "adm_bm_lkp_transaction_types"], f"""x AS (SELECT 1)
+SELECT q.quote_id, tt.lkp_desc, {_b(_tt_forecast('tt.lkp_desc'))} AS in_forecast
+FROM bms_quote_mst q LEFT JOIN adm_bm_lkp_transaction_types tt ON tt.lkp_id = q.lkp_transaction_type_id
+WHERE {_LIVE.format(a='q')} AND {_tt_heat('tt.lkp_desc')}"""),
+        "flt_not_in_null": _with(["bms_submission_mst", "adm_co_agencies"], f"""x AS (SELECT 1)
+SELECT sb.submission_id, ag.agency_code FROM bms_submission_mst sb JOIN adm_co_agencies ag ON ag.agency_id = sb.original_producer_id
+WHERE ag.agency_code NOT IN {_in(V.RETENTION_EXCLUDED_AGENCY_CODES)}"""),
+        "flt_doc_name_like": _with(["dms_document_detail_mst"], f"""x AS (SELECT 1)
+SELECT file_id, created_dt, document_name, {doc_cols} FROM dms_document_detail_mst"""),
+        "flt_halfopen_window": _with(["bms_quote_mst"], """x AS (SELECT 1)
+SELECT quote_id, created_dt FROM bms_quote_mst WHERE created_dt >= DATE '2001-03-15' AND created_dt < DATE '2001-06-16'"""),
+        "flt_closed_window": _with(["bms_options_mst"], """x AS (SELECT 1)
+SELECT quote_id, product_id, proposed_eff_date FROM bms_options_mst
+WHERE proposed_eff_date >= DATE '2001-04-01' AND proposed_eff_date <= DATE '2001-06-30'"""),
+        "flt_nonblank": _with(["bms_quote_mst"], """x AS (SELECT 1)
+SELECT quote_id, policy_number FROM bms_quote_mst WHERE trim(policy_number) <> ''"""),
+        "flt_premium_threshold": _with(["bms_options_mst"], f"""x AS (SELECT 1)
+SELECT quote_id, product_id, CAST(COALESCE(sub_total_premium, 0) AS DOUBLE) AS premium FROM bms_options_mst
+WHERE COALESCE(sub_total_premium, 0) > {V.PREMIUM_THRESHOLD}"""),
+        "fn_parse_money": _with(["bms_options_mst"], f"""x AS (SELECT 1)
+SELECT quote_id, product_id, CAST({_money('CAST(sub_total_premium AS VARCHAR)')} AS DOUBLE) AS from_text,
+  CAST({_money("'$' || CAST(sub_total_premium AS VARCHAR)")} AS DOUBLE) AS from_dollar_text,
+  CAST({_money('effective_dt')} AS DOUBLE) AS from_date_text FROM bms_options_mst"""),
+        "join_inner_dims": _with(["bms_quote_mst", "bms_submission_mst", "adm_co_users"], f"""x AS (SELECT 1)
+SELECT q.quote_id, sb.submission_code, {_uw_short('uw.first_name', 'uw.last_name')} AS underwriter
+FROM bms_quote_mst q JOIN bms_submission_mst sb ON sb.submission_id = q.submission_id
+JOIN adm_co_users uw ON uw.user_id = sb.user_id_accexecutive"""),
+        "join_left_lookup": _with(["bms_quote_mst", "adm_bm_lkp_transaction_types", "adm_bm_statuses"], """x AS (SELECT 1)
+SELECT q.quote_id, tt.lkp_desc, st.status_code FROM bms_quote_mst q
+LEFT JOIN adm_bm_lkp_transaction_types tt ON tt.lkp_id = q.lkp_transaction_type_id
+LEFT JOIN adm_bm_statuses st ON st.status_id = q.status_id"""),
+        "join_left_filter_on": _with(["bms_submission_mst", "adm_co_agencies"], """x AS (SELECT 1)
+SELECT sb.submission_id, ag.agency_name FROM bms_submission_mst sb
+LEFT JOIN adm_co_agencies ag ON ag.agency_id = sb.original_producer_id AND COALESCE(ag.flg_active, 1) = 1"""),
+        "join_left_to_inner": _with(["bms_quote_mst", "adm_bm_lkp_transaction_types"], f"""x AS (SELECT 1)
+SELECT q.quote_id, tt.lkp_desc FROM bms_quote_mst q LEFT JOIN adm_bm_lkp_transaction_types tt ON tt.lkp_id = q.lkp_transaction_type_id
+WHERE {_LIVE.format(a='q')} AND tt.lkp_desc IN {_in(V.TT_NB_AND_RENEWAL)}"""),
+        "join_coalesce_key": _with(["bms_quote_mst", "bms_submission_mst", "adm_co_agencies"], f"""x AS (SELECT 1)
+SELECT q.quote_id, {fq} AS agency_id, ag.agency_code FROM bms_quote_mst q
+LEFT JOIN bms_submission_mst sb ON sb.submission_id = q.submission_id
+LEFT JOIN adm_co_agencies ag ON ag.agency_id = {fq}"""),
+        "semi_exists_joined": _with(["bms_options_mst", "bms_locations", "bms_building_mst"], """x AS (SELECT 1)
+SELECT o.quote_id, o.product_id, o.business_id FROM bms_options_mst o WHERE EXISTS (
+  SELECT 1 FROM bms_locations l JOIN bms_building_mst b ON b.location_id = l.location_id AND b.flg_active = 1
+  WHERE l.business_id = o.business_id)"""),
+        "apply_min_per_key": _with(["dms_file_mst", "dms_document_detail_mst"], f"""{_DOCS}
+SELECT submission_number, {mins} FROM docs WHERE {any_doc} GROUP BY submission_number"""),
+        "top1_latest_option": _with(["bms_options_mst"], f"""o AS (
+  SELECT quote_id, {_try_date('effective_dt')} AS eff_date, {_money('sub_total_premium')} AS prem,
+    CAST(COALESCE(total_fee_taxable, 0) + COALESCE(total_fee_non_taxable, 0) AS DECIMAL(18,2)) AS fees,
+    COALESCE(updated_dt, created_dt) AS touched, product_id
+  FROM bms_options_mst WHERE COALESCE(flg_active, 1) = 1
+  QUALIFY row_number() OVER (PARTITION BY quote_id ORDER BY touched DESC NULLS LAST, prem DESC NULLS LAST,
+    product_id DESC NULLS LAST, eff_date DESC NULLS LAST, prem DESC NULLS LAST, fees DESC NULLS LAST) = 1)
+SELECT quote_id, eff_date, CAST(prem AS DOUBLE) AS prem, CAST(fees AS DOUBLE) AS fees FROM o"""),
+        "top1_per_group_bound_first": _with(["bms_quote_mst", "adm_bm_lkp_transaction_types"], f"""x AS (SELECT 1)
+SELECT q.submission_id, q.quote_id, q.quote_code, q.bind_dt FROM bms_quote_mst q
+JOIN adm_bm_lkp_transaction_types tt ON tt.lkp_id = q.lkp_transaction_type_id
+WHERE {_LIVE.format(a='q')} AND tt.lkp_desc = {_q(V.TT_NEW_BUSINESS)}
+QUALIFY row_number() OVER (PARTITION BY q.submission_id ORDER BY CASE WHEN q.bind_dt IS NULL THEN 1 ELSE 0 END, q.quote_id) = 1"""),
+        "asof_first_after": _with(["bms_tracers", "bms_quote_mst", "bms_submission_mst", "dms_file_mst",
+                                   "dms_document_detail_mst"], f"""{_DOCS},
+edx AS (SELECT quote_id, MAX(CASE WHEN {_like_any('tracer_desc', V.TRACER_ENDORSEMENT_START)} THEN created_dt END) AS req_dt
+        FROM bms_tracers WHERE tracer_desc LIKE {_q(V.TRACER_ENDORSEMENT_ANY)} GROUP BY 1),
+a AS (SELECT edx.quote_id, sb.submission_code, edx.req_dt FROM edx JOIN bms_quote_mst q ON q.quote_id = edx.quote_id
+      JOIN bms_submission_mst sb ON sb.submission_id = q.submission_id)
+SELECT a.quote_id, a.submission_code, a.req_dt,
+  (SELECT MIN(d.created_dt) FROM docs d WHERE d.submission_number = a.submission_code AND d.created_dt >= a.req_dt
+     AND {_like_all('upper(d.document_name)', V.DOC_ENDORSEMENT_SENT_ALL)}) AS sent_dt
+FROM a"""),
+        "union_min_two_sources": _with(_EMAIL_TABLES, f"""{_email_union("= " + _q(V.EMAIL_QUOTE))}
+SELECT business_id, quote_id, MIN(created_dt) AS sent_dt FROM em GROUP BY 1, 2"""),
+        "semi_or_two_sources": _with(["bms_options_mst"] + _EMAIL_TABLES, f"""x AS (SELECT 1)
+SELECT o.quote_id, o.business_id, o.product_id FROM bms_options_mst o
+WHERE EXISTS (SELECT 1 FROM bms_email_confirmation_details cd JOIN adm_co_lkp_email_process_parameters pp
+              ON pp.lkp_id = cd.lkp_email_process_parameter_id
+              WHERE cd.business_id = o.business_id AND cd.quote_id = o.quote_id AND pp.lkp_code IN {_in(V.EMAIL_QUOTE_OR_RENEWAL)}
+                AND cd.flg_active = 1)
+   OR EXISTS (SELECT 1 FROM bms_template_memos tm JOIN adm_co_lkp_email_process_parameters pp
+              ON pp.lkp_id = tm.lkp_email_process_parameters_id
+              WHERE tm.business_id = o.business_id AND tm.quote_id = o.quote_id AND pp.lkp_code IN {_in(V.EMAIL_QUOTE_OR_RENEWAL)}
+                AND tm.flg_active = 1)"""),
+        "scalar_subq_agency": _with(["bms_quote_mst", "bms_submission_mst", "adm_co_agencies"], f"""x AS (SELECT 1)
+SELECT q.quote_id, COALESCE({agency_sub.format(c='code')}, '') AS agency_code,
+  COALESCE({agency_sub.format(c='name')}, '') AS agency_name FROM bms_quote_mst q"""),
+        "join_fanout_kept": _with(["bms_options_mst", "bms_quote_mst", "bms_quote_insured_mst"], """x AS (SELECT 1)
+SELECT o.quote_id, o.product_id, ins.insured_name FROM bms_options_mst o JOIN bms_quote_mst q ON q.quote_id = o.quote_id
+JOIN bms_quote_insured_mst ins ON ins.quote_id = q.quote_id"""),
+        "agg_group_sum_count": _with(["bms_submission_mst"], f"""x AS (SELECT 1)
+SELECT original_producer_id AS agency_id, CAST(year(created_dt) AS BIGINT) AS created_year, CAST(COUNT(*) AS BIGINT) AS n_submissions,
+  CAST(SUM(CASE WHEN {_LIVE_Q} THEN 1 ELSE 0 END) AS BIGINT) AS n_live FROM bms_submission_mst GROUP BY 1, 2"""),
+        "agg_count_distinct": _with(["bms_quote_mst", "bms_submission_mst"], f"""{_sub_quotes()}
+SELECT agency_id, CAST(COUNT(DISTINCT submission_id) AS BIGINT) AS n_submissions, CAST(COUNT(DISTINCT quote_id) AS BIGINT) AS n_quotes
+FROM sq GROUP BY 1"""),
+        "agg_cond_count_distinct": _with(["bms_quote_mst", "bms_submission_mst"], f"""{_sub_quotes()}
+SELECT agency_id, CAST(COUNT(DISTINCT CASE WHEN bind_dt IS NOT NULL THEN quote_id END) AS BIGINT) AS quotes_bound,
+  CAST(COUNT(DISTINCT CASE WHEN lkp_transaction_type_id = 0 THEN quote_id END) AS BIGINT) AS quotes_type0,
+  CAST(COUNT(DISTINCT CASE WHEN bind_dt IS NOT NULL AND lkp_transaction_type_id = 1 THEN quote_id END) AS BIGINT) AS quotes_bound_type1,
+  CAST(COUNT(DISTINCT CASE WHEN bind_dt IS NOT NULL THEN submission_id END) AS BIGINT) AS submissions_bound
+FROM sq GROUP BY 1"""),
+        "agg_cond_sum": _with(["bms_options_mst", "bms_quote_mst", "bms_submission_mst"], f"""{_sub_quotes()}
+SELECT sq.agency_id, CAST(SUM(CASE WHEN sq.bind_dt IS NOT NULL THEN COALESCE({sq_money}, 0) ELSE 0 END) AS DOUBLE) AS bound_premium,
+  CAST(SUM(CASE WHEN sq.bind_dt IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS bound_rows
+FROM bms_options_mst o JOIN sq ON sq.quote_id = o.quote_id GROUP BY 1"""),
+        "agg_pivot_max": _with(["bms_tracers"], f"""x AS (SELECT 1)
+SELECT quote_id, MAX(CASE WHEN {_like_any('tracer_desc', V.TRACER_ENDORSEMENT_START)} THEN created_dt END) AS req_dt,
+  MAX(CASE WHEN {_like_any('tracer_desc', V.TRACER_ENDORSEMENT_FINALIZED)} THEN created_dt END) AS fin_dt
+FROM bms_tracers WHERE tracer_desc LIKE {_q(V.TRACER_ENDORSEMENT_ANY)} GROUP BY 1"""),
+        "sort_numeric_suffix": _with(["bms_submission_mst", "adm_co_agencies"], f"""x AS (SELECT 1)
+SELECT sb.submission_id, ag.agency_code,
+  CAST(TRY_CAST(NULLIF(replace(ag.agency_code, {_q(V.AGENCY_CODE_PREFIX)}, ''), '') AS INTEGER) AS BIGINT) AS code_number
+FROM bms_submission_mst sb JOIN adm_co_agencies ag ON ag.agency_id = sb.original_producer_id"""),
+        "union_distinct_spine": _sc("SELECT agency_id FROM su UNION SELECT agency_id FROM sc"),
+        "fn_strings": _with(["bms_quote_insured_mst"], """x AS (SELECT 1)
+SELECT quote_id, trim(adr_phy_city) AS city_trim, upper(insured_name) AS insured_upper, substr(insured_name, 1, 5) AS insured_left5,
+  substr(adr_phy_state_code, 1, 4) AS state_w4 FROM bms_quote_insured_mst"""),
+        "fn_person_name": _with(["bms_options_mst", "adm_co_users"], f"""x AS (SELECT 1)
+SELECT o.quote_id, o.product_id, {_uw_short('u.first_name', 'u.last_name')} AS name_short, {_name3(False)} AS name_full3,
+  {_name3(True)} AS name_full3_trimlast FROM bms_options_mst o JOIN adm_co_users u ON u.user_id = o.user_id_acc_executive"""),
+        "fn_format": _with(["bms_options_mst"], f"""x AS (SELECT 1)
+SELECT quote_id, product_id, {_us('proposed_eff_date')} AS eff_us, substr(effective_dt, 1, 10) AS eff_text_us,
+  substr(CAST(COALESCE(sub_total_premium, 0) AS VARCHAR), 1, 50) AS premium_text,
+  substr(CAST(CAST(proposed_eff_date AS DATE) - {AS_OF} AS VARCHAR), 1, 10) AS days_until FROM bms_options_mst"""),
+        "fn_dates": _with(["bms_quote_mst"], """x AS (SELECT 1)
+SELECT quote_id, CAST(created_dt AS DATE) AS created_day, CAST(created_dt AS DATE) + 3 AS plus3, CAST(created_dt AS DATE) - 14 AS minus14,
+  CAST(CAST(created_dt AS DATE) - INTERVAL 3 MONTH AS DATE) AS minus3m, CAST(date_trunc('month', created_dt) AS DATE) AS month_start,
+  CAST(CAST(bind_dt AS DATE) - CAST(created_dt AS DATE) AS BIGINT) AS days_to_bind, CAST(year(created_dt) AS BIGINT) AS created_year
+FROM bms_quote_mst"""),
+        "fn_try_cast": _with(["bms_options_mst"], f"""x AS (SELECT 1)
+SELECT quote_id, product_id, {_try_date('effective_dt')} AS eff_date,
+  CAST(TRY_CAST(NULLIF(trim(substr(CAST(business_id AS VARCHAR), 1, 50)), '') AS INTEGER) AS BIGINT) AS business_int,
+  CAST(TRY_CAST(NULLIF(trim(substr(effective_dt, 1, 50)), '') AS INTEGER) AS BIGINT) AS eff_as_int FROM bms_options_mst"""),
+        "fn_ratio": _with(["bms_quote_mst", "bms_submission_mst"], f"""{_sub_quotes()},
+a AS (SELECT agency_id, COUNT(DISTINCT quote_id) AS quotes, COUNT(DISTINCT CASE WHEN bind_dt IS NOT NULL THEN quote_id END) AS bound
+      FROM sq GROUP BY 1)
+SELECT agency_id, CAST(quotes AS BIGINT) AS quotes, CAST(bound AS BIGINT) AS bound, {_ratio4('bound', 'quotes')} AS bind_ratio,
+  {_ratio4('quotes - bound', 'quotes')} AS open_ratio FROM a"""),
+        "fn_business_days_inclusive": _with(["bms_quote_mst", "bms_submission_mst"], f"""x AS (SELECT 1)
+SELECT q.quote_id, CAST({_bd_inclusive('q.created_dt', 'q.bind_dt')} AS BIGINT) AS bd_inclusive
+FROM bms_quote_mst q JOIN bms_submission_mst sb ON sb.submission_id = q.submission_id WHERE q.bind_dt IS NOT NULL"""),
+        "fn_business_days_exclusive": _with(["bms_quote_mst", "bms_submission_mst"], f"""x AS (SELECT 1)
+SELECT q.quote_id, CAST({_bd_exclusive('sb.created_dt', 'q.bind_dt')} AS BIGINT) AS bd_exclusive,
+  CAST({lag} AS BIGINT) AS bd_exclusive_quote
+FROM bms_quote_mst q JOIN bms_submission_mst sb ON sb.submission_id = q.submission_id"""),
+        "fn_iso_week_label": _with(["bms_tracers"], """x AS (SELECT 1)
+SELECT DISTINCT quote_id, tracer_sub_type_id, created_dt, CAST(year(created_dt) AS BIGINT) AS week_year,
+  CAST(weekofyear(created_dt) AS BIGINT) AS week_of_year FROM bms_tracers"""),
+        "fn_null": _with(["bms_quote_mst"], """x AS (SELECT 1)
+SELECT quote_id, COALESCE(quote_dt, created_dt) AS start_dt, CAST(COALESCE(purge_status, 0) AS BIGINT) AS purge_or_zero,
+  NULLIF(trim(policy_number), '') AS policy_or_null, COALESCE(trans_finalize_dt, bind_dt, quote_dt, created_dt) AS latest_known
+FROM bms_quote_mst"""),
+        "fn_policy_status": _with(["bms_quote_mst"], f"""x AS (SELECT 1)
+SELECT quote_id, {_status()} AS policy_status FROM bms_quote_mst"""),
+        "fn_sla_band": _with(["bms_quote_mst", "bms_submission_mst"], f"""x AS (SELECT 1)
+SELECT q.quote_id, {_band_max(f'({lag})', 3)} AS band_max3, {_band_max(f'({lag})', 5)} AS band_max5,
+  CASE WHEN {cal} < 0 THEN 'Data Issue' WHEN {cal} <= 30 THEN 'Green' ELSE 'Red' END AS band_calendar30,
+  CASE WHEN {cal} IS NULL THEN NULL WHEN {cal} < 0 THEN 'Data Issue' WHEN {cal} >= 45 THEN 'Green' ELSE 'Red' END AS band_min45
+FROM bms_quote_mst q JOIN bms_submission_mst sb ON sb.submission_id = q.submission_id"""),
+        "fn_follow_up": _with(["bms_email_confirmation_details"], f"""x AS (SELECT 1)
+SELECT DISTINCT quote_id, business_id, created_dt, {_us('created_dt')} AS sent_us, {_us('CAST(created_dt AS DATE) + 3')} AS first_follow_up,
+  {_us('CAST(created_dt AS DATE) + 25')} AS second_follow_up, {_us('CAST(created_dt AS DATE) + 30')} AS qcl_due
+FROM bms_email_confirmation_details"""),
+        "sc_submission_universe": _sc("SELECT submission_id, agency_id FROM su"),
+        "sc_submissions_created": _sc("SELECT agency_id, CAST(submissions_created AS BIGINT) AS submissions_created FROM sc"),
+        "sc_submissions_activity": _sc("SELECT agency_id, CAST(submissions_activity AS BIGINT) AS submissions_activity FROM sa"),
+        "sc_quote_start": _sc(f"SELECT agency_id, {_sc_select('qa', _QS_MEASURES, _SC_MONEY)} FROM qa"),
+        "sc_production": _sc(f"SELECT agency_id, {_sc_select('pa', _PA_MEASURES, _SC_MONEY)} FROM pa"),
+        "sc_decline": _sc("SELECT agency_id, CAST(declines AS BIGINT) AS declines, CAST(declined_premium AS DOUBLE) AS declined_premium FROM da"),
+        "sc_agency_metrics": _sc(f"SELECT agency_code, agency_name, {_sc_select('am', _SC_MEASURES, _SC_MONEY)} FROM am"),
+        "sc_rollup": _sc("""SELECT COALESCE(m.rollup_code, am.agency_code) AS agency_code, COALESCE(m.rollup_name, am.agency_name) AS agency_name,
+  CAST(submissions_created AS BIGINT) AS submissions_created, CAST(binds AS BIGINT) AS binds
+FROM am LEFT JOIN rollmap m ON m.member_code = am.agency_code"""),
+        "sc_final": _sc(f"SELECT agency_code, agency_name, {_sc_select('f', _SC_MEASURES, _SC_MONEY)} FROM f"),
+        "sc_ratios": _from_scorecard(["agency_code", "agency_name", "sub_to_quote_pct_vs_intake", "sub_to_quote_pct_vs_activity",
+                                      "quote_to_bind_pct", "decline_rate_pct", "carryover_pct", "dollar_hit_ratio_pct",
+                                      "avg_bound_premium_per_bind"]),
+        "sc_scores": _from_scorecard(["agency_code", "agency_name", "mvs_overall", "mvs_momentum", "ops_efficiency_score",
+                                      "pipeline_health_score"]),
+        "sc_problem_type": _from_scorecard(["agency_code", "agency_name", "problem_type_label", "problem_type_explanation",
+                                            "primary_recommended_action"]),
+        "asof_first_after_events": """SELECT s.event_id, s.user_id, strftime(s.ts, '%Y-%m-%d %H:%M:%S.%f') AS signup_ts,
+  strftime((SELECT MIN(b.ts) FROM events b WHERE b.event_type = 'purchase' AND b.user_id = s.user_id AND b.ts >= s.ts),
+           '%Y-%m-%d %H:%M:%S.%f') AS first_purchase_ts
+FROM events s WHERE s.event_type = 'signup'""",
+    }
+
+
 def all_sql() -> dict[str, str]:
-    return {k: f() for k, f in REPORT_SQL.items()}
+    out = {k: f() for k, f in REPORT_SQL.items()}
+    out.update(operator_sql())
+    return out

@@ -1,8 +1,8 @@
 """Column -> Column expressions (all native Catalyst expressions; no Python UDFs)."""
 
 from . import fixed_values
-from .dates import (business_days_exclusive, business_days_inclusive, day, days_between, in_window,
-                    try_date, week_crossings, week_label)
+from .dates import (business_days_exclusive, business_days_inclusive, day, days_between, in_window, month_start,
+                    months_added, try_date, week_crossings, week_label, week_start, year_start)
 from .fmt import int_text, us_date
 from .labels import (doc_is_bind_request, doc_is_binder_sent, doc_is_endorsement_sent, doc_is_policy_sent,
                      doc_is_quote_to_agent, doc_is_quote_to_agent_prefix, doc_is_renewal_invoice, like_all,

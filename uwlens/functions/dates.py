@@ -102,3 +102,23 @@ def week_label(c: ColumnLike) -> tuple[Column, Column]:
     """(calendar year, ISO-8601 week).  The pair is kept as the reports define it even where the
     two disagree (2025-12-29 -> year 2025, ISO week 1)."""
     return F.year(day(c)), F.weekofyear(day(c))
+
+
+def week_start(c: ColumnLike) -> Column:
+    """Monday on or before the date (DATEADD(DAY, -(DATEDIFF(DAY, 0, d) % 7), d))."""
+    return F.date_trunc("week", day(c)).cast(T.DateType())
+
+
+def month_start(c: ColumnLike) -> Column:
+    """First day of the month (DATEADD(MONTH, DATEDIFF(MONTH, 0, d), 0))."""
+    return F.trunc(day(c), "month")
+
+
+def year_start(c: ColumnLike) -> Column:
+    """DATEFROMPARTS(YEAR(d), 1, 1)."""
+    return F.trunc(day(c), "year")
+
+
+def months_added(c: ColumnLike, n: int) -> Column:
+    """DATEADD(MONTH, n, d): clamps to the last day of the target month."""
+    return F.add_months(day(c), n)

@@ -28,3 +28,11 @@ def distinct_flags(df: DataFrame, group_keys: list[str], id_col: str, flags: dic
         *[F.sum(n).cast(T.LongType()).alias(n) for n in flags],
         *[F.sum(n).alias(n) for n in sums],
     )
+
+
+def merge_on(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Full outer join of two per-group results on ``key``, treating NULL keys as equal (a NULL
+    group is one group, as in GROUP BY)."""
+    r = right.withColumnRenamed(key, "_rk")
+    j = left.join(r, left[key].eqNullSafe(r["_rk"]), "full")
+    return j.withColumn(key, F.coalesce(left[key], F.col("_rk"))).drop("_rk")

@@ -30,7 +30,7 @@ from ..functions import fixed_values as V
 from ..functions import money as M
 from ..functions import text as X
 from ..operators import filters as FL
-from ..operators.distinct import distinct_flags
+from ..operators.distinct import distinct_flags, merge_on
 from ..operators.latest import option_dollars
 from ..operators.lookup import small
 from ..params import ReportParams
@@ -127,7 +127,7 @@ def quote_measures(t: Tables, p: ReportParams, universe: DataFrame) -> DataFrame
     }
     per_quote = distinct_flags(q, ["agency_id"], "quote_id", flags, sums)
     per_sub = distinct_flags(q, ["agency_id"], "submission_id", {"submissions_quoted": s})
-    return per_quote.join(per_sub, "agency_id", "full")
+    return merge_on(per_quote, per_sub, "agency_id")
 
 
 def declines(t: Tables, p: ReportParams, universe: DataFrame) -> DataFrame:
