@@ -1,16 +1,18 @@
 """Forward as-of join: for each anchor, the first event at or after it with the same key.
 
-Spark has no as-of join.  Two exact strategies, both free of all-pairs expansion:
-
-* ``unique_anchor=True`` (one anchor per key): equi-join events to anchors on the key, keep
-  ``event >= anchor``, take the minimum per key.  Each event meets exactly one anchor, and the
-  inner join lets AQE split a skewed key's event partition across tasks.
-* otherwise (many anchors per key): a sweep.  Anchors and events are cut into (key, day) buckets.
-  Inside a bucket a window sorted by time (descending, events before anchors at equal time) carries
-  the running minimum event time down to every anchor.  Across buckets, the earliest event of every
-  *later* non-empty bucket comes from a second window over the per-bucket minima - one row per
-  (key, day), so even a key with a third of all events spreads over its days, and the cross-bucket
-  window only sees a day count per key.
+Spark has no as-of join.  Two exact strategies, both free of all-pairs expansion and both reading
+each input once:
+
+* ``unique_anchor=True`` (at most one anchor per key): equi-join events to anchors on the key,
+  keep ``event >= anchor``, take the minimum per anchor.  Each event meets exactly one anchor; the
+  join is inner, so AQE may split a skewed key's event partition across tasks, and the minimum is
+  a partial (map-side) aggregate.  Anchors without a qualifying event are not returned.
+* otherwise (many anchors per key): a sweep.  Anchor rows and distinct event times are cut into
+  (key, day) buckets.  Inside a bucket, a window sorted by time (descending; events before anchors
+  at equal time) carries the running minimum event time down to every anchor.  Across buckets, the
+  earliest event of every *later* non-empty bucket comes from a second window over the per-bucket
+  minima - one row per (key, day), so a key holding a third of all events still spreads over its
+  days, and the cross-bucket window only sees a day count per key.  Every anchor row is returned.
 """
 
 from __future__ import annotations
@@ -22,36 +24,28 @@ from pyspark.sql import types as T
 
 def first_at_or_after(anchors: DataFrame, events: DataFrame, key: str, anchor_ts: str, event_ts: str,
                       out: str, unique_anchor: bool = False) -> DataFrame:
-    """``anchors`` with a new column ``out`` = MIN(event_ts) over events of the same ``key`` with
-    ``event_ts >= anchor_ts`` (NULL when the anchor is NULL or no such event exists)."""
+    """``anchors`` plus column ``out`` = MIN(event_ts) over events of the same ``key`` with
+    ``event_ts >= anchor_ts`` (see the module notes for which anchors are returned)."""
     ev = events.select(F.col(key).alias("_key"), F.col(event_ts).alias("_et")).where(F.col("_et").isNotNull())
     if unique_anchor:
-        an = anchors.select(F.col(key).alias("_key"), F.col(anchor_ts).alias("_at")).where(F.col("_at").isNotNull())
-        found = (ev.join(an, "_key").where(F.col("_et") >= F.col("_at"))
-                 .groupBy("_key").agg(F.min("_et").alias(out)))
-        return anchors.join(found, anchors[key] == found["_key"], "left").drop("_key")
-    return _sweep(anchors, ev, key, anchor_ts, out)
+        cols = anchors.columns
+        j = ev.join(anchors.where(F.col(anchor_ts).isNotNull()), F.col("_key") == anchors[key])
+        return j.where(F.col("_et") >= F.col(anchor_ts)).groupBy(*cols).agg(F.min("_et").alias(out))
+    return _sweep(anchors, ev.distinct(), key, anchor_ts, out)
 
 
 def _sweep(anchors: DataFrame, ev: DataFrame, key: str, anchor_ts: str, out: str) -> DataFrame:
-    # The answer depends only on (key, anchor time): solve it for the distinct pairs, join back.
-    an = (anchors.select(F.col(key).alias("_key"), F.col(anchor_ts).alias("_t"))
-          .where(F.col("_t").isNotNull()).distinct())
-    evd = ev.select("_key", F.col("_et").alias("_t")).distinct()
-    bucket = F.col("_t").cast(T.DateType())
-    u = (an.withColumn("_kind", F.lit(0)).unionByName(evd.withColumn("_kind", F.lit(1)))
-         .withColumn("_b", bucket))
-    w_in = (Window.partitionBy("_key", "_b").orderBy(F.col("_t").desc(), F.col("_kind").desc())
+    cols = anchors.columns
+    a = anchors.withColumn("_key", F.col(key)).withColumn("_t", F.col(anchor_ts)).withColumn("_kind", F.lit(0))
+    e = ev.select("_key", F.col("_et").alias("_t"), F.lit(1).alias("_kind"))
+    u = a.unionByName(e, allowMissingColumns=True).withColumn("_b", F.col("_t").cast(T.DateType()))
+    w_in = (Window.partitionBy("_key", "_b").orderBy(F.col("_t").desc_nulls_last(), F.col("_kind").desc())
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    in_bucket = (u.withColumn("_nb", F.min(F.when(F.col("_kind") == 1, F.col("_t"))).over(w_in))
-                 .where(F.col("_kind") == 0).select("_key", "_t", "_b", "_nb"))
-    bmin = evd.groupBy("_key", bucket.alias("_b")).agg(F.min("_t").alias("_bmin"))
-    abk = in_bucket.select("_key", "_b").distinct().withColumn("_bmin", F.lit(None).cast(evd.schema["_t"].dataType))
-    buckets = bmin.unionByName(abk).groupBy("_key", "_b").agg(F.min("_bmin").alias("_bmin"))
-    w_later = (Window.partitionBy("_key").orderBy(F.col("_b").desc())
-               .rowsBetween(Window.unboundedPreceding, -1))
+    swept = u.withColumn("_nb", F.min(F.when(F.col("_kind") == 1, F.col("_t"))).over(w_in))
+    # per (key, day): earliest event (NULL for anchor-only days); then the earliest of later days
+    buckets = (swept.where(F.col("_b").isNotNull()).groupBy("_key", "_b")
+               .agg(F.min(F.when(F.col("_kind") == 1, F.col("_t"))).alias("_bmin")))
+    w_later = Window.partitionBy("_key").orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     later = buckets.withColumn("_nl", F.min("_bmin").over(w_later)).select("_key", "_b", "_nl")
-    found = (in_bucket.join(later, ["_key", "_b"], "left")
-             .select("_key", F.col("_t").alias("_at"), F.coalesce("_nb", "_nl").alias(out)))
-    cond = (anchors[key] == found["_key"]) & (anchors[anchor_ts] == found["_at"])
-    return anchors.join(found, cond, "left").drop("_key", "_at")
+    found = swept.where(F.col("_kind") == 0).join(later, ["_key", "_b"], "left")
+    return found.select(*cols, F.coalesce("_nb", "_nl").alias(out))

@@ -30,9 +30,13 @@ def fits(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
     return ok
 
 
-def small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its size is proven bounded, else ``df`` unchanged."""
-    return F.broadcast(df) if fits(df, max_rows) else df
+def small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, bound_by: DataFrame | None = None) -> DataFrame:
+    """``broadcast(df)`` when its size is proven bounded, else ``df`` unchanged.
+
+    ``bound_by`` is a DataFrame known to hold at least as many rows as ``df`` (typically the
+    unfiltered table ``df`` was filtered from); probing it instead lets one memoised probe per
+    table serve every filtered use of that table in a run."""
+    return F.broadcast(df) if fits(df if bound_by is None else bound_by, max_rows) else df
 
 
 def first_row_per_key(df: DataFrame, key: str, cols: list[str]) -> DataFrame:

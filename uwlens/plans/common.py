@@ -22,7 +22,7 @@ def live_quotes(t: Tables) -> DataFrame:
 
 def types_where(t: Tables, pred: Column | None = None) -> DataFrame:
     tt = t.adm_bm_lkp_transaction_types
-    return small(tt if pred is None else tt.where(pred))
+    return small(tt if pred is None else tt.where(pred), bound_by=tt)
 
 
 def users(t: Tables) -> DataFrame:
@@ -31,7 +31,7 @@ def users(t: Tables) -> DataFrame:
 
 def agencies(t: Tables, pred: Column | None = None) -> DataFrame:
     ag = t.adm_co_agencies
-    return small(ag if pred is None else ag.where(pred))
+    return small(ag if pred is None else ag.where(pred), bound_by=ag)
 
 
 def quotes_with_type(t: Tables, descs: tuple[str, ...] | None = None) -> DataFrame:
@@ -58,7 +58,7 @@ def agency_scalar_lookup(t: Tables) -> DataFrame:
     ``SELECT TOP 1 LTRIM(RTRIM(col)) FROM agencies WHERE agency_id = x`` lookups."""
     ag = t.adm_co_agencies.select("agency_id", F.trim("agency_code").alias("agency_code"),
                                   F.trim("agency_name").alias("agency_name"))
-    return small(first_row_per_key(ag, "agency_id", ["agency_code", "agency_name"]))
+    return small(first_row_per_key(ag, "agency_id", ["agency_code", "agency_name"]), bound_by=t.adm_co_agencies)
 
 
 def sort_for_output(df: DataFrame, keys: list[Column], tiebreak: list[str]) -> DataFrame:

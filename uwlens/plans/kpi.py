@@ -19,6 +19,7 @@ from ..functions import text as X
 from ..operators.asof import first_at_or_after
 from ..operators.documents import document_events, first_documents, tracer_extremes
 from ..operators.latest import option_effective_date, preferred_quote
+from ..operators.lineage import materialized
 from ..operators.lookup import small
 from ..params import ReportParams
 from ..sources.catalog import Tables
@@ -38,9 +39,13 @@ def _spine(t: Tables, descs: tuple[str, ...]) -> DataFrame:
 
 
 def _finish(df: DataFrame, t: Tables) -> DataFrame:
-    """Attach the underwriter (inner: unknown users drop the row) and the option effective date."""
+    """Attach the underwriter (inner: unknown users drop the row) and the option effective date.
+
+    ``df`` is already cut to the two-week window, so it is small: it is materialised once and its
+    quote ids prune the option table before the latest-option aggregation (a broadcast semi-join
+    instead of a shuffle of every option)."""
     uw = users(t).select("user_id", "first_name", "last_name")
-    df = df.join(uw, df.user_id_accexecutive == uw.user_id)
+    df = materialized(df.join(uw, df.user_id_accexecutive == uw.user_id))
     opts = t.bms_options_mst.join(df.select("quote_id"), "quote_id", "left_semi")
     return (df.join(option_effective_date(opts), "quote_id", "left")
             .withColumn("underwriter", X.person_name_short("first_name", "last_name")))
@@ -61,7 +66,7 @@ def kpi1_submission_to_quote(t: Tables, p: ReportParams) -> DataFrame:
     docs = first_documents(t.dms_file_mst, t.dms_document_detail_mst,
                            {"quote_doc_dt": L.doc_is_quote_to_agent("document_name")})
     sspns = small(t.adm_bm_tracer_sub_types.where(F.col("tracer_type_code") == V.TRACER_SUBTYPE_QUOTE)
-                  .select("tracer_sub_type_id"))
+                  .select("tracer_sub_type_id"), bound_by=t.adm_bm_tracer_sub_types)
     trc = tracer_extremes(t.bms_tracers.join(sspns, "tracer_sub_type_id"), L.tracer_is_quote("tracer_desc"),
                           mins={"quote_tracer_dt": F.lit(True)})
     df = (sb.join(pq, "submission_id")

@@ -85,7 +85,7 @@ def heatmap_detail(t: Tables, p: ReportParams) -> DataFrame:
     sb = t.bms_submission_mst.select("submission_id", F.col("original_producer_id").alias("s_producer"))
     q = q.join(sb, "submission_id", "left").withColumn("agency_id", resolved_agency_id(F.col("q_producer"), F.col("s_producer")))
     ins = t.bms_quote_insured_mst
-    prod = small(t.adm_co_products.select("product_id", "product_name", "class_type_id"))
+    prod = small(t.adm_co_products.select("product_id", "product_name", "class_type_id"), bound_by=t.adm_co_products)
     ct = small(t.adm_co_class_types)
     ag = agency_scalar_lookup(t)
     df = (o.join(q, "quote_id").join(ins, "quote_id")
@@ -109,7 +109,8 @@ def heatmap_detail(t: Tables, p: ReportParams) -> DataFrame:
 def _email_keys(t: Tables, codes: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(business_id, quote_id, created_dt) of active e-mail confirmations and template memos whose
     process code is one of ``codes``."""
-    pp = small(t.adm_co_lkp_email_process_parameters.where(F.col("lkp_code").isin(*codes)).select("lkp_id"))
+    pp = small(t.adm_co_lkp_email_process_parameters.where(F.col("lkp_code").isin(*codes)).select("lkp_id"),
+               bound_by=t.adm_co_lkp_email_process_parameters)
     cd = t.bms_email_confirmation_details.where(FL.active_strict("flg_active"))
     cd = cd.join(pp, cd.lkp_email_process_parameter_id == pp.lkp_id, "left_semi")
     tm = t.bms_template_memos.where(FL.active_strict("flg_active"))
@@ -129,7 +130,7 @@ def quotes_due(t: Tables, p: ReportParams) -> DataFrame:
                  prem.alias("premium_amt")))
     o = semi_join_any(o, list(_email_keys(t, V.EMAIL_QUOTE_OR_RENEWAL)), ["business_id", "quote_id"])
     st = small(t.adm_bm_statuses.where(F.col("status_code").isin(*V.OPEN_QUOTE_STATUSES))
-               .select("status_id", "main_status_text"))
+               .select("status_id", "main_status_text"), bound_by=t.adm_bm_statuses)
     q = t.bms_quote_mst.where(FL.active_strict("flg_active")).join(st, "status_id")
     tt = types_where(t).select("lkp_id", "lkp_desc")
     q = (q.join(tt, q.lkp_transaction_type_id == tt.lkp_id, "left")
@@ -212,7 +213,7 @@ def quote_followup(t: Tables, p: ReportParams) -> DataFrame:
     sent = min_over_sources([cd, tm], ["business_id", "quote_id"], "created_dt", "sent_dt")
     sent = sent.where(D.in_window("sent_dt", w.start, w.end))
     st = small(t.adm_bm_statuses.where(X.fixed_width("main_status_text", 400) == V.STATUS_NB_QUOTE_OFFERED_TEXT)
-               .select("status_id", "main_status_text"))
+               .select("status_id", "main_status_text"), bound_by=t.adm_bm_statuses)
     q = t.bms_quote_mst.where(FL.active_strict("flg_active")).join(st, "status_id").select(
         "quote_id", "quote_code", "main_status_text")
     df = o.join(sent, ["business_id", "quote_id"]).join(q, "quote_id")
