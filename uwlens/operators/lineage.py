@@ -2,9 +2,11 @@
 
 Spark re-executes a DataFrame's lineage for every branch that reads it (column pruning makes the
 branches' subplans differ, so shuffle reuse does not apply).  When a *filtered, small* frame feeds
-both the main join chain and a key set used to prune a big table, it is cheaper to write it once to
-the cluster's checkpoint folder (``spark.checkpoint.dir``, a shared, fault-tolerant location) and
-read it back: lineage is cut, and a lost executor costs a re-read instead of a recomputation.
+both the main join chain and a key set used to prune a big table, it is cheaper to checkpoint it
+once to the cluster's checkpoint folder (``spark.checkpoint.dir``, a shared, fault-tolerant
+location) and read it back: lineage is cut, and a lost executor costs a re-read instead of a
+recomputation.  (The checkpoint write re-runs only the final stage: earlier shuffle outputs of the
+counting job are reused.)
 """
 
 from __future__ import annotations
@@ -15,19 +17,23 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def _ensure_checkpoint_dir(df: DataFrame) -> None:
+def checkpoint_dir(df: DataFrame) -> str:
+    """The session's ``spark.checkpoint.dir``; only when it is unset (tests, local runs) a scratch
+    folder of our own is created and recorded in the session."""
     spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
+    current = sc.getCheckpointDir()
+    if current:
+        return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:  # only outside a cluster (tests, local runs): a scratch folder of our own
+    if not configured:
         configured = tempfile.mkdtemp(prefix="uwlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
+    return configured
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """Eagerly checkpoint ``df`` to the checkpoint folder and return a DataFrame reading it."""
-    _ensure_checkpoint_dir(df)
+    """Eagerly checkpoint ``df`` (reliable checkpoint, never a local one) and return the result."""
+    checkpoint_dir(df)
     return df.checkpoint(eager=True)

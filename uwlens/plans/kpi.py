@@ -2,13 +2,23 @@
 
 Every KPI has the same shape: a quote spine, a handful of per-key facts (latest option, earliest
 document or tracer of some class), one driver date that must fall in the window, and a lag with a
-green/red band.  Facts are aggregated per key *before* they meet the spine; the window filter is
-applied as soon as the driver date exists; the costliest fact (the latest option of each quote) is
-computed only for quotes that survived the window, through a semi-join on their ids.
+green/red band.
+
+Candidate pruning: the driver date is always one of the facts' event dates (a MIN or a COALESCE of
+them), so a submission can only pass the window if at least one of its events lies in the window.
+Each report first collects those *candidate* submissions from window-filtered scans (predicates
+the parquet reader can push down), materialises that small set, and then runs the exact report
+logic on the tables restricted to the candidates' rows - every per-key aggregate for a candidate
+still sees all of the key's rows, so results are identical, but the expensive shuffles (documents
+per file, tracers per quote, quotes per submission) only carry candidate keys.  Facts are
+aggregated per key *before* they meet the spine; the latest option is computed only for quotes
+that survived the window.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +30,7 @@ from ..operators.asof import first_at_or_after
 from ..operators.documents import document_events, first_documents, tracer_extremes
 from ..operators.latest import option_effective_date, preferred_quote
 from ..operators.lineage import materialized
-from ..operators.lookup import small
+from ..operators.lookup import fits, small
 from ..params import ReportParams
 from ..sources.catalog import Tables
 from .common import live_submissions, quotes_with_type, sort_for_output, users
@@ -29,6 +39,63 @@ _Q_COLS = ["quote_id", "submission_id", "quote_code", "policy_number", "bind_dt"
            "quote_dt", "created_dt"]
 
 
+def _doc_codes(t: Tables, cls, w) -> DataFrame:
+    """Submission codes with a document of class ``cls`` created in the window."""
+    d = t.dms_document_detail_mst.where(cls & D.in_window("created_dt", w.start, w.end)).select("file_id")
+    return t.dms_file_mst.join(d, "file_id", "left_semi").select(F.col("submission_number").alias("submission_code"))
+
+
+def _quote_codes(t: Tables, quote_pred) -> DataFrame:
+    """Submission codes of quotes matching ``quote_pred``."""
+    q = t.bms_quote_mst.where(quote_pred).select("submission_id")
+    return t.bms_submission_mst.join(q, "submission_id", "left_semi").select("submission_code")
+
+
+def _tracer_codes(t: Tables, tracer_pred, w) -> DataFrame:
+    """Submission codes of quotes with a tracer matching ``tracer_pred`` created in the window."""
+    tr = t.bms_tracers.where(tracer_pred & D.in_window("created_dt", w.start, w.end)).select("quote_id")
+    q = t.bms_quote_mst.join(tr, "quote_id", "left_semi").select("submission_id")
+    return t.bms_submission_mst.join(q, "submission_id", "left_semi").select("submission_code")
+
+
+def _should_prune(t: Tables, p: ReportParams) -> bool:
+    """Size-checked strategy choice: prune when the document or tracer table is larger than
+    ``p.prune_min_rows`` (a bounded probe, memoised per table)."""
+    if p.prune_min_rows is None:
+        return False
+    if p.prune_min_rows == 0:
+        return True
+    return not (fits(t.dms_document_detail_mst, p.prune_min_rows) and fits(t.bms_tracers, p.prune_min_rows))
+
+
+def _scope(t: Tables, p: ReportParams, *candidate_codes) -> Tables:
+    """``t`` restricted to candidate submissions when pruning pays off, else ``t`` itself.
+    ``candidate_codes`` are zero-argument callables, so nothing is planned when not pruning."""
+    return _scoped(t, *[c() for c in candidate_codes]) if _should_prune(t, p) else t
+
+
+def _scoped(t: Tables, *candidate_codes: DataFrame) -> Tables:
+    """``t`` restricted to the rows of candidate submissions (all of their rows, nothing else).
+
+    Only the candidate submissions are materialised (one small written table); every restricted
+    table is then a scan plus a broadcastable semi-join on that stored set or on a restricted
+    parent (files -> documents, quotes -> tracers and options)."""
+    cand = candidate_codes[0]
+    for c in candidate_codes[1:]:
+        cand = cand.unionByName(c)
+    subs = materialized(t.bms_submission_mst.join(cand, "submission_code", "left_semi")
+                        .select("submission_id", "submission_code").distinct())
+    sb = t.bms_submission_mst.join(subs.select("submission_id"), "submission_id", "left_semi")
+    q = t.bms_quote_mst.join(subs.select("submission_id"), "submission_id", "left_semi")
+    files = t.dms_file_mst.join(subs.select(F.col("submission_code").alias("submission_number")),
+                                "submission_number", "left_semi")
+    return replace(
+        t, bms_submission_mst=sb, bms_quote_mst=q, dms_file_mst=files,
+        dms_document_detail_mst=t.dms_document_detail_mst.join(files.select("file_id"), "file_id", "left_semi"),
+        bms_tracers=t.bms_tracers.join(q.select("quote_id"), "quote_id", "left_semi"),
+        bms_options_mst=t.bms_options_mst.join(q.select("quote_id"), "quote_id", "left_semi"))
+
+
 def _spine(t: Tables, descs: tuple[str, ...]) -> DataFrame:
     """Live quotes of the given types joined to their live submission (code, received date,
     account executive).  The underwriter join is added after the window filter."""
@@ -41,13 +108,13 @@ def _spine(t: Tables, descs: tuple[str, ...]) -> DataFrame:
 def _finish(df: DataFrame, t: Tables) -> DataFrame:
     """Attach the underwriter (inner: unknown users drop the row) and the option effective date.
 
-    ``df`` is already cut to the two-week window, so it is small: it is materialised once and its
-    quote ids prune the option table before the latest-option aggregation (a broadcast semi-join
-    instead of a shuffle of every option)."""
+    ``df`` is already cut to the two-week window, so it is small: it is written once (both the join
+    chain and the option pruning read it) and the latest-option aggregation only sees options of
+    quotes that passed the window - a broadcast semi-join instead of a shuffle of every option."""
     uw = users(t).select("user_id", "first_name", "last_name")
     df = materialized(df.join(uw, df.user_id_accexecutive == uw.user_id))
-    opts = t.bms_options_mst.join(df.select("quote_id"), "quote_id", "left_semi")
-    return (df.join(option_effective_date(opts), "quote_id", "left")
+    return (df.join(option_effective_date(t.bms_options_mst.join(df.select("quote_id"), "quote_id", "left_semi")),
+                    "quote_id", "left")
             .withColumn("underwriter", X.person_name_short("first_name", "last_name")))
 
 
@@ -59,6 +126,9 @@ def _week_cols(ts: str) -> list:
 def kpi1_submission_to_quote(t: Tables, p: ReportParams) -> DataFrame:
     """Business days from submission received to first quote sent (New Business only)."""
     w = p.weeks
+    # candidates: a quote document, or a 'Quote%' tracer (any sub-type: a superset), in the window
+    t = _scope(t, p, lambda: _doc_codes(t, L.doc_is_quote_to_agent("document_name"), w),
+               lambda: _tracer_codes(t, L.tracer_is_quote("tracer_desc"), w))
     sb = live_submissions(t).select("submission_id", "submission_code",
                                     F.col("created_dt").alias("sb_created_dt"), "user_id_accexecutive")
     nb = quotes_with_type(t, (V.TT_NEW_BUSINESS,))
@@ -90,6 +160,7 @@ def kpi1_submission_to_quote(t: Tables, p: ReportParams) -> DataFrame:
 def kpi2_binder(t: Tables, p: ReportParams) -> DataFrame:
     """Business days (inclusive) from binder request to the first binder sent at or after it."""
     w = p.weeks
+    t = _scope(t, p, lambda: _doc_codes(t, L.doc_is_binder_sent("document_name"), w))
     req = first_documents(t.dms_file_mst, t.dms_document_detail_mst,
                           {"req_dt": L.doc_is_bind_request("document_name")})
     binders = document_events(t.dms_file_mst, t.dms_document_detail_mst, L.doc_is_binder_sent("document_name"))
@@ -117,6 +188,9 @@ def kpi3_endorsement(t: Tables, p: ReportParams) -> DataFrame:
     """Business days (inclusive) from the latest endorsement request to the endorsement sent:
     the first endorsement document at or after the request, else the latest finalized tracer."""
     w = p.weeks
+    t = _scope(t, p, lambda: _doc_codes(t, L.doc_is_endorsement_sent("document_name"), w),
+               lambda: _tracer_codes(t, L.tracer_is_endorsement("tracer_desc")
+                                     & L.tracer_is_endorsement_finalized("tracer_desc"), w))
     edx = tracer_extremes(t.bms_tracers, L.tracer_is_endorsement("tracer_desc"), maxs={
         "req_dt": L.tracer_is_endorsement_start("tracer_desc"),
         "fin_dt": L.tracer_is_endorsement_finalized("tracer_desc")})
@@ -145,6 +219,8 @@ def kpi3_endorsement(t: Tables, p: ReportParams) -> DataFrame:
 def kpi4_policy_sent(t: Tables, p: ReportParams) -> DataFrame:
     """Calendar days from policy effective date to policy sent (document, else finalize date)."""
     w = p.weeks
+    t = _scope(t, p, lambda: _doc_codes(t, L.doc_is_policy_sent("document_name"), w),
+               lambda: _quote_codes(t, D.in_window("trans_finalize_dt", w.start, w.end)))
     docs = first_documents(t.dms_file_mst, t.dms_document_detail_mst,
                            {"policy_doc_dt": L.doc_is_policy_sent("document_name")})
     sp = _spine(t, V.TT_NB_AND_RENEWAL)
@@ -168,6 +244,10 @@ def kpi5_renewal_lead(t: Tables, p: ReportParams) -> DataFrame:
     Sent date priority: quote-to-agent document, renewal invoice document, quote-sent tracer,
     quote date, quote creation."""
     w = p.weeks
+    t = _scope(t, p, lambda: _doc_codes(t, L.doc_is_quote_to_agent_prefix("document_name")
+                                         | L.doc_is_renewal_invoice("document_name"), w),
+               lambda: _tracer_codes(t, L.tracer_is_quote_sent("tracer_desc"), w),
+               lambda: _quote_codes(t, D.in_window("quote_dt", w.start, w.end) | D.in_window("created_dt", w.start, w.end)))
     docs = first_documents(t.dms_file_mst, t.dms_document_detail_mst, {
         "q2a_dt": L.doc_is_quote_to_agent_prefix("document_name"),
         "inv_dt": L.doc_is_renewal_invoice("document_name")})

@@ -89,8 +89,16 @@ class SchemaError(ValueError):
     pass
 
 
+_CHECKED = "_uwlens_checked_as"
+
+
 def check_schema(df: DataFrame, name: str) -> DataFrame:
-    """Validate ``df`` against the declared table and project the declared columns in order."""
+    """Validate ``df`` against the declared table and project the declared columns in order.
+
+    Idempotent: a frame already checked as ``name`` is returned as is (same object, so anything
+    memoised on it - e.g. a broadcast size probe - is kept)."""
+    if getattr(df, _CHECKED, None) == name:
+        return df
     actual = {f.name.lower(): f for f in df.schema.fields}
     cols = []
     for col, family in SCHEMAS[name]:
@@ -100,7 +108,12 @@ def check_schema(df: DataFrame, name: str) -> DataFrame:
         if not isinstance(f.dataType, _FAMILIES[family]):
             raise SchemaError(f"{name}.{col}: type {f.dataType.simpleString()} is not a {family}")
         cols.append(df[f.name].alias(col))
-    return df.select(*cols)
+    out = df.select(*cols)
+    try:
+        setattr(out, _CHECKED, name)
+    except AttributeError:  # pragma: no cover
+        pass
+    return out
 
 
 def read_table(spark: SparkSession, path: str, name: str, fmt: str = "parquet") -> DataFrame:
