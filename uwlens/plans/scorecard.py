@@ -32,6 +32,7 @@ from ..functions import text as X
 from ..operators import filters as FL
 from ..operators.distinct import distinct_flags, merge_on
 from ..operators.latest import option_dollars
+from ..operators.lineage import materialized
 from ..operators.lookup import small
 from ..params import ReportParams
 from ..sources.catalog import Tables
@@ -103,8 +104,9 @@ def quote_measures(t: Tables, p: ReportParams, universe: DataFrame) -> DataFrame
     nb, rn = desc == V.TT_NEW_BUSINESS, desc.isin(*V.TT_RENEWALS)
     q = q.withColumn("_s", F.coalesce(started, F.lit(False))).withColumn("_b", F.coalesce(bound_in, F.lit(False)))
     s, b = F.col("_s"), F.col("_b")
-    # dollars only for quotes bound in the window
-    opts = t.bms_options_mst.join(q.where(b).select("quote_id"), "quote_id", "left_semi")
+    # dollars only for quotes bound in the window (key set from a pushed-down filter on bind_dt)
+    bound_ids = t.bms_quote_mst.where(F.col("bind_dt").isNotNull() & D.in_window("bind_dt", w.start, w.end))
+    opts = t.bms_options_mst.join(bound_ids.select("quote_id"), "quote_id", "left_semi")
     q = q.join(option_dollars(opts), "quote_id", "left")
     prem, fees = F.coalesce("prem", F.lit(0).cast(M.MONEY)), F.coalesce("fees", F.lit(0).cast(M.MONEY))
     zero = F.lit(0).cast(M.MONEY)
@@ -138,15 +140,19 @@ def declines(t: Tables, p: ReportParams, universe: DataFrame) -> DataFrame:
                                    & D.in_window("created_dt", w.start, w.end))
           .groupBy("quote_id").agg(F.count(F.lit(1)).alias("n_closures")))
     q = live_quotes(t).select("quote_id", "submission_id").join(universe, "submission_id").join(qc, "quote_id")
-    opts = t.bms_options_mst.join(q.select("quote_id"), "quote_id", "left_semi")
+    opts = t.bms_options_mst.join(qc.select("quote_id"), "quote_id", "left_semi")
     q = q.join(option_dollars(opts).select("quote_id", "prem"), "quote_id", "left")
     amount = (F.coalesce("prem", F.lit(0).cast(M.MONEY)) * F.col("n_closures")).cast(T.DecimalType(38, 2))
     return distinct_flags(q, ["agency_id"], "quote_id", {"declines": F.lit(True)}, {"declined_premium": amount})
 
 
 def agency_metrics(t: Tables, p: ReportParams) -> DataFrame:
-    """All measures per active agency of the spine (universe agencies and created agencies)."""
-    u = submission_universe(t, p)
+    """All measures per active agency of the spine (universe agencies and created agencies).
+
+    The universe feeds four branches (activity, quote measures, declines, spine); it is one row
+    per submission active in the window, so it is checkpointed once instead of being recomputed
+    from the submission and quote tables four times."""
+    u = materialized(submission_universe(t, p))
     created = submissions_created(t, p)
     spine = u.select("agency_id").unionByName(created.select("agency_id")).distinct()
     ag = agencies(t, FL.active_lenient("flg_active")).select("agency_id", "agency_code", "agency_name")
