@@ -14,12 +14,12 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from uwlens.operators.lineage import checkpoint_dir  # noqa: E402
 from uwlens.params import ReportParams  # noqa: E402
 from uwlens.plans import REPORTS  # noqa: E402
 from uwlens.session import build_session  # noqa: E402
@@ -34,7 +34,8 @@ def main() -> None:
     only = [a for a in sys.argv[1:] if a in REPORTS] or list(REPORTS)
     spark = build_session(f"local[{cpus}]", app="uwlens-bench", shuffle_partitions=2 * cpus,
                           extra={"spark.driver.memory": "16g"})
-    scratch = tempfile.mkdtemp(prefix="uwlens-bench-", dir=os.environ.get("TMPDIR", "/tmp"))
+    # derived tables go to the session's shared checkpoint folder (a scratch folder only locally)
+    scratch = f"{checkpoint_dir(spark.range(1))}/bench-tables-{os.getpid()}"
     t0 = time.perf_counter()
     tables = materialize(spark, sf_dir, scratch)
     fixture_s = time.perf_counter() - t0

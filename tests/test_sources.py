@@ -12,3 +12,30 @@ def test_schema_check_projects_and_validates(spark):
     with pytest.raises(SchemaError):
         check_schema(spark.createDataFrame([("1", "A", "x", 1)], "agency_id string, agency_code string, agency_name string, flg_active int"),
                      "adm_co_agencies")
+
+
+def test_display_names_cover_every_report_column(spark):
+    from __spark_entry__ import fixture_params
+    from uwlens.plans import REPORTS
+    from uwlens.plans.display import DISPLAY_NAMES, with_display_names
+    from uwlens.sources.fixtures import derive_tables
+
+    t = derive_tables(spark, "/root/testdata/sf0.001")
+    for name, fn in REPORTS.items():
+        df = fn(t, fixture_params())
+        assert [c for c, _ in DISPLAY_NAMES[name]] == df.columns, name
+    out = with_display_names(REPORTS["rpt_agency_retention"](t, fixture_params()), "rpt_agency_retention")
+    assert out.columns[-1] == "Renewal Retention %"
+
+
+def test_cli_writes_partitioned_reports(spark, tmp_path):
+    from uwlens.__main__ import main
+    from uwlens.sources.fixtures import TABLE_NAMES, derive_tables
+
+    t = derive_tables(spark, "/root/testdata/sf0.001")
+    for n in TABLE_NAMES:
+        getattr(t, n).write.parquet(str(tmp_path / "tables" / n))
+    main(["--tables", str(tmp_path / "tables"), "--as-of", "2001-06-15", "--out", str(tmp_path / "out"),
+          "--report", "rpt_agency_retention", "--cohorts", "1995", "2001", "--display-names"])
+    back = spark.read.parquet(str(tmp_path / "out" / "rpt_agency_retention"))
+    assert back.count() > 0 and "as_of" in back.columns and "Agency Code" in back.columns
