@@ -101,3 +101,12 @@ def test_small_broadcasts_only_under_the_bound(spark):
     assert fits(df, 50) and not fits(spark.range(51), 50)
     plan = df.join(small(spark.range(10), 100), "id")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" in plan
+
+
+def test_left_join_hot_right_equals_left_join(spark):
+    from uwlens.operators.joins import left_join_hot_right
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (3, "d"), (3, "e")], "k int, l string")
+    right = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z"), (None, "n"), (4, "w")], "k int, r string")
+    got = sorted(map(repr, left_join_hot_right(left, right, ["k"]).collect()))
+    want = sorted(map(repr, left.join(right, ["k"], "left").select("k", "l", "r").collect()))
+    assert got == want

@@ -16,6 +16,7 @@ from ..functions import text as X
 from ..operators import filters as FL
 from ..operators.distinct import distinct_flags
 from ..operators.existence import min_over_sources, semi_join_any
+from ..operators.joins import left_join_hot_right
 from ..operators.lookup import small
 from ..params import ReportParams
 from ..sources.catalog import Tables
@@ -181,7 +182,7 @@ def renewals_forecast(t: Tables, p: ReportParams) -> DataFrame:
     ag = agencies(t).select("agency_id", "agency_code", "agency_name")
     us = users(t).select("user_id", "first_name", "middle_name", "last_name")
     ins = t.bms_quote_insured_mst.select("quote_id", "adr_phy_city", "adr_phy_state_code", "adr_phy_zip")
-    df = (o.join(q, "quote_id").join(sb, "submission_id", "left").join(ins, "quote_id", "left")
+    df = (left_join_hot_right(o.join(q, "quote_id").join(sb, "submission_id", "left"), ins, ["quote_id"])
           .withColumn("agency_id", resolved_agency_id(F.col("q_producer"), F.col("s_producer")))
           .join(ag, "agency_id", "left")
           .join(us, o.user_id_acc_executive == us.user_id, "left"))
@@ -240,8 +241,10 @@ def submission_lookup(t: Tables, p: ReportParams | None = None) -> DataFrame:
     ag = agencies(t, FL.active_lenient("flg_active")).select("agency_id", "agency_name")
     q = live_quotes(t).select("quote_id", "submission_id")
     ins = t.bms_quote_insured_mst.select("quote_id", "insured_name")
-    df = (sb.join(ag, sb.original_producer_id == ag.agency_id, "left")
-          .join(q, "submission_id", "left").join(ins, "quote_id", "left"))
+    # quotes per submission and insured rows per quote may be hot: skew-safe left joins
+    df = sb.join(ag, sb.original_producer_id == ag.agency_id, "left").drop("agency_id")
+    df = left_join_hot_right(df, q, ["submission_id"])
+    df = left_join_hot_right(df, ins, ["quote_id"])
     out = sort_for_output(df, [F.col("submission_code"), F.col("agency_name"), F.col("insured_name")],
                           ["submission_id", "quote_id"])
     return out.select(X.fixed_width("submission_code", 50).alias("submission_number"),
