@@ -19,6 +19,13 @@ from uwlens.sources.fixtures import FIXTURE_SQL
 
 AS_OF = "DATE '2001-06-15'"
 
+_PLAIN = r"'^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\s*$'"
+
+
+def _money(x: str) -> str:
+    s = f"replace(replace(CAST({x} AS VARCHAR), ',', ''), '$', '')"
+    return f"CASE WHEN regexp_matches({s}, {_PLAIN}) THEN TRY_CAST(trim({s}) AS DECIMAL(18,2)) END"
+
 
 def _with(tables: list[str], body: str) -> str:
     ctes = ",\n".join(f"{n} AS ({FIXTURE_SQL[n].strip()})" for n in tables)
@@ -76,7 +83,7 @@ _LIVE = "COALESCE({a}.flg_active, 1) = 1 AND COALESCE({a}.purge_status, 0) = 0"
 _OPX = f"""opx AS (
   SELECT quote_id, {_try_date('effective_dt')} AS eff FROM bms_options_mst WHERE COALESCE(flg_active, 1) = 1
   QUALIFY row_number() OVER (PARTITION BY quote_id ORDER BY COALESCE(updated_dt, created_dt) DESC NULLS LAST,
-    sub_total_premium DESC NULLS LAST, product_id DESC NULLS LAST, {_try_date('effective_dt')} DESC NULLS LAST) = 1)"""
+    {_money('sub_total_premium')} DESC NULLS LAST, product_id DESC NULLS LAST, {_try_date('effective_dt')} DESC NULLS LAST) = 1)"""
 
 _DOCS = f"""docs AS (
   SELECT df.submission_number, dd.created_dt, dd.document_name FROM dms_file_mst df
@@ -258,7 +265,7 @@ def heatmap() -> str:
   LEFT JOIN adm_co_class_types ct ON ct.class_type_id = p.class_type_id
   LEFT JOIN adm_bm_lkp_transaction_types tt ON tt.lkp_id = q.lkp_transaction_type_id
   WHERE q.flg_active = 1 AND o.flg_active = 1 AND COALESCE(trim(q.policy_number), '') <> ''
-    AND TRY_CAST(replace(replace(CAST(o.sub_total_premium AS VARCHAR), ',', ''), '$', '') AS DECIMAL(18,2)) > 0
+    AND {_money('o.sub_total_premium')} > 0
     AND EXISTS (SELECT 1 FROM bms_locations l JOIN bms_building_mst b ON b.location_id = l.location_id AND b.flg_active = 1
                 WHERE l.business_id = o.business_id)
     AND (tt.lkp_desc IN {_in(V.TT_HEATMAP)} OR tt.lkp_desc LIKE {_q(V.TT_CANCEL_PREFIX)})
@@ -409,11 +416,11 @@ def _sc_ctes() -> str:
     rn = f"COALESCE(tt.lkp_desc, '') IN {_in(V.TT_RENEWALS)}"
     return f"""{_R3},
 opd AS (
-  SELECT quote_id, TRY_CAST(replace(replace(CAST(sub_total_premium AS VARCHAR), ',', ''), '$', '') AS DECIMAL(18,2)) AS prem,
+  SELECT quote_id, {_money('sub_total_premium')} AS prem,
          CAST(COALESCE(total_fee_taxable, 0) + COALESCE(total_fee_non_taxable, 0) AS DECIMAL(18,2)) AS fees
   FROM bms_options_mst WHERE COALESCE(flg_active, 1) = 1
   QUALIFY row_number() OVER (PARTITION BY quote_id ORDER BY COALESCE(updated_dt, created_dt) DESC NULLS LAST,
-    sub_total_premium DESC NULLS LAST, product_id DESC NULLS LAST, prem DESC NULLS LAST, fees DESC NULLS LAST) = 1),
+    prem DESC NULLS LAST, product_id DESC NULLS LAST, prem DESC NULLS LAST, fees DESC NULLS LAST) = 1),
 su AS (
   SELECT DISTINCT sb.submission_id, sb.original_producer_id AS agency_id
   FROM bms_submission_mst sb CROSS JOIN mw
@@ -607,12 +614,6 @@ REPORT_SQL = {
 # ------------------------------------------------------------------------------------------ operators
 
 _ALL = list(FIXTURE_SQL)
-_PLAIN = r"'^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)\s*$'"
-
-
-def _money(x: str) -> str:
-    s = f"replace(replace(CAST({x} AS VARCHAR), ',', ''), '$', '')"
-    return f"CASE WHEN regexp_matches({s}, {_PLAIN}) THEN TRY_CAST(trim({s}) AS DECIMAL(18,2)) END"
 
 
 def _b(cond: str) -> str:

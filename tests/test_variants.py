@@ -3,6 +3,11 @@
 Variant "time of day": every DATE column of the operational tables becomes a TIMESTAMP (without
 time zone) carrying a deterministic time of day, so day differences, week crossings, windows and
 "date of" conversions must all work on timestamps (midnight crossings, not elapsed hours).
+
+Variant "money as text": the option premium is stored as text - '$1,234.50', '1234.50', '1e3',
+'abc' - so the parse-and-strip path, its exponent guard and the premium tie-break of the latest
+option are exercised.  Reports whose source compares the raw premium with a number (quotes due,
+follow-up) are not defined for text money and are left out of this variant.
 """
 
 import math
@@ -52,24 +57,43 @@ def time_of_day_tables(spark):
     return root
 
 
+@pytest.fixture(scope="module")
+def money_text_tables(spark):
+    from uwlens.sources.catalog import TABLE_NAMES
+    from uwlens.sources.fixtures import derive_tables
+
+    root = tempfile.mkdtemp(prefix="uwlens-variant-", dir="/tmp")
+    t = derive_tables(spark, SF)
+    for name in TABLE_NAMES:
+        df = getattr(t, name)
+        if name == "bms_options_mst":
+            x, q, pr = F.col("sub_total_premium"), F.pmod("quote_id", F.lit(7)), F.pmod("product_id", F.lit(5))
+            text = (F.when(q == 0, F.concat(F.lit("$"), F.format_number(x, 2)))
+                    .when((q == 2) & (pr == 0) & x.isNotNull(), F.lit("1e3"))
+                    .when((q == 3) & (pr == 0) & x.isNotNull(), F.lit("abc"))
+                    .otherwise(x.cast("string")))
+            df = df.withColumn("sub_total_premium", text)
+        df.write.parquet(f"{root}/{name}")
+    return root
+
+
 def _report_names():
     from uwlens.plans import REPORTS
     return sorted(REPORTS)
 
 
-@pytest.mark.parametrize("name", _report_names())
-def test_reports_on_timestamps_with_time_of_day(spark, time_of_day_tables, name):
+def _compare(spark, root, name, check):
     import oracle_sql as O
     from __spark_entry__ import fixture_params, normalize
     from uwlens.plans import REPORTS
     from uwlens.sources.catalog import TABLE_NAMES, load_tables
 
-    t = load_tables(spark, time_of_day_tables)
-    assert isinstance(t.bms_quote_mst.schema["created_dt"].dataType, T.TimestampNTZType)
+    t = load_tables(spark, root)
+    check(t)
     sdf = normalize(REPORTS[name](t, fixture_params()))
     con = duckdb.connect()
     for n in TABLE_NAMES:
-        con.execute(f"CREATE VIEW {n} AS SELECT * FROM read_parquet('{time_of_day_tables}/{n}/*.parquet')")
+        con.execute(f"CREATE VIEW {n} AS SELECT * FROM read_parquet('{root}/{n}/*.parquet')")
     saved = O._with
     try:
         O._with = lambda tables, body: f"WITH {body}"
@@ -82,3 +106,17 @@ def test_reports_on_timestamps_with_time_of_day(spark, time_of_day_tables, name)
     srows = [tuple(r) for r in sdf.collect()]
     assert sorted(sdf.columns) == sorted(ocols)
     assert _rows(srows, sdf.columns) == _rows(orows, ocols)
+
+
+@pytest.mark.parametrize("name", _report_names())
+def test_reports_on_timestamps_with_time_of_day(spark, time_of_day_tables, name):
+    def check(t):
+        assert isinstance(t.bms_quote_mst.schema["created_dt"].dataType, T.TimestampNTZType)
+    _compare(spark, time_of_day_tables, name, check)
+
+
+@pytest.mark.parametrize("name", [n for n in _report_names() if n not in ("rpt_quotes_due", "rpt_quote_followup")])
+def test_reports_on_money_as_text(spark, money_text_tables, name):
+    def check(t):
+        assert isinstance(t.bms_options_mst.schema["sub_total_premium"].dataType, T.StringType)
+    _compare(spark, money_text_tables, name, check)
