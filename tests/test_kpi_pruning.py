@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", [k for k in REPORTS if k.startswith("rpt_kpi")])
 def test_pruned_equals_plain(spark, name):
     t = derive_tables(spark, SF)
-    plain = REPORTS[name](t, ReportParams.of(FIXTURE_AS_OF, prune_min_rows=None)).collect()
-    pruned = REPORTS[name](t, ReportParams.of(FIXTURE_AS_OF, prune_min_rows=0)).collect()
+    plain = REPORTS[name](t, ReportParams.of(FIXTURE_AS_OF, prune_min_files=None)).collect()
+    pruned = REPORTS[name](t, ReportParams.of(FIXTURE_AS_OF, prune_min_files=0)).collect()
     assert len(plain) > 0
     assert sorted(map(repr, plain)) == sorted(map(repr, pruned))

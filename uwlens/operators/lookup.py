@@ -1,10 +1,13 @@
 """Joins to small code tables, broadcast only behind a proven row bound.
 
 A lookup (users, agencies, transaction types, statuses, ...) is broadcast only after a bounded
-probe shows it has at most ``max_rows`` rows: ``limit(max_rows + 1).count()`` reads at most that
-many rows, so the probe itself stays cheap even when the table is unexpectedly huge.  Beyond the
-bound the join is left to the planner (sort-merge / shuffled hash, with AQE converting it to a
-broadcast at run time if the *filtered* side turns out small).  Fact tables are never hinted.
+probe shows it has at most ``max_rows`` rows.  The probe takes ``max_rows + 1`` rows of a constant
+column: ``take`` scans partitions incrementally (one, then a growing number) and stops as soon as
+enough rows are found, so it stays cheap even when the table is unexpectedly huge, and at most
+``max_rows + 1`` one-field rows reach the driver.  (``limit(n).count()`` would instead run every
+scan task of the table.)  Beyond the bound the join is left to the planner (sort-merge / shuffled
+hash, with AQE converting it to a broadcast at run time if the *filtered* side turns out small).
+Fact tables are never hinted.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ def fits(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
     cached = getattr(df, _ATTR, None)
     if cached is not None and cached[0] == max_rows:
         return cached[1]
-    ok = df.limit(max_rows + 1).count() <= max_rows
+    ok = len(df.select(F.lit(1).alias("_one")).take(max_rows + 1)) <= max_rows
     try:
         setattr(df, _ATTR, (max_rows, ok))
     except AttributeError:  # pragma: no cover - DataFrame implementations without __dict__

@@ -73,7 +73,7 @@ class ReportParams:
     ``quarter_start``/``quarter_end`` is the closed proposed-effective window of the quotes-due
     report; when not given it is the calendar quarter containing ``as_of``.
     ``cohort_first_year``/``cohort_last_year`` bound the retention cohorts.
-    ``prune_min_rows`` switches the KPI reports' candidate pruning (see ``plans.kpi``).
+    ``prune_min_files`` switches the KPI reports' candidate pruning (see ``plans.kpi``).
     """
 
     as_of: date
@@ -81,9 +81,10 @@ class ReportParams:
     quarter_end: date | None = None
     cohort_first_year: int = 2020
     cohort_last_year: int = 2026
-    # KPI candidate pruning is used when the document or tracer table holds more rows than this
-    # (0 = always, None = never); below it the extra jobs cost more than the shuffles they save.
-    prune_min_rows: int | None = 5_000_000
+    # KPI candidate pruning is used when the document or tracer table is stored in at least this
+    # many files (0 = always, None = never); below it the extra jobs cost more than the shuffles
+    # they save.  The file list is a driver-side listing (DataFrame.inputFiles): no job runs.
+    prune_min_files: int | None = 64
 
     @staticmethod
     def of(as_of: date | str, **kw) -> "ReportParams":

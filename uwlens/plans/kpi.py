@@ -30,7 +30,7 @@ from ..operators.asof import first_at_or_after
 from ..operators.documents import document_events, first_documents, tracer_extremes
 from ..operators.latest import option_effective_date, preferred_quote
 from ..operators.lineage import materialized
-from ..operators.lookup import fits, small
+from ..operators.lookup import small
 from ..params import ReportParams
 from ..sources.catalog import Tables
 from .common import live_submissions, quotes_with_type, sort_for_output, users
@@ -59,13 +59,15 @@ def _tracer_codes(t: Tables, tracer_pred, w) -> DataFrame:
 
 
 def _should_prune(t: Tables, p: ReportParams) -> bool:
-    """Size-checked strategy choice: prune when the document or tracer table is larger than
-    ``p.prune_min_rows`` (a bounded probe, memoised per table)."""
-    if p.prune_min_rows is None:
+    """Size-based strategy choice: prune when the document or tracer table spans at least
+    ``p.prune_min_files`` files (a driver-side listing, no job).  Both strategies give identical
+    results; the choice only affects speed."""
+    if p.prune_min_files is None:
         return False
-    if p.prune_min_rows == 0:
+    if p.prune_min_files == 0:
         return True
-    return not (fits(t.dms_document_detail_mst, p.prune_min_rows) and fits(t.bms_tracers, p.prune_min_rows))
+    files = max(len(t.dms_document_detail_mst.inputFiles()), len(t.bms_tracers.inputFiles()))
+    return files >= p.prune_min_files
 
 
 def _scope(t: Tables, p: ReportParams, *candidate_codes) -> Tables:
