@@ -1,6 +1,6 @@
 """Command line: run reports for one as-of date and publish them.
 
-    python -m uwlens --tables /data/extract --as-of 2026-05-01 --out /data/reports [--report NAME ...]
+    python -m uwlens (--tables /data/extract | --catalog-db uw) --as-of 2026-05-01 --out /data/reports [--report NAME ...]
         [--quarter 2026-04-01 2026-06-30] [--cohorts 2020 2026] [--display-names]
 
 Each report is written to ``<out>/<report>/as_of=<date>/`` (dynamic partition overwrite, so a
@@ -17,12 +17,14 @@ from pyspark.sql import SparkSession
 from .params import ReportParams
 from .plans import REPORTS
 from .plans.display import with_display_names
-from .sources import load_tables, write_report
+from .sources import load_catalog_tables, load_tables, write_report
 
 
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="uwlens")
-    ap.add_argument("--tables", required=True, help="folder holding one parquet table per operational table")
+    src = ap.add_mutually_exclusive_group(required=True)
+    src.add_argument("--tables", help="folder holding one parquet table per operational table")
+    src.add_argument("--catalog-db", help="catalog database holding the tables (e.g. saved bucketed)")
     ap.add_argument("--as-of", required=True)
     ap.add_argument("--out", required=True)
     ap.add_argument("--report", action="append", choices=sorted(REPORTS))
@@ -37,7 +39,7 @@ def main(argv: list[str] | None = None) -> None:
         kw.update(cohort_first_year=a.cohorts[0], cohort_last_year=a.cohorts[1])
     params = ReportParams.of(a.as_of, **kw)
     spark = SparkSession.builder.appName("uwlens").getOrCreate()
-    tables = load_tables(spark, a.tables)
+    tables = load_catalog_tables(spark, a.catalog_db) if a.catalog_db else load_tables(spark, a.tables)
     for name in a.report or sorted(REPORTS):
         df = REPORTS[name](tables, params)
         if a.display_names:

@@ -1,9 +1,10 @@
 """Sources and sinks: explicit-schema table loading, the test-data mapping, report output."""
 
 from .catalog import SCHEMAS, TABLE_NAMES, SchemaError, Tables, check_schema, load_tables, read_table
+from .layout import BUCKETING, load_catalog_tables, save_bucketed
 from .sinks import write_report
 
 __all__ = [
     "SCHEMAS", "TABLE_NAMES", "SchemaError", "Tables", "check_schema", "load_tables", "read_table",
-    "write_report",
+    "write_report", "BUCKETING", "load_catalog_tables", "save_bucketed",
 ]
