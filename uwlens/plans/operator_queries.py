@@ -403,7 +403,7 @@ def fn_follow_up(t: Tables, p: ReportParams) -> DataFrame:
 # ---------------------------------------------------------------- scorecard steps
 
 def sc_submission_universe(t: Tables, p: ReportParams) -> DataFrame:
-    return SC.submission_universe(t, p)
+    return SC.submission_universe(t, p).select("submission_id", "agency_id")
 
 
 def sc_submissions_created(t: Tables, p: ReportParams) -> DataFrame:

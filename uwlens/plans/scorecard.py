@@ -75,7 +75,8 @@ def submission_universe(t: Tables, p: ReportParams) -> DataFrame:
                       | (F.col("bind_dt").isNotNull() & D.in_window("bind_dt", w.start, w.end)))
     ids = (sb.where(D.in_window("created_dt", w.start, w.end)).select("submission_id")
            .unionByName(touched.select("submission_id")).distinct())
-    return sb.join(ids, "submission_id", "left_semi").select("submission_id", "agency_id")
+    created_in = F.coalesce(D.in_window("created_dt", w.start, w.end), F.lit(False))
+    return sb.join(ids, "submission_id", "left_semi").select("submission_id", "agency_id", created_in.alias("created_in"))
 
 
 def submissions_created(t: Tables, p: ReportParams) -> DataFrame:
@@ -149,15 +150,17 @@ def declines(t: Tables, p: ReportParams, universe: DataFrame) -> DataFrame:
 def agency_metrics(t: Tables, p: ReportParams) -> DataFrame:
     """All measures per active agency of the spine (universe agencies and created agencies).
 
-    The universe feeds four branches (activity, quote measures, declines, spine); it is one row
-    per submission active in the window, so it is checkpointed once instead of being recomputed
-    from the submission and quote tables four times."""
+    The universe feeds three branches (submission counts, quote measures, declines); it is one
+    row per submission active in the window, so it is checkpointed once instead of being
+    recomputed from the submission and quote tables.  Submissions created in the window are a
+    subset of the universe (same submission filters), so both submission counts come from one
+    aggregation over it and the agency spine is simply the universe's agencies."""
     u = materialized(submission_universe(t, p))
-    created = submissions_created(t, p)
-    spine = u.select("agency_id").unionByName(created.select("agency_id")).distinct()
+    counts = distinct_flags(u, ["agency_id"], "submission_id", {
+        "submissions_created": F.col("created_in"), "submissions_activity": F.lit(True)})
     ag = agencies(t, FL.active_lenient("flg_active")).select("agency_id", "agency_code", "agency_name")
-    df = spine.join(ag, "agency_id")
-    for part in (created, submissions_activity(u), quote_measures(t, p, u), declines(t, p, u)):
+    df = counts.join(ag, "agency_id")
+    for part in (quote_measures(t, p, u), declines(t, p, u)):
         df = df.join(part, "agency_id", "left")
     zero_money = F.lit(0).cast(M.MONEY)
     return df.select("agency_id", "agency_code", "agency_name", *[
