@@ -2,7 +2,6 @@ from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from uwlens.functions import dates as D
 from uwlens.functions import fmt as FMT

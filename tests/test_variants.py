@@ -12,7 +12,6 @@ follow-up) are not defined for text money and are left out of this variant.
 
 import math
 import tempfile
-from pathlib import Path
 
 import duckdb
 import pytest

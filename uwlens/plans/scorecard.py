@@ -33,7 +33,6 @@ from ..operators import filters as FL
 from ..operators.distinct import distinct_flags, merge_on
 from ..operators.latest import option_dollars
 from ..operators.lineage import materialized
-from ..operators.lookup import small
 from ..params import ReportParams
 from ..sources.catalog import Tables
 from .common import agencies, live_quotes, live_submissions, types_where
