@@ -80,7 +80,7 @@ _WEEKS = (f"win AS (SELECT CAST(date_trunc('week', {AS_OF} - 14) AS DATE) AS s,
 
 _LIVE = "COALESCE({a}.flg_active, 1) = 1 AND COALESCE({a}.purge_status, 0) = 0"
 
-_OPX = f"""opx AS (
+_OPX = f"""latest_opt AS (
   SELECT quote_id, {_try_date('effective_dt')} AS eff FROM bms_options_mst WHERE COALESCE(flg_active, 1) = 1
   QUALIFY row_number() OVER (PARTITION BY quote_id ORDER BY COALESCE(updated_dt, created_dt) DESC NULLS LAST,
     {_money('sub_total_premium')} DESC NULLS LAST, product_id DESC NULLS LAST, {_try_date('effective_dt')} DESC NULLS LAST) = 1)"""
@@ -123,19 +123,19 @@ pq AS (
   SELECT q.* FROM bms_quote_mst q LEFT JOIN adm_bm_lkp_transaction_types tt ON tt.lkp_id = q.lkp_transaction_type_id
   WHERE {_LIVE.format(a='q')} AND tt.lkp_desc = {_q(V.TT_NEW_BUSINESS)}
   QUALIFY row_number() OVER (PARTITION BY q.submission_id ORDER BY CASE WHEN q.bind_dt IS NOT NULL THEN 0 ELSE 1 END, q.quote_id) = 1),
-dq AS (SELECT submission_number, MIN(created_dt) AS d FROM docs
+quote_doc AS (SELECT submission_number, MIN(created_dt) AS d FROM docs
        WHERE {_like_any('upper(trim(document_name))', V.DOC_QUOTE_TO_AGENT_CONTAINS)} GROUP BY 1),
-qs AS (SELECT tr.quote_id, MIN(tr.created_dt) AS d FROM bms_tracers tr
+quote_trc AS (SELECT tr.quote_id, MIN(tr.created_dt) AS d FROM bms_tracers tr
        JOIN adm_bm_tracer_sub_types st ON st.tracer_sub_type_id = tr.tracer_sub_type_id
        WHERE st.tracer_type_code = {_q(V.TRACER_SUBTYPE_QUOTE)} AND tr.tracer_desc LIKE {_q(V.TRACER_QUOTE_PREFIX)} GROUP BY 1),
 base AS (
   SELECT sb.submission_code, sb.created_dt AS sb_created, pq.quote_code, pq.policy_number, pq.bind_dt, pq.trans_finalize_dt,
-         uw.first_name, uw.last_name, opx.eff, COALESCE(dq.d, qs.d) AS sent
+         uw.first_name, uw.last_name, latest_opt.eff, COALESCE(quote_doc.d, quote_trc.d) AS sent
   FROM bms_submission_mst sb JOIN pq ON pq.submission_id = sb.submission_id
   JOIN adm_co_users uw ON uw.user_id = sb.user_id_accexecutive
-  LEFT JOIN opx ON opx.quote_id = pq.quote_id
-  LEFT JOIN dq ON dq.submission_number = sb.submission_code
-  LEFT JOIN qs ON qs.quote_id = pq.quote_id
+  LEFT JOIN latest_opt ON latest_opt.quote_id = pq.quote_id
+  LEFT JOIN quote_doc ON quote_doc.submission_number = sb.submission_code
+  LEFT JOIN quote_trc ON quote_trc.quote_id = pq.quote_id
   WHERE {_LIVE.format(a='sb')})
 SELECT {_week_cols('sent')}, {_uw_short()} AS underwriter, {_q(V.KPI1_TRANSACTION_LABEL)} AS transaction_type,
   submission_code AS submission_number, quote_code AS quote_number, policy_number, {_status()} AS policy_status,
@@ -154,8 +154,8 @@ req AS (SELECT submission_number, MIN(created_dt) AS req_dt FROM docs
 sent AS (SELECT r.submission_number, r.req_dt, MIN(d.created_dt) AS sent_dt FROM req r
          JOIN docs d ON d.submission_number = r.submission_number AND d.created_dt >= r.req_dt
          WHERE {_like_any('upper(d.document_name)', V.DOC_BINDER_SENT)} GROUP BY 1, 2),
-base AS (SELECT s.*, sent.req_dt, sent.sent_dt, opx.eff FROM spine s
-         JOIN sent ON sent.submission_number = s.submission_code LEFT JOIN opx ON opx.quote_id = s.quote_id)
+base AS (SELECT s.*, sent.req_dt, sent.sent_dt, latest_opt.eff FROM spine s
+         JOIN sent ON sent.submission_number = s.submission_code LEFT JOIN latest_opt ON latest_opt.quote_id = s.quote_id)
 SELECT {_week_cols('sent_dt')}, {_uw_short()} AS underwriter, lkp_desc AS transaction_type,
   submission_code AS submission_number, quote_code AS quote_number, policy_number, {_status()} AS policy_status,
   eff AS policy_effective_dt, req_dt AS binder_requested_dttime, sent_dt AS binder_sent_dttime,
@@ -169,16 +169,16 @@ FROM base, win WHERE sent_dt IS NOT NULL AND CAST(sent_dt AS DATE) >= win.s AND
 
 def kpi3() -> str:
     body = f"""{_WEEKS}, {_OPX}, {_DOCS}, {_spine(V.TT_ENDORSEMENTS)},
-edx AS (SELECT quote_id,
+endt_span AS (SELECT quote_id,
           MAX(CASE WHEN {_like_any('tracer_desc', V.TRACER_ENDORSEMENT_START)} THEN created_dt END) AS req_dt,
           MAX(CASE WHEN {_like_any('tracer_desc', V.TRACER_ENDORSEMENT_FINALIZED)} THEN created_dt END) AS fin_dt
         FROM bms_tracers WHERE tracer_desc LIKE {_q(V.TRACER_ENDORSEMENT_ANY)} GROUP BY 1),
-s2 AS (SELECT s.*, edx.req_dt, edx.fin_dt FROM spine s LEFT JOIN edx ON edx.quote_id = s.quote_id),
-dms AS (SELECT s2.quote_id, MIN(d.created_dt) AS d FROM s2 JOIN docs d
+s2 AS (SELECT s.*, endt_span.req_dt, endt_span.fin_dt FROM spine s LEFT JOIN endt_span ON endt_span.quote_id = s.quote_id),
+endt_doc AS (SELECT s2.quote_id, MIN(d.created_dt) AS d FROM s2 JOIN docs d
         ON d.submission_number = s2.submission_code AND s2.req_dt IS NOT NULL AND d.created_dt >= s2.req_dt
         WHERE {_like_all('upper(d.document_name)', V.DOC_ENDORSEMENT_SENT_ALL)} GROUP BY 1),
-base AS (SELECT s2.*, COALESCE(dms.d, s2.fin_dt) AS sent, opx.eff FROM s2 LEFT JOIN dms ON dms.quote_id = s2.quote_id
-         LEFT JOIN opx ON opx.quote_id = s2.quote_id)
+base AS (SELECT s2.*, COALESCE(endt_doc.d, s2.fin_dt) AS sent, latest_opt.eff FROM s2 LEFT JOIN endt_doc ON endt_doc.quote_id = s2.quote_id
+         LEFT JOIN latest_opt ON latest_opt.quote_id = s2.quote_id)
 SELECT {_week_cols('sent')}, {_uw_short()} AS underwriter, {_q(V.KPI3_TRANSACTION_LABEL)} AS transaction_type,
   quote_code AS quote_number, policy_number, {_status()} AS policy_status, eff AS endorsement_effective_dt,
   req_dt AS endorsement_requested_dttime, sent AS endorsement_sent_dttime, CAST(sent AS DATE) AS endorsement_sent_dt,
@@ -192,10 +192,10 @@ FROM base, win WHERE sent IS NOT NULL AND CAST(sent AS DATE) >= win.s AND CAST(s
 
 def kpi4() -> str:
     body = f"""{_WEEKS}, {_OPX}, {_DOCS}, {_spine(V.TT_NB_AND_RENEWAL)},
-pd AS (SELECT submission_number, MIN(created_dt) AS d FROM docs
+policy_doc AS (SELECT submission_number, MIN(created_dt) AS d FROM docs
        WHERE {_like_all('upper(document_name)', V.DOC_POLICY_SENT_ALL)} GROUP BY 1),
-base AS (SELECT s.*, COALESCE(pd.d, s.trans_finalize_dt) AS sent, opx.eff FROM spine s
-         LEFT JOIN pd ON pd.submission_number = s.submission_code LEFT JOIN opx ON opx.quote_id = s.quote_id)
+base AS (SELECT s.*, COALESCE(policy_doc.d, s.trans_finalize_dt) AS sent, latest_opt.eff FROM spine s
+         LEFT JOIN policy_doc ON policy_doc.submission_number = s.submission_code LEFT JOIN latest_opt ON latest_opt.quote_id = s.quote_id)
 SELECT {_week_cols('sent')}, {_uw_short()} AS underwriter, lkp_desc AS transaction_type,
   submission_code AS submission_number, quote_code AS quote_number, policy_number, {_status()} AS policy_status,
   eff AS policy_effective_dt, CAST(sent AS DATE) AS policy_sent_dt,
@@ -208,14 +208,14 @@ FROM base, win WHERE sent IS NOT NULL AND CAST(sent AS DATE) >= win.s AND CAST(s
 
 def kpi5() -> str:
     body = f"""{_WEEKS}, {_OPX}, {_DOCS}, {_spine(V.TT_RENEWALS)},
-q2a AS (SELECT submission_number, MIN(created_dt) AS d FROM docs
+agent_doc AS (SELECT submission_number, MIN(created_dt) AS d FROM docs
         WHERE {_like_any('upper(trim(document_name))', V.DOC_QUOTE_TO_AGENT_PREFIX)} GROUP BY 1),
-inv AS (SELECT submission_number, MIN(created_dt) AS d FROM docs
+invoice_doc AS (SELECT submission_number, MIN(created_dt) AS d FROM docs
         WHERE upper(trim(document_name)) LIKE {_q(V.DOC_RENEWAL_INVOICE_PREFIX)} GROUP BY 1),
-qs AS (SELECT quote_id, MIN(created_dt) AS d FROM bms_tracers WHERE tracer_desc IN {_in(V.TRACER_QUOTE_SENT)} GROUP BY 1),
-base AS (SELECT s.*, COALESCE(q2a.d, inv.d, qs.d, s.quote_dt, s.created_dt) AS sent, opx.eff FROM spine s
-         LEFT JOIN q2a ON q2a.submission_number = s.submission_code LEFT JOIN inv ON inv.submission_number = s.submission_code
-         LEFT JOIN qs ON qs.quote_id = s.quote_id LEFT JOIN opx ON opx.quote_id = s.quote_id)
+quote_trc AS (SELECT quote_id, MIN(created_dt) AS d FROM bms_tracers WHERE tracer_desc IN {_in(V.TRACER_QUOTE_SENT)} GROUP BY 1),
+base AS (SELECT s.*, COALESCE(agent_doc.d, invoice_doc.d, quote_trc.d, s.quote_dt, s.created_dt) AS sent, latest_opt.eff FROM spine s
+         LEFT JOIN agent_doc ON agent_doc.submission_number = s.submission_code LEFT JOIN invoice_doc ON invoice_doc.submission_number = s.submission_code
+         LEFT JOIN quote_trc ON quote_trc.quote_id = s.quote_id LEFT JOIN latest_opt ON latest_opt.quote_id = s.quote_id)
 SELECT {_week_cols('sent')}, {_uw_short()} AS underwriter, {_q(V.KPI5_TRANSACTION_LABEL)} AS transaction_type,
   submission_code AS submission_number, quote_code AS quote_number, policy_number, {_status()} AS policy_status,
   eff AS renewal_effective_dt, CAST(sent AS DATE) AS renewal_quote_sent_dt, CAST(trans_finalize_dt AS DATE) AS finalize_dt,
@@ -360,7 +360,7 @@ FROM base"""
 def followup() -> str:
     d1, d2, d3 = V.FOLLOW_UP_DAYS
     body = f"""base AS (
-  SELECT q.quote_code, o.business_id, qs.sent, o.proposed_eff_date, o.proposed_exp_date, COALESCE(o.sub_total_premium, 0) AS premium,
+  SELECT q.quote_code, o.business_id, quote_trc.sent, o.proposed_eff_date, o.proposed_exp_date, COALESCE(o.sub_total_premium, 0) AS premium,
          st.main_status_text
   FROM bms_quote_mst q JOIN bms_options_mst o ON o.quote_id = q.quote_id AND o.flg_active = 1
   LEFT JOIN adm_bm_statuses st ON st.status_id = q.status_id,
@@ -371,9 +371,9 @@ def followup() -> str:
       UNION ALL
       SELECT tm.created_dt FROM bms_template_memos tm
       JOIN adm_co_lkp_email_process_parameters pp ON pp.lkp_id = tm.lkp_email_process_parameters_id
-      WHERE tm.business_id = o.business_id AND tm.quote_id = q.quote_id AND pp.lkp_code = {_q(V.EMAIL_QUOTE)} AND tm.flg_active = 1) x) qs
-  WHERE q.flg_active = 1 AND qs.sent IS NOT NULL
-    AND qs.sent >= CAST(date_trunc('month', {AS_OF}) AS DATE) - INTERVAL 1 MONTH AND qs.sent < {AS_OF} + 1
+      WHERE tm.business_id = o.business_id AND tm.quote_id = q.quote_id AND pp.lkp_code = {_q(V.EMAIL_QUOTE)} AND tm.flg_active = 1) x) quote_trc
+  WHERE q.flg_active = 1 AND quote_trc.sent IS NOT NULL
+    AND quote_trc.sent >= CAST(date_trunc('month', {AS_OF}) AS DATE) - INTERVAL 1 MONTH AND quote_trc.sent < {AS_OF} + 1
     AND COALESCE(o.sub_total_premium, 0) > {V.PREMIUM_THRESHOLD}
     AND substr(st.main_status_text, 1, 400) = {_q(V.STATUS_NB_QUOTE_OFFERED_TEXT)})
 SELECT substr(quote_code, 1, 100) AS quote_code, substr(CAST(business_id AS VARCHAR), 1, 100) AS business_id,
@@ -403,15 +403,15 @@ SELECT substr(submission_code, 1, 50) AS submission_number, substr(agency_name,
 _SC_TABLES = ["bms_submission_mst", "bms_quote_mst", "adm_bm_lkp_transaction_types", "bms_options_mst",
               "bms_quote_closed", "adm_co_agencies"]
 
-_R3 = f"mw AS (SELECT CAST({AS_OF} - INTERVAL 3 MONTH AS DATE) AS s, {AS_OF} + 1 AS e)"
+_R3 = f"win3 AS (SELECT CAST({AS_OF} - INTERVAL 3 MONTH AS DATE) AS s, {AS_OF} + 1 AS e)"
 
 
 def _sc_ctes() -> str:
     live_sb = _LIVE.format(a="sb")
     live_q = _LIVE.format(a="q")
     qd = "COALESCE(q.quote_dt, q.created_dt)"
-    st = f"({qd} >= mw.s AND {qd} < mw.e)"
-    bd = "(q.bind_dt IS NOT NULL AND q.bind_dt >= mw.s AND q.bind_dt < mw.e)"
+    st = f"({qd} >= win3.s AND {qd} < win3.e)"
+    bd = "(q.bind_dt IS NOT NULL AND q.bind_dt >= win3.s AND q.bind_dt < win3.e)"
     nb = f"COALESCE(tt.lkp_desc, '') = {_q(V.TT_NEW_BUSINESS)}"
     rn = f"COALESCE(tt.lkp_desc, '') IN {_in(V.TT_RENEWALS)}"
     return f"""{_R3},
@@ -421,20 +421,20 @@ opd AS (
   FROM bms_options_mst WHERE COALESCE(flg_active, 1) = 1
   QUALIFY row_number() OVER (PARTITION BY quote_id ORDER BY COALESCE(updated_dt, created_dt) DESC NULLS LAST,
     prem DESC NULLS LAST, product_id DESC NULLS LAST, prem DESC NULLS LAST, fees DESC NULLS LAST) = 1),
-su AS (
+universe AS (
   SELECT DISTINCT sb.submission_id, sb.original_producer_id AS agency_id
-  FROM bms_submission_mst sb CROSS JOIN mw
+  FROM bms_submission_mst sb CROSS JOIN win3
   LEFT JOIN bms_quote_mst q ON q.submission_id = sb.submission_id AND {live_q}
   WHERE {live_sb} AND sb.original_producer_id IS NOT NULL
-    AND ((sb.created_dt >= mw.s AND sb.created_dt < mw.e) OR {st} OR {bd})),
-sc AS (
+    AND ((sb.created_dt >= win3.s AND sb.created_dt < win3.e) OR {st} OR {bd})),
+created_cnt AS (
   SELECT sb.original_producer_id AS agency_id, COUNT(DISTINCT sb.submission_id) AS submissions_created
-  FROM bms_submission_mst sb CROSS JOIN mw
-  WHERE {live_sb} AND sb.original_producer_id IS NOT NULL AND sb.created_dt >= mw.s AND sb.created_dt < mw.e
+  FROM bms_submission_mst sb CROSS JOIN win3
+  WHERE {live_sb} AND sb.original_producer_id IS NOT NULL AND sb.created_dt >= win3.s AND sb.created_dt < win3.e
   GROUP BY 1),
-sa AS (SELECT agency_id, COUNT(DISTINCT submission_id) AS submissions_activity FROM su GROUP BY 1),
-qa AS (
-  SELECT su.agency_id,
+activity_cnt AS (SELECT agency_id, COUNT(DISTINCT submission_id) AS submissions_activity FROM universe GROUP BY 1),
+quote_start AS (
+  SELECT universe.agency_id,
     COUNT(DISTINCT CASE WHEN {st} THEN sb.submission_id END) AS submissions_quoted,
     COUNT(DISTINCT CASE WHEN {st} THEN q.quote_id END) AS quotes_started,
     SUM(CASE WHEN {st} THEN 1 ELSE 0 END) AS raw_quote_rows_started,
@@ -443,12 +443,12 @@ qa AS (
     COUNT(DISTINCT CASE WHEN {st} AND {nb} AND q.bind_dt IS NOT NULL THEN q.quote_id END) AS nb_quotes_bound,
     COUNT(DISTINCT CASE WHEN {st} AND {rn} THEN q.quote_id END) AS renewal_quotes_started,
     COUNT(DISTINCT CASE WHEN {st} AND {rn} AND q.bind_dt IS NOT NULL THEN q.quote_id END) AS renewal_quotes_bound
-  FROM su JOIN bms_submission_mst sb ON sb.submission_id = su.submission_id
+  FROM universe JOIN bms_submission_mst sb ON sb.submission_id = universe.submission_id
   LEFT JOIN bms_quote_mst q ON q.submission_id = sb.submission_id AND {live_q}
   LEFT JOIN adm_bm_lkp_transaction_types tt ON tt.lkp_id = q.lkp_transaction_type_id
-  CROSS JOIN mw WHERE {live_sb} GROUP BY 1),
-pa AS (
-  SELECT su.agency_id,
+  CROSS JOIN win3 WHERE {live_sb} GROUP BY 1),
+production AS (
+  SELECT universe.agency_id,
     COUNT(DISTINCT CASE WHEN {bd} THEN q.quote_id END) AS binds,
     COUNT(DISTINCT CASE WHEN {bd} AND {st} THEN q.quote_id END) AS binds_from_cohort,
     SUM(CASE WHEN {bd} AND {qd} IS NOT NULL THEN CAST(CAST(q.bind_dt AS DATE) - CAST({qd} AS DATE) AS DECIMAL(18,2)) ELSE 0 END) AS sum_days_to_bind,
@@ -461,45 +461,45 @@ pa AS (
     COUNT(DISTINCT CASE WHEN {bd} AND {rn} THEN q.quote_id END) AS renewal_binds,
     SUM(CASE WHEN {bd} AND {nb} THEN COALESCE(opd.prem, 0) ELSE 0 END) AS nb_bound_premium,
     SUM(CASE WHEN {bd} AND {rn} THEN COALESCE(opd.prem, 0) ELSE 0 END) AS renewal_bound_premium
-  FROM su JOIN bms_submission_mst sb ON sb.submission_id = su.submission_id
+  FROM universe JOIN bms_submission_mst sb ON sb.submission_id = universe.submission_id
   LEFT JOIN bms_quote_mst q ON q.submission_id = sb.submission_id AND {live_q}
   LEFT JOIN adm_bm_lkp_transaction_types tt ON tt.lkp_id = q.lkp_transaction_type_id
   LEFT JOIN opd ON opd.quote_id = q.quote_id
-  CROSS JOIN mw WHERE {live_sb} GROUP BY 1),
-da AS (
-  SELECT su.agency_id, COUNT(DISTINCT q.quote_id) AS declines, SUM(COALESCE(opd.prem, 0)) AS declined_premium
-  FROM su JOIN bms_submission_mst sb ON sb.submission_id = su.submission_id
+  CROSS JOIN win3 WHERE {live_sb} GROUP BY 1),
+declined AS (
+  SELECT universe.agency_id, COUNT(DISTINCT q.quote_id) AS declines, SUM(COALESCE(opd.prem, 0)) AS declined_premium
+  FROM universe JOIN bms_submission_mst sb ON sb.submission_id = universe.submission_id
   JOIN bms_quote_mst q ON q.submission_id = sb.submission_id AND {live_q}
   JOIN bms_quote_closed qc ON qc.quote_id = q.quote_id
   LEFT JOIN opd ON opd.quote_id = q.quote_id
-  CROSS JOIN mw
-  WHERE COALESCE(qc.flg_active, 1) = 1 AND COALESCE(qc.flg_decline, 0) = 1 AND qc.created_dt >= mw.s AND qc.created_dt < mw.e
+  CROSS JOIN win3
+  WHERE COALESCE(qc.flg_active, 1) = 1 AND COALESCE(qc.flg_decline, 0) = 1 AND qc.created_dt >= win3.s AND qc.created_dt < win3.e
     AND {live_sb}
   GROUP BY 1),
-am AS (
+metrics AS (
   SELECT ag.agency_code, ag.agency_name,
-    COALESCE(sc.submissions_created, 0) AS submissions_created, COALESCE(sa.submissions_activity, 0) AS submissions_activity,
-    COALESCE(qa.submissions_quoted, 0) AS submissions_quoted, COALESCE(qa.quotes_started, 0) AS quotes_started,
-    COALESCE(qa.raw_quote_rows_started, 0) AS raw_quote_rows_started, COALESCE(qa.quotes_started_bound, 0) AS quotes_started_bound,
-    COALESCE(qa.nb_quotes_started, 0) AS nb_quotes_started, COALESCE(qa.nb_quotes_bound, 0) AS nb_quotes_bound,
-    COALESCE(qa.renewal_quotes_started, 0) AS renewal_quotes_started, COALESCE(qa.renewal_quotes_bound, 0) AS renewal_quotes_bound,
-    COALESCE(da.declines, 0) AS declines, COALESCE(da.declined_premium, 0) AS declined_premium,
-    COALESCE(pa.binds, 0) AS binds, COALESCE(pa.binds_from_cohort, 0) AS binds_from_cohort,
-    COALESCE(pa.bound_premium, 0) AS bound_premium, COALESCE(pa.bound_fees, 0) AS bound_fees,
-    COALESCE(pa.bound_premium_from_cohort, 0) AS bound_premium_from_cohort,
-    COALESCE(pa.bound_fees_from_cohort, 0) AS bound_fees_from_cohort,
-    COALESCE(pa.sum_days_to_bind, 0) AS sum_days_to_bind, COALESCE(pa.cnt_days_to_bind, 0) AS cnt_days_to_bind,
-    COALESCE(pa.nb_binds, 0) AS nb_binds, COALESCE(pa.renewal_binds, 0) AS renewal_binds,
-    COALESCE(pa.nb_bound_premium, 0) AS nb_bound_premium, COALESCE(pa.renewal_bound_premium, 0) AS renewal_bound_premium
-  FROM (SELECT DISTINCT agency_id FROM su UNION SELECT DISTINCT agency_id FROM sc) a
+    COALESCE(created_cnt.submissions_created, 0) AS submissions_created, COALESCE(activity_cnt.submissions_activity, 0) AS submissions_activity,
+    COALESCE(quote_start.submissions_quoted, 0) AS submissions_quoted, COALESCE(quote_start.quotes_started, 0) AS quotes_started,
+    COALESCE(quote_start.raw_quote_rows_started, 0) AS raw_quote_rows_started, COALESCE(quote_start.quotes_started_bound, 0) AS quotes_started_bound,
+    COALESCE(quote_start.nb_quotes_started, 0) AS nb_quotes_started, COALESCE(quote_start.nb_quotes_bound, 0) AS nb_quotes_bound,
+    COALESCE(quote_start.renewal_quotes_started, 0) AS renewal_quotes_started, COALESCE(quote_start.renewal_quotes_bound, 0) AS renewal_quotes_bound,
+    COALESCE(declined.declines, 0) AS declines, COALESCE(declined.declined_premium, 0) AS declined_premium,
+    COALESCE(production.binds, 0) AS binds, COALESCE(production.binds_from_cohort, 0) AS binds_from_cohort,
+    COALESCE(production.bound_premium, 0) AS bound_premium, COALESCE(production.bound_fees, 0) AS bound_fees,
+    COALESCE(production.bound_premium_from_cohort, 0) AS bound_premium_from_cohort,
+    COALESCE(production.bound_fees_from_cohort, 0) AS bound_fees_from_cohort,
+    COALESCE(production.sum_days_to_bind, 0) AS sum_days_to_bind, COALESCE(production.cnt_days_to_bind, 0) AS cnt_days_to_bind,
+    COALESCE(production.nb_binds, 0) AS nb_binds, COALESCE(production.renewal_binds, 0) AS renewal_binds,
+    COALESCE(production.nb_bound_premium, 0) AS nb_bound_premium, COALESCE(production.renewal_bound_premium, 0) AS renewal_bound_premium
+  FROM (SELECT DISTINCT agency_id FROM universe UNION SELECT DISTINCT agency_id FROM created_cnt) a
   JOIN adm_co_agencies ag ON ag.agency_id = a.agency_id
-  LEFT JOIN sc ON sc.agency_id = a.agency_id LEFT JOIN sa ON sa.agency_id = a.agency_id
-  LEFT JOIN qa ON qa.agency_id = a.agency_id LEFT JOIN pa ON pa.agency_id = a.agency_id
-  LEFT JOIN da ON da.agency_id = a.agency_id
+  LEFT JOIN created_cnt ON created_cnt.agency_id = a.agency_id LEFT JOIN activity_cnt ON activity_cnt.agency_id = a.agency_id
+  LEFT JOIN quote_start ON quote_start.agency_id = a.agency_id LEFT JOIN production ON production.agency_id = a.agency_id
+  LEFT JOIN declined ON declined.agency_id = a.agency_id
   WHERE COALESCE(ag.flg_active, 1) = 1),
 rollmap(member_code, rollup_code, rollup_name) AS (VALUES {", ".join(f"({_q(a)}, {_q(b)}, {_q(c)})" for a, b, c in V.AGENCY_ROLLUP)}),
-f AS (
-  SELECT COALESCE(m.rollup_code, am.agency_code) AS agency_code, COALESCE(m.rollup_name, am.agency_name) AS agency_name,
+final_agg AS (
+  SELECT COALESCE(m.rollup_code, metrics.agency_code) AS agency_code, COALESCE(m.rollup_name, metrics.agency_name) AS agency_name,
     SUM(submissions_created) AS submissions_created, SUM(submissions_activity) AS submissions_activity,
     SUM(submissions_quoted) AS submissions_quoted, SUM(quotes_started) AS quotes_started,
     SUM(raw_quote_rows_started) AS raw_quote_rows_started, SUM(quotes_started_bound) AS quotes_started_bound,
@@ -511,7 +511,7 @@ f AS (
     SUM(sum_days_to_bind) AS sum_days_to_bind, SUM(cnt_days_to_bind) AS cnt_days_to_bind, SUM(nb_binds) AS nb_binds,
     SUM(renewal_binds) AS renewal_binds, SUM(nb_bound_premium) AS nb_bound_premium,
     SUM(renewal_bound_premium) AS renewal_bound_premium
-  FROM am LEFT JOIN rollmap m ON m.member_code = am.agency_code
+  FROM metrics LEFT JOIN rollmap m ON m.member_code = metrics.agency_code
   GROUP BY 1, 2)"""
 
 
@@ -551,7 +551,7 @@ def _problem_case(field: int, width: int) -> str:
 
 
 def scorecard() -> str:
-    sc = _score_sql()
+    scores_sql = _score_sql()
     lw, ew, aw = V.PROBLEM_TEXT_WIDTHS
     cents = lambda c: f"CAST(({c}) * 100 AS HUGEINT)"
     body = f"""{_sc_ctes()}
@@ -585,11 +585,11 @@ SELECT substr(agency_code, 1, 50) AS agency_code, substr(agency_name, 1, 150) AS
   CAST(bound_premium - bound_premium_from_cohort AS DOUBLE) AS bound_premium_r3m_carryover,
   CAST(bound_fees_from_cohort AS DOUBLE) AS bound_fees_r3m_from_cohort,
   CAST(bound_fees - bound_fees_from_cohort AS DOUBLE) AS bound_fees_r3m_carryover,
-  {sc['mvs_overall']} AS mvs_overall, {sc['mvs_momentum']} AS mvs_momentum,
-  {sc['ops_efficiency_score']} AS ops_efficiency_score, {sc['pipeline_health_score']} AS pipeline_health_score,
+  {scores_sql['mvs_overall']} AS mvs_overall, {scores_sql['mvs_momentum']} AS mvs_momentum,
+  {scores_sql['ops_efficiency_score']} AS ops_efficiency_score, {scores_sql['pipeline_health_score']} AS pipeline_health_score,
   {_problem_case(1, lw)} AS problem_type_label, {_problem_case(2, ew)} AS problem_type_explanation,
   {_problem_case(3, aw)} AS primary_recommended_action
-FROM f"""
+FROM final_agg"""
     return _with(_SC_TABLES, body)
 
 
@@ -699,7 +699,7 @@ def operator_sql() -> dict[str, str]:
                                                          "is_quote_to_agent_prefix", "is_renewal_invoice"])
     mins = ", ".join(f"MIN(CASE WHEN {_DOC_PREDS[p]} THEN created_dt END) AS {n}" for n, p in [
         ("quote_doc_dt", "is_quote_to_agent"), ("bind_req_dt", "is_bind_request"), ("policy_doc_dt", "is_policy_sent"),
-        ("q2a_dt", "is_quote_to_agent_prefix"), ("inv_dt", "is_renewal_invoice")])
+        ("agent_quote_doc_dt", "is_quote_to_agent_prefix"), ("renewal_invoice_dt", "is_renewal_invoice")])
     lag = _bd_exclusive("sb.created_dt", "q.quote_dt")
     cal = "(CAST(q.bind_dt AS DATE) - CAST(q.created_dt AS DATE))"
     sq_money = _money("o.sub_total_premium")
@@ -783,9 +783,9 @@ WHERE {_LIVE.format(a='q')} AND tt.lkp_desc = {_q(V.TT_NEW_BUSINESS)}
 QUALIFY row_number() OVER (PARTITION BY q.submission_id ORDER BY CASE WHEN q.bind_dt IS NULL THEN 1 ELSE 0 END, q.quote_id) = 1"""),
         "asof_first_after": _with(["bms_tracers", "bms_quote_mst", "bms_submission_mst", "dms_file_mst",
                                    "dms_document_detail_mst"], f"""{_DOCS},
-edx AS (SELECT quote_id, MAX(CASE WHEN {_like_any('tracer_desc', V.TRACER_ENDORSEMENT_START)} THEN created_dt END) AS req_dt
+endt_span AS (SELECT quote_id, MAX(CASE WHEN {_like_any('tracer_desc', V.TRACER_ENDORSEMENT_START)} THEN created_dt END) AS req_dt
         FROM bms_tracers WHERE tracer_desc LIKE {_q(V.TRACER_ENDORSEMENT_ANY)} GROUP BY 1),
-a AS (SELECT edx.quote_id, sb.submission_code, edx.req_dt FROM edx JOIN bms_quote_mst q ON q.quote_id = edx.quote_id
+a AS (SELECT endt_span.quote_id, sb.submission_code, endt_span.req_dt FROM endt_span JOIN bms_quote_mst q ON q.quote_id = endt_span.quote_id
       JOIN bms_submission_mst sb ON sb.submission_id = q.submission_id)
 SELECT a.quote_id, a.submission_code, a.req_dt,
   (SELECT MIN(d.created_dt) FROM docs d WHERE d.submission_number = a.submission_code AND d.created_dt >= a.req_dt
@@ -833,7 +833,7 @@ FROM bms_tracers WHERE tracer_desc LIKE {_q(V.TRACER_ENDORSEMENT_ANY)} GROUP BY
 SELECT sb.submission_id, ag.agency_code,
   CAST(TRY_CAST(NULLIF(replace(ag.agency_code, {_q(V.AGENCY_CODE_PREFIX)}, ''), '') AS INTEGER) AS BIGINT) AS code_number
 FROM bms_submission_mst sb JOIN adm_co_agencies ag ON ag.agency_id = sb.original_producer_id"""),
-        "union_distinct_spine": _sc("SELECT agency_id FROM su UNION SELECT agency_id FROM sc"),
+        "union_distinct_spine": _sc("SELECT agency_id FROM universe UNION SELECT agency_id FROM created_cnt"),
         "fn_strings": _with(["bms_quote_insured_mst"], """x AS (SELECT 1)
 SELECT quote_id, trim(adr_phy_city) AS city_trim, upper(insured_name) AS insured_upper, substr(insured_name, 1, 5) AS insured_left5,
   substr(adr_phy_state_code, 1, 4) AS state_w4 FROM bms_quote_insured_mst"""),
@@ -883,17 +883,17 @@ FROM bms_quote_mst q JOIN bms_submission_mst sb ON sb.submission_id = q.submissi
 SELECT DISTINCT quote_id, business_id, created_dt, {_us('created_dt')} AS sent_us, {_us('CAST(created_dt AS DATE) + 3')} AS first_follow_up,
   {_us('CAST(created_dt AS DATE) + 25')} AS second_follow_up, {_us('CAST(created_dt AS DATE) + 30')} AS qcl_due
 FROM bms_email_confirmation_details"""),
-        "sc_submission_universe": _sc("SELECT submission_id, agency_id FROM su"),
-        "sc_submissions_created": _sc("SELECT agency_id, CAST(submissions_created AS BIGINT) AS submissions_created FROM sc"),
-        "sc_submissions_activity": _sc("SELECT agency_id, CAST(submissions_activity AS BIGINT) AS submissions_activity FROM sa"),
-        "sc_quote_start": _sc(f"SELECT agency_id, {_sc_select('qa', _QS_MEASURES, _SC_MONEY)} FROM qa"),
-        "sc_production": _sc(f"SELECT agency_id, {_sc_select('pa', _PA_MEASURES, _SC_MONEY)} FROM pa"),
-        "sc_decline": _sc("SELECT agency_id, CAST(declines AS BIGINT) AS declines, CAST(declined_premium AS DOUBLE) AS declined_premium FROM da"),
-        "sc_agency_metrics": _sc(f"SELECT agency_code, agency_name, {_sc_select('am', _SC_MEASURES, _SC_MONEY)} FROM am"),
-        "sc_rollup": _sc("""SELECT COALESCE(m.rollup_code, am.agency_code) AS agency_code, COALESCE(m.rollup_name, am.agency_name) AS agency_name,
+        "sc_submission_universe": _sc("SELECT submission_id, agency_id FROM universe"),
+        "sc_submissions_created": _sc("SELECT agency_id, CAST(submissions_created AS BIGINT) AS submissions_created FROM created_cnt"),
+        "sc_submissions_activity": _sc("SELECT agency_id, CAST(submissions_activity AS BIGINT) AS submissions_activity FROM activity_cnt"),
+        "sc_quote_start": _sc(f"SELECT agency_id, {_sc_select('quote_start', _QS_MEASURES, _SC_MONEY)} FROM quote_start"),
+        "sc_production": _sc(f"SELECT agency_id, {_sc_select('production', _PA_MEASURES, _SC_MONEY)} FROM production"),
+        "sc_decline": _sc("SELECT agency_id, CAST(declines AS BIGINT) AS declines, CAST(declined_premium AS DOUBLE) AS declined_premium FROM declined"),
+        "sc_agency_metrics": _sc(f"SELECT agency_code, agency_name, {_sc_select('metrics', _SC_MEASURES, _SC_MONEY)} FROM metrics"),
+        "sc_rollup": _sc("""SELECT COALESCE(m.rollup_code, metrics.agency_code) AS agency_code, COALESCE(m.rollup_name, metrics.agency_name) AS agency_name,
   CAST(submissions_created AS BIGINT) AS submissions_created, CAST(binds AS BIGINT) AS binds
-FROM am LEFT JOIN rollmap m ON m.member_code = am.agency_code"""),
-        "sc_final": _sc(f"SELECT agency_code, agency_name, {_sc_select('f', _SC_MEASURES, _SC_MONEY)} FROM f"),
+FROM metrics LEFT JOIN rollmap m ON m.member_code = metrics.agency_code"""),
+        "sc_final": _sc(f"SELECT agency_code, agency_name, {_sc_select('final_agg', _SC_MEASURES, _SC_MONEY)} FROM final_agg"),
         "sc_ratios": _from_scorecard(["agency_code", "agency_name", "sub_to_quote_pct_vs_intake", "sub_to_quote_pct_vs_activity",
                                       "quote_to_bind_pct", "decline_rate_pct", "carryover_pct", "dollar_hit_ratio_pct",
                                       "avg_bound_premium_per_bind"]),

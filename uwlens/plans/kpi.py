@@ -193,10 +193,10 @@ def kpi3_endorsement(t: Tables, p: ReportParams) -> DataFrame:
     t = _scope(t, p, lambda: _doc_codes(t, L.doc_is_endorsement_sent("document_name"), w),
                lambda: _tracer_codes(t, L.tracer_is_endorsement("tracer_desc")
                                      & L.tracer_is_endorsement_finalized("tracer_desc"), w))
-    edx = tracer_extremes(t.bms_tracers, L.tracer_is_endorsement("tracer_desc"), maxs={
+    span = tracer_extremes(t.bms_tracers, L.tracer_is_endorsement("tracer_desc"), maxs={
         "req_dt": L.tracer_is_endorsement_start("tracer_desc"),
         "fin_dt": L.tracer_is_endorsement_finalized("tracer_desc")})
-    sp = _spine(t, V.TT_ENDORSEMENTS).join(edx, "quote_id", "left")
+    sp = _spine(t, V.TT_ENDORSEMENTS).join(span, "quote_id", "left")
     endt = document_events(t.dms_file_mst, t.dms_document_detail_mst, L.doc_is_endorsement_sent("document_name"))
     endt = endt.withColumnRenamed("submission_number", "submission_code")
     # Many quotes (anchors) per submission: the bucketed sweep, never docs x quotes pairs.
@@ -251,13 +251,13 @@ def kpi5_renewal_lead(t: Tables, p: ReportParams) -> DataFrame:
                lambda: _tracer_codes(t, L.tracer_is_quote_sent("tracer_desc"), w),
                lambda: _quote_codes(t, D.in_window("quote_dt", w.start, w.end) | D.in_window("created_dt", w.start, w.end)))
     docs = first_documents(t.dms_file_mst, t.dms_document_detail_mst, {
-        "q2a_dt": L.doc_is_quote_to_agent_prefix("document_name"),
-        "inv_dt": L.doc_is_renewal_invoice("document_name")})
-    trc = tracer_extremes(t.bms_tracers, L.tracer_is_quote_sent("tracer_desc"), mins={"qs_dt": F.lit(True)})
+        "agent_quote_doc_dt": L.doc_is_quote_to_agent_prefix("document_name"),
+        "renewal_invoice_dt": L.doc_is_renewal_invoice("document_name")})
+    trc = tracer_extremes(t.bms_tracers, L.tracer_is_quote_sent("tracer_desc"), mins={"quote_sent_trc_dt": F.lit(True)})
     sp = _spine(t, V.TT_RENEWALS)
     df = (sp.join(docs, sp.submission_code == docs.submission_number, "left")
           .join(trc, "quote_id", "left")
-          .withColumn("sent", F.coalesce("q2a_dt", "inv_dt", "qs_dt", "quote_dt", "created_dt"))
+          .withColumn("sent", F.coalesce("agent_quote_doc_dt", "renewal_invoice_dt", "quote_sent_trc_dt", "quote_dt", "created_dt"))
           .where(F.col("sent").isNotNull() & D.in_window("sent", w.start, w.end)))
     df = _finish(df, t).withColumn(
         "lead", F.when(F.col("eff_date").isNotNull(), D.days_between("sent", "eff_date")))

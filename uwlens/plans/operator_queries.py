@@ -182,8 +182,8 @@ def apply_min_per_key(t: Tables, p: ReportParams) -> DataFrame:
     n = F.col("document_name")
     return first_documents(t.dms_file_mst, t.dms_document_detail_mst, {
         "quote_doc_dt": L.doc_is_quote_to_agent(n), "bind_req_dt": L.doc_is_bind_request(n),
-        "policy_doc_dt": L.doc_is_policy_sent(n), "q2a_dt": L.doc_is_quote_to_agent_prefix(n),
-        "inv_dt": L.doc_is_renewal_invoice(n)})
+        "policy_doc_dt": L.doc_is_policy_sent(n), "agent_quote_doc_dt": L.doc_is_quote_to_agent_prefix(n),
+        "renewal_invoice_dt": L.doc_is_renewal_invoice(n)})
 
 
 def top1_latest_option(t: Tables, p: ReportParams) -> DataFrame:
@@ -204,11 +204,11 @@ def top1_per_group_bound_first(t: Tables, p: ReportParams) -> DataFrame:
 def asof_first_after(t: Tables, p: ReportParams) -> DataFrame:
     """Per quote with an endorsement request: first endorsement document of its submission at or
     after the request (many anchors per submission: the bucketed sweep)."""
-    edx = tracer_extremes(t.bms_tracers, L.tracer_is_endorsement("tracer_desc"),
+    span = tracer_extremes(t.bms_tracers, L.tracer_is_endorsement("tracer_desc"),
                           maxs={"req_dt": L.tracer_is_endorsement_start("tracer_desc")})
     q = t.bms_quote_mst.select("quote_id", "submission_id")
     sb = t.bms_submission_mst.select("submission_id", "submission_code")
-    anchors = edx.join(q, "quote_id").join(sb, "submission_id").select("quote_id", "submission_code", "req_dt")
+    anchors = span.join(q, "quote_id").join(sb, "submission_id").select("quote_id", "submission_code", "req_dt")
     endt = document_events(t.dms_file_mst, t.dms_document_detail_mst, L.doc_is_endorsement_sent("document_name"))
     endt = endt.withColumnRenamed("submission_number", "submission_code")
     return first_at_or_after(anchors, endt, "submission_code", "req_dt", "created_dt", "sent_dt")
