@@ -170,8 +170,13 @@ def kpi2_binder(t: Tables, p: ReportParams) -> DataFrame:
     sent = first_at_or_after(req, binders, "submission_number", "req_dt", "created_dt", "sent_dt",
                              unique_anchor=True)
     sent = sent.where(F.col("sent_dt").isNotNull() & D.in_window("sent_dt", w.start, w.end))
-    sp = _spine(t, V.TT_NB_AND_RENEWAL)
-    df = sp.join(sent, sp.submission_code == sent.submission_number)
+    # the sent date depends on the submission only: cut submissions to the window first, then
+    # attach their quotes (the small side leads both joins)
+    sb = live_submissions(t).select("submission_id", "submission_code", F.col("created_dt").alias("sb_created_dt"),
+                                    "user_id_accexecutive")
+    sb = sent.join(sb, sent.submission_number == sb.submission_code)
+    q = quotes_with_type(t, V.TT_NB_AND_RENEWAL).select(*_Q_COLS, "lkp_desc")
+    df = sb.join(q, "submission_id")
     df = _finish(df, t).withColumn("lag", D.business_days_inclusive("req_dt", "sent_dt"))
     status = (F.when(F.col("req_dt").isNull(), V.NO_BINDER_REQUEST)
               .when(F.col("sent_dt").isNull(), V.NO_BINDER_SENT)

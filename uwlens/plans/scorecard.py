@@ -139,7 +139,8 @@ def declines(t: Tables, p: ReportParams, universe: DataFrame) -> DataFrame:
     qc = (t.bms_quote_closed.where(FL.active_lenient("flg_active") & FL.flag_set("flg_decline")
                                    & D.in_window("created_dt", w.start, w.end))
           .groupBy("quote_id").agg(F.count(F.lit(1)).alias("n_closures")))
-    q = live_quotes(t).select("quote_id", "submission_id").join(universe, "submission_id").join(qc, "quote_id")
+    # the window-filtered closures are small: meet them first, then the universe
+    q = live_quotes(t).select("quote_id", "submission_id").join(qc, "quote_id").join(universe, "submission_id")
     opts = t.bms_options_mst.join(qc.select("quote_id"), "quote_id", "left_semi")
     q = q.join(option_dollars(opts).select("quote_id", "prem"), "quote_id", "left")
     amount = (F.coalesce("prem", F.lit(0).cast(M.MONEY)) * F.col("n_closures")).cast(T.DecimalType(38, 2))
