@@ -30,3 +30,11 @@ def test_bucketed_results_equal_plain(spark, bucketed, name):
     plain = REPORTS[name](derive_tables(spark, "/root/testdata/sf0.01"), fixture_params()).collect()
     got = REPORTS[name](bucketed, fixture_params()).collect()
     assert sorted(map(repr, plain)) == sorted(map(repr, got)) and len(got) > 0
+
+
+def test_cli_reads_catalog_tables(spark, bucketed, tmp_path):
+    from uwlens.__main__ import main
+    main(["--catalog-db", "uwlens_test_db", "--as-of", "2001-06-15", "--out", str(tmp_path / "out"),
+          "--report", "rpt_quote_followup"])
+    back = spark.read.parquet(str(tmp_path / "out" / "rpt_quote_followup"))
+    assert back.count() > 0 and back.select("as_of").distinct().count() == 1
