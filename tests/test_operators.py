@@ -110,3 +110,39 @@ def test_left_join_hot_right_equals_left_join(spark):
     got = sorted(map(repr, left_join_hot_right(left, right, ["k"]).collect()))
     want = sorted(map(repr, left.join(right, ["k"], "left").select("k", "l", "r").collect()))
     assert got == want
+
+
+def test_operators_on_empty_inputs(spark):
+    from uwlens.operators.documents import first_documents, tracer_extremes
+    opts = spark.createDataFrame([], "quote_id int, product_id int, updated_dt timestamp, created_dt timestamp, "
+                                     "sub_total_premium string, flg_active int")
+    assert latest_option(opts, ["product_id"]).count() == 0
+    files = spark.createDataFrame([], "file_id int, submission_number string, flg_active int, purge_status int")
+    docs = spark.createDataFrame([], "file_id int, created_dt date, document_name string, purge_status int")
+    assert first_documents(files, docs, {"d": F.col("document_name").like("%X%")}).count() == 0
+    tr = spark.createDataFrame([], "quote_id int, created_dt date, tracer_desc string")
+    assert tracer_extremes(tr, None, mins={"m": F.lit(True)}).count() == 0
+    a = spark.createDataFrame([], "k string, t timestamp")
+    e = spark.createDataFrame([], "k string, t timestamp")
+    assert first_at_or_after(a, e, "k", "t", "t", "n").count() == 0
+
+
+def test_first_documents_respects_liveness_and_null_keys(spark):
+    from datetime import date
+    from uwlens.operators.documents import first_documents
+    files = spark.createDataFrame([(1, "S1", 1, None), (2, "S1", 0, None), (3, None, None, 0), (4, "S2", None, 1)],
+                                  "file_id int, submission_number string, flg_active int, purge_status int")
+    docs = spark.createDataFrame([
+        (1, date(2024, 1, 5), "X", None), (1, date(2024, 1, 3), "X", 1),   # purged doc ignored
+        (2, date(2024, 1, 1), "X", 0),                                     # inactive file ignored
+        (3, date(2024, 1, 2), "X", 0),                                     # NULL submission kept as its own key
+        (4, date(2024, 1, 1), "X", 0)], "file_id int, created_dt date, document_name string, purge_status int")
+    got = {r.submission_number: r.d for r in first_documents(files, docs, {"d": F.col("document_name") == "X"}).collect()}
+    assert got == {"S1": date(2024, 1, 5), None: date(2024, 1, 2)}
+
+
+def test_min_over_sources_keeps_every_source_row(spark):
+    s1 = spark.createDataFrame([(1, 1, "2024-01-09"), (1, 1, "2024-01-04")], "b int, q int, ts string")
+    s2 = spark.createDataFrame([(1, 1, "2024-01-04"), (None, 1, "2024-01-01")], "b int, q int, ts string")
+    got = sorted((r.b or 0, r.q, r.m) for r in min_over_sources([s1, s2], ["b", "q"], "ts", "m").collect())
+    assert got == [(0, 1, "2024-01-01"), (1, 1, "2024-01-04")]
