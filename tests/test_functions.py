@@ -123,3 +123,14 @@ def test_formats(spark):
     r = df.select(FMT.us_date("d").alias("u"), FMT.us_date("t", T.StringType()).alias("ut"),
                   M.money_text("m").alias("mt"), X.fixed_width("t", 4).alias("w")).first()
     assert tuple(r) == ("06-05-2001", "2001-06-05", "0.00", "2001")
+
+
+def test_coalesce_in_window_equals_window_on_coalesce(spark):
+    rows = [(None, None), (date(2024, 1, 1), None), (None, date(2024, 1, 5)), (date(2023, 12, 1), date(2024, 1, 5)),
+            (date(2024, 1, 9), date(2023, 1, 1)), (None, date(2024, 1, 10))]
+    df = spark.createDataFrame(rows, "a date, b date")
+    s, e = date(2024, 1, 1), date(2024, 1, 10)
+    from pyspark.sql import functions as F
+    got = [(r.x, r.y) for r in df.select(D.coalesce_in_window("a", "b", s, e).alias("x"),
+                                         F.coalesce(D.in_window(F.coalesce("a", "b"), s, e), F.lit(False)).alias("y")).collect()]
+    assert all(bool(x) == bool(y) for x, y in got), got

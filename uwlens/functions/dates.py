@@ -122,3 +122,13 @@ def year_start(c: ColumnLike) -> Column:
 def months_added(c: ColumnLike, n: int) -> Column:
     """DATEADD(MONTH, n, d): clamps to the last day of the target month."""
     return F.add_months(day(c), n)
+
+
+def coalesce_in_window(first: ColumnLike, second: ColumnLike, start: date, end: date, closed: bool = False) -> Column:
+    """``COALESCE(first, second)`` in the window, written so the scan can use it.
+
+    ``(first in window) OR (first IS NULL AND second in window)`` is the same predicate, but made of
+    plain column comparisons, which parquet pushdown (row-group min/max skipping) accepts; a
+    comparison on the COALESCE expression itself is not pushed."""
+    a, b = _c(first), _c(second)
+    return in_window(a, start, end, closed) | (a.isNull() & in_window(b, start, end, closed))

@@ -43,7 +43,10 @@ def agency_retention(t: Tables, p: ReportParams) -> DataFrame:
     sb = live_submissions(t).select("submission_id", agency_id_from_text("original_producer_id").alias("agency_id"))
     sb = sb.where(F.col("agency_id").isNotNull())
     q = quotes_with_type(t).where(F.coalesce("lkp_desc", F.lit("")).isin(*V.TT_RENEWALS))
-    cohort_dt = D.try_date(F.coalesce("quote_dt", "created_dt"), q.schema["quote_dt"].dataType)
+    qdt = q.schema["quote_dt"].dataType
+    cohort_dt = D.try_date(F.coalesce("quote_dt", "created_dt"), qdt)
+    if not isinstance(qdt, T.StringType):  # same predicate in a form the parquet scan can use
+        q = q.where(D.coalesce_in_window("quote_dt", "created_dt", win.start, win.end))
     q = (q.withColumn("cohort_dt", cohort_dt).where(D.in_window("cohort_dt", win.start, win.end))
          .select("submission_id", "quote_id", F.year("cohort_dt").alias("cohort_year"), "bind_dt"))
     base = q.join(sb, "submission_id").where(F.col("cohort_year").between(p.cohort_first_year, p.cohort_last_year))

@@ -70,7 +70,7 @@ def submission_universe(t: Tables, p: ReportParams) -> DataFrame:
     w = p.rolling3
     sb = _producer_submissions(t)
     q = _quote_rows(t)
-    touched = q.where(D.in_window("start_dt", w.start, w.end)
+    touched = q.where(D.coalesce_in_window("quote_dt", "q_created_dt", w.start, w.end)
                       | (F.col("bind_dt").isNotNull() & D.in_window("bind_dt", w.start, w.end)))
     ids = (sb.where(D.in_window("created_dt", w.start, w.end)).select("submission_id")
            .unionByName(touched.select("submission_id")).distinct())
