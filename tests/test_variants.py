@@ -8,6 +8,10 @@ Variant "money as text": the option premium is stored as text - '$1,234.50', '12
 'abc' - so the parse-and-strip path, its exponent guard and the premium tie-break of the latest
 option are exercised.  Reports whose source compares the raw premium with a number (quotes due,
 follow-up) are not defined for text money and are left out of this variant.
+
+Variant "hot keys": a third of all quotes belong to one submission, a third of all documents to one
+file, a third of all options and tracers to one quote - with AQE's skew thresholds lowered so that
+skewed join partitions are really split - and every report must still equal the oracle.
 """
 
 import math
@@ -76,6 +80,32 @@ def money_text_tables(spark):
     return root
 
 
+@pytest.fixture(scope="module")
+def hot_key_tables(spark):
+    from uwlens.sources.catalog import TABLE_NAMES
+    from uwlens.sources.fixtures import derive_tables
+
+    root = tempfile.mkdtemp(prefix="uwlens-variant-", dir="/tmp")
+    t = derive_tables(spark, SF)
+    hot_sub = t.bms_submission_mst.agg(F.min("submission_id")).first()[0]
+    hot_quote = t.bms_quote_mst.where(F.col("submission_id") == hot_sub).agg(F.min("quote_id")).first()[0]
+    hot_file = t.dms_file_mst.where(F.col("submission_number") == f"SUB{hot_sub}").agg(F.min("file_id")).first()[0]
+    third = lambda c: F.pmod(F.col(c), F.lit(3)) == 0
+    moved = {
+        "bms_quote_mst": ("submission_id", third("quote_id"), hot_sub),
+        "dms_document_detail_mst": ("file_id", third("file_id"), hot_file),
+        "bms_options_mst": ("quote_id", third("quote_id"), hot_quote),
+        "bms_tracers": ("quote_id", third("quote_id"), hot_quote),
+    }
+    for name in TABLE_NAMES:
+        df = getattr(t, name)
+        if name in moved:
+            col, cond, value = moved[name]
+            df = df.withColumn(col, F.when(cond, F.lit(value).cast(df.schema[col].dataType)).otherwise(F.col(col)))
+        df.write.parquet(f"{root}/{name}")
+    return root
+
+
 def _report_names():
     from uwlens.plans import REPORTS
     return sorted(REPORTS)
@@ -114,6 +144,27 @@ def test_reports_on_timestamps_with_time_of_day(spark, time_of_day_tables, name)
     _compare(spark, time_of_day_tables, name, check)
 
 
+@pytest.mark.parametrize("name", _report_names())
+def test_reports_with_hot_keys(spark, hot_key_tables, name):
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    saved = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        def check(t):
+            top = t.bms_quote_mst.groupBy("submission_id").count().agg(F.max("count")).first()[0]
+            assert top * 4 > t.bms_quote_mst.count()  # one submission holds about a third of the quotes
+        _compare(spark, hot_key_tables, name, check)
+    finally:
+        for k, v in saved.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("name", [n for n in _report_names() if n not in ("rpt_quotes_due", "rpt_quote_followup")])
 def test_reports_on_money_as_text(spark, money_text_tables, name):
     def check(t):
