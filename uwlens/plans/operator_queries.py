@@ -411,14 +411,15 @@ def sc_submissions_created(t: Tables, p: ReportParams) -> DataFrame:
 
 
 def sc_submissions_activity(t: Tables, p: ReportParams) -> DataFrame:
-    return SC.submissions_activity(SC.submission_universe(t, p))
+    return SC.submission_counts(SC.submission_universe(t, p)).select("agency_id", "submissions_activity")
 
 
 def _per_universe_agency(t: Tables, p: ReportParams, measures: list[str]) -> DataFrame:
     """Quote measures for every universe agency (zeros where its submissions have no live quote),
     the grain of the source's per-agency aggregate."""
     u = SC.submission_universe(t, p)
-    m = SC.quote_measures(t, p, u)
+    m = SC.quote_measures(t, p, u).join(SC.submission_counts(u).select("agency_id", "submissions_quoted"),
+                                         "agency_id", "full")
     df = u.select("agency_id").distinct().join(m, "agency_id", "left")
     zero = {c: (F.lit(0).cast(M.MONEY) if c in SC._MONEY_MEASURES else F.lit(0).cast(T.LongType())) for c in measures}
     return df.select("agency_id", *[F.coalesce(c, zero[c]).alias(c) for c in measures])

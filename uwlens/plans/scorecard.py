@@ -3,9 +3,9 @@ and a problem type with explanation and recommended action, per rolled-up agency
 
 Plan shape (each step one function, so every intermediate result is testable on its own):
 
-  universe       submissions with any activity in the window (created, quote started or bound)
-  created        distinct submissions created in the window, per agency
-  activity       distinct universe submissions, per agency
+  universe       submissions with any activity in the window (created, quote started or bound),
+                 flagged "created in window" and "had a quote started in window"
+  counts         created / activity / quoted submissions per agency, one aggregation
   quote measures one pass over universe quotes: 10 conditional distinct counts and 9 sums,
                  computed per (agency, quote) then per agency - no row-multiplying Expand
   declines       decline closures in the window, reduced per quote before any join
@@ -30,7 +30,7 @@ from ..functions import fixed_values as V
 from ..functions import money as M
 from ..functions import text as X
 from ..operators import filters as FL
-from ..operators.distinct import distinct_flags, merge_on
+from ..operators.distinct import distinct_flags
 from ..operators.latest import option_dollars
 from ..operators.lineage import materialized
 from ..params import ReportParams
@@ -65,17 +65,42 @@ def _quote_rows(t: Tables) -> DataFrame:
 
 
 def submission_universe(t: Tables, p: ReportParams) -> DataFrame:
-    """(submission_id, agency_id) of live producer submissions created, quote-started or bound in
-    the window.  The OR across the submission and its quotes becomes a union of two id sets."""
+    """(submission_id, agency_id, created_in, quoted_in) of live producer submissions created,
+    quote-started or bound in the window.
+
+    The OR across the submission and its quotes becomes: window-filtered live quotes reduced to one
+    row per submission (with "some quote started in the window"), left-joined to the submissions.
+    ``quoted_in`` is exactly the condition of the "submissions quoted" count, so all three
+    submission counts later come from one aggregation over the universe."""
     w = p.rolling3
     sb = _producer_submissions(t)
     q = _quote_rows(t)
-    touched = q.where(D.coalesce_in_window("quote_dt", "q_created_dt", w.start, w.end)
-                      | (F.col("bind_dt").isNotNull() & D.in_window("bind_dt", w.start, w.end)))
-    ids = (sb.where(D.in_window("created_dt", w.start, w.end)).select("submission_id")
-           .unionByName(touched.select("submission_id")).distinct())
+    started = D.coalesce_in_window("quote_dt", "q_created_dt", w.start, w.end)
+    bound_in = F.col("bind_dt").isNotNull() & D.in_window("bind_dt", w.start, w.end)
+    touched = (q.where(started | bound_in).groupBy("submission_id")
+               .agg(F.max(F.coalesce(started, F.lit(False)).cast("int")).alias("_q")))
     created_in = F.coalesce(D.in_window("created_dt", w.start, w.end), F.lit(False))
-    return sb.join(ids, "submission_id", "left_semi").select("submission_id", "agency_id", created_in.alias("created_in"))
+    u = sb.join(touched, "submission_id", "left").where(created_in | F.col("_q").isNotNull())
+    return u.select("submission_id", "agency_id", created_in.alias("created_in"),
+                    (F.coalesce(F.col("_q"), F.lit(0)) == 1).alias("quoted_in"))
+
+
+def submission_counts(universe: DataFrame) -> DataFrame:
+    """Submissions created, with activity, and with a quote started in the window, per agency."""
+    return distinct_flags(universe, ["agency_id"], "submission_id", {
+        "submissions_created": F.col("created_in"), "submissions_activity": F.lit(True),
+        "submissions_quoted": F.col("quoted_in")})
+
+
+def needed_option_dollars(t: Tables, p: ReportParams) -> DataFrame:
+    """Latest-option premium and fees of the quotes the scorecard prices: bound in the window or
+    with a decline closure created in it (key sets from pushed-down window filters).  One frame
+    serves both consumers, so its aggregation runs once."""
+    w = p.rolling3
+    bound = t.bms_quote_mst.where(F.col("bind_dt").isNotNull() & D.in_window("bind_dt", w.start, w.end)).select("quote_id")
+    declined = _decline_closures(t, p).select("quote_id")
+    opts = t.bms_options_mst.join(bound.unionByName(declined), "quote_id", "left_semi")
+    return option_dollars(opts)
 
 
 def submissions_created(t: Tables, p: ReportParams) -> DataFrame:
@@ -84,11 +109,7 @@ def submissions_created(t: Tables, p: ReportParams) -> DataFrame:
     return sb.groupBy("agency_id").agg(F.count_distinct("submission_id").alias("submissions_created"))
 
 
-def submissions_activity(universe: DataFrame) -> DataFrame:
-    return universe.groupBy("agency_id").agg(F.count_distinct("submission_id").alias("submissions_activity"))
-
-
-def quote_measures(t: Tables, p: ReportParams, universe: DataFrame) -> DataFrame:
+def quote_measures(t: Tables, p: ReportParams, universe: DataFrame, dollars: DataFrame | None = None) -> DataFrame:
     """Quote-start cohort and production measures per agency, in one pass over universe quotes.
 
     Submissions without a live quote contribute nothing to any measure, so the universe is joined
@@ -127,22 +148,23 @@ def quote_measures(t: Tables, p: ReportParams, universe: DataFrame) -> DataFrame
         "nb_bound_premium": F.when(b & nb, prem).otherwise(zero),
         "renewal_bound_premium": F.when(b & rn, prem).otherwise(zero),
     }
-    per_quote = distinct_flags(q, ["agency_id"], "quote_id", flags, sums)
-    per_sub = distinct_flags(q, ["agency_id"], "submission_id", {"submissions_quoted": s})
-    return merge_on(per_quote, per_sub, "agency_id")
+    return distinct_flags(q, ["agency_id"], "quote_id", flags, sums)
+
+
+def _decline_closures(t: Tables, p: ReportParams) -> DataFrame:
+    w = p.rolling3
+    return (t.bms_quote_closed.where(FL.active_lenient("flg_active") & FL.flag_set("flg_decline")
+                                     & D.in_window("created_dt", w.start, w.end))
+            .groupBy("quote_id").agg(F.count(F.lit(1)).alias("n_closures")))
 
 
-def declines(t: Tables, p: ReportParams, universe: DataFrame) -> DataFrame:
+def declines(t: Tables, p: ReportParams, universe: DataFrame, dollars: DataFrame | None = None) -> DataFrame:
     """Distinct declined quotes and declined premium per agency.  A quote with several decline
     closures counts once but its premium once per closure, as the source defines it."""
-    w = p.rolling3
-    qc = (t.bms_quote_closed.where(FL.active_lenient("flg_active") & FL.flag_set("flg_decline")
-                                   & D.in_window("created_dt", w.start, w.end))
-          .groupBy("quote_id").agg(F.count(F.lit(1)).alias("n_closures")))
+    qc = _decline_closures(t, p)
     # the window-filtered closures are small: meet them first, then the universe
     q = live_quotes(t).select("quote_id", "submission_id").join(qc, "quote_id").join(universe, "submission_id")
-    opts = t.bms_options_mst.join(qc.select("quote_id"), "quote_id", "left_semi")
-    q = q.join(option_dollars(opts).select("quote_id", "prem"), "quote_id", "left")
+    q = q.join((needed_option_dollars(t, p) if dollars is None else dollars).select("quote_id", "prem"), "quote_id", "left")
     amount = (F.coalesce("prem", F.lit(0).cast(M.MONEY)) * F.col("n_closures")).cast(T.DecimalType(38, 2))
     return distinct_flags(q, ["agency_id"], "quote_id", {"declines": F.lit(True)}, {"declined_premium": amount})
 
@@ -153,14 +175,14 @@ def agency_metrics(t: Tables, p: ReportParams) -> DataFrame:
     The universe feeds three branches (submission counts, quote measures, declines); it is one
     row per submission active in the window, so it is checkpointed once instead of being
     recomputed from the submission and quote tables.  Submissions created in the window are a
-    subset of the universe (same submission filters), so both submission counts come from one
-    aggregation over it and the agency spine is simply the universe's agencies."""
+    subset of the universe (same submission filters), so the spine is simply the universe's
+    agencies.  All per-agency parts are hash-partitioned on agency_id, so joining them needs no
+    further shuffle."""
     u = materialized(submission_universe(t, p))
-    counts = distinct_flags(u, ["agency_id"], "submission_id", {
-        "submissions_created": F.col("created_in"), "submissions_activity": F.lit(True)})
+    dollars = needed_option_dollars(t, p)
     ag = agencies(t, FL.active_lenient("flg_active")).select("agency_id", "agency_code", "agency_name")
-    df = counts.join(ag, "agency_id")
-    for part in (quote_measures(t, p, u), declines(t, p, u)):
+    df = submission_counts(u).join(ag, "agency_id")
+    for part in (quote_measures(t, p, u, dollars), declines(t, p, u, dollars)):
         df = df.join(part, "agency_id", "left")
     zero_money = F.lit(0).cast(M.MONEY)
     return df.select("agency_id", "agency_code", "agency_name", *[
