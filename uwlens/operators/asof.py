@@ -29,6 +29,7 @@ def first_at_or_after(anchors: DataFrame, events: DataFrame, key: str, anchor_ts
     ev = events.select(F.col(key).alias("_key"), F.col(event_ts).alias("_et")).where(F.col("_et").isNotNull())
     if unique_anchor:
         cols = anchors.columns
+        ev = ev.distinct()  # partial aggregation: a hot key's duplicate event times collapse map-side
         j = ev.join(anchors.where(F.col(anchor_ts).isNotNull()), F.col("_key") == anchors[key])
         return j.where(F.col("_et") >= F.col(anchor_ts)).groupBy(*cols).agg(F.min("_et").alias(out))
     return _sweep(anchors, ev.distinct(), key, anchor_ts, out)

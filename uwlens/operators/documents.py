@@ -40,9 +40,11 @@ def first_documents(files: DataFrame, docs: DataFrame, classes: dict[str, Column
 
 
 def document_events(files: DataFrame, docs: DataFrame, cls: Column) -> DataFrame:
-    """Distinct (submission_number, created_dt) of live documents of one class."""
+    """(submission_number, created_dt) of live documents of one class, de-duplicated per file
+    before the file join (consumers take minima, so remaining duplicates across files of one
+    submission are harmless; the as-of operator de-duplicates its own input)."""
     per_file = docs.where(not_purged("purge_status") & cls).select("file_id", "created_dt").distinct()
-    return per_file.join(_live_files(files), "file_id").select("submission_number", "created_dt").distinct()
+    return per_file.join(_live_files(files), "file_id").select("submission_number", "created_dt")
 
 
 def tracer_extremes(tracers: DataFrame, prefilter: Column | None, mins: dict[str, Column] | None = None,
