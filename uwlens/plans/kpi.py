@@ -79,7 +79,7 @@ def _scope(t: Tables, p: ReportParams, *candidate_codes) -> Tables:
 def _scoped(t: Tables, *candidate_codes: DataFrame) -> Tables:
     """``t`` restricted to the rows of candidate submissions (all of their rows, nothing else).
 
-    Only the candidate submissions are materialised (one small written table); every restricted
+    Only the candidate submissions are materialised (one small checkpoint); every restricted
     table is then a scan plus a broadcastable semi-join on that stored set or on a restricted
     parent (files -> documents, quotes -> tracers and options)."""
     cand = candidate_codes[0]
@@ -110,7 +110,7 @@ def _spine(t: Tables, descs: tuple[str, ...]) -> DataFrame:
 def _finish(df: DataFrame, t: Tables) -> DataFrame:
     """Attach the underwriter (inner: unknown users drop the row) and the option effective date.
 
-    ``df`` is already cut to the two-week window, so it is small: it is written once (both the join
+    ``df`` is already cut to the two-week window, so it is small: it is checkpointed once (both the join
     chain and the option pruning read it) and the latest-option aggregation only sees options of
     quotes that passed the window - a broadcast semi-join instead of a shuffle of every option."""
     uw = users(t).select("user_id", "first_name", "last_name")
