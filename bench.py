@@ -35,14 +35,15 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     only = [a for a in sys.argv[1:] if a in REPORTS] or list(REPORTS)
-    spark = build_session(f"local[{cpus}]", app="uwlens-bench", shuffle_partitions=2 * cpus,
+    partitions = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(2 * cpus)))
+    spark = build_session(f"local[{cpus}]", app="uwlens-bench", shuffle_partitions=partitions,
                           extra={"spark.driver.memory": "16g"})
     # derived tables go to the session's shared checkpoint folder (a scratch folder only locally)
     scratch = f"{checkpoint_dir(spark.range(1))}/bench-tables-{os.getpid()}"
     layout = os.environ.get("BENCH_LAYOUT", "bucketed")
     t0 = time.perf_counter()
     if layout == "bucketed":  # co-located layout read through the catalog (sources/layout.py)
-        save_bucketed(derive_tables(spark, sf_dir), "uwlens_bench", scratch, int(os.environ.get("BENCH_BUCKETS", "16")))
+        save_bucketed(derive_tables(spark, sf_dir), "uwlens_bench", scratch, int(os.environ.get("BENCH_BUCKETS", str(partitions))))
         tables = load_catalog_tables(spark, "uwlens_bench")
     else:
         tables = materialize(spark, sf_dir, scratch)
@@ -60,7 +61,7 @@ def main() -> None:
         results[name] = round(statistics.median(times), 3)
     print(json.dumps({
         "metric": "sum_of_median_report_seconds", "value": round(sum(results.values()), 3), "unit": "sec",
-        "queries": results, "sf": Path(sf_dir).name.replace("sf", ""), "cpus": cpus, "runs": runs,
+        "queries": results, "sf": Path(sf_dir).name.replace("sf", ""), "cpus": cpus, "runs": runs, "shuffle_partitions": partitions,
         "fixture_build_sec": round(fixture_s, 3), "layout": layout,
     }))
     spark.stop()
