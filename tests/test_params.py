@@ -24,3 +24,13 @@ def test_ytd_quarter_and_cohorts():
     assert (p.cohorts.start, p.cohorts.end) == (date(1995, 1, 1), date(2002, 1, 1))
     q = ReportParams.of("2026-05-02", quarter_start="2026-04-01", quarter_end="2026-06-30")
     assert q.quarter.end == date(2026, 6, 30)
+
+
+def test_invalid_parameters_are_rejected():
+    import pytest
+    with pytest.raises(ValueError):
+        ReportParams.of("2001-06-15", quarter_start="2001-06-30", quarter_end="2001-04-01")
+    with pytest.raises(ValueError):
+        ReportParams.of("2001-06-15", quarter_start="2001-04-01")
+    with pytest.raises(ValueError):
+        ReportParams.of("2001-06-15", cohort_first_year=2002, cohort_last_year=2001)

@@ -86,6 +86,16 @@ class ReportParams:
     # they save.  The file list is a driver-side listing (DataFrame.inputFiles): no job runs.
     prune_min_files: int | None = 64
 
+    def __post_init__(self) -> None:
+        if (self.quarter_start is None) != (self.quarter_end is None):
+            raise ValueError("quarter_start and quarter_end go together")
+        if self.quarter_start and self.quarter_end and self.quarter_start > self.quarter_end:
+            raise ValueError("quarter_start is after quarter_end")
+        if self.cohort_first_year > self.cohort_last_year:
+            raise ValueError("cohort_first_year is after cohort_last_year")
+        if self.prune_min_files is not None and self.prune_min_files < 0:
+            raise ValueError("prune_min_files must be >= 0 or None")
+
     @staticmethod
     def of(as_of: date | str, **kw) -> "ReportParams":
         kw = {k: (_as_date(v) if k.startswith("quarter_") and v is not None else v) for k, v in kw.items()}
