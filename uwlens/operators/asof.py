@@ -43,8 +43,10 @@ def _sweep(anchors: DataFrame, ev: DataFrame, key: str, anchor_ts: str, out: str
     w_in = (Window.partitionBy("_key", "_b").orderBy(F.col("_t").desc_nulls_last(), F.col("_kind").desc())
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     swept = u.withColumn("_nb", F.min(F.when(F.col("_kind") == 1, F.col("_t"))).over(w_in))
-    # per (key, day): earliest event (NULL for anchor-only days); then the earliest of later days
-    buckets = (swept.where(F.col("_b").isNotNull()).groupBy("_key", "_b")
+    # per (key, day): earliest event (NULL for anchor-only days); then the earliest of later days.
+    # Taken from the union itself (same shuffle as the window, reused), not from the windowed rows,
+    # so the window sort runs once.
+    buckets = (u.where(F.col("_b").isNotNull()).groupBy("_key", "_b")
                .agg(F.min(F.when(F.col("_kind") == 1, F.col("_t"))).alias("_bmin")))
     w_later = Window.partitionBy("_key").orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     later = buckets.withColumn("_nl", F.min("_bmin").over(w_later)).select("_key", "_b", "_nl")
