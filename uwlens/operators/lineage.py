@@ -18,8 +18,11 @@ from pyspark.sql import DataFrame
 
 
 def checkpoint_dir(df: DataFrame) -> str:
-    """The session's ``spark.checkpoint.dir``; only when it is unset (tests, local runs) a scratch
-    folder of our own is created and recorded in the session."""
+    """The session's ``spark.checkpoint.dir``.
+
+    Only a local-mode session (tests, local runs) without that setting gets a scratch folder of
+    our own; on a cluster a machine-local folder would be invisible to other executors, so the
+    setting is required there."""
     spark = df.sparkSession
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -27,6 +30,9 @@ def checkpoint_dir(df: DataFrame) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder: reports checkpoint small "
+                               "intermediates there")
         configured = tempfile.mkdtemp(prefix="uwlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)

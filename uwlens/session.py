@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings every report relies on.  AQE re-plans joins from runtime sizes (that is the size check
@@ -36,13 +33,8 @@ def build_session(master: str = "local[*]", app: str = "uwlens", shuffle_partiti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's ``spark.checkpoint.dir``; only when it is unset (local runs, tests)
-    create a scratch folder for it.  On a cluster the setting names a shared folder."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="uwlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    """Return the cluster's ``spark.checkpoint.dir``; only a local-mode session without it gets a
+    scratch folder (see ``operators.lineage.checkpoint_dir``)."""
+    from .operators.lineage import checkpoint_dir
+
+    return checkpoint_dir(spark.range(0))
