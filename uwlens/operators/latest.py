@@ -43,17 +43,17 @@ def latest_option(options: DataFrame, payload: list[str]) -> DataFrame:
 def option_effective_date(options: DataFrame) -> DataFrame:
     """(quote_id, eff_date): TRY_CONVERT(date, effective_dt) of the latest active option."""
     eff_t = options.schema["effective_dt"].dataType
-    latest = latest_option(options.withColumn("eff_date", try_date("effective_dt", eff_t)), ["eff_date"])
-    return latest
+    return latest_option(options.withColumn("eff_date", try_date("effective_dt", eff_t)), ["eff_date"])
 
 
 def option_dollars(options: DataFrame) -> DataFrame:
     """(quote_id, prem, fees) of the latest active option: parsed premium and
-    ISNULL(taxable, 0) + ISNULL(non-taxable, 0) fees, both DECIMAL(18,2)."""
+    ISNULL(taxable, 0) + ISNULL(non-taxable, 0) fees, both DECIMAL(18,2) (NULL when a value does
+    not fit, like the source's TRY_CONVERT)."""
     s = options.schema
     prem = M.parse_money("sub_total_premium", s["sub_total_premium"].dataType)
     fees = (M.money_or_zero("total_fee_taxable", s["total_fee_taxable"].dataType)
-            + M.money_or_zero("total_fee_non_taxable", s["total_fee_non_taxable"].dataType)).cast(M.MONEY)
+            + M.money_or_zero("total_fee_non_taxable", s["total_fee_non_taxable"].dataType)).try_cast(M.MONEY)
     return latest_option(options.withColumn("prem", prem).withColumn("fees", fees), ["prem", "fees"])
 
 
