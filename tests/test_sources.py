@@ -39,3 +39,14 @@ def test_cli_writes_partitioned_reports(spark, tmp_path):
           "--report", "rpt_agency_retention", "--cohorts", "1995", "2001", "--display-names"])
     back = spark.read.parquet(str(tmp_path / "out" / "rpt_agency_retention"))
     assert back.count() > 0 and "as_of" in back.columns and "Agency Code" in back.columns
+
+
+def test_write_report_replaces_only_its_as_of_partition(spark, tmp_path):
+    from datetime import date
+    from uwlens.sources.sinks import write_report
+    out = str(tmp_path / "rep")
+    write_report(spark.createDataFrame([(1,), (2,)], "x int"), out, date(2024, 1, 1))
+    write_report(spark.createDataFrame([(3,)], "x int"), out, date(2024, 2, 1))
+    write_report(spark.createDataFrame([(9,)], "x int"), out, date(2024, 1, 1))   # re-run of January
+    got = sorted((str(r.as_of), r.x) for r in spark.read.parquet(out).collect())
+    assert got == [("2024-01-01", 9), ("2024-02-01", 3)]
