@@ -188,7 +188,7 @@ def renewals_forecast(t: Tables, p: ReportParams) -> DataFrame:
     df = (left_join_hot_right(o.join(q, "quote_id").join(sb, "submission_id", "left"), ins, ["quote_id"])
           .withColumn("agency_id", resolved_agency_id(F.col("q_producer"), F.col("s_producer")))
           .join(ag, "agency_id", "left")
-          .join(us, o.user_id_acc_executive == us.user_id, "left"))
+          .join(us, F.col("user_id_acc_executive") == us.user_id, "left"))
     return df.select(
         X.fixed_width("agency_code", 50).alias("agency_code"), X.fixed_width("agency_name", 150).alias("agency_name"),
         X.person_name_full3_trimlast("first_name", "middle_name", "last_name", 100).alias("underwriter"),
