@@ -86,10 +86,7 @@ def heatmap_detail(t: Tables, p: ReportParams) -> DataFrame:
     q = (q.join(tt, q.lkp_transaction_type_id == tt.lkp_id, "left").where(L.tt_heatmap("lkp_desc"))
          .select("quote_id", "submission_id", "policy_number", "bind_dt", "trans_finalize_dt",
                  F.col("original_producer_id").alias("q_producer"), "lkp_desc"))
-    # only the submissions of these (year-to-date) quotes matter for the left join: a semi-join on
-    # their ids keeps the whole submission table from being shuffled
-    sb = (t.bms_submission_mst.join(q.select("submission_id"), "submission_id", "left_semi")
-          .select("submission_id", F.col("original_producer_id").alias("s_producer")))
+    sb = t.bms_submission_mst.select("submission_id", F.col("original_producer_id").alias("s_producer"))
     q = q.join(sb, "submission_id", "left").withColumn("agency_id", resolved_agency_id(F.col("q_producer"), F.col("s_producer")))
     ins = t.bms_quote_insured_mst
     prod = small(t.adm_co_products.select("product_id", "product_name", "class_type_id"), bound_by=t.adm_co_products)
@@ -143,7 +140,8 @@ def quotes_due(t: Tables, p: ReportParams) -> DataFrame:
     q = (q.join(tt, q.lkp_transaction_type_id == tt.lkp_id, "left")
          .select("quote_id", "submission_id", "quote_code", F.col("original_producer_id").alias("q_producer"),
                  "lkp_desc", "main_status_text"))
-    # options are cut to the quarter, so only their quotes' submissions matter (see heatmap_detail)
+    # options are cut to the quarter, so only their quotes' submissions matter for the left join: a
+    # semi-join on that small id set keeps the whole submission table from being shuffled
     sb = (t.bms_submission_mst.join(q.join(o.select("quote_id"), "quote_id", "left_semi").select("submission_id"),
                                     "submission_id", "left_semi")
           .select("submission_id", "submission_code", F.col("original_producer_id").alias("s_producer")))
