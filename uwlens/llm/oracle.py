@@ -30,14 +30,14 @@ cut AS (SELECT pair_id, coalesce(min(place) FILTER (n < 2 OR kinds > 1) - 1, max
 seg AS (SELECT p.pair_id, p.side, p.place, p.role, c.prompt_turns, p.place <= c.prompt_turns AS shared, {render} AS body,
                length('<|' || role || '|>' || chr(10)) AS head FROM placed p JOIN cut c USING (pair_id)),
 laid AS (SELECT *, coalesce(sum(length(body)) OVER (PARTITION BY pair_id, side, shared ORDER BY place
-                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM seg)
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot FROM seg)
 SELECT pair_id, max(prompt_turns) AS prompt_turns,
        coalesce(string_agg(body, '' ORDER BY place) FILTER (shared AND side = 'chosen'), '') AS prompt,
        coalesce(string_agg(body, '' ORDER BY place) FILTER (NOT shared AND side = 'chosen'), '') AS chosen,
        coalesce(string_agg(body, '' ORDER BY place) FILTER (NOT shared AND side = 'rejected'), '') AS rejected,
-       coalesce(string_agg((at + head)::BIGINT || ':' || (at + length(body) - 1)::BIGINT, ',' ORDER BY place)
+       coalesce(string_agg((spot + head)::BIGINT || ':' || (spot + length(body) - 1)::BIGINT, ',' ORDER BY place)
                 FILTER (NOT shared AND side = 'chosen' AND role = 'assistant'), '') AS chosen_mask,
-       coalesce(string_agg((at + head)::BIGINT || ':' || (at + length(body) - 1)::BIGINT, ',' ORDER BY place)
+       coalesce(string_agg((spot + head)::BIGINT || ':' || (spot + length(body) - 1)::BIGINT, ',' ORDER BY place)
                 FILTER (NOT shared AND side = 'rejected' AND role = 'assistant'), '') AS rejected_mask
 FROM laid GROUP BY pair_id"""
 
@@ -110,8 +110,8 @@ WITH m AS (SELECT doc_id, regexp_replace(regexp_replace({_LOWER}, '[.!?;:]+([\x0
 cut AS (SELECT doc_id, 'line' AS how, string_split(replace(t, chr(1), chr(10)), chr(10)) AS parts FROM m
         UNION ALL SELECT doc_id, 'mark', string_split(replace(t, chr(10), ' '), chr(1)) FROM m),
 known(sentence, id) AS (VALUES {known}),
-s AS (SELECT doc_id, how, trim(unnest(parts)) AS sentence, generate_subscripts(parts, 1) AS at FROM cut),
-seq AS (SELECT doc_id, how, list(id ORDER BY at) FILTER (id IS NOT NULL) AS ids, count(*) FILTER (sentence <> '') AS n
+s AS (SELECT doc_id, how, trim(unnest(parts)) AS sentence, generate_subscripts(parts, 1) AS spot FROM cut),
+seq AS (SELECT doc_id, how, list(id ORDER BY spot) FILTER (id IS NOT NULL) AS ids, count(*) FILTER (sentence <> '') AS n
         FROM s LEFT JOIN known USING (sentence) GROUP BY doc_id, how),
 both_cuts AS (SELECT l.doc_id, l.n, CASE WHEN coalesce(len(k.ids), 0) > coalesce(len(l.ids), 0) THEN k.ids ELSE l.ids END AS ids,
               coalesce(array_to_string(list_transform(l.ids, x -> '|' || x || '|'), ''), '') AS line_seq,
