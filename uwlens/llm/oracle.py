@@ -114,11 +114,11 @@ s AS (SELECT doc_id, how, trim(unnest(parts)) AS sentence, generate_subscripts(p
 seq AS (SELECT doc_id, how, list(id ORDER BY spot) FILTER (id IS NOT NULL) AS ids, count(*) FILTER (sentence <> '') AS n
         FROM s LEFT JOIN known USING (sentence) GROUP BY doc_id, how),
 both_cuts AS (SELECT l.doc_id, l.n, CASE WHEN coalesce(len(k.ids), 0) > coalesce(len(l.ids), 0) THEN k.ids ELSE l.ids END AS ids,
-              coalesce(array_to_string(list_transform(l.ids, x -> '|' || x || '|'), ''), '') AS line_seq,
-              coalesce(array_to_string(list_transform(k.ids, x -> '|' || x || '|'), ''), '') AS mark_seq
+              coalesce(array_to_string(list_transform(l.ids, lambda x: '|' || x || '|'), ''), '') AS line_seq,
+              coalesce(array_to_string(list_transform(k.ids, lambda x: '|' || x || '|'), ''), '') AS mark_seq
        FROM seq l JOIN seq k ON l.doc_id = k.doc_id AND l.how = 'line' AND k.how = 'mark')
 SELECT doc_id, n AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
-       coalesce(array_to_string(list_sort(list_distinct(list_filter([{cases}], x -> x IS NOT NULL))), ','), '') AS licenses FROM both_cuts"""
+       coalesce(array_to_string(list_sort(list_distinct(list_filter([{cases}], lambda x: x IS NOT NULL))), ','), '') AS licenses FROM both_cuts"""
 
 
 def all_sql() -> dict[str, str]:
