@@ -123,7 +123,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     marked = F.regexp_replace(F.regexp_replace(ascii_lower(whole_text(F.col(f"`{text_col}`"))), ENDS, "\x01"), OTHER, " ")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), marked.alias("marked"))
     cut = packed.select("row", F.split("marked", "[\x01\n]").alias("by_line"),
-                        F.split(F.translate("marked", "\n", " "), "\x01").alias("by_mark"))
+                        F.split(F.regexp_replace("marked", "[ \n]+", " "), "\x01").alias("by_mark"))
     known = cut.select("row", F.size(F.filter("by_line", lambda s: F.trim(s) != "")).cast("bigint").alias("n"),
                        _sequence(F.col("by_line")).alias("line_ids"), _sequence(F.col("by_mark")).alias("mark_ids"))
     barred = known.select("row", "n", F.when(F.size("mark_ids") > F.size("line_ids"), F.col("mark_ids")).otherwise(F.col("line_ids")).alias("ids"),

@@ -11,11 +11,11 @@ No bucket is expanded into all pairs, and none is capped:
 
 1. *Stars.*  Each bucket proposes links from its members to one hub, the member that meets most others
    over all its buckets (for copies of one original that is the original): pairs grow with the rows.
-2. *Rest.*  Members that their buckets' stars left in different components are compared by an exact
-   prefix filter over signature positions: two sets at the threshold agree in at least ``m`` of the
-   ``n`` positions (but for probability ``miss``), so they share one of their ``n - m + 1`` rarest
-   position values.  Values nobody else has drop out, which is what far copies of one text have most.
-   Only pairs across components are made.
+2. *Rest.*  Members that their buckets' stars left in different components are joined by an exact
+   prefix filter over their shingles, rarest first: two sets at the threshold share one of their first
+   ``n - ceil(threshold n) + 1`` shingles, and what follows the shared one still has to suffice for the
+   overlap the threshold asks.  A shingle nobody else has takes its place but joins nothing, so far
+   copies of one text, which differ in many places, drop out.  Only pairs across components are made.
 
 Links form components (``components``).  Defined results: null or empty text has no shingles, is its
 own component and links with nothing; a set that only rows without an id have is linked with nothing
@@ -106,8 +106,15 @@ def _node(shingles: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
 
 
+def _slices(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """Smaller frames, so that a worker holds the sets of few texts at once."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at:at + rows]
+
+
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
+    for rows in _slices(batches):
         hashes = _WordHashes()
         sets = [shingle_set(t, hashes) for t in rows["text"]]
         full = [s for s in sets if len(s)]
@@ -144,11 +151,6 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
     return next(m for m in range(n + 1) if _binomial_at_most(n + 1, threshold, m) >= miss)
 
 
-def least_agreement(threshold: float, miss: float) -> int:
-    """Positions at least that a pair at the threshold agrees in, but for probability ``miss``."""
-    return next(m for m in range(HASHES + 1) if _binomial_at_most(HASHES, threshold, m) >= miss)
-
-
 def _plausible(threshold: float, miss: float):
     bounds = [(n, least_matches(n, threshold, miss)) for n in range(BATCH, HASHES + 1, BATCH)]
 
@@ -178,7 +180,7 @@ def _confirm(ratio: tuple[int, int]):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_text, last_set, last_node = None, None, None
-        for rows in batches:
+        for rows in _slices(batches):
             hashes = _WordHashes()
             linked = []
             for a, b, mine, other in zip(rows["a"], rows["b"], rows["text_a"], rows["text_b"], strict=True):
@@ -194,6 +196,15 @@ def _confirm(ratio: tuple[int, int]):
     return run
 
 
+def _texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, text) of the wanted nodes; a bounded bitmap of their ids keeps other texts from shuffling."""
+    ends = scratch.save(wanted.join(nodes.select("node", F.col("doc_id").cast("string").alias("doc_id")), "node"), f"{name}-needed")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(ID_FILTER_BITS))
+    marked = bitmap_of(ends.select(slot.alias("slot")).distinct(), "slot")
+    near = flagged_by(texts.withColumn("slot", slot), marked, "slot", "wanted").where("wanted").drop("slot", "wanted")
+    return ends.join(near, "doc_id").select("node", "text")
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, ratio: tuple[int, int], miss: float,
            scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) whose sets reach the ratio: signature batches first, then full sets."""
@@ -202,13 +213,8 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, ratio: tuple[in
               .join(sig.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b")
               .where(_plausible(ratio[0] / ratio[1], miss)("sig_a", "sig_b")).select("a", "b"))
     judged = scratch.save(judged, f"{name}-survivors")
-    ends = nodes.select("node", F.col("doc_id").cast("string").alias("doc_id"))
-    needed = judged.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(ends, "node")
-    needed = scratch.save(needed, f"{name}-needed")
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(ID_FILTER_BITS))
-    wanted = bitmap_of(needed.select(slot.alias("slot")).distinct(), "slot")
-    body = flagged_by(texts.withColumn("slot", slot), wanted, "slot", "wanted").where("wanted").drop("slot", "wanted")
-    body = scratch.save(needed.join(body, "doc_id").select("node", "text"), f"{name}-texts")
+    wanted = judged.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    body = scratch.save(_texts_of(wanted, nodes, texts, scratch, name), f"{name}-texts")
     both = (judged.join(body.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
             .join(body.withColumnsRenamed({"node": "b", "text": "text_b"}), "b"))
     links = scratch.save(both.mapInPandas(_confirm(ratio), "a binary, b binary").distinct(), f"{name}-links")
@@ -246,29 +252,41 @@ def _open_nodes(members: DataFrame, roots: DataFrame) -> DataFrame:
             .where("open > 1").select("node", "root"))
 
 
-def _rest_pairs(open_nodes: DataFrame, nodes: DataFrame, tested: DataFrame, threshold: float, miss: float,
+def _shingle_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in _slices(batches):
+        hashes = _WordHashes()
+        sets = [shingle_set(t, hashes) for t in rows["text"]]
+        mine = [_node(x) == node for x, node in zip(sets, rows["node"], strict=True)]
+        out = pd.DataFrame({"node": rows["node"], "root": rows["root"], "shingles": [x.view(np.int64) for x in sets]})
+        yield out[mine]
+
+
+def _rest_pairs(open_nodes: DataFrame, nodes: DataFrame, texts: DataFrame, tested: DataFrame, ratio: tuple[int, int],
                 scratch: Scratch) -> DataFrame:
-    """Pairs of open nodes in different components that share one of their rarest signature values."""
-    prefix = HASHES - least_agreement(threshold, miss) + 1
-    value = F.col("sig").substr((F.col("j") * 4 + 1).cast("int"), F.lit(4))
-    values = (open_nodes.join(nodes.select("node", "sig"), "node")
-              .select("node", "root", "sig", F.explode(F.sequence(F.lit(0), F.lit(HASHES - 1))).alias("j"))
-              .select("node", "root", F.xxhash64("j", value).alias("value")))
-    common = (values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    shared = values.join(common, "value")
-    ordered = shared.groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))
-    # values nobody else has come first in a node's order and use up prefix places
-    places = F.lit(prefix) - (F.lit(HASHES) - F.size("own"))
+    """Pairs of open nodes in different components that a prefix filter over their shingles leaves."""
+    num, den = ratio
+    body = _texts_of(open_nodes.select("node"), nodes, texts, scratch, "open").join(open_nodes, "node")
+    sets = body.select("node", "text", "root").mapInPandas(_shingle_lists, "node binary, root binary, shingles array<bigint>")
+    sets = scratch.save(sets.dropDuplicates(["node"]).withColumn("n", F.size("shingles")), "open-sets")
+    values = sets.select("node", "root", "n", F.explode("shingles").alias("value"))
+    common = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ordered = (values.join(common, "value").groupBy("node", "root", "n")
+               .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))
+               .withColumn("alone", F.col("n") - F.size("own")))
+    places = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1 - F.col("alone")
     rare = scratch.save(ordered.where(places > 0)
-                        .select("node", "root", F.explode(F.slice("own", F.lit(1), places)).alias("v"))
-                        .select("node", "root", F.col("v.value").alias("value")), "rare")
+                        .select("node", "root", "n", "alone", F.posexplode(F.slice("own", F.lit(1), places)).alias("i", "v"))
+                        .select("node", "root", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("left"), F.col("v.value").alias("value")), "rare")
     # per value, every node outside the value's largest component meets the nodes of other components
     sizes = rare.groupBy("value", "root").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("value").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     placed = rare.join(main.select("value", F.col("top.root").alias("main")), "value")
-    left = placed.where(F.col("root") != F.col("main")).select("value", F.col("node").alias("a"), F.col("root").alias("ra"))
-    right = placed.select("value", F.col("node").alias("b"), F.col("root").alias("rb"), "main")
-    met = left.join(right, "value").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))))
+    left = placed.where(F.col("root") != F.col("main")).select(
+        "value", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("left").alias("la"))
+    right = placed.select("value", "main", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("left").alias("lb"))
+    # from the shared value on, the shorter rest bounds the overlap
+    enough = F.least("la", "lb") * (num + den) >= num * (F.col("na") + F.col("nb"))
+    met = left.join(right, "value").where(enough & (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))))
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.join(done, ["a", "b"], "left_anti")
@@ -289,7 +307,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _links(stars, nodes, texts, ratio, miss, scratch, "star")
     roots = scratch.save(components(links, scratch, "star-cc"), "star-roots")
     open_nodes = scratch.save(_open_nodes(members, roots), "open")
-    rest = scratch.save(_rest_pairs(open_nodes, nodes, stars, ratio[0] / ratio[1], miss, scratch), "rest")
+    rest = scratch.save(_rest_pairs(open_nodes, nodes, texts, stars, ratio, scratch), "rest")
     links = links.union(_links(rest, nodes, texts, ratio, miss, scratch, "rest"))
     roots = scratch.save(components(links, scratch, "cc"), "roots")
 

@@ -108,7 +108,7 @@ def _op9() -> str:
 WITH m AS (SELECT doc_id, regexp_replace(regexp_replace({_LOWER}, '[.!?;:]+([\x09-\x0D\x20]|$)', chr(1) || '\1', 'g'),
                                          '[^a-z0-9\x01\n]+', ' ', 'g') AS t FROM documents),
 cut AS (SELECT doc_id, 'line' AS how, string_split(replace(t, chr(1), chr(10)), chr(10)) AS parts FROM m
-        UNION ALL SELECT doc_id, 'mark', string_split(replace(t, chr(10), ' '), chr(1)) FROM m),
+        UNION ALL SELECT doc_id, 'mark', string_split(regexp_replace(t, '[ \n]+', ' ', 'g'), chr(1)) FROM m),
 known(sentence, id) AS (VALUES {known}),
 s AS (SELECT doc_id, how, trim(unnest(parts)) AS sentence, generate_subscripts(parts, 1) AS spot FROM cut),
 seq AS (SELECT doc_id, how, list(id ORDER BY spot) FILTER (id IS NOT NULL) AS ids, count(*) FILTER (sentence <> '') AS n
