@@ -96,7 +96,7 @@ def like_pattern(ids: tuple[str, ...]) -> str:
 
 
 def _sequence(parts: Column) -> Column:
-    trimmed = F.filter(F.transform(parts, F.trim), lambda s: s.isin(*SENTENCE_IDS))
+    trimmed = F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s.isin(*SENTENCE_IDS))
     table = F.create_map(*[F.lit(x) for pair in SENTENCE_IDS.items() for x in pair])
     return F.transform(trimmed, lambda s: F.element_at(table, s))
 
