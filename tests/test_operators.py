@@ -7,7 +7,7 @@ from uwlens.operators.asof import first_at_or_after
 from uwlens.operators.distinct import distinct_flags, merge_on
 from uwlens.operators.existence import min_over_sources, semi_join_any
 from uwlens.operators.latest import latest_option, preferred_quote, top1
-from uwlens.operators.lookup import fits, small
+from uwlens.operators.lookup import first_row_per_key
 
 
 def test_top1_desc_puts_null_last_and_breaks_ties(spark):
@@ -96,11 +96,9 @@ def test_semi_join_any_and_min_over_sources(spark):
     assert got == [(1, 1, "2024-01-03"), (2, 1, "2024-01-02")]
 
 
-def test_small_broadcasts_only_under_the_bound(spark):
-    df = spark.range(50)
-    assert fits(df, 50) and not fits(spark.range(51), 50)
-    plan = df.join(small(spark.range(10), 100), "id")._jdf.queryExecution().executedPlan().toString()
-    assert "Broadcast" in plan
+def test_first_row_per_key_takes_one_whole_row(spark):
+    df = spark.createDataFrame([(1, "b", "x"), (1, "a", "z"), (2, "c", None)], "k int, code string, name string")
+    assert sorted(tuple(r) for r in first_row_per_key(df, "k", ["code", "name"]).collect()) == [(1, "a", "z"), (2, "c", None)]
 
 
 def test_left_join_hot_right_equals_left_join(spark):

@@ -34,10 +34,47 @@ def test_scorecard_has_no_expand(spark, parquet_tables, capsys):
     assert "Expand" not in plan
 
 
-def test_window_bounds_reach_the_parquet_scan(spark, parquet_tables, capsys):
+def test_window_bounds_reach_the_parquet_scan(spark, parquet_tables, capsys, monkeypatch):
     from __spark_entry__ import fixture_params
+    from uwlens.plans import reports
+    monkeypatch.setattr(reports, "materialized", lambda df: df)  # else the bounds are below a checkpoint
     plan = _plan(REPORTS["rpt_heatmap_detail"](parquet_tables, fixture_params()), capsys)
     scans = [line for line in plan.splitlines() if line.startswith("PushedFilters")]
     assert any("GreaterThanOrEqual(created_dt,2001-01-01)" in s and "LessThan(created_dt,2001-06-16)" in s for s in scans)
     plan = _plan(REPORTS["rpt_quotes_due"](parquet_tables, fixture_params()), capsys)
     assert "LessThanOrEqual(proposed_eff_date,2001-06-30)" in plan
+
+
+@pytest.mark.parametrize("name,module", [("rpt_agency_scorecard", "scorecard"), ("rpt_quotes_due", "reports")])
+def test_options_are_scanned_once(spark, parquet_tables, capsys, monkeypatch, name, module):
+    """Over the materialised parts and the final plan together."""
+    import importlib
+
+    from __spark_entry__ import fixture_params
+    owner, parts = importlib.import_module(f"uwlens.plans.{module}"), []
+    real = owner.materialized
+
+    def recorded(df):
+        parts.append(_plan(df, capsys))
+        return real(df)
+
+    monkeypatch.setattr(owner, "materialized", recorded)
+    parts.append(_plan(REPORTS[name](parquet_tables, fixture_params()), capsys))
+    located = [line for plan in parts for line in plan.splitlines() if line.startswith("Location") and "bms_options_mst" in line]
+    assert len(located) == 1
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(REPORTS) if n.startswith("rpt_kpi")])
+def test_kpi_candidates_push_the_window_into_their_scans(spark, parquet_tables, capsys, monkeypatch, name):
+    from __spark_entry__ import fixture_params
+    from uwlens.plans import kpi
+    parts, real = [], kpi.materialized
+
+    def recorded(df):
+        parts.append(_plan(df, capsys))
+        return real(df)
+
+    monkeypatch.setattr(kpi, "materialized", recorded)
+    REPORTS[name](parquet_tables, fixture_params())
+    pushed = [line for line in parts[0].splitlines() if line.startswith("PushedFilters")]
+    assert any("GreaterThanOrEqual(created_dt" in line and "LessThan(created_dt" in line for line in pushed)

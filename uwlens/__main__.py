@@ -17,6 +17,7 @@ from pyspark.sql import SparkSession
 from .params import ReportParams
 from .plans import REPORTS
 from .plans.display import with_display_names
+from .session import configured
 from .sources import load_catalog_tables, load_tables, write_report
 
 
@@ -38,7 +39,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.cohorts:
         kw.update(cohort_first_year=a.cohorts[0], cohort_last_year=a.cohorts[1])
     params = ReportParams.of(a.as_of, **kw)
-    spark = SparkSession.builder.appName("uwlens").getOrCreate()
+    spark = configured(SparkSession.builder.appName("uwlens")).getOrCreate()
     tables = load_catalog_tables(spark, a.catalog_db) if a.catalog_db else load_tables(spark, a.tables)
     for name in a.report or sorted(REPORTS):
         df = REPORTS[name](tables, params)

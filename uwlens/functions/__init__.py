@@ -9,7 +9,7 @@ from .labels import (doc_is_bind_request, doc_is_binder_sent, doc_is_endorsement
                      like_any, policy_status, sla_band_calendar, sla_band_max, sla_band_min, tracer_is_endorsement,
                      tracer_is_endorsement_finalized, tracer_is_endorsement_start, tracer_is_quote,
                      tracer_is_quote_sent, tt_forecast, tt_heatmap)
-from .money import FINE, MONEY, RATIO, fine_ratio, money_or_zero, money_text, parse_money, ratio4
+from .money import FINE, MONEY, RATIO, money_or_zero, money_text, parse_money, ratio4
 from .text import (fixed_width, person_name_full3, person_name_full3_trimlast, person_name_short, strip,
                    strip_or_empty)
 

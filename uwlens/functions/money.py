@@ -48,9 +48,3 @@ def ratio4(num: ColumnLike, den: ColumnLike) -> Column:
     """Count ratio as DECIMAL(18,4) rounded half-up; NULL when the denominator is 0 or NULL."""
     n, d = _c(num).cast(RATIO), _c(den).cast(RATIO)
     return F.when(_c(den) != 0, (n / d).cast(RATIO))
-
-
-def fine_ratio(num: ColumnLike, den: ColumnLike) -> Column:
-    """DECIMAL(18,6) / NULLIF(DECIMAL(18,6), 0) at the division's full result scale."""
-    n, d = _c(num).cast(FINE), _c(den).cast(FINE)
-    return n / F.nullif(d, F.lit(0).cast(FINE))

@@ -1,11 +1,12 @@
-"""Top-1 per group as an aggregate (skew-safe), not as a sort.
-
-``TOP 1 ... ORDER BY`` per key is computed with ``max``/``min`` over a struct whose leading fields
-are the order keys: struct ordering is lexicographic, so the extreme struct *is* the first row.
-Being an aggregate, it is partially evaluated before the shuffle (one row per key per map task),
-so a key holding a third of all rows costs no more than any other key, and no partition ever has
-to hold or sort a whole group.  Order ties are broken by the remaining payload fields, which makes
-the pick deterministic where the source ordering leaves it undefined.
+"""Top-1 per group as an aggregate, so that a hot key is reduced before the shuffle.
+
+The first row of an order per key is ``max``/``min`` over a struct whose leading fields are the order
+keys: struct ordering is lexicographic, so the extreme struct *is* the first row.  A struct has no
+fixed-width buffer, so Spark plans it as sort-based aggregation: each map task sorts its rows by key and
+sends one row per key, and the reduce side sorts those.  A key holding a third of all rows therefore
+costs one row per task in the shuffle, and no window holds a whole group; the map-side sort remains.
+Order ties are broken by the remaining payload fields, which makes the pick deterministic where the
+source ordering leaves it undefined.
 """
 
 from __future__ import annotations

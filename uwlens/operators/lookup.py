@@ -1,13 +1,7 @@
-"""Joins to small code tables, broadcast only behind a proven row bound.
+"""Scalar lookups in code tables.
 
-A lookup (users, agencies, transaction types, statuses, ...) is broadcast only after a bounded
-probe shows it has at most ``max_rows`` rows.  The probe takes ``max_rows + 1`` rows of a constant
-column: ``take`` scans partitions incrementally (one, then a growing number) and stops as soon as
-enough rows are found, so it stays cheap even when the table is unexpectedly huge, and at most
-``max_rows + 1`` one-field rows reach the driver.  (``limit(n).count()`` would instead run every
-scan task of the table.)  Beyond the bound the join is left to the planner (sort-merge / shuffled
-hash, with AQE converting it to a broadcast at run time if the *filtered* side turns out small).
-Fact tables are never hinted.
+Joins to code tables carry no hint: ``spark.sql.autoBroadcastJoinThreshold`` and AQE choose a broadcast
+from byte sizes (statistics, then run time), and a table that has grown is joined by shuffle instead.
 """
 
 from __future__ import annotations
@@ -15,34 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 200_000
-
-_ATTR = "_uwlens_row_bound"
-
-
-def fits(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (memoised on the DataFrame object)."""
-    cached = getattr(df, _ATTR, None)
-    if cached is not None and cached[0] == max_rows:
-        return cached[1]
-    ok = len(df.select(F.lit(1).alias("_one")).take(max_rows + 1)) <= max_rows
-    try:
-        setattr(df, _ATTR, (max_rows, ok))
-    except AttributeError:  # pragma: no cover - DataFrame implementations without __dict__
-        pass
-    return ok
-
-
-def small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, bound_by: DataFrame | None = None) -> DataFrame:
-    """``broadcast(df)`` when its size is proven bounded, else ``df`` unchanged.
-
-    ``bound_by`` is a DataFrame known to hold at least as many rows as ``df`` (typically the
-    unfiltered table ``df`` was filtered from); probing it instead lets one memoised probe per
-    table serve every filtered use of that table in a run."""
-    return F.broadcast(df) if fits(df if bound_by is None else bound_by, max_rows) else df
-
 
 def first_row_per_key(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """One row per ``key`` for scalar lookups (``SELECT TOP 1 ... WHERE id = x`` without an order):
-    per column, the lowest non-NULL value.  Partial aggregation makes it safe for any key skew."""
-    return df.groupBy(key).agg(*[F.min(c).alias(c) for c in cols])
+    """One row per ``key`` for scalar lookups (one row of an id, without an order): the least row, taken
+    as a whole, so that a duplicated id never pairs one row's code with another row's name.  Partial
+    aggregation makes it safe for any key skew."""
+    least = df.groupBy(key).agg(F.min(F.struct(*cols)).alias("_row"))
+    return least.select(key, *[F.col(f"_row.{c}").alias(c) for c in cols])

@@ -73,7 +73,6 @@ class ReportParams:
     ``quarter_start``/``quarter_end`` is the closed proposed-effective window of the quotes-due
     report; when not given it is the calendar quarter containing ``as_of``.
     ``cohort_first_year``/``cohort_last_year`` bound the retention cohorts.
-    ``prune_min_files`` switches the KPI reports' candidate pruning (see ``plans.kpi``).
     """
 
     as_of: date
@@ -81,10 +80,6 @@ class ReportParams:
     quarter_end: date | None = None
     cohort_first_year: int = 2020
     cohort_last_year: int = 2026
-    # KPI candidate pruning is used when the document or tracer table is stored in at least this
-    # many files (0 = always, None = never); below it the extra jobs cost more than the shuffles
-    # they save.  The file list is a driver-side listing (DataFrame.inputFiles): no job runs.
-    prune_min_files: int | None = 64
 
     def __post_init__(self) -> None:
         if (self.quarter_start is None) != (self.quarter_end is None):
@@ -93,8 +88,6 @@ class ReportParams:
             raise ValueError("quarter_start is after quarter_end")
         if self.cohort_first_year > self.cohort_last_year:
             raise ValueError("cohort_first_year is after cohort_last_year")
-        if self.prune_min_files is not None and self.prune_min_files < 0:
-            raise ValueError("prune_min_files must be >= 0 or None")
 
     @staticmethod
     def of(as_of: date | str, **kw) -> "ReportParams":

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import filters as FL
-from ..operators.lookup import first_row_per_key, small
+from ..operators.lookup import first_row_per_key
 from ..sources.catalog import Tables
 
 
@@ -22,16 +22,16 @@ def live_quotes(t: Tables) -> DataFrame:
 
 def types_where(t: Tables, pred: Column | None = None) -> DataFrame:
     tt = t.adm_bm_lkp_transaction_types
-    return small(tt if pred is None else tt.where(pred), bound_by=tt)
+    return tt if pred is None else tt.where(pred)
 
 
 def users(t: Tables) -> DataFrame:
-    return small(t.adm_co_users)
+    return t.adm_co_users
 
 
 def agencies(t: Tables, pred: Column | None = None) -> DataFrame:
     ag = t.adm_co_agencies
-    return small(ag if pred is None else ag.where(pred), bound_by=ag)
+    return ag if pred is None else ag.where(pred)
 
 
 def quotes_with_type(t: Tables, descs: tuple[str, ...] | None = None) -> DataFrame:
@@ -58,7 +58,7 @@ def agency_scalar_lookup(t: Tables) -> DataFrame:
     ``SELECT TOP 1 LTRIM(RTRIM(col)) FROM agencies WHERE agency_id = x`` lookups."""
     ag = t.adm_co_agencies.select("agency_id", F.trim("agency_code").alias("agency_code"),
                                   F.trim("agency_name").alias("agency_name"))
-    return small(first_row_per_key(ag, "agency_id", ["agency_code", "agency_name"]), bound_by=t.adm_co_agencies)
+    return first_row_per_key(ag, "agency_id", ["agency_code", "agency_name"])
 
 
 def sort_for_output(df: DataFrame, keys: list[Column], tiebreak: list[str]) -> DataFrame:

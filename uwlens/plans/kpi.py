@@ -30,7 +30,6 @@ from ..operators.asof import first_at_or_after
 from ..operators.documents import document_events, first_documents, tracer_extremes
 from ..operators.latest import option_effective_date, preferred_quote
 from ..operators.lineage import materialized
-from ..operators.lookup import small
 from ..params import ReportParams
 from ..sources.catalog import Tables
 from .common import live_submissions, quotes_with_type, sort_for_output, users
@@ -58,24 +57,6 @@ def _tracer_codes(t: Tables, tracer_pred, w) -> DataFrame:
     return t.bms_submission_mst.join(q, "submission_id", "left_semi").select("submission_code")
 
 
-def _should_prune(t: Tables, p: ReportParams) -> bool:
-    """Size-based strategy choice: prune when the document or tracer table spans at least
-    ``p.prune_min_files`` files (a driver-side listing, no job).  Both strategies give identical
-    results; the choice only affects speed."""
-    if p.prune_min_files is None:
-        return False
-    if p.prune_min_files == 0:
-        return True
-    files = max(len(t.dms_document_detail_mst.inputFiles()), len(t.bms_tracers.inputFiles()))
-    return files >= p.prune_min_files
-
-
-def _scope(t: Tables, p: ReportParams, *candidate_codes) -> Tables:
-    """``t`` restricted to candidate submissions when pruning pays off, else ``t`` itself.
-    ``candidate_codes`` are zero-argument callables, so nothing is planned when not pruning."""
-    return _scoped(t, *[c() for c in candidate_codes]) if _should_prune(t, p) else t
-
-
 def _scoped(t: Tables, *candidate_codes: DataFrame) -> Tables:
     """``t`` restricted to the rows of candidate submissions (all of their rows, nothing else).
 
@@ -129,16 +110,16 @@ def kpi1_submission_to_quote(t: Tables, p: ReportParams) -> DataFrame:
     """Business days from submission received to first quote sent (New Business only)."""
     w = p.weeks
     # candidates: a quote document, or a 'Quote%' tracer (any sub-type: a superset), in the window
-    t = _scope(t, p, lambda: _doc_codes(t, L.doc_is_quote_to_agent("document_name"), w),
-               lambda: _tracer_codes(t, L.tracer_is_quote("tracer_desc"), w))
+    t = _scoped(t, _doc_codes(t, L.doc_is_quote_to_agent("document_name"), w),
+                _tracer_codes(t, L.tracer_is_quote("tracer_desc"), w))
     sb = live_submissions(t).select("submission_id", "submission_code",
                                     F.col("created_dt").alias("sb_created_dt"), "user_id_accexecutive")
     nb = quotes_with_type(t, (V.TT_NEW_BUSINESS,))
     pq = preferred_quote(nb, ["quote_id", "quote_code", "policy_number", "bind_dt", "trans_finalize_dt"])
     docs = first_documents(t.dms_file_mst, t.dms_document_detail_mst,
                            {"quote_doc_dt": L.doc_is_quote_to_agent("document_name")})
-    sspns = small(t.adm_bm_tracer_sub_types.where(F.col("tracer_type_code") == V.TRACER_SUBTYPE_QUOTE)
-                  .select("tracer_sub_type_id"), bound_by=t.adm_bm_tracer_sub_types)
+    sspns = (t.adm_bm_tracer_sub_types.where(F.col("tracer_type_code") == V.TRACER_SUBTYPE_QUOTE)
+                  .select("tracer_sub_type_id"))
     trc = tracer_extremes(t.bms_tracers.join(sspns, "tracer_sub_type_id"), L.tracer_is_quote("tracer_desc"),
                           mins={"quote_tracer_dt": F.lit(True)})
     df = (sb.join(pq, "submission_id")
@@ -162,7 +143,7 @@ def kpi1_submission_to_quote(t: Tables, p: ReportParams) -> DataFrame:
 def kpi2_binder(t: Tables, p: ReportParams) -> DataFrame:
     """Business days (inclusive) from binder request to the first binder sent at or after it."""
     w = p.weeks
-    t = _scope(t, p, lambda: _doc_codes(t, L.doc_is_binder_sent("document_name"), w))
+    t = _scoped(t, _doc_codes(t, L.doc_is_binder_sent("document_name"), w))
     req = first_documents(t.dms_file_mst, t.dms_document_detail_mst,
                           {"req_dt": L.doc_is_bind_request("document_name")})
     binders = document_events(t.dms_file_mst, t.dms_document_detail_mst, L.doc_is_binder_sent("document_name"))
@@ -195,9 +176,9 @@ def kpi3_endorsement(t: Tables, p: ReportParams) -> DataFrame:
     """Business days (inclusive) from the latest endorsement request to the endorsement sent:
     the first endorsement document at or after the request, else the latest finalized tracer."""
     w = p.weeks
-    t = _scope(t, p, lambda: _doc_codes(t, L.doc_is_endorsement_sent("document_name"), w),
-               lambda: _tracer_codes(t, L.tracer_is_endorsement("tracer_desc")
-                                     & L.tracer_is_endorsement_finalized("tracer_desc"), w))
+    t = _scoped(t, _doc_codes(t, L.doc_is_endorsement_sent("document_name"), w),
+                _tracer_codes(t, L.tracer_is_endorsement("tracer_desc")
+                                      & L.tracer_is_endorsement_finalized("tracer_desc"), w))
     span = tracer_extremes(t.bms_tracers, L.tracer_is_endorsement("tracer_desc"), maxs={
         "req_dt": L.tracer_is_endorsement_start("tracer_desc"),
         "fin_dt": L.tracer_is_endorsement_finalized("tracer_desc")})
@@ -226,8 +207,8 @@ def kpi3_endorsement(t: Tables, p: ReportParams) -> DataFrame:
 def kpi4_policy_sent(t: Tables, p: ReportParams) -> DataFrame:
     """Calendar days from policy effective date to policy sent (document, else finalize date)."""
     w = p.weeks
-    t = _scope(t, p, lambda: _doc_codes(t, L.doc_is_policy_sent("document_name"), w),
-               lambda: _quote_codes(t, D.in_window("trans_finalize_dt", w.start, w.end)))
+    t = _scoped(t, _doc_codes(t, L.doc_is_policy_sent("document_name"), w),
+                _quote_codes(t, D.in_window("trans_finalize_dt", w.start, w.end)))
     docs = first_documents(t.dms_file_mst, t.dms_document_detail_mst,
                            {"policy_doc_dt": L.doc_is_policy_sent("document_name")})
     sp = _spine(t, V.TT_NB_AND_RENEWAL)
@@ -251,10 +232,10 @@ def kpi5_renewal_lead(t: Tables, p: ReportParams) -> DataFrame:
     Sent date priority: quote-to-agent document, renewal invoice document, quote-sent tracer,
     quote date, quote creation."""
     w = p.weeks
-    t = _scope(t, p, lambda: _doc_codes(t, L.doc_is_quote_to_agent_prefix("document_name")
-                                         | L.doc_is_renewal_invoice("document_name"), w),
-               lambda: _tracer_codes(t, L.tracer_is_quote_sent("tracer_desc"), w),
-               lambda: _quote_codes(t, D.in_window("quote_dt", w.start, w.end) | D.in_window("created_dt", w.start, w.end)))
+    t = _scoped(t, _doc_codes(t, L.doc_is_quote_to_agent_prefix("document_name")
+                                          | L.doc_is_renewal_invoice("document_name"), w),
+                _tracer_codes(t, L.tracer_is_quote_sent("tracer_desc"), w),
+                _quote_codes(t, D.in_window("quote_dt", w.start, w.end) | D.in_window("created_dt", w.start, w.end)))
     docs = first_documents(t.dms_file_mst, t.dms_document_detail_mst, {
         "agent_quote_doc_dt": L.doc_is_quote_to_agent_prefix("document_name"),
         "renewal_invoice_dt": L.doc_is_renewal_invoice("document_name")})

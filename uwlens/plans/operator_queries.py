@@ -146,8 +146,6 @@ def join_left_lookup(t: Tables, p: ReportParams) -> DataFrame:
     q = t.bms_quote_mst
     tt = types_where(t)
     st = t.adm_bm_statuses
-    from ..operators.lookup import small
-    st = small(st)
     df = q.join(tt, q.lkp_transaction_type_id == tt.lkp_id, "left").join(st, "status_id", "left")
     return df.select("quote_id", "lkp_desc", "status_code")
 

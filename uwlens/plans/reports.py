@@ -17,7 +17,7 @@ from ..operators import filters as FL
 from ..operators.distinct import distinct_flags
 from ..operators.existence import min_over_sources, semi_join_any
 from ..operators.joins import left_join_hot_right
-from ..operators.lookup import small
+from ..operators.lineage import materialized
 from ..params import ReportParams
 from ..sources.catalog import Tables
 from .common import (agencies, agency_scalar_lookup, live_quotes, live_submissions, quotes_with_type,
@@ -89,8 +89,8 @@ def heatmap_detail(t: Tables, p: ReportParams) -> DataFrame:
     sb = t.bms_submission_mst.select("submission_id", F.col("original_producer_id").alias("s_producer"))
     q = q.join(sb, "submission_id", "left").withColumn("agency_id", resolved_agency_id(F.col("q_producer"), F.col("s_producer")))
     ins = t.bms_quote_insured_mst
-    prod = small(t.adm_co_products.select("product_id", "product_name", "class_type_id"), bound_by=t.adm_co_products)
-    ct = small(t.adm_co_class_types)
+    prod = t.adm_co_products.select("product_id", "product_name", "class_type_id")
+    ct = t.adm_co_class_types
     ag = agency_scalar_lookup(t)
     df = (o.join(q, "quote_id").join(ins, "quote_id")
           .join(prod, "product_id", "left").join(ct, "class_type_id", "left")
@@ -113,8 +113,7 @@ def heatmap_detail(t: Tables, p: ReportParams) -> DataFrame:
 def _email_keys(t: Tables, codes: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(business_id, quote_id, created_dt) of active e-mail confirmations and template memos whose
     process code is one of ``codes``."""
-    pp = small(t.adm_co_lkp_email_process_parameters.where(F.col("lkp_code").isin(*codes)).select("lkp_id"),
-               bound_by=t.adm_co_lkp_email_process_parameters)
+    pp = t.adm_co_lkp_email_process_parameters.where(F.col("lkp_code").isin(*codes)).select("lkp_id")
     cd = t.bms_email_confirmation_details.where(FL.active_strict("flg_active"))
     cd = cd.join(pp, cd.lkp_email_process_parameter_id == pp.lkp_id, "left_semi")
     tm = t.bms_template_memos.where(FL.active_strict("flg_active"))
@@ -133,21 +132,21 @@ def quotes_due(t: Tables, p: ReportParams) -> DataFrame:
          .select("quote_id", "business_id", "user_id_acc_executive", "proposed_eff_date", "proposed_exp_date",
                  prem.alias("premium_amt")))
     o = semi_join_any(o, list(_email_keys(t, V.EMAIL_QUOTE_OR_RENEWAL)), ["business_id", "quote_id"])
-    st = small(t.adm_bm_statuses.where(F.col("status_code").isin(*V.OPEN_QUOTE_STATUSES))
-               .select("status_id", "main_status_text"), bound_by=t.adm_bm_statuses)
+    st = (t.adm_bm_statuses.where(F.col("status_code").isin(*V.OPEN_QUOTE_STATUSES))
+          .select("status_id", "main_status_text"))
     q = t.bms_quote_mst.where(FL.active_strict("flg_active")).join(st, "status_id")
     tt = types_where(t).select("lkp_id", "lkp_desc")
     q = (q.join(tt, q.lkp_transaction_type_id == tt.lkp_id, "left")
          .select("quote_id", "submission_id", "quote_code", F.col("original_producer_id").alias("q_producer"),
                  "lkp_desc", "main_status_text"))
-    # options are cut to the quarter, so only their quotes' submissions matter for the left join: a
-    # semi-join on that small id set keeps the whole submission table from being shuffled
-    sb = (t.bms_submission_mst.join(q.join(o.select("quote_id"), "quote_id", "left_semi").select("submission_id"),
-                                    "submission_id", "left_semi")
+    # the quarter's e-mailed options with their quotes, materialised once: both the join chain and the
+    # id set that cuts the submission table read them
+    o = materialized(o.join(q, "quote_id"))
+    sb = (t.bms_submission_mst.join(o.select("submission_id"), "submission_id", "left_semi")
           .select("submission_id", "submission_code", F.col("original_producer_id").alias("s_producer")))
     ag = agencies(t).select("agency_id", "agency_code", "agency_name")
     us = users(t).select("user_id", "first_name", "middle_name", "last_name")
-    df = (o.join(q, "quote_id").join(t.bms_quote_insured_mst.select("quote_id", "insured_name"), "quote_id")
+    df = (o.join(t.bms_quote_insured_mst.select("quote_id", "insured_name"), "quote_id")
           .join(us, o.user_id_acc_executive == us.user_id)
           .join(sb, "submission_id", "left")
           .withColumn("agency_id", resolved_agency_id(F.col("q_producer"), F.col("s_producer")))
@@ -220,8 +219,8 @@ def quote_followup(t: Tables, p: ReportParams) -> DataFrame:
     cd, tm = _email_keys(t, (V.EMAIL_QUOTE,))
     sent = min_over_sources([cd, tm], ["business_id", "quote_id"], "created_dt", "sent_dt")
     sent = sent.where(D.in_window("sent_dt", w.start, w.end))
-    st = small(t.adm_bm_statuses.where(X.fixed_width("main_status_text", 400) == V.STATUS_NB_QUOTE_OFFERED_TEXT)
-               .select("status_id", "main_status_text"), bound_by=t.adm_bm_statuses)
+    st = (t.adm_bm_statuses.where(X.fixed_width("main_status_text", 400) == V.STATUS_NB_QUOTE_OFFERED_TEXT)
+          .select("status_id", "main_status_text"))
     q = t.bms_quote_mst.where(FL.active_strict("flg_active")).join(st, "status_id").select(
         "quote_id", "quote_code", "main_status_text")
     df = o.join(sent, ["business_id", "quote_id"]).join(q, "quote_id")

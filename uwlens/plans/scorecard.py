@@ -69,7 +69,8 @@ def submission_universe(t: Tables, p: ReportParams) -> DataFrame:
     quote-started or bound in the window.
 
     The OR across the submission and its quotes becomes: window-filtered live quotes reduced to one
-    row per submission (with "some quote started in the window"), left-joined to the submissions.
+    row per submission (with "some quote started in the window"), which complete the submissions created
+    in the window (a filter the scan can take) and bring in the other submissions they belong to.
     ``quoted_in`` is exactly the condition of the "submissions quoted" count, so all three
     submission counts later come from one aggregation over the universe."""
     w = p.rolling3
@@ -79,8 +80,10 @@ def submission_universe(t: Tables, p: ReportParams) -> DataFrame:
     bound_in = F.col("bind_dt").isNotNull() & D.in_window("bind_dt", w.start, w.end)
     touched = (q.where(started | bound_in).groupBy("submission_id")
                .agg(F.max(F.coalesce(started, F.lit(False)).cast("int")).alias("_q")))
-    created_in = F.coalesce(D.in_window("created_dt", w.start, w.end), F.lit(False))
-    u = sb.join(touched, "submission_id", "left").where(created_in | F.col("_q").isNotNull())
+    in_window = D.in_window("created_dt", w.start, w.end)
+    created_in = F.coalesce(in_window, F.lit(False))
+    u = (sb.where(in_window).join(touched, "submission_id", "left")
+         .unionByName(sb.where(~created_in).join(touched, "submission_id")))
     return u.select("submission_id", "agency_id", created_in.alias("created_in"),
                     (F.coalesce(F.col("_q"), F.lit(0)) == 1).alias("quoted_in"))
 
@@ -94,8 +97,8 @@ def submission_counts(universe: DataFrame) -> DataFrame:
 
 def needed_option_dollars(t: Tables, p: ReportParams) -> DataFrame:
     """Latest-option premium and fees of the quotes the scorecard prices: bound in the window or
-    with a decline closure created in it (key sets from pushed-down window filters).  One frame
-    serves both consumers, so its aggregation runs once."""
+    with a decline closure created in it (key sets from pushed-down window filters).  The scorecard
+    materialises it once and joins it to both consumers."""
     w = p.rolling3
     bound = t.bms_quote_mst.where(F.col("bind_dt").isNotNull() & D.in_window("bind_dt", w.start, w.end)).select("quote_id")
     declined = _decline_closures(t, p).select("quote_id")
@@ -125,10 +128,8 @@ def quote_measures(t: Tables, p: ReportParams, universe: DataFrame, dollars: Dat
     nb, rn = desc == V.TT_NEW_BUSINESS, desc.isin(*V.TT_RENEWALS)
     q = q.withColumn("_s", F.coalesce(started, F.lit(False))).withColumn("_b", F.coalesce(bound_in, F.lit(False)))
     s, b = F.col("_s"), F.col("_b")
-    # dollars only for quotes bound in the window (key set from a pushed-down filter on bind_dt)
-    bound_ids = t.bms_quote_mst.where(F.col("bind_dt").isNotNull() & D.in_window("bind_dt", w.start, w.end))
-    opts = t.bms_options_mst.join(bound_ids.select("quote_id"), "quote_id", "left_semi")
-    q = q.join(option_dollars(opts), "quote_id", "left")
+    # every dollar measure is cut to quotes bound in the window, so further priced quotes add nothing
+    q = q.join(needed_option_dollars(t, p) if dollars is None else dollars, "quote_id", "left")
     prem, fees = F.coalesce("prem", F.lit(0).cast(M.MONEY)), F.coalesce("fees", F.lit(0).cast(M.MONEY))
     zero = F.lit(0).cast(M.MONEY)
     dated = b & F.col("start_dt").isNotNull()
@@ -179,7 +180,7 @@ def agency_metrics(t: Tables, p: ReportParams) -> DataFrame:
     agencies.  All per-agency parts are hash-partitioned on agency_id, so joining them needs no
     further shuffle."""
     u = materialized(submission_universe(t, p))
-    dollars = needed_option_dollars(t, p)
+    dollars = materialized(needed_option_dollars(t, p))
     ag = agencies(t, FL.active_lenient("flg_active")).select("agency_id", "agency_code", "agency_name")
     df = submission_counts(u).join(ag, "agency_id")
     for part in (quote_measures(t, p, u, dollars), declines(t, p, u, dollars)):

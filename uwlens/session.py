@@ -17,11 +17,17 @@ BASE_CONF: dict[str, str] = {
 }
 
 
-def build_session(master: str = "local[*]", app: str = "uwlens", shuffle_partitions: int | None = None,
-                  extra: dict[str, str] | None = None) -> SparkSession:
-    builder = SparkSession.builder.master(master).appName(app)
+def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
+    """``builder`` with BASE_CONF, for every session this package makes (the time zone of the windows
+    must not follow the cluster's)."""
     for k, v in BASE_CONF.items():
         builder = builder.config(k, v)
+    return builder
+
+
+def build_session(master: str = "local[*]", app: str = "uwlens", shuffle_partitions: int | None = None,
+                  extra: dict[str, str] | None = None) -> SparkSession:
+    builder = configured(SparkSession.builder.master(master).appName(app))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():

@@ -36,8 +36,11 @@ def save_bucketed(tables: Tables, database: str, root: str, num_buckets: int) ->
     spark = tables.bms_quote_mst.sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}'")
     for name in TABLE_NAMES:
-        w = getattr(tables, name).write.mode("overwrite").format("parquet").option("path", f"{root}/{name}")
         keys = BUCKETING.get(name)
+        df = getattr(tables, name)
+        if keys:  # dealt by bucket first: one writing task, and so one sorted file, per bucket
+            df = df.repartition(num_buckets, *keys)
+        w = df.write.mode("overwrite").format("parquet").option("path", f"{root}/{name}")
         if keys:
             w = w.bucketBy(num_buckets, *keys).sortBy(*keys)
         w.saveAsTable(f"{database}.{name}")

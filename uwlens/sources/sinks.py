@@ -12,8 +12,9 @@ def write_report(df: DataFrame, path: str, as_of: date, fmt: str = "parquet") ->
     """Append-or-replace the ``as_of`` partition of a report table.
 
     Dynamic partition overwrite replaces only this run's partition, so a re-run for the same
-    as-of date is idempotent and earlier snapshots stay untouched.  A failed run leaves no partial
-    partition visible because Spark commits job output atomically per partition directory.
+    as-of date is idempotent and earlier snapshots stay untouched.  Output is staged and moved when the job
+    commits; on stores without an atomic rename a run that fails while it commits can leave part of the
+    partition, and the next run replaces it.
     """
     (
         df.withColumn("as_of", F.lit(as_of))
