@@ -25,7 +25,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, text_bytes, with_results
+from .common import pick, text_batches, text_bytes, with_results
 
 WINDOW = 13
 BLOCK_WORDS = 100_000
@@ -183,11 +183,13 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: i
     return blocks
 
 
-_HITS = "struct<n_words:bigint,starts:array<bigint>,ends:array<bigint>,items:array<string>>"
+_HITS = "struct<n_words:bigint,starts:array<bigint>,ends:array<bigint>,items:array<string>,clean:string>"
 
 
-def _scan(blocks: list[Broadcast], window: int):
-    """Column function of text bytes: word count, merged spans and items over the given blocks."""
+def _scan(blocks: list[Broadcast], window: int, max_span: int | None = None):
+    """Column function of text bytes: word count, merged spans and items over the given blocks, and
+    with ``max_span`` the text without longer spans.  Marked as not deterministic only so that Spark
+    evaluates it once where several columns and filters use its result."""
 
     @F.pandas_udf(_HITS)
     def scan(texts: pd.Series) -> pd.DataFrame:
@@ -202,10 +204,11 @@ def _scan(blocks: list[Broadcast], window: int):
                 items |= named
             if len(automata) > 1:
                 spans = _merged(spans)
-            out.append((len(words), [s for s, _ in spans], [e for _, e in spans], sorted(items)))
-        return pd.DataFrame(out, columns=["n_words", "starts", "ends", "items"])
+            clean = cut_text(text, spans, max_span) if max_span is not None else None
+            out.append((len(words), [s for s, _ in spans], [e for _, e in spans], sorted(items), clean))
+        return pd.DataFrame(out, columns=["n_words", "starts", "ends", "items", "clean"])
 
-    return scan
+    return scan.asNondeterministic()
 
 
 def _merged(spans: list[list[int]]) -> list[list[int]]:
@@ -224,15 +227,17 @@ BLOCKS_AT_ONCE = 3
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
                   item_text_col: str = "text", window: int = WINDOW, coverage: int = COVERAGE,
-                  block_words: int = BLOCK_WORDS) -> DataFrame:
+                  block_words: int = BLOCK_WORDS, max_span: int | None = None) -> DataFrame:
     """The input rows and columns plus n_words, n_hit, items (ids, sorted), hit_spans (array of
-    [start, end) word positions) and contaminated."""
+    [start, end) word positions) and contaminated; with ``max_span`` also clean_text, the text without
+    longer spans."""
+    text_batches(docs.sparkSession)
     blocks = item_blocks(benchmark, item_id_col, item_text_col, block_words)
     text = text_bytes(F.col(f"`{text_col}`"))
     groups = [blocks[i:i + BLOCKS_AT_ONCE] for i in range(0, len(blocks), BLOCKS_AT_ONCE)] or [[]]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("body"))
     names = [f"h{i}" for i in range(len(groups))]
-    scanned = packed.select("row", *[_scan(g, window)("body").alias(n) for g, n in zip(groups, names, strict=True)])
+    scanned = packed.select("row", *[_scan(g, window, max_span if len(groups) == 1 else None)("body").alias(n) for g, n in zip(groups, names, strict=True)])
     first = F.col("h0")
     if len(names) == 1:
         spans = F.arrays_zip(first["starts"].alias("start"), first["ends"].alias("end"))
@@ -240,11 +245,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     else:
         spans = _merge_columns(names)
         items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(n)["items"] for n in names]))))
-    found = scanned.select("row.*", first["n_words"].alias("n_words"), items.alias("items"), spans.alias("hit_spans"))
+    found = scanned.select("row.*", first["n_words"].alias("n_words"), items.alias("items"), spans.alias("hit_spans"),
+                           first["clean"].alias("found_clean"))
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"])
+    clean = {}
+    if max_span is not None:
+        clean = {"clean_text": F.col("found_clean") if len(groups) == 1 else remove_spans(F.col(f"`{text_col}`"), F.col("hit_spans"), max_span)}
     return with_results(
-        found, n_words=F.col("n_words"), n_hit=n_hit, items=F.col("items"), hit_spans=F.col("hit_spans"),
-        contaminated=(n_hit > 0) & (coverage * n_hit >= F.col("n_words")))
+        found, **clean, n_words=F.col("n_words"), n_hit=n_hit, items=F.col("items"), hit_spans=F.col("hit_spans"),
+        contaminated=(n_hit > 0) & (coverage * n_hit >= F.col("n_words"))).drop("found_clean")
 
 
 def _merge_columns(names: list[str]) -> Column:
@@ -261,28 +270,31 @@ def _merge_columns(names: list[str]) -> Column:
     return merge(*[F.col(n) for n in names])
 
 
-def remove_spans(texts: Column, spans: Column, longer_than: int) -> Column:
-    """Texts without the spans of more than ``longer_than`` words: each cut runs from its first word's
+def cut_text(raw: bytes, spans: list, longer_than: int) -> str:
+    """The text without its spans of more than ``longer_than`` words: each cut runs from its first word's
     first character to its last word's last, what lies between words elsewhere stays as it was."""
+    spans = [(s, e) for s, e in spans if e - s > longer_than]
+    if not spans:
+        return raw.decode()
+    norm, at, bounds = raw.lower().translate(_SEPARATORS), 0, []
+    for w in norm.split():
+        at = norm.index(w, at)
+        bounds.append((at, at + len(w)))
+        at += len(w)
+    kept, done = [], 0
+    for s, e in spans:
+        kept.append(raw[done:bounds[s][0]])
+        done = bounds[e - 1][1]
+    return b"".join([*kept, raw[done:]]).decode()
+
+
+def remove_spans(texts: Column, spans: Column, longer_than: int) -> Column:
+    """``cut_text`` as a column function of texts and their (start, end) spans."""
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, hit: pd.Series) -> pd.Series:
-        out = []
-        for t, found in zip(text, hit, strict=True):
-            raw = t or b""
-            norm = raw.lower().translate(_SEPARATORS)
-            at, bounds = 0, []
-            for w in norm.split():
-                at = norm.index(w, at)
-                bounds.append((at, at + len(w)))
-                at += len(w)
-            kept, done = [], 0
-            for s in found:
-                if s["end"] - s["start"] > longer_than:
-                    kept.append(raw[done:bounds[s["start"]][0]])
-                    done = bounds[s["end"] - 1][1]
-            out.append(b"".join([*kept, raw[done:]]).decode())
-        return pd.Series(out)
+        return pd.Series([cut_text(t, [(s["start"], s["end"]) for s in found], longer_than)
+                          for t, found in zip(text, hit, strict=True)])
 
     return cut(text_bytes(texts), spans)
 
@@ -295,9 +307,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     columns = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
                          F.col(f"`{text_col}`").cast("string").alias("body"))
-    judged = contamination(packed, benchmark, "body", item_id_col, item_text_col, window, coverage, block_words)
-    judged = judged.where(~F.col("contaminated"))
+    judged = contamination(packed, benchmark, "body", item_id_col, item_text_col, window, coverage, block_words, max_span)
     longest = F.array_max(F.transform("hit_spans", lambda s: s["end"] - s["start"]))
-    body = F.when(longest > max_span, remove_spans(F.col("body"), F.col("hit_spans"), max_span)).otherwise(F.col("body"))
-    judged = judged.select("row", body.alias("cut_body"))
+    body = F.when(longest > max_span, F.col("clean_text")).otherwise(F.col("body"))
+    judged = judged.where(~F.col("contaminated")).select("row", body.alias("cut_body"))
     return judged.select(*[(F.col("cut_body").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c)) for c in columns])

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bitmap_of, flagged_by, pick, text_bytes
+from .common import Scratch, bitmap_of, flagged_by, pick, text_batches, text_bytes
 from .components import components
 
 SHINGLE = 5
@@ -295,6 +295,7 @@ def _rest_pairs(open_nodes: DataFrame, nodes: DataFrame, texts: DataFrame, teste
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     ratio: tuple[int, int] = THRESHOLD, miss: float = MISS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
+    text_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near-dedup")
     signed = scratch.save(signed_documents(docs, id_col, text_col), "signed")
     nodes = scratch.save(signed.where(F.col("node").isNotNull()).groupBy("node")

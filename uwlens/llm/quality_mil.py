@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import text_batches, text_bytes
 from .labelled import labelled_sample
 
 PASSAGE = 512
@@ -160,6 +160,7 @@ def _training_bag(text: Column) -> Column:
 def train_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, label_col: str = "quality",
                   id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> GatedAttention:
     """Fit on at most ``sample_docs`` labelled documents; ``learn_from`` is a condition on doc_id."""
+    text_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, learn_from, sample_docs, id_col, text_col)
     rows = sample.select("doc_id", "label", _training_bag(F.col("text")).alias("bag")).collect()
     rows.sort(key=lambda r: (str(r["doc_id"]), bytes(r["bag"])))
@@ -179,6 +180,7 @@ def quality_score(text: Column, model: GatedAttention) -> Column:
 
 def keep_good(docs: DataFrame, model: GatedAttention, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The input rows that score ``threshold`` or more, columns as they came."""
+    text_batches(docs.sparkSession)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                          quality_score(F.col(f"`{text_col}`"), model).alias("quality_score"))
     return packed.where(F.col("quality_score") >= threshold).select("row.*")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text, with_results
+from .common import text_batches, whole_text, with_results
 
 REACH = 160
 #: Fixed values of the base findings: pattern, group that is measured, least length.
@@ -134,6 +134,7 @@ def _scanner(reach: int):
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", reach: int = REACH) -> DataFrame:
     """The input rows and columns plus n_assign, n_access, n_hex, n_linked, base_sha256, spans."""
+    text_batches(docs.sparkSession)
     found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                         _scanner(reach)(whole_text(F.col(f"`{text_col}`"))).alias("found"))
     names = [f.split()[0] for f in _RESULT.split(", ")]

@@ -18,6 +18,7 @@ one, repeated rows alike; other columns pass through.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_remainder, text_bytes
+from .common import Scratch, crc_remainder, text_batches, text_bytes
 from .labelled import labelled_sample
 
 SAMPLE_DOCS = 16000
@@ -98,7 +99,7 @@ _INFO = ("words", "word_hit", "stem_hit", "plain_hit", "weight", "weight_sum", "
 
 
 class _Tokens(dict):
-    """Token -> row of ``rows`` (as in _INFO); remembers the tokens of a batch, texts repeat them a lot."""
+    """Token -> row of ``rows`` (as in _INFO); remembers a task's tokens, texts repeat them a lot."""
 
     def __init__(self, lexicon: Lexicon):
         super().__init__()
@@ -171,14 +172,15 @@ def features_of(text: bytes, tokens: _Tokens) -> list[float]:
 
 def feature_column(text: Column, lexicon: Lexicon) -> Column:
     @F.pandas_udf("array<double>")
-    def features(texts: pd.Series) -> pd.Series:
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokens = _Tokens(lexicon)
-        out = []
-        for t in texts:
-            if len(tokens) > MEMORY_TOKENS:
-                tokens = _Tokens(lexicon)
-            out.append([float(x) for x in features_of(t, tokens)])
-        return pd.Series(out)
+        for texts in batches:
+            out = []
+            for t in texts:
+                if len(tokens) > MEMORY_TOKENS:
+                    tokens = _Tokens(lexicon)
+                out.append([float(x) for x in features_of(t, tokens)])
+            yield pd.Series(out, dtype=object)
 
     return features(text_bytes(text))
 
@@ -198,6 +200,7 @@ class ToxicityModel:
         columns = [c for c in docs.columns if c.lower() != into.lower()]
         if self.trees is None:
             return docs.select(*[f"`{c}`" for c in columns], F.lit(self.share).alias(into))
+        text_batches(docs.sparkSession)
         row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row") if columns else F.lit(None).alias("row")
         rows = docs.select(row, array_to_vector(feature_column(F.col(f"`{text_col}`"), self.lexicon)).alias("features"))
         scored = self.trees.transform(rows).select("row", vector_to_array("probability")[1].alias("raw"))
@@ -220,6 +223,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, label
 
     Parts by a hash of the id: two fifths teach the lexicon, two the trees over its features and one their
     calibration, so that trees and curve see hits as rare as on new documents."""
+    text_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample = labelled_sample(docs, labels, label_col, learn_from, sample_docs, id_col, text_col)
     part = crc_remainder(F.concat(F.lit("part:"), F.col("doc_id").cast("string")), 5)
