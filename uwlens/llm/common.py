@@ -67,13 +67,15 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Python workers take at most ``rows`` texts at a time (the session's Arrow batch size): whole
-    texts are long, and a batch exists several times over, in the JVM, in Arrow and in the worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, rows)
+def text_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Let Python workers take at most ``rows`` texts and about ``size`` bytes at a time (the session's Arrow
+    batch limits): a batch exists several times over, in the JVM, in Arrow and in the worker, and a limit
+    on rows alone would leave it open when the texts are long."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def partitions(spark: SparkSession) -> int:
