@@ -1,9 +1,10 @@
 """Independent DuckDB SQL for every registered query (the correctness oracle).
 
 Each statement starts from the same fixture mapping as the Spark side (``FIXTURE_SQL``: the
-operational tables derived from the raw test tables) and then states the report the way the
-source SQL does - correlated EXISTS, QUALIFY row_number() for TOP 1, COUNT(DISTINCT CASE ...) -
-rather than the way the Spark plans compute it.  Exact-arithmetic conventions, so both engines
+operational tables derived from the raw test tables) and states the report from its definition:
+literal windows, key sets instead of correlated blocks, filtered aggregates of one fact row per quote.
+The labels, codes and patterns come from ``oracle_values`` and not from the package, so that a changed
+value on one side shows.  Exact-arithmetic conventions, so both engines
 produce identical values:
 
 * counts are BIGINT, money and ratios are DOUBLE made from an exact decimal or integer result;
@@ -14,7 +15,7 @@ produce identical values:
 
 from __future__ import annotations
 
-from uwlens.functions import fixed_values as V
+import oracle_values as V
 from uwlens.sources.fixtures import FIXTURE_SQL
 
 AS_OF = "DATE '2001-06-15'"
@@ -78,6 +79,8 @@ def _ratio4(a: str, b: str) -> str:
 _WEEKS = (f"win AS (SELECT CAST(date_trunc('week', {AS_OF} - 14) AS DATE) AS s, "
           f"CAST(date_trunc('week', {AS_OF}) AS DATE) AS e)")
 
+_LIVE_ROW = "COALESCE(flg_active, 1) = 1 AND COALESCE(purge_status, 0) = 0"
+
 _LIVE = "COALESCE({a}.flg_active, 1) = 1 AND COALESCE({a}.purge_status, 0) = 0"
 
 _OPX = f"""latest_opt AS (
@@ -227,56 +230,54 @@ FROM base, win WHERE sent IS NOT NULL AND CAST(sent AS DATE) >= win.s AND CAST(s
 
 
 def retention() -> str:
-    body = f"""base AS (
-  SELECT TRY_CAST(NULLIF(trim(substr(CAST(sb.original_producer_id AS VARCHAR), 1, 50)), '') AS INTEGER) AS agency_id,
-         q.quote_id, year({_try_date('CAST(COALESCE(q.quote_dt, q.created_dt) AS VARCHAR)')}) AS cohort_year, q.bind_dt
-  FROM bms_submission_mst sb
-  JOIN bms_quote_mst q ON q.submission_id = sb.submission_id AND {_LIVE.format(a='q')}
-  LEFT JOIN adm_bm_lkp_transaction_types tt ON tt.lkp_id = q.lkp_transaction_type_id
-  WHERE {_LIVE.format(a='sb')}
-    AND TRY_CAST(NULLIF(trim(substr(CAST(sb.original_producer_id AS VARCHAR), 1, 50)), '') AS INTEGER) IS NOT NULL
-    AND COALESCE(tt.lkp_desc, '') IN {_in(V.TT_RENEWALS)}
-    AND CAST(COALESCE(q.quote_dt, q.created_dt) AS DATE) >= DATE '1995-01-01'
-    AND CAST(COALESCE(q.quote_dt, q.created_dt) AS DATE) < DATE '2002-01-01'),
-agg AS (SELECT agency_id, cohort_year, COUNT(DISTINCT quote_id) AS started,
-               COUNT(DISTINCT CASE WHEN bind_dt IS NOT NULL THEN quote_id END) AS bound
-        FROM base WHERE cohort_year BETWEEN 1995 AND 2001 GROUP BY 1, 2)
-SELECT substr(ag.agency_code, 1, 50) AS agency_code, substr(ag.agency_name, 1, 150) AS agency_name,
-  CAST(a.cohort_year AS BIGINT) AS cohort_year, CAST(a.started AS BIGINT) AS renewals_started,
-  CAST(a.bound AS BIGINT) AS renewals_bound,
-  CASE WHEN a.started = 0 THEN NULL ELSE CAST((20000 * a.bound + a.started) // (2 * a.started) AS DOUBLE) / 100.0 END
-    AS renewal_retention_pct
-FROM agg a JOIN adm_co_agencies ag ON ag.agency_id = a.agency_id
-WHERE COALESCE(ag.flg_active, 1) = 1 AND ag.agency_code NOT IN {_in(V.RETENTION_EXCLUDED_AGENCY_CODES)}"""
+    body = f"""producers AS (
+  SELECT submission_id, TRY_CAST(NULLIF(trim(substr(CAST(original_producer_id AS VARCHAR), 1, 50)), '') AS INTEGER) AS agency_id
+  FROM bms_submission_mst WHERE {_LIVE_ROW}),
+renewals AS (
+  SELECT submission_id, quote_id, bind_dt IS NOT NULL AS bound, year(CAST(COALESCE(quote_dt, created_dt) AS DATE)) AS cohort_year
+  FROM bms_quote_mst
+  WHERE {_LIVE_ROW} AND lkp_transaction_type_id IN (SELECT lkp_id FROM adm_bm_lkp_transaction_types WHERE lkp_desc IN {_in(V.TT_RENEWALS)})),
+quotes AS (
+  SELECT agency_id, cohort_year, quote_id, bool_or(bound) AS bound FROM renewals JOIN producers USING (submission_id)
+  WHERE agency_id IS NOT NULL AND cohort_year BETWEEN 1995 AND 2001 GROUP BY ALL),
+cohorts AS (
+  SELECT agency_id, cohort_year, COUNT(*) AS started, COUNT(*) FILTER (bound) AS bound FROM quotes GROUP BY ALL)
+SELECT substr(agency_code, 1, 50) AS agency_code, substr(agency_name, 1, 150) AS agency_name,
+  CAST(cohort_year AS BIGINT) AS cohort_year, CAST(started AS BIGINT) AS renewals_started,
+  CAST(bound AS BIGINT) AS renewals_bound, CAST((20000 * bound + started) // (2 * started) AS DOUBLE) / 100.0 AS renewal_retention_pct
+FROM cohorts JOIN (SELECT agency_id, agency_code, agency_name FROM adm_co_agencies
+  WHERE COALESCE(flg_active, 1) = 1 AND agency_code NOT IN {_in(V.RETENTION_EXCLUDED_AGENCY_CODES)}) USING (agency_id)"""
     return _with(["bms_submission_mst", "bms_quote_mst", "adm_bm_lkp_transaction_types", "adm_co_agencies"], body)
 
 
 def heatmap() -> str:
-    agency = ("COALESCE(q.original_producer_id, (SELECT sb.original_producer_id FROM bms_submission_mst sb "
-              "WHERE sb.submission_id = q.submission_id))")
-    body = f"""base AS (
-  SELECT q.policy_number, ct.class_type_name, p.product_name, q.bind_dt, q.trans_finalize_dt,
-    (SELECT min(trim(a.agency_code)) FROM adm_co_agencies a WHERE a.agency_id = {agency}) AS ag_code,
-    (SELECT min(trim(a.agency_name)) FROM adm_co_agencies a WHERE a.agency_id = {agency}) AS ag_name,
-    ins.adr_phy_city, ins.adr_phy_state_code, ins.adr_phy_zip, tt.lkp_desc, o.sub_total_premium
-  FROM bms_options_mst o JOIN bms_quote_mst q ON q.quote_id = o.quote_id
-  JOIN bms_quote_insured_mst ins ON ins.quote_id = q.quote_id
-  LEFT JOIN adm_co_products p ON p.product_id = o.product_id
-  LEFT JOIN adm_co_class_types ct ON ct.class_type_id = p.class_type_id
-  LEFT JOIN adm_bm_lkp_transaction_types tt ON tt.lkp_id = q.lkp_transaction_type_id
-  WHERE q.flg_active = 1 AND o.flg_active = 1 AND COALESCE(trim(q.policy_number), '') <> ''
-    AND {_money('o.sub_total_premium')} > 0
-    AND EXISTS (SELECT 1 FROM bms_locations l JOIN bms_building_mst b ON b.location_id = l.location_id AND b.flg_active = 1
-                WHERE l.business_id = o.business_id)
-    AND (tt.lkp_desc IN {_in(V.TT_HEATMAP)} OR tt.lkp_desc LIKE {_q(V.TT_CANCEL_PREFIX)})
-    AND (tt.lkp_desc IS NULL OR tt.lkp_desc NOT LIKE {_q(V.TT_NOTICE_PREFIX)})
-    AND q.created_dt >= DATE '2001-01-01' AND q.created_dt < {AS_OF} + 1)
-SELECT policy_number, COALESCE(trim(class_type_name), '') AS lob, COALESCE(trim(product_name), '') AS product_name,
-  {_status()} AS policy_status, COALESCE(ag_code, '') AS agency_id, COALESCE(ag_name, '') AS agency_name,
-  COALESCE(trim(adr_phy_city), '') AS risk_city, COALESCE(trim(adr_phy_state_code), '') AS risk_state,
-  COALESCE(trim(adr_phy_zip), '') AS risk_zip, COALESCE(lkp_desc, '') AS transaction_type,
-  COALESCE(substr(CAST(sub_total_premium AS VARCHAR), 1, 50), '') AS written_premium
-FROM base"""
+    body = f"""kinds AS (
+  SELECT lkp_id, lkp_desc FROM adm_bm_lkp_transaction_types WHERE {_tt_heat()}),
+labels AS (  -- one row of an agency id, its least (code, name)
+  SELECT agency_id, min({{'code': trim(agency_code), 'name': trim(agency_name)}}) AS label FROM adm_co_agencies GROUP BY 1),
+lines AS (
+  SELECT product_id, trim(product_name) AS product, trim(class_type_name) AS lob
+  FROM adm_co_products LEFT JOIN adm_co_class_types USING (class_type_id)),
+policies AS (
+  SELECT q.quote_id, q.policy_number, {_status('q.bind_dt', 'q.trans_finalize_dt')} AS policy_status, kinds.lkp_desc,
+         COALESCE(q.original_producer_id, sb.original_producer_id) AS agency_id
+  FROM (SELECT * FROM bms_quote_mst WHERE flg_active = 1 AND trim(policy_number) <> ''
+          AND created_dt >= DATE '2001-01-01' AND created_dt < DATE '2001-06-16') q
+  JOIN kinds ON kinds.lkp_id = q.lkp_transaction_type_id LEFT JOIN bms_submission_mst sb USING (submission_id)),
+sites AS (
+  SELECT DISTINCT business_id FROM bms_locations
+  WHERE location_id IN (SELECT location_id FROM bms_building_mst WHERE flg_active = 1)),
+premiums AS (
+  SELECT quote_id, product_id, CAST(sub_total_premium AS VARCHAR) AS premium FROM bms_options_mst
+  WHERE flg_active = 1 AND {_money('sub_total_premium')} > 0 AND business_id IN (SELECT business_id FROM sites)),
+risks AS (
+  SELECT quote_id, trim(adr_phy_city) AS city, trim(adr_phy_state_code) AS state, trim(adr_phy_zip) AS zip FROM bms_quote_insured_mst)
+SELECT policy_number, COALESCE(lob, '') AS lob, COALESCE(product, '') AS product_name, policy_status,
+  COALESCE(label.code, '') AS agency_id, COALESCE(label.name, '') AS agency_name, COALESCE(city, '') AS risk_city,
+  COALESCE(state, '') AS risk_state, COALESCE(zip, '') AS risk_zip, lkp_desc AS transaction_type,
+  substr(premium, 1, 50) AS written_premium
+FROM policies JOIN risks USING (quote_id) JOIN premiums USING (quote_id)
+LEFT JOIN lines USING (product_id) LEFT JOIN labels ON labels.agency_id = policies.agency_id"""
     return _with(["bms_options_mst", "bms_quote_mst", "bms_quote_insured_mst", "adm_co_products", "adm_co_class_types",
                   "adm_bm_lkp_transaction_types", "bms_submission_mst", "adm_co_agencies", "bms_locations",
                   "bms_building_mst"], body)
@@ -294,107 +295,95 @@ def _us(d: str) -> str:
     return f"strftime(CAST({d} AS DATE), '%m-%d-%Y')"
 
 
+# quotes with their submission's code and the agency they belong to (the quote's own, else the submission's)
+_PLACED = """placed AS (
+  SELECT q.*, sb.submission_code, COALESCE(q.original_producer_id, sb.original_producer_id) AS agency_id
+  FROM bms_quote_mst q LEFT JOIN bms_submission_mst sb USING (submission_id))"""
+
+
 def quotes_due() -> str:
-    body = f"""base AS (
-  SELECT sb.submission_code, q.quote_code, {_name3(False)} AS uw_broker, ins.insured_name, ag.agency_code, ag.agency_name,
-    tt.lkp_desc, COALESCE(o.sub_total_premium, 0) AS premium, o.proposed_eff_date, o.proposed_exp_date, st.main_status_text
-  FROM bms_quote_mst q JOIN bms_options_mst o ON o.quote_id = q.quote_id
-  JOIN bms_quote_insured_mst ins ON ins.quote_id = q.quote_id
-  JOIN adm_co_users u ON u.user_id = o.user_id_acc_executive
-  LEFT JOIN adm_bm_lkp_transaction_types tt ON tt.lkp_id = q.lkp_transaction_type_id
-  LEFT JOIN bms_submission_mst sb ON sb.submission_id = q.submission_id
-  LEFT JOIN adm_bm_statuses st ON st.status_id = q.status_id
-  LEFT JOIN adm_co_agencies ag ON ag.agency_id = COALESCE(q.original_producer_id, sb.original_producer_id)
-  WHERE q.flg_active = 1 AND o.flg_active = 1
-    AND o.proposed_eff_date >= DATE '2001-04-01' AND o.proposed_eff_date <= DATE '2001-06-30'
-    AND COALESCE(o.sub_total_premium, 0) > {V.PREMIUM_THRESHOLD}
-    AND ((SELECT COUNT(1) FROM bms_email_confirmation_details cd
-          JOIN adm_co_lkp_email_process_parameters pp ON pp.lkp_id = cd.lkp_email_process_parameter_id
-          WHERE cd.business_id = o.business_id AND cd.quote_id = q.quote_id
-            AND pp.lkp_code IN {_in(V.EMAIL_QUOTE_OR_RENEWAL)} AND cd.flg_active = 1) > 0
-      OR (SELECT COUNT(1) FROM bms_template_memos tm
-          JOIN adm_co_lkp_email_process_parameters pp ON pp.lkp_id = tm.lkp_email_process_parameters_id
-          WHERE tm.business_id = o.business_id AND tm.quote_id = q.quote_id
-            AND pp.lkp_code IN {_in(V.EMAIL_QUOTE_OR_RENEWAL)} AND tm.flg_active = 1) > 0)
-    AND st.status_code IN {_in(V.OPEN_QUOTE_STATUSES)})
-SELECT substr(submission_code, 1, 100) AS submission_number, substr(quote_code, 1, 100) AS quote_number, uw_broker,
+    body = f"""{_email_union("IN " + _in(V.EMAIL_QUOTE_OR_RENEWAL))},
+mailed AS (SELECT DISTINCT business_id, quote_id FROM em),
+due AS (
+  SELECT quote_id, user_id_acc_executive AS user_id, sub_total_premium AS premium, proposed_eff_date AS eff, proposed_exp_date AS expires
+  FROM bms_options_mst JOIN mailed USING (business_id, quote_id)
+  WHERE flg_active = 1 AND sub_total_premium > {V.PREMIUM_THRESHOLD}
+    AND proposed_eff_date BETWEEN DATE '2001-04-01' AND DATE '2001-06-30'),
+open_statuses AS (SELECT status_id, main_status_text FROM adm_bm_statuses WHERE status_code IN {_in(V.OPEN_QUOTE_STATUSES)}),
+brokers AS (SELECT u.user_id, {_name3(False)} AS broker FROM adm_co_users u),
+{_PLACED},
+agencies AS (SELECT agency_id, agency_code, agency_name FROM adm_co_agencies)
+SELECT substr(submission_code, 1, 100) AS submission_number, substr(quote_code, 1, 100) AS quote_number, broker AS uw_broker,
   substr(insured_name, 1, 400) AS insured_name, substr(COALESCE(agency_code, ''), 1, 100) AS agency_code,
   substr(COALESCE(agency_name, ''), 1, 400) AS agency_name, substr(lkp_desc, 1, 400) AS transaction_type,
-  substr(CAST(premium AS VARCHAR), 1, 50) AS premium, {_us('proposed_eff_date')} AS proposed_eff_date,
-  {_us('proposed_exp_date')} AS proposed_exp_date,
-  CASE WHEN proposed_eff_date IS NULL THEN NULL ELSE CAST(CAST(proposed_eff_date AS DATE) - {AS_OF} AS VARCHAR) END
-    AS days_until_effective_date,
+  substr(CAST(premium AS VARCHAR), 1, 50) AS premium, {_us('eff')} AS proposed_eff_date, {_us('expires')} AS proposed_exp_date,
+  CAST(date_diff('day', {AS_OF}, CAST(eff AS DATE)) AS VARCHAR) AS days_until_effective_date,
   substr(main_status_text, 1, 400) AS quote_status
-FROM base"""
+FROM due JOIN brokers USING (user_id) JOIN placed USING (quote_id) JOIN open_statuses USING (status_id)
+JOIN (SELECT quote_id, insured_name FROM bms_quote_insured_mst) insured USING (quote_id)
+LEFT JOIN agencies USING (agency_id) LEFT JOIN adm_bm_lkp_transaction_types kinds ON kinds.lkp_id = placed.lkp_transaction_type_id
+WHERE placed.flg_active = 1"""
     return _with(["bms_quote_mst", "bms_options_mst", "bms_quote_insured_mst", "adm_co_users",
                   "adm_bm_lkp_transaction_types", "bms_submission_mst", "adm_bm_statuses", "adm_co_agencies",
                   "bms_email_confirmation_details", "bms_template_memos", "adm_co_lkp_email_process_parameters"], body)
 
 
 def renewals_forecast() -> str:
-    body = f"""base AS (
-  SELECT ag.agency_code, ag.agency_name, {_name3(True)} AS underwriter, q.policy_number, sb.submission_code, q.quote_id,
-    q.bind_dt, q.trans_finalize_dt, tt.lkp_desc, o.effective_dt, o.proposed_exp_date, o.sub_total_premium,
-    ins.adr_phy_city, ins.adr_phy_state_code, ins.adr_phy_zip
-  FROM bms_options_mst o JOIN bms_quote_mst q ON q.quote_id = o.quote_id
-  LEFT JOIN bms_submission_mst sb ON sb.submission_id = q.submission_id
-  LEFT JOIN bms_quote_insured_mst ins ON ins.quote_id = q.quote_id
-  LEFT JOIN adm_co_agencies ag ON ag.agency_id = COALESCE(q.original_producer_id, sb.original_producer_id)
-  LEFT JOIN adm_co_users u ON u.user_id = o.user_id_acc_executive
-  LEFT JOIN adm_bm_lkp_transaction_types tt ON tt.lkp_id = q.lkp_transaction_type_id
-  WHERE COALESCE(q.flg_active, 1) = 1 AND COALESCE(o.flg_active, 1) = 1 AND q.policy_number IS NOT NULL
-    AND trim(substr(q.policy_number, 1, 100)) <> '' AND o.proposed_exp_date > {AS_OF}
-    AND (tt.lkp_desc IS NULL OR (tt.lkp_desc NOT IN {_in(V.TT_FORECAST_EXCLUDED)} AND tt.lkp_desc NOT LIKE {_q(V.TT_CANCEL_PREFIX)})))
-SELECT substr(agency_code, 1, 50) AS agency_code, substr(agency_name, 1, 150) AS agency_name, underwriter,
-  substr(policy_number, 1, 100) AS policy_number, substr(submission_code, 1, 100) AS submission_number,
-  substr(CAST(quote_id AS VARCHAR), 1, 100) AS quote_id, {_status()} AS policy_status,
+    body = f"""{_PLACED},
+outside AS (SELECT lkp_id FROM adm_bm_lkp_transaction_types WHERE NOT ({_tt_forecast()})),
+policies AS (
+  SELECT quote_id, policy_number, submission_code, agency_id, {_status()} AS policy_status, lkp_transaction_type_id AS lkp_id
+  FROM placed ANTI JOIN outside ON outside.lkp_id = placed.lkp_transaction_type_id
+  WHERE COALESCE(flg_active, 1) = 1 AND trim(substr(policy_number, 1, 100)) <> ''),
+terms AS (
+  SELECT quote_id, user_id_acc_executive AS user_id, effective_dt, proposed_exp_date, sub_total_premium FROM bms_options_mst
+  WHERE COALESCE(flg_active, 1) = 1 AND proposed_exp_date > {AS_OF}),
+writers AS (SELECT u.user_id, {_name3(True)} AS writer FROM adm_co_users u),
+risks AS (
+  SELECT quote_id, trim(adr_phy_city) AS city, trim(adr_phy_state_code) AS state, trim(adr_phy_zip) AS zip FROM bms_quote_insured_mst),
+agencies AS (SELECT agency_id, substr(agency_code, 1, 50) AS code, substr(agency_name, 1, 150) AS name FROM adm_co_agencies)
+SELECT code AS agency_code, name AS agency_name, COALESCE(writer, ' ') AS underwriter, substr(policy_number, 1, 100) AS policy_number,
+  substr(submission_code, 1, 100) AS submission_number, substr(CAST(quote_id AS VARCHAR), 1, 100) AS quote_id, policy_status,
   COALESCE(substr(lkp_desc, 1, 100), '') AS transaction_type, substr(effective_dt, 1, 10) AS effective_date,
   {_us('proposed_exp_date')} AS expiration_date, substr(CAST(sub_total_premium AS VARCHAR), 1, 50) AS written_premium,
-  COALESCE(trim(adr_phy_city), '') AS risk_city, COALESCE(trim(adr_phy_state_code), '') AS risk_state,
-  COALESCE(trim(adr_phy_zip), '') AS risk_zip
-FROM base"""
+  COALESCE(city, '') AS risk_city, COALESCE(state, '') AS risk_state, COALESCE(zip, '') AS risk_zip
+FROM policies JOIN terms USING (quote_id) LEFT JOIN risks USING (quote_id) LEFT JOIN agencies USING (agency_id)
+LEFT JOIN writers USING (user_id) LEFT JOIN adm_bm_lkp_transaction_types USING (lkp_id)"""
     return _with(["bms_options_mst", "bms_quote_mst", "bms_submission_mst", "bms_quote_insured_mst", "adm_co_agencies",
                   "adm_co_users", "adm_bm_lkp_transaction_types"], body)
 
 
 def followup() -> str:
     d1, d2, d3 = V.FOLLOW_UP_DAYS
-    body = f"""base AS (
-  SELECT q.quote_code, o.business_id, quote_trc.sent, o.proposed_eff_date, o.proposed_exp_date, COALESCE(o.sub_total_premium, 0) AS premium,
-         st.main_status_text
-  FROM bms_quote_mst q JOIN bms_options_mst o ON o.quote_id = q.quote_id AND o.flg_active = 1
-  LEFT JOIN adm_bm_statuses st ON st.status_id = q.status_id,
-  LATERAL (SELECT MIN(x.sent_dt) AS sent FROM (
-      SELECT cd.created_dt AS sent_dt FROM bms_email_confirmation_details cd
-      JOIN adm_co_lkp_email_process_parameters pp ON pp.lkp_id = cd.lkp_email_process_parameter_id
-      WHERE cd.business_id = o.business_id AND cd.quote_id = q.quote_id AND pp.lkp_code = {_q(V.EMAIL_QUOTE)} AND cd.flg_active = 1
-      UNION ALL
-      SELECT tm.created_dt FROM bms_template_memos tm
-      JOIN adm_co_lkp_email_process_parameters pp ON pp.lkp_id = tm.lkp_email_process_parameters_id
-      WHERE tm.business_id = o.business_id AND tm.quote_id = q.quote_id AND pp.lkp_code = {_q(V.EMAIL_QUOTE)} AND tm.flg_active = 1) x) quote_trc
-  WHERE q.flg_active = 1 AND quote_trc.sent IS NOT NULL
-    AND quote_trc.sent >= CAST(date_trunc('month', {AS_OF}) AS DATE) - INTERVAL 1 MONTH AND quote_trc.sent < {AS_OF} + 1
-    AND COALESCE(o.sub_total_premium, 0) > {V.PREMIUM_THRESHOLD}
-    AND substr(st.main_status_text, 1, 400) = {_q(V.STATUS_NB_QUOTE_OFFERED_TEXT)})
+    body = f"""{_email_union("= " + _q(V.EMAIL_QUOTE))},
+first_mail AS (
+  SELECT business_id, quote_id, MIN(created_dt) AS sent FROM em GROUP BY ALL
+  HAVING MIN(created_dt) >= DATE '2001-05-01' AND MIN(created_dt) < DATE '2001-06-16'),
+offered AS (
+  SELECT quote_id, quote_code, status_text FROM bms_quote_mst
+  JOIN (SELECT status_id, substr(main_status_text, 1, 400) AS status_text FROM adm_bm_statuses) USING (status_id)
+  WHERE flg_active = 1 AND status_text = {_q(V.STATUS_NB_QUOTE_OFFERED_TEXT)})
 SELECT substr(quote_code, 1, 100) AS quote_code, substr(CAST(business_id AS VARCHAR), 1, 100) AS business_id,
   {_us('sent')} AS quote_sent_date, {_us(f'CAST(sent AS DATE) + {d1}')} AS first_follow_up_due_date,
   {_us(f'CAST(sent AS DATE) + {d2}')} AS second_follow_up_due_date, {_us(f'CAST(sent AS DATE) + {d3}')} AS qcl_due_date,
   {_us('proposed_eff_date')} AS proposed_eff_date, {_us('proposed_exp_date')} AS proposed_exp_date,
-  substr(CAST(premium AS VARCHAR), 1, 50) AS premium, substr(main_status_text, 1, 400) AS quote_status
-FROM base"""
+  substr(CAST(sub_total_premium AS VARCHAR), 1, 50) AS premium, status_text AS quote_status
+FROM first_mail JOIN offered USING (quote_id) JOIN bms_options_mst USING (business_id, quote_id)
+WHERE flg_active = 1 AND sub_total_premium > {V.PREMIUM_THRESHOLD}"""
     return _with(["bms_quote_mst", "bms_options_mst", "adm_bm_statuses", "bms_email_confirmation_details",
                   "bms_template_memos", "adm_co_lkp_email_process_parameters"], body)
 
 
 def submission_lookup() -> str:
-    body = f"""base AS (
-  SELECT sb.submission_code, ag.agency_name, qi.insured_name FROM bms_submission_mst sb
-  LEFT JOIN adm_co_agencies ag ON ag.agency_id = sb.original_producer_id AND COALESCE(ag.flg_active, 1) = 1
-  LEFT JOIN bms_quote_mst q ON q.submission_id = sb.submission_id AND {_LIVE.format(a='q')}
-  LEFT JOIN bms_quote_insured_mst qi ON qi.quote_id = q.quote_id
-  WHERE {_LIVE.format(a='sb')})
-SELECT substr(submission_code, 1, 50) AS submission_number, substr(agency_name, 1, 150) AS agency_name,
-  substr(insured_name, 1, 200) AS insured_name FROM base"""
+    body = f"""insured AS (
+  SELECT submission_id, substr(insured_name, 1, 200) AS insured_name
+  FROM (SELECT submission_id, quote_id FROM bms_quote_mst WHERE {_LIVE_ROW}) LEFT JOIN bms_quote_insured_mst USING (quote_id)),
+agencies AS (
+  SELECT agency_id AS original_producer_id, substr(agency_name, 1, 150) AS agency_name FROM adm_co_agencies
+  WHERE COALESCE(flg_active, 1) = 1)
+SELECT substr(submission_code, 1, 50) AS submission_number, agency_name, insured_name
+FROM (SELECT * FROM bms_submission_mst WHERE {_LIVE_ROW})
+LEFT JOIN agencies USING (original_producer_id) LEFT JOIN insured USING (submission_id)"""
     return _with(["bms_submission_mst", "adm_co_agencies", "bms_quote_mst", "bms_quote_insured_mst"], body)
 
 
@@ -403,116 +392,76 @@ SELECT substr(submission_code, 1, 50) AS submission_number, substr(agency_name,
 _SC_TABLES = ["bms_submission_mst", "bms_quote_mst", "adm_bm_lkp_transaction_types", "bms_options_mst",
               "bms_quote_closed", "adm_co_agencies"]
 
-_R3 = f"win3 AS (SELECT CAST({AS_OF} - INTERVAL 3 MONTH AS DATE) AS s, {AS_OF} + 1 AS e)"
+#: measure -> (condition on a deal, what is added up; None counts distinct quotes)
+_DEAL_MEASURES = {
+    "quotes_started": ("started", None), "raw_quote_rows_started": ("started", "1"),
+    "quotes_started_bound": ("started AND bound", None),
+    "nb_quotes_started": ("started AND nb", None), "nb_quotes_bound": ("started AND nb AND bound", None),
+    "renewal_quotes_started": ("started AND rn", None), "renewal_quotes_bound": ("started AND rn AND bound", None),
+    "binds": ("won", None), "binds_from_cohort": ("won AND started", None),
+    "nb_binds": ("won AND nb", None), "renewal_binds": ("won AND rn", None),
+    "sum_days_to_bind": ("won", "days"), "cnt_days_to_bind": ("won AND days IS NOT NULL", "1"),
+    "bound_premium": ("won", "prem"), "bound_fees": ("won", "fees"),
+    "bound_premium_from_cohort": ("won AND started", "prem"), "bound_fees_from_cohort": ("won AND started", "fees"),
+    "nb_bound_premium": ("won AND nb", "prem"), "renewal_bound_premium": ("won AND rn", "prem"),
+}
 
 
 def _sc_ctes() -> str:
-    live_sb = _LIVE.format(a="sb")
-    live_q = _LIVE.format(a="q")
-    qd = "COALESCE(q.quote_dt, q.created_dt)"
-    st = f"({qd} >= win3.s AND {qd} < win3.e)"
-    bd = "(q.bind_dt IS NOT NULL AND q.bind_dt >= win3.s AND q.bind_dt < win3.e)"
-    nb = f"COALESCE(tt.lkp_desc, '') = {_q(V.TT_NEW_BUSINESS)}"
-    rn = f"COALESCE(tt.lkp_desc, '') IN {_in(V.TT_RENEWALS)}"
-    return f"""{_R3},
-opd AS (
-  SELECT quote_id, {_money('sub_total_premium')} AS prem,
-         CAST(COALESCE(total_fee_taxable, 0) + COALESCE(total_fee_non_taxable, 0) AS DECIMAL(18,2)) AS fees
-  FROM bms_options_mst WHERE COALESCE(flg_active, 1) = 1
-  QUALIFY row_number() OVER (PARTITION BY quote_id ORDER BY COALESCE(updated_dt, created_dt) DESC NULLS LAST,
-    prem DESC NULLS LAST, product_id DESC NULLS LAST, prem DESC NULLS LAST, fees DESC NULLS LAST) = 1),
-universe AS (
-  SELECT DISTINCT sb.submission_id, sb.original_producer_id AS agency_id
-  FROM bms_submission_mst sb CROSS JOIN win3
-  LEFT JOIN bms_quote_mst q ON q.submission_id = sb.submission_id AND {live_q}
-  WHERE {live_sb} AND sb.original_producer_id IS NOT NULL
-    AND ((sb.created_dt >= win3.s AND sb.created_dt < win3.e) OR {st} OR {bd})),
-created_cnt AS (
-  SELECT sb.original_producer_id AS agency_id, COUNT(DISTINCT sb.submission_id) AS submissions_created
-  FROM bms_submission_mst sb CROSS JOIN win3
-  WHERE {live_sb} AND sb.original_producer_id IS NOT NULL AND sb.created_dt >= win3.s AND sb.created_dt < win3.e
-  GROUP BY 1),
-activity_cnt AS (SELECT agency_id, COUNT(DISTINCT submission_id) AS submissions_activity FROM universe GROUP BY 1),
-quote_start AS (
-  SELECT universe.agency_id,
-    COUNT(DISTINCT CASE WHEN {st} THEN sb.submission_id END) AS submissions_quoted,
-    COUNT(DISTINCT CASE WHEN {st} THEN q.quote_id END) AS quotes_started,
-    SUM(CASE WHEN {st} THEN 1 ELSE 0 END) AS raw_quote_rows_started,
-    COUNT(DISTINCT CASE WHEN {st} AND q.bind_dt IS NOT NULL THEN q.quote_id END) AS quotes_started_bound,
-    COUNT(DISTINCT CASE WHEN {st} AND {nb} THEN q.quote_id END) AS nb_quotes_started,
-    COUNT(DISTINCT CASE WHEN {st} AND {nb} AND q.bind_dt IS NOT NULL THEN q.quote_id END) AS nb_quotes_bound,
-    COUNT(DISTINCT CASE WHEN {st} AND {rn} THEN q.quote_id END) AS renewal_quotes_started,
-    COUNT(DISTINCT CASE WHEN {st} AND {rn} AND q.bind_dt IS NOT NULL THEN q.quote_id END) AS renewal_quotes_bound
-  FROM universe JOIN bms_submission_mst sb ON sb.submission_id = universe.submission_id
-  LEFT JOIN bms_quote_mst q ON q.submission_id = sb.submission_id AND {live_q}
-  LEFT JOIN adm_bm_lkp_transaction_types tt ON tt.lkp_id = q.lkp_transaction_type_id
-  CROSS JOIN win3 WHERE {live_sb} GROUP BY 1),
-production AS (
-  SELECT universe.agency_id,
-    COUNT(DISTINCT CASE WHEN {bd} THEN q.quote_id END) AS binds,
-    COUNT(DISTINCT CASE WHEN {bd} AND {st} THEN q.quote_id END) AS binds_from_cohort,
-    SUM(CASE WHEN {bd} AND {qd} IS NOT NULL THEN CAST(CAST(q.bind_dt AS DATE) - CAST({qd} AS DATE) AS DECIMAL(18,2)) ELSE 0 END) AS sum_days_to_bind,
-    SUM(CASE WHEN {bd} AND {qd} IS NOT NULL THEN 1 ELSE 0 END) AS cnt_days_to_bind,
-    SUM(CASE WHEN {bd} THEN COALESCE(opd.prem, 0) ELSE 0 END) AS bound_premium,
-    SUM(CASE WHEN {bd} THEN COALESCE(opd.fees, 0) ELSE 0 END) AS bound_fees,
-    SUM(CASE WHEN {bd} AND {st} THEN COALESCE(opd.prem, 0) ELSE 0 END) AS bound_premium_from_cohort,
-    SUM(CASE WHEN {bd} AND {st} THEN COALESCE(opd.fees, 0) ELSE 0 END) AS bound_fees_from_cohort,
-    COUNT(DISTINCT CASE WHEN {bd} AND {nb} THEN q.quote_id END) AS nb_binds,
-    COUNT(DISTINCT CASE WHEN {bd} AND {rn} THEN q.quote_id END) AS renewal_binds,
-    SUM(CASE WHEN {bd} AND {nb} THEN COALESCE(opd.prem, 0) ELSE 0 END) AS nb_bound_premium,
-    SUM(CASE WHEN {bd} AND {rn} THEN COALESCE(opd.prem, 0) ELSE 0 END) AS renewal_bound_premium
-  FROM universe JOIN bms_submission_mst sb ON sb.submission_id = universe.submission_id
-  LEFT JOIN bms_quote_mst q ON q.submission_id = sb.submission_id AND {live_q}
-  LEFT JOIN adm_bm_lkp_transaction_types tt ON tt.lkp_id = q.lkp_transaction_type_id
-  LEFT JOIN opd ON opd.quote_id = q.quote_id
-  CROSS JOIN win3 WHERE {live_sb} GROUP BY 1),
-declined AS (
-  SELECT universe.agency_id, COUNT(DISTINCT q.quote_id) AS declines, SUM(COALESCE(opd.prem, 0)) AS declined_premium
-  FROM universe JOIN bms_submission_mst sb ON sb.submission_id = universe.submission_id
-  JOIN bms_quote_mst q ON q.submission_id = sb.submission_id AND {live_q}
-  JOIN bms_quote_closed qc ON qc.quote_id = q.quote_id
-  LEFT JOIN opd ON opd.quote_id = q.quote_id
-  CROSS JOIN win3
-  WHERE COALESCE(qc.flg_active, 1) = 1 AND COALESCE(qc.flg_decline, 0) = 1 AND qc.created_dt >= win3.s AND qc.created_dt < win3.e
-    AND {live_sb}
+    """One fact row per live quote of a live submission with a producer; every measure is a filtered
+    aggregate of it.  A quote started or won in the window makes its submission a touched one, so the
+    funnel needs no list of submissions; declines do, as any quote of a touched submission may be declined."""
+    def inside(d: str) -> str:
+        return f"COALESCE({d} >= DATE '2001-03-15' AND {d} < DATE '2001-06-16', FALSE)"
+    newest = ("ORDER BY COALESCE(updated_dt, created_dt) DESC NULLS LAST, prem DESC NULLS LAST, "
+              "product_id DESC NULLS LAST, fees DESC NULLS LAST")
+    funnel = ",\n    ".join(
+        (f"COUNT(DISTINCT quote_id) FILTER ({cond})" if amount is None else f"SUM({amount}) FILTER ({cond})") + f" AS {name}"
+        for name, (cond, amount) in _DEAL_MEASURES.items())
+    zeros = ", ".join(f"COALESCE({c}, 0) AS {c}" for c in _SC_MEASURES)
+    totals = ", ".join(f"SUM({c}) AS {c}" for c in _SC_MEASURES)
+    return f"""prices AS (
+  SELECT quote_id, first(prem {newest}) AS prem, first(fees {newest}) AS fees
+  FROM (SELECT *, {_money('sub_total_premium')} AS prem,
+               CAST(COALESCE(total_fee_taxable, 0) + COALESCE(total_fee_non_taxable, 0) AS DECIMAL(18,2)) AS fees
+        FROM bms_options_mst WHERE COALESCE(flg_active, 1) = 1) GROUP BY quote_id),
+subs AS (
+  SELECT submission_id, original_producer_id AS agency_id, {inside('created_dt')} AS created_in FROM bms_submission_mst
+  WHERE {_LIVE_ROW} AND original_producer_id IS NOT NULL),
+deals AS (
+  SELECT agency_id, submission_id, quote_id, prem, fees, bind_dt IS NOT NULL AS bound,
+    {inside('COALESCE(quote_dt, created_dt)')} AS started, {inside('bind_dt')} AS won,
+    COALESCE(lkp_desc = {_q(V.TT_NEW_BUSINESS)}, FALSE) AS nb, COALESCE(lkp_desc IN {_in(V.TT_RENEWALS)}, FALSE) AS rn,
+    CAST(date_diff('day', CAST(COALESCE(quote_dt, created_dt) AS DATE), CAST(bind_dt AS DATE)) AS DECIMAL(18,2)) AS days
+  FROM (SELECT *, lkp_transaction_type_id AS lkp_id FROM bms_quote_mst WHERE {_LIVE_ROW}) JOIN subs USING (submission_id)
+  LEFT JOIN adm_bm_lkp_transaction_types USING (lkp_id) LEFT JOIN prices USING (quote_id)),
+touched AS (
+  SELECT submission_id, agency_id, bool_or(created_in) AS created_in, bool_or(quoted) AS quoted
+  FROM (SELECT submission_id, agency_id, created_in, FALSE AS quoted FROM subs WHERE created_in
+        UNION ALL SELECT submission_id, agency_id, FALSE, started FROM deals WHERE started OR won) GROUP BY ALL),
+intake AS (
+  SELECT agency_id, COUNT(*) FILTER (created_in) AS submissions_created, COUNT(*) AS submissions_activity,
+    COUNT(*) FILTER (quoted) AS submissions_quoted FROM touched GROUP BY 1),
+funnel AS (
+  SELECT agency_id,
+    {funnel}
+  FROM deals WHERE started OR won GROUP BY 1),
+lost AS (
+  SELECT agency_id, COUNT(DISTINCT quote_id) AS declines, SUM(COALESCE(prem, 0)) AS declined_premium
+  FROM deals SEMI JOIN touched USING (submission_id)
+  JOIN (SELECT quote_id FROM bms_quote_closed
+        WHERE COALESCE(flg_active, 1) = 1 AND flg_decline = 1 AND {inside('created_dt')}) closures USING (quote_id)
   GROUP BY 1),
+measures AS (
+  SELECT agency_id, {zeros} FROM intake LEFT JOIN funnel USING (agency_id) LEFT JOIN lost USING (agency_id)),
 metrics AS (
-  SELECT ag.agency_code, ag.agency_name,
-    COALESCE(created_cnt.submissions_created, 0) AS submissions_created, COALESCE(activity_cnt.submissions_activity, 0) AS submissions_activity,
-    COALESCE(quote_start.submissions_quoted, 0) AS submissions_quoted, COALESCE(quote_start.quotes_started, 0) AS quotes_started,
-    COALESCE(quote_start.raw_quote_rows_started, 0) AS raw_quote_rows_started, COALESCE(quote_start.quotes_started_bound, 0) AS quotes_started_bound,
-    COALESCE(quote_start.nb_quotes_started, 0) AS nb_quotes_started, COALESCE(quote_start.nb_quotes_bound, 0) AS nb_quotes_bound,
-    COALESCE(quote_start.renewal_quotes_started, 0) AS renewal_quotes_started, COALESCE(quote_start.renewal_quotes_bound, 0) AS renewal_quotes_bound,
-    COALESCE(declined.declines, 0) AS declines, COALESCE(declined.declined_premium, 0) AS declined_premium,
-    COALESCE(production.binds, 0) AS binds, COALESCE(production.binds_from_cohort, 0) AS binds_from_cohort,
-    COALESCE(production.bound_premium, 0) AS bound_premium, COALESCE(production.bound_fees, 0) AS bound_fees,
-    COALESCE(production.bound_premium_from_cohort, 0) AS bound_premium_from_cohort,
-    COALESCE(production.bound_fees_from_cohort, 0) AS bound_fees_from_cohort,
-    COALESCE(production.sum_days_to_bind, 0) AS sum_days_to_bind, COALESCE(production.cnt_days_to_bind, 0) AS cnt_days_to_bind,
-    COALESCE(production.nb_binds, 0) AS nb_binds, COALESCE(production.renewal_binds, 0) AS renewal_binds,
-    COALESCE(production.nb_bound_premium, 0) AS nb_bound_premium, COALESCE(production.renewal_bound_premium, 0) AS renewal_bound_premium
-  FROM (SELECT DISTINCT agency_id FROM universe UNION SELECT DISTINCT agency_id FROM created_cnt) a
-  JOIN adm_co_agencies ag ON ag.agency_id = a.agency_id
-  LEFT JOIN created_cnt ON created_cnt.agency_id = a.agency_id LEFT JOIN activity_cnt ON activity_cnt.agency_id = a.agency_id
-  LEFT JOIN quote_start ON quote_start.agency_id = a.agency_id LEFT JOIN production ON production.agency_id = a.agency_id
-  LEFT JOIN declined ON declined.agency_id = a.agency_id
-  WHERE COALESCE(ag.flg_active, 1) = 1),
-rollmap(member_code, rollup_code, rollup_name) AS (VALUES {", ".join(f"({_q(a)}, {_q(b)}, {_q(c)})" for a, b, c in V.AGENCY_ROLLUP)}),
-final_agg AS (
-  SELECT COALESCE(m.rollup_code, metrics.agency_code) AS agency_code, COALESCE(m.rollup_name, metrics.agency_name) AS agency_name,
-    SUM(submissions_created) AS submissions_created, SUM(submissions_activity) AS submissions_activity,
-    SUM(submissions_quoted) AS submissions_quoted, SUM(quotes_started) AS quotes_started,
-    SUM(raw_quote_rows_started) AS raw_quote_rows_started, SUM(quotes_started_bound) AS quotes_started_bound,
-    SUM(nb_quotes_started) AS nb_quotes_started, SUM(nb_quotes_bound) AS nb_quotes_bound,
-    SUM(renewal_quotes_started) AS renewal_quotes_started, SUM(renewal_quotes_bound) AS renewal_quotes_bound,
-    SUM(declines) AS declines, SUM(declined_premium) AS declined_premium, SUM(binds) AS binds,
-    SUM(binds_from_cohort) AS binds_from_cohort, SUM(bound_premium) AS bound_premium, SUM(bound_fees) AS bound_fees,
-    SUM(bound_premium_from_cohort) AS bound_premium_from_cohort, SUM(bound_fees_from_cohort) AS bound_fees_from_cohort,
-    SUM(sum_days_to_bind) AS sum_days_to_bind, SUM(cnt_days_to_bind) AS cnt_days_to_bind, SUM(nb_binds) AS nb_binds,
-    SUM(renewal_binds) AS renewal_binds, SUM(nb_bound_premium) AS nb_bound_premium,
-    SUM(renewal_bound_premium) AS renewal_bound_premium
-  FROM metrics LEFT JOIN rollmap m ON m.member_code = metrics.agency_code
-  GROUP BY 1, 2)"""
+  SELECT agency_code, agency_name, measures.* FROM measures JOIN adm_co_agencies USING (agency_id)
+  WHERE COALESCE(flg_active, 1) = 1),
+rollmap(agency_code, rollup_code, rollup_name) AS (VALUES {", ".join(f"({_q(a)}, {_q(b)}, {_q(c)})" for a, b, c in V.AGENCY_ROLLUP)}),
+reported AS (
+  SELECT * REPLACE (COALESCE(rollup_code, agency_code) AS agency_code, COALESCE(rollup_name, agency_name) AS agency_name)
+  FROM metrics LEFT JOIN rollmap USING (agency_code)),
+final_agg AS (SELECT agency_code, agency_name, {totals} FROM reported GROUP BY ALL)"""
 
 
 def _score_sql() -> dict[str, str]:
@@ -638,9 +587,6 @@ _DOC_PREDS = {
     "is_renewal_invoice": f"upper(trim(document_name)) LIKE {_q(V.DOC_RENEWAL_INVOICE_PREFIX)}",
 }
 
-_LIVE_Q = "COALESCE(flg_active, 1) = 1 AND COALESCE(purge_status, 0) = 0"
-
-
 def _band_max(x: str, n: int) -> str:
     return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} < 0 THEN 'Data Issue' WHEN {x} <= {n} THEN 'Green' ELSE 'Red' END"
 
@@ -651,14 +597,13 @@ def _sub_quotes() -> str:
 
 
 def _email_union(code_pred: str) -> str:
-    return f"""em AS (
-  SELECT cd.business_id, cd.quote_id, cd.created_dt FROM bms_email_confirmation_details cd
-  JOIN adm_co_lkp_email_process_parameters pp ON pp.lkp_id = cd.lkp_email_process_parameter_id
-  WHERE pp.lkp_code {code_pred} AND cd.flg_active = 1
+    return f"""codes AS (SELECT lkp_id FROM adm_co_lkp_email_process_parameters WHERE lkp_code {code_pred}),
+em AS (
+  SELECT business_id, quote_id, created_dt FROM bms_email_confirmation_details
+  WHERE flg_active = 1 AND lkp_email_process_parameter_id IN (SELECT lkp_id FROM codes)
   UNION ALL
-  SELECT tm.business_id, tm.quote_id, tm.created_dt FROM bms_template_memos tm
-  JOIN adm_co_lkp_email_process_parameters pp ON pp.lkp_id = tm.lkp_email_process_parameters_id
-  WHERE pp.lkp_code {code_pred} AND tm.flg_active = 1)"""
+  SELECT business_id, quote_id, created_dt FROM bms_template_memos
+  WHERE flg_active = 1 AND lkp_email_process_parameters_id IN (SELECT lkp_id FROM codes))"""
 
 
 _EMAIL_TABLES = ["bms_email_confirmation_details", "bms_template_memos", "adm_co_lkp_email_process_parameters"]
@@ -718,7 +663,7 @@ SELECT quote_code AS quote_number, {_q(V.KPI1_TRANSACTION_LABEL)} AS transaction
   CAST(quote_id * 10 AS BIGINT) AS quote_id_x10 FROM bms_quote_mst"""),
         "flt_soft_delete_lenient": _with(["bms_submission_mst"], f"""x AS (SELECT 1)
 SELECT submission_id, CAST(flg_active AS BIGINT) AS flg_active, CAST(purge_status AS BIGINT) AS purge_status
-FROM bms_submission_mst WHERE {_LIVE_Q} AND user_id_accexecutive IS NOT NULL"""),
+FROM bms_submission_mst WHERE {_LIVE_ROW} AND user_id_accexecutive IS NOT NULL"""),
         "flt_soft_delete_strict": _with(["bms_options_mst"], """x AS (SELECT 1)
 SELECT quote_id, product_id, business_id FROM bms_options_mst WHERE flg_active = 1"""),
         "flt_in_like_3vl": _with(["bms_quote_mst", "adm_bm_lkp_transaction_types"], f"""x AS (SELECT 1)
@@ -793,16 +738,8 @@ SELECT a.quote_id, a.submission_code, a.req_dt,
 FROM a"""),
         "union_min_two_sources": _with(_EMAIL_TABLES, f"""{_email_union("= " + _q(V.EMAIL_QUOTE))}
 SELECT business_id, quote_id, MIN(created_dt) AS sent_dt FROM em GROUP BY 1, 2"""),
-        "semi_or_two_sources": _with(["bms_options_mst"] + _EMAIL_TABLES, f"""x AS (SELECT 1)
-SELECT o.quote_id, o.business_id, o.product_id FROM bms_options_mst o
-WHERE EXISTS (SELECT 1 FROM bms_email_confirmation_details cd JOIN adm_co_lkp_email_process_parameters pp
-              ON pp.lkp_id = cd.lkp_email_process_parameter_id
-              WHERE cd.business_id = o.business_id AND cd.quote_id = o.quote_id AND pp.lkp_code IN {_in(V.EMAIL_QUOTE_OR_RENEWAL)}
-                AND cd.flg_active = 1)
-   OR EXISTS (SELECT 1 FROM bms_template_memos tm JOIN adm_co_lkp_email_process_parameters pp
-              ON pp.lkp_id = tm.lkp_email_process_parameters_id
-              WHERE tm.business_id = o.business_id AND tm.quote_id = o.quote_id AND pp.lkp_code IN {_in(V.EMAIL_QUOTE_OR_RENEWAL)}
-                AND tm.flg_active = 1)"""),
+        "semi_or_two_sources": _with(["bms_options_mst"] + _EMAIL_TABLES, f"""{_email_union("IN " + _in(V.EMAIL_QUOTE_OR_RENEWAL))}
+SELECT quote_id, business_id, product_id FROM bms_options_mst SEMI JOIN em USING (business_id, quote_id)"""),
         "scalar_subq_agency": _with(["bms_quote_mst", "bms_submission_mst", "adm_co_agencies"], f"""x AS (SELECT 1)
 SELECT q.quote_id, COALESCE({agency_sub.format(c='code')}, '') AS agency_code,
   COALESCE({agency_sub.format(c='name')}, '') AS agency_name FROM bms_quote_mst q"""),
@@ -811,7 +748,7 @@ SELECT o.quote_id, o.product_id, ins.insured_name FROM bms_options_mst o JOIN bm
 JOIN bms_quote_insured_mst ins ON ins.quote_id = q.quote_id"""),
         "agg_group_sum_count": _with(["bms_submission_mst"], f"""x AS (SELECT 1)
 SELECT original_producer_id AS agency_id, CAST(year(created_dt) AS BIGINT) AS created_year, CAST(COUNT(*) AS BIGINT) AS n_submissions,
-  CAST(SUM(CASE WHEN {_LIVE_Q} THEN 1 ELSE 0 END) AS BIGINT) AS n_live FROM bms_submission_mst GROUP BY 1, 2"""),
+  CAST(SUM(CASE WHEN {_LIVE_ROW} THEN 1 ELSE 0 END) AS BIGINT) AS n_live FROM bms_submission_mst GROUP BY 1, 2"""),
         "agg_count_distinct": _with(["bms_quote_mst", "bms_submission_mst"], f"""{_sub_quotes()}
 SELECT agency_id, CAST(COUNT(DISTINCT submission_id) AS BIGINT) AS n_submissions, CAST(COUNT(DISTINCT quote_id) AS BIGINT) AS n_quotes
 FROM sq GROUP BY 1"""),
@@ -833,7 +770,7 @@ FROM bms_tracers WHERE tracer_desc LIKE {_q(V.TRACER_ENDORSEMENT_ANY)} GROUP BY
 SELECT sb.submission_id, ag.agency_code,
   CAST(TRY_CAST(NULLIF(replace(ag.agency_code, {_q(V.AGENCY_CODE_PREFIX)}, ''), '') AS INTEGER) AS BIGINT) AS code_number
 FROM bms_submission_mst sb JOIN adm_co_agencies ag ON ag.agency_id = sb.original_producer_id"""),
-        "union_distinct_spine": _sc("SELECT agency_id FROM universe UNION SELECT agency_id FROM created_cnt"),
+        "union_distinct_spine": _sc("SELECT DISTINCT agency_id FROM touched"),
         "fn_strings": _with(["bms_quote_insured_mst"], """x AS (SELECT 1)
 SELECT quote_id, trim(adr_phy_city) AS city_trim, upper(insured_name) AS insured_upper, substr(insured_name, 1, 5) AS insured_left5,
   substr(adr_phy_state_code, 1, 4) AS state_w4 FROM bms_quote_insured_mst"""),
@@ -883,16 +820,15 @@ FROM bms_quote_mst q JOIN bms_submission_mst sb ON sb.submission_id = q.submissi
 SELECT DISTINCT quote_id, business_id, created_dt, {_us('created_dt')} AS sent_us, {_us('CAST(created_dt AS DATE) + 3')} AS first_follow_up,
   {_us('CAST(created_dt AS DATE) + 25')} AS second_follow_up, {_us('CAST(created_dt AS DATE) + 30')} AS qcl_due
 FROM bms_email_confirmation_details"""),
-        "sc_submission_universe": _sc("SELECT submission_id, agency_id FROM universe"),
-        "sc_submissions_created": _sc("SELECT agency_id, CAST(submissions_created AS BIGINT) AS submissions_created FROM created_cnt"),
-        "sc_submissions_activity": _sc("SELECT agency_id, CAST(submissions_activity AS BIGINT) AS submissions_activity FROM activity_cnt"),
-        "sc_quote_start": _sc(f"SELECT agency_id, {_sc_select('quote_start', _QS_MEASURES, _SC_MONEY)} FROM quote_start"),
-        "sc_production": _sc(f"SELECT agency_id, {_sc_select('production', _PA_MEASURES, _SC_MONEY)} FROM production"),
-        "sc_decline": _sc("SELECT agency_id, CAST(declines AS BIGINT) AS declines, CAST(declined_premium AS DOUBLE) AS declined_premium FROM declined"),
+        "sc_submission_universe": _sc("SELECT submission_id, agency_id FROM touched"),
+        "sc_submissions_created": _sc("SELECT agency_id, CAST(submissions_created AS BIGINT) AS submissions_created FROM intake WHERE submissions_created > 0"),
+        "sc_submissions_activity": _sc("SELECT agency_id, CAST(submissions_activity AS BIGINT) AS submissions_activity FROM intake"),
+        "sc_quote_start": _sc(f"SELECT agency_id, {_sc_select('measures', _QS_MEASURES, _SC_MONEY)} FROM measures"),
+        "sc_production": _sc(f"SELECT agency_id, {_sc_select('measures', _PA_MEASURES, _SC_MONEY)} FROM measures"),
+        "sc_decline": _sc("SELECT agency_id, CAST(declines AS BIGINT) AS declines, CAST(declined_premium AS DOUBLE) AS declined_premium FROM lost"),
         "sc_agency_metrics": _sc(f"SELECT agency_code, agency_name, {_sc_select('metrics', _SC_MEASURES, _SC_MONEY)} FROM metrics"),
-        "sc_rollup": _sc("""SELECT COALESCE(m.rollup_code, metrics.agency_code) AS agency_code, COALESCE(m.rollup_name, metrics.agency_name) AS agency_name,
-  CAST(submissions_created AS BIGINT) AS submissions_created, CAST(binds AS BIGINT) AS binds
-FROM metrics LEFT JOIN rollmap m ON m.member_code = metrics.agency_code"""),
+        "sc_rollup": _sc("""SELECT agency_code, agency_name, CAST(submissions_created AS BIGINT) AS submissions_created,
+  CAST(binds AS BIGINT) AS binds FROM reported"""),
         "sc_final": _sc(f"SELECT agency_code, agency_name, {_sc_select('final_agg', _SC_MEASURES, _SC_MONEY)} FROM final_agg"),
         "sc_ratios": _from_scorecard(["agency_code", "agency_name", "sub_to_quote_pct_vs_intake", "sub_to_quote_pct_vs_activity",
                                       "quote_to_bind_pct", "decline_rate_pct", "carryover_pct", "dollar_hit_ratio_pct",
