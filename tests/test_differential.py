@@ -45,9 +45,11 @@ def test_query_matches_oracle(spark, duck, name):
     assert _rows([tuple(r) for r in sdf.collect()], sdf.columns) == _rows(res.fetchall(), ocols)
 
 
-def test_every_query_has_an_oracle():
+def test_every_report_and_inventory_query_has_an_oracle():
+    """Of the training-data queries only those that SQL can express have one; the others have tests of their own."""
     import __spark_entry__ as E
-    assert set(E.queries()) == set(E.oracle_sql())
+    mine = {n for n in E.queries() if n != "pipeline" and not n.startswith("op")}
+    assert mine <= set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_entry_smoke(spark):
