@@ -97,6 +97,25 @@ def test_near_copies_of_one_text_and_a_shared_passage(spark):
     assert sorted(got) == sorted(near_expected([(i, t) for i, t, _ in rows]))
 
 
+def test_near_drop_goes_by_row_not_by_id(spark):
+    """Clean rows stay when their id, or the null id, also stands at a near copy; copies without ids go."""
+    left = near_dedup.drop_near_duplicates(awkward(spark))
+    assert left.columns == awkward(spark).columns
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    rows = [(r.doc_id, r.text) for r in awkward(spark).collect()]
+    gone = [(None, "one TWO three four five six."), (7, rows[10][1])]
+    assert sorted(got, key=key) == sorted({r for r in rows if r not in gone}, key=key)
+
+    body = [f"t{n}" for n in range(60)]
+    near = " ".join([*body, "end"])
+    rows = [(1, " ".join(body), "s"), (2, near, "s"), (2, "a clean text of the same id two", "s"), (None, near + " more", "s"),
+            (None, "a clean text that has no id", "s"), (None, "q " + " ".join(body[::-1]), "s"), (None, " ".join(body[::-1]), "s")]
+    got = {(r.doc_id, r.text) for r in near_dedup.drop_near_duplicates(documents(spark, rows)).collect()}
+    assert got - {(i, t) for i, t, _ in rows[5:]} == {(i, t) for i, t, _ in (rows[0], rows[2], rows[4])} and len(got) == 4
+    labels = near_got(documents(spark, rows))
+    assert sorted(labels, key=key) == sorted(near_expected([(i, t) for i, t, _ in rows]), key=key)
+
+
 def test_pruning_bounds():
     assert near_dedup.least_matches(24, 0.85, 1e-7) < 0.85 * 24
     bounds = [near_dedup.least_matches(n, 0.85, 1e-7) / n for n in range(24, 121, 24)]

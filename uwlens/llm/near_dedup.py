@@ -18,10 +18,11 @@ No bucket is expanded into all pairs, and none is capped:
    copies of one text, which differ in many places, drop out.  Only pairs across components are made.
 
 Links form components (``components``).  Defined results: null or empty text has no shingles, is its
-own component and links with nothing; a set that only rows without an id have is linked with nothing
-(its equal rows share the null component); a text of fewer than ``k`` words is one shingle; equal sets are
-always linked; rows that repeat an id form one document as far as labels go (``component_id`` is the
-smallest id of the component, null only if all its ids are null); an empty table gives an empty result.
+own component and links with nothing; rows without an id are linked like others; a text of fewer than
+``k`` words is one shingle; equal sets are always linked; ``component_id`` is the smallest id of the
+component, null only if all its ids are null, and ``kept`` marks the rows with that id.  An id may have
+several texts: rows are told apart by id and text (``row_key``).  ``drop_near_duplicates`` keeps exactly
+one row of each component; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -123,14 +124,20 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for s in sets:
             node.append(_node(s))
             sig.append(next(signed).tobytes() if len(s) else None)
-        yield pd.DataFrame({"doc_id": rows["doc_id"], "n_shingles": [len(s) for s in sets], "node": node, "sig": sig})
+        yield pd.DataFrame({"doc_id": rows["doc_id"], "row_key": rows["row_key"], "n_shingles": [len(s) for s in sets], "node": node, "sig": sig})
+
+
+def _row_key(doc_id: Column, text: Column) -> Column:
+    """Id and text of a row in one string (a null id leaves the text's digest alone)."""
+    return F.concat_ws(":", doc_id.cast("string"), F.md5(text_bytes(text)))
 
 
 def signed_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = pick(docs, doc_id=id_col, text=text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return (rows.select(F.col("doc_id").cast("string").alias("doc_id"), text_bytes(F.col("text")).alias("text"))
-            .mapInPandas(_sign, "doc_id string, n_shingles bigint, node binary, sig binary")
+    return (rows.select(F.col("doc_id").cast("string").alias("doc_id"), _row_key(F.col("doc_id"), F.col("text")).alias("row_key"),
+                        text_bytes(F.col("text")).alias("text"))
+            .mapInPandas(_sign, "doc_id string, row_key string, n_shingles bigint, node binary, sig binary")
             .withColumn("doc_id", F.col("doc_id").cast(kind)))
 
 
@@ -174,8 +181,7 @@ def _plausible(threshold: float, miss: float):
 
 
 def _confirm(ratio: tuple[int, int]):
-    """Exact test on full sets (the second text of consecutive rows is usually the same).  A text that
-    is not its node's, which only an id given to several texts can bring here, is passed over."""
+    """Exact test on full sets (the second text of consecutive rows is usually the same)."""
     num, den = ratio
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,12 +203,14 @@ def _confirm(ratio: tuple[int, int]):
 
 
 def _texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, text) of the wanted nodes; a bounded bitmap of their ids keeps other texts from shuffling."""
-    ends = scratch.save(wanted.join(nodes.select("node", F.col("doc_id").cast("string").alias("doc_id")), "node"), f"{name}-needed")
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(ID_FILTER_BITS))
+    """(node, text) of the wanted nodes; a bounded bitmap of their row keys keeps other texts from shuffling."""
+    ends = scratch.save(wanted.join(nodes.select("node", "row_key"), "node"), f"{name}-needed")
+    slot = F.pmod(F.xxhash64("row_key"), F.lit(ID_FILTER_BITS))
     marked = bitmap_of(ends.select(slot.alias("slot")).distinct(), "slot")
     near = flagged_by(texts.withColumn("slot", slot), marked, "slot", "wanted").where("wanted").drop("slot", "wanted")
-    return ends.join(near, "doc_id").select("node", "text")
+    # equal texts without an id have one row key: one of them is enough
+    near = near.where("has_id").unionByName(near.where("not has_id").dropDuplicates(["row_key"]))
+    return ends.join(near, "row_key").select("node", "text")
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, ratio: tuple[int, int], miss: float,
@@ -292,17 +300,17 @@ def _rest_pairs(open_nodes: DataFrame, nodes: DataFrame, texts: DataFrame, teste
     return pairs.join(done, ["a", "b"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    ratio: tuple[int, int] = THRESHOLD, miss: float = MISS) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str, ratio: tuple[int, int], miss: float) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and (node, root, component_id) of the nodes of several rows or with links."""
     text_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near-dedup")
     signed = scratch.save(signed_documents(docs, id_col, text_col), "signed")
     nodes = scratch.save(signed.where(F.col("node").isNotNull()).groupBy("node")
-                         .agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"),
+                         .agg(F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.first("sig").alias("sig"),
                               F.count(F.lit(1)).alias("copies")), "nodes")
-    texts = pick(docs, doc_id=id_col, text=text_col).select(
-        F.col("doc_id").cast("string").alias("doc_id"), text_bytes(F.col("text")).alias("text"))
+    rows = pick(docs, doc_id=id_col, text=text_col)
+    texts = rows.select(_row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.col("doc_id").isNotNull().alias("has_id"),
+                        text_bytes(F.col("text")).alias("text"))
     members = scratch.save(_memberships(nodes), "members")
     stars = scratch.save(_star_pairs(members), "stars")
     links = _links(stars, nodes, texts, ratio, miss, scratch, "star")
@@ -315,8 +323,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = nodes.where("copies > 1").select("node").union(roots.select("node")).distinct().join(roots, "node", "left")
     grouped = grouped.withColumn("root", F.coalesce("root", "node")).join(nodes.select("node", "doc_id"), "node")
     least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labels = scratch.save(grouped.select("node", "root").join(least, "root").select("node", "component_id"), "labels")
-    out = signed.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
+    return signed, scratch.save(grouped.select("node", "root").join(least, "root").select("node", "root", "component_id"), "labels")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    ratio: tuple[int, int] = THRESHOLD, miss: float = MISS) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept."""
+    signed, labels = _labelled(docs, id_col, text_col, ratio, miss)
+    out = signed.select("doc_id", "n_shingles", "node").join(labels.select("node", "component_id"), "node", "left")
     component = F.when(F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -324,17 +338,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          ratio: tuple[int, int] = THRESHOLD, miss: float = MISS) -> DataFrame:
-    """The input rows that stay (one document of each component), all columns as they came.
+    """The input rows that stay (of each component one row with the smallest id), all columns as they came.
 
-    The ids to drop are marked in a bounded bitmap; rows it clears never shuffle."""
+    The row keys to drop are marked in a bounded bitmap; rows it clears never shuffle."""
     scratch = Scratch(docs.sparkSession, "near-dedup-drop")
-    lost = scratch.save(near_duplicates(docs, id_col, text_col, ratio, miss).where(~F.col("kept"))
-                        .select(F.col("doc_id").alias("lost_id")).distinct(), "lost")
-    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(ID_FILTER_BITS))
-    marked = scratch.save(bitmap_of(lost.select(slot("lost_id").alias("slot")).distinct(), "slot"), "marked")
+    signed, labels = _labelled(docs, id_col, text_col, ratio, miss)
+    grouped = scratch.save(signed.select("node", "doc_id", "row_key").join(labels.select("node", "root"), "node")
+                           .groupBy("root", "doc_id", "row_key").agg(F.count(F.lit(1)).alias("n")), "grouped")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
+    heads = grouped.groupBy("root").agg(first.alias("head")).select(F.col("head.row_key").alias("row_key"), F.lit(True).alias("head"))
+    # a head that several equal rows share stays once
+    marks = scratch.save(grouped.join(heads, "row_key", "left").select(F.col("row_key").alias("marked_key"), F.col("head").isNull().alias("lost"), "n")
+                         .where("lost or n > 1").select("marked_key", "lost"), "marks")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_FILTER_BITS))
+    marked = scratch.save(bitmap_of(marks.select(slot("marked_key").alias("slot")).distinct(), "slot"), "marked")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = packed.select("row", F.col(f"row.`{id_col}`").alias("row_id")).withColumn("row_slot", slot("row_id"))
-    rows = flagged_by(rows, marked, "row_slot", "maybe_lost")
-    clear = rows.where(~F.col("maybe_lost")).select("row.*")
-    checked = rows.where("maybe_lost").join(lost, F.col("row_id").eqNullSafe(F.col("lost_id")), "left_anti").select("row.*")
-    return clear.unionByName(checked)
+    rows = packed.select("row", _row_key(F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")).alias("row_key"))
+    rows = flagged_by(rows.withColumn("row_slot", slot("row_key")), marked, "row_slot", "maybe_marked")
+    clear = rows.where(~F.col("maybe_marked")).select("row.*")
+    checked = rows.where("maybe_marked").join(marks, F.col("row_key") == F.col("marked_key"), "left")
+    stay = checked.where("lost is null").select("row.*")
+    once = checked.where("not lost").select("row", "row_key").dropDuplicates(["row_key"]).select("row.*")
+    return clear.unionByName(stay).unionByName(once)
