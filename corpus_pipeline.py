@@ -24,6 +24,10 @@ from uwlens.llm.near_dedup import drop_near_duplicates
 from uwlens.llm.quality_mil import keep_good, train_quality
 
 
+#: Similarity from which the pipeline takes texts for near copies, on sets of five words (op10 has its own).
+NEAR_RATIO = (80, 100)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go (score below one half)."""
     model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), crc_remainder(F.col("doc_id"), 3) != 1)
@@ -36,8 +40,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest doc_id."""
-    return drop_near_duplicates(docs)
+    """One document of each near-duplicate group (similarity 0.8 or more) stays, the one with the smallest doc_id."""
+    return drop_near_duplicates(docs, ratio=NEAR_RATIO)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

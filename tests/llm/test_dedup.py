@@ -122,6 +122,13 @@ def test_pruning_bounds():
     assert bounds == sorted(bounds)  # the more compared, the tighter
 
 
+def test_bands_follow_the_threshold():
+    for threshold, rows in ((0.85, 5), (0.8, 4), (0.5, 2)):
+        assert near_dedup.band_rows(threshold) == rows
+        bands, p = near_dedup.HASHES // rows, threshold**rows
+        assert (1 - p)**bands + bands * p * (1 - p)**(bands - 1) < near_dedup.BAND_MISS
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101 + i) for i in range(500)] + [(7, 7)]
     roots = components(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark, "test-cc"))

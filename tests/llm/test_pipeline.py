@@ -57,6 +57,18 @@ def test_each_stage_against_brute_force(spark, stages):
     assert max(r["count"] for r in mixed) <= 3
 
 
+def test_near_stage_drops_pairs_from_similarity_080(spark):
+    words = [f"w{n}" for n in range(100)]
+    near80 = words[:84]  # 80 of 96 shingles: 0.833
+    far = words[20:]  # 76 of 96 shingles: 0.79
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    for text, share, stays in ((near80, 80 / 96, [1]), (far, 76 / 96, [1, 2])):
+        a, b = shingles(" ".join(words)), shingles(" ".join(text))
+        assert len(a & b) / len(a | b) == share
+        docs = spark.createDataFrame([(1, " ".join(words), "en", "s", 1), (2, " ".join(text), "en", "s", 1)], schema)
+        assert sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect()) == stays
+
+
 def test_run_is_its_stages_and_reruns_agree(spark, stages):
     assert rows(corpus_pipeline.run(spark, SF).select("doc_id")) == rows(stages["source_mixing"].select("doc_id"))
 

@@ -1,8 +1,8 @@
 """Near-duplicate detection: MinHash banding with sequential Bayesian verification.
 
 A document's set is its distinct ``k``-word shingles (64-bit hashes of the whole text).  Equal sets
-collapse to one node.  Each node has a MinHash signature, cut into bands; nodes with an equal band
-share a bucket.  Candidates are verified in signature batches: after each batch the posterior
+collapse to one node.  Each node has a MinHash signature, cut into bands (``band_rows`` chooses their
+width from the threshold); nodes with an equal band share a bucket.  Candidates are verified in signature batches: after each batch the posterior
 probability that the similarity reaches the threshold (Beta posterior of the matches so far, uniform
 prior) is bounded, and a pair is pruned as soon as that probability falls below ``miss``.  Survivors
 are compared exactly on their full sets.
@@ -41,10 +41,11 @@ from .components import components
 
 SHINGLE = 5
 THRESHOLD = (85, 100)
-BANDS, ROWS = 24, 5
-HASHES = BANDS * ROWS
+HASHES = 120
 BATCH = 24
 MISS = 1e-7
+#: Bound on the probability that a pair at the threshold shares at most one band (see ``band_rows``).
+BAND_MISS = 2e-5
 ID_FILTER_BITS = 1 << 26
 
 _U64 = np.uint64
@@ -141,8 +142,8 @@ def signed_documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .withColumn("doc_id", F.col("doc_id").cast(kind)))
 
 
-def _band(j: Column) -> Column:
-    return F.xxhash64(j, F.col("sig").substr((j * (4 * ROWS) + 1).cast("int"), F.lit(4 * ROWS)))
+def _band(j: Column, rows: int) -> Column:
+    return F.xxhash64(j, F.col("sig").substr((j * (4 * rows) + 1).cast("int"), F.lit(4 * rows)))
 
 
 # ---- sequential Bayesian verification -----------------------------------------------------------
@@ -158,6 +159,15 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
     return next(m for m in range(n + 1) if _binomial_at_most(n + 1, threshold, m) >= miss)
 
 
+def band_rows(threshold: float) -> int:
+    """Hashes per band: the most with which a pair at the threshold shares at most one of the
+    ``HASHES / rows`` bands with a probability below ``BAND_MISS``."""
+    fits = [r for r in range(1, HASHES + 1) if HASHES % r == 0 and _binomial_at_most(HASHES // r, threshold**r, 1) < BAND_MISS]
+    if not fits:
+        raise ValueError(f"no banding of {HASHES} hashes finds pairs of similarity {threshold} with a miss below {BAND_MISS}")
+    return max(fits)
+
+
 def _plausible(threshold: float, miss: float):
     bounds = [(n, least_matches(n, threshold, miss)) for n in range(BATCH, HASHES + 1, BATCH)]
 
@@ -232,10 +242,10 @@ def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, ratio: tuple[in
 
 # ---- candidates ---------------------------------------------------------------------------------
 
-def _memberships(nodes: DataFrame) -> DataFrame:
+def _memberships(nodes: DataFrame, per_band: int) -> DataFrame:
     """(bucket, node, members) of buckets with two or more nodes."""
-    rows = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("j"), "sig")
-    rows = rows.select(_band(F.col("j")).alias("bucket"), "node")
+    rows = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(HASHES // per_band - 1))).alias("j"), "sig")
+    rows = rows.select(_band(F.col("j"), per_band).alias("bucket"), "node")
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     return rows.join(shared, "bucket")
 
@@ -251,8 +261,8 @@ def _star_pairs(members: DataFrame) -> DataFrame:
 def _open_nodes(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes with two or more buckets of over two nodes that still hold several components.
 
-    (A pair at the threshold shares a single band with probability below 2e-5; a bucket of two nodes
-    was compared by its star.)"""
+    (A pair at the threshold shares at most one band with probability below ``BAND_MISS``; a bucket of
+    two nodes was compared by its star.)"""
     placed = members.where("members > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = (placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
              .where("lo <> hi").select("bucket"))
@@ -311,7 +321,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, ratio: tuple[int, int
     rows = pick(docs, doc_id=id_col, text=text_col)
     texts = rows.select(_row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.col("doc_id").isNotNull().alias("has_id"),
                         text_bytes(F.col("text")).alias("text"))
-    members = scratch.save(_memberships(nodes), "members")
+    members = scratch.save(_memberships(nodes, band_rows(ratio[0] / ratio[1])), "members")
     stars = scratch.save(_star_pairs(members), "stars")
     links = _links(stars, nodes, texts, ratio, miss, scratch, "star")
     roots = scratch.save(components(links, scratch, "star-cc"), "star-roots")
