@@ -58,6 +58,48 @@ def test_single_lines_and_wrapped_notices(spark):
     assert licenses(spark, "The MIT License is short. Licensed under nothing.") == []
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND
+"""
+APACHE = """Copyright 2024 Jane Doe
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+def test_wrapped_standard_notices_below_a_copyright_line(spark):
+    for text, names in ((MIT, ["MIT"]), (APACHE, ["Apache-2.0"])):
+        commented = "".join(f"# {line}".rstrip() + "\n" for line in text.splitlines())
+        boxed = "/*\n" + "".join(f" * {line}\n" for line in text.splitlines()) + " */\nint main;"
+        for form in (text, text.replace("\n", "\r\n"), commented, boxed):
+            assert licenses(spark, form) == names
+    spaced = "This work is licensed under\n\nthe GNU General Public\n\nLicense, version 3."
+    assert licenses(spark, spaced) == ["GPL-3.0"]
+
+
 def test_ordered_rules(spark):
     bsd3 = dict(license_rules.NOTICES)["BSD-3-Clause"]
     bsd2 = dict(license_rules.NOTICES)["BSD-2-Clause"]

@@ -1,7 +1,8 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences twice, with line ends as sentence ends and with line ends as blanks (for
-wrapped notices), each sentence is normalised (A-Z lowered, every run of other characters than a-z and
+A text is cut into sentences three times: with line ends as sentence ends, with line ends as blanks (for
+wrapped notices), and with line ends as blanks but blank lines, also those that hold only comment marks, as
+sentence ends (for wrapped notices around titles, copyright lines and addresses).  Each sentence is normalised (A-Z lowered, every run of other characters than a-z and
 0-9 one blank), and sentences of known licence texts are mapped to their identifiers; all others drop
 out.  What is left is a short identifier sequence.  A rule is an ordered list of identifiers and matches
 a sequence that holds them in that order, other sentences may stand between; a matched rule that another
@@ -68,6 +69,8 @@ NOTICES: tuple[tuple[str, str], ...] = (
 #: A sentence ends at these marks when a blank or the text's end follows.
 ENDS = r"[.!?;:]+(?=[\x09-\x0D\x20]|$)"
 OTHER = r"[^a-z0-9\x01\n]+"
+#: One or more blank lines of a marked text (marks other than sentence ends are blanks there).
+BLANK_LINES = r"\n(?:[ \x01]*\n)+"
 
 
 def sentences(text: str) -> list[str]:
@@ -118,17 +121,22 @@ def licenses_of(*sequences: Column) -> Column:
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The input rows and columns plus n_sentences, sentence_ids (array, of the cut that knows more
-    sentences; at a tie the one by lines) and licenses (array)."""
+    """The input rows and columns plus n_sentences (of the cut by lines), sentence_ids (array, of the cut that
+    knows most sentences; at a tie the one by lines, then the one by marks) and licenses (array)."""
     marked = F.regexp_replace(F.regexp_replace(ascii_lower(whole_text(F.col(f"`{text_col}`"))), ENDS, "\x01"), OTHER, " ")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), marked.alias("marked"))
     cut = packed.select("row", F.split("marked", "[\x01\n]").alias("by_line"),
-                        F.split(F.regexp_replace("marked", "[ \n]+", " "), "\x01").alias("by_mark"))
+                        F.split(F.regexp_replace("marked", "[ \n]+", " "), "\x01").alias("by_mark"),
+                        F.split(F.regexp_replace(F.regexp_replace("marked", BLANK_LINES, "\x01"), "[ \n]+", " "), "\x01").alias("by_block"))
     known = cut.select("row", F.size(F.filter("by_line", lambda s: F.trim(s) != "")).cast("bigint").alias("n"),
-                       _sequence(F.col("by_line")).alias("line_ids"), _sequence(F.col("by_mark")).alias("mark_ids"))
-    barred = known.select("row", "n", F.when(F.size("mark_ids") > F.size("line_ids"), F.col("mark_ids")).otherwise(F.col("line_ids")).alias("ids"),
-                          _barred(F.col("line_ids")).alias("line_seq"), _barred(F.col("mark_ids")).alias("mark_seq"))
+                       _sequence(F.col("by_line")).alias("line_ids"), _sequence(F.col("by_mark")).alias("mark_ids"),
+                         _sequence(F.col("by_block")).alias("block_ids"))
+    most = F.greatest(F.size("line_ids"), F.size("mark_ids"), F.size("block_ids"))
+    ids = (F.when(F.size("line_ids") == most, F.col("line_ids")).when(F.size("mark_ids") == most, F.col("mark_ids"))
+           .otherwise(F.col("block_ids")))
+    barred = known.select("row", "n", ids.alias("ids"), _barred(F.col("line_ids")).alias("line_seq"),
+                          _barred(F.col("mark_ids")).alias("mark_seq"), _barred(F.col("block_ids")).alias("block_seq"))
     done = barred.select("row.*", F.col("n").alias("found_n"), F.col("ids").alias("found_ids"),
-                         licenses_of(F.col("line_seq"), F.col("mark_seq")).alias("found_licenses"))
+                         licenses_of(F.col("line_seq"), F.col("mark_seq"), F.col("block_seq")).alias("found_licenses"))
     return (with_results(done, n_sentences=F.col("found_n"), sentence_ids=F.col("found_ids"), licenses=F.col("found_licenses"))
             .drop("found_n", "found_ids", "found_licenses"))
