@@ -1,9 +1,9 @@
 """Exact de-duplication by two-pass Bloom filtering.
 
 Pass 1 reads every text once and stages a slim key row (id, SHA-256 of the normalised text, two
-filter slots).  A slot that more than one row hits is marked in a bitmap of ``filter_bits`` bits; the
+filter slots); the two slots of every row, unique ones included, shuffle to be counted.  A slot that more than one row hits is marked in a bitmap of ``filter_bits`` bits; the
 bitmap is the Bloom filter "possibly repeated".  Pass 2 tests each row's two slots against it: rows
-with an unmarked slot are certainly unique and pass straight through, only the rest shuffle.
+with an unmarked slot are certainly unique and pass straight through, only the rest shuffle in this pass.
 
 The filter never exceeds ``filter_bits / 8`` bytes, whatever the input; a fuller filter only lets more
 (slim) rows shuffle, it never changes a result.  A hot group is counted under salts first and its rows
