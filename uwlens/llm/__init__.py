@@ -1 +1 @@
-"""Training-data operators: ten corpus operators, each usable on its own, and their queries."""
+"""Training-data operators: corpus operators, each usable on its own, and their queries."""
