@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 def test_pruned_equals_plain(spark, monkeypatch, name):
     t = derive_tables(spark, SF)
     pruned = REPORTS[name](t, ReportParams.of(FIXTURE_AS_OF)).collect()
-    monkeypatch.setattr(kpi, "_scoped", lambda tables, *candidates: tables)
+    monkeypatch.setattr(kpi, "_scoped", lambda tables, *a, **k: tables)
     plain = REPORTS[name](t, ReportParams.of(FIXTURE_AS_OF)).collect()
     assert len(plain) > 0
     assert sorted(map(repr, plain)) == sorted(map(repr, pruned))

@@ -1,5 +1,6 @@
-"""Plan properties the design relies on (checked on parquet copies of the sf0.001 tables)."""
+"""Plan properties the design relies on (checked on parquet copies of the sf0.001 and sf0.01 tables)."""
 
+import re
 import tempfile
 
 import pytest
@@ -58,7 +59,9 @@ def test_options_are_scanned_once(spark, parquet_tables, capsys, monkeypatch, na
         parts.append(_plan(df, capsys))
         return real(df)
 
+    from uwlens.operators import latest
     monkeypatch.setattr(owner, "materialized", recorded)
+    monkeypatch.setattr(latest, "materialized", recorded)
     parts.append(_plan(REPORTS[name](parquet_tables, fixture_params()), capsys))
     located = [line for plan in parts for line in plan.splitlines() if line.startswith("Location") and "bms_options_mst" in line]
     assert len(located) == 1
@@ -75,6 +78,88 @@ def test_kpi_candidates_push_the_window_into_their_scans(spark, parquet_tables,
         return real(df)
 
     monkeypatch.setattr(kpi, "materialized", recorded)
+    monkeypatch.setattr(kpi, "materialized_together", lambda *frames: [recorded(f) for f in frames])
     REPORTS[name](parquet_tables, fixture_params())
     pushed = [line for line in parts[0].splitlines() if line.startswith("PushedFilters")]
     assert any("GreaterThanOrEqual(created_dt" in line and "LessThan(created_dt" in line for line in pushed)
+
+
+# ---- materialised key sets have true sizes, so large tables meet small ones without a shuffle ----------------
+
+LARGE = ("dms_document_detail_mst", "bms_tracers", "bms_options_mst", "bms_quote_mst", "dms_file_mst")
+
+
+@pytest.fixture(scope="module")
+def wide_tables(spark):
+    """Tables whose files are all larger than the broadcast threshold the tests set."""
+    from uwlens.sources.fixtures import materialize
+    return materialize(spark, "/root/testdata/sf0.01", tempfile.mkdtemp(prefix="uwlens-plans-", dir="/tmp"))
+
+
+def _above_scans(plan: str, table: str) -> list[list[str]]:
+    """For each scan of ``table``, the operators between it and the first join above."""
+    lines = [line for line in plan.splitlines() if re.search(r"[+:]- |^\S", line)]
+    depth = lambda line: len(re.match(r"[\s:+-]*", line)[0])
+    out = []
+    for i, line in enumerate(lines):
+        if "FileScan" not in line or f"/{table}]" not in line:
+            continue
+        at, above = depth(line), []
+        for up in reversed(lines[:i]):
+            if depth(up) < at:
+                at = depth(up)
+                above.append(re.sub(r"^[\s:+-]*(\*\(\d+\) )?", "", up))
+                if "Join" in above[-1]:
+                    break
+        out.append(above)
+    return out
+
+
+def _all_plans(spark, monkeypatch, capsys, name, tables) -> str:
+    """The plans of a report's materialised parts and its own."""
+    from __spark_entry__ import fixture_params
+    from uwlens.operators import asof, latest, lineage
+    from uwlens.plans import kpi
+    parts, real = [], lineage.materialized
+
+    def recorded(df):
+        capsys.readouterr()
+        df.explain()
+        parts.append(capsys.readouterr().out)
+        return real(df)
+
+    for module in (kpi, latest, asof):
+        monkeypatch.setattr(module, "materialized", recorded)
+    monkeypatch.setattr(kpi, "materialized_together", lambda *frames: [recorded(f) for f in frames])
+    capsys.readouterr()
+    REPORTS[name](tables, fixture_params()).explain()
+    return "\n".join([*parts, capsys.readouterr().out])
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(REPORTS) if n.startswith("rpt_kpi")])
+def test_small_candidate_sets_leave_large_tables_unshuffled(spark, wide_tables, capsys, monkeypatch, name):
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.maxMetadataStringLength")}
+    try:
+        spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60000")  # the tables' files have 100 kB and more
+        small = _all_plans(spark, monkeypatch, capsys, name, wide_tables)
+        joined = {t: [above for above in _above_scans(small, t) if above and "LeftSemi" in above[-1]] for t in LARGE}
+        assert joined["dms_document_detail_mst"] and joined["bms_options_mst"]
+        for t, paths in joined.items():
+            for above in paths:
+                assert "BroadcastHashJoin" in above[-1] and not any("Exchange" in x for x in above), (name, t, above)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a set beyond the bound: joined by shuffle
+        large = _all_plans(spark, monkeypatch, capsys, name, wide_tables)
+        assert not re.search(r"BroadcastHashJoin.*LeftSemi", large) and re.search(r"SortMergeJoin.*LeftSemi", large)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_materialised_frames_have_true_sizes_and_go_with_the_session(spark, wide_tables):
+    from uwlens.operators.lineage import bytes_of, materialized
+    big = wide_tables.bms_options_mst.join(wide_tables.bms_quote_mst.select("quote_id"), "quote_id")
+    few = materialized(big.where("quote_id < 200").select("quote_id").distinct())
+    assert few.count() == big.where("quote_id < 200").select("quote_id").distinct().count() > 0
+    assert 0 < bytes_of(few) < 20_000 and all("uwlens-stage-" in f for f in few.inputFiles())
+    assert few.columns == ["quote_id"] and bytes_of(materialized(few.where("quote_id is null"))) < 5_000

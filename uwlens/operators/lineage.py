@@ -1,20 +1,25 @@
-"""Materialising a small intermediate that several branches of one plan read.
-
-Spark re-executes a DataFrame's lineage for every branch that reads it (column pruning makes the
-branches' subplans differ, so shuffle reuse does not apply).  When a *filtered, small* frame feeds
-both the main join chain and a key set used to prune a big table, it is cheaper to checkpoint it
-once to the cluster's checkpoint folder (``spark.checkpoint.dir``, a shared, fault-tolerant
-location) and read it back: lineage is cut, and a lost executor costs a re-read instead of a
-recomputation.  (The checkpoint write re-runs only the final stage: earlier shuffle outputs of the
-counting job are reused.)
+"""Staging a small intermediate that several branches of one plan read.
+
+Spark re-executes a DataFrame's lineage for every branch that reads it, and it estimates a filtered, joined
+frame from the sizes of the tables below it: a set of twenty keys counts as terabytes, so joins to it shuffle
+the large side.  ``materialized`` writes such a frame once as Parquet below the cluster's checkpoint folder
+(``spark.checkpoint.dir``, shared and fault-tolerant) and reads it back.  Lineage ends there, a lost executor
+costs a re-read, and the planner sees the true size in bytes: a set within
+``spark.sql.autoBroadcastJoinThreshold`` is broadcast to the scan of a large table, which is then not shuffled,
+and a larger one is joined by shuffle.
+
+Staged files lie in one folder per application, which Hadoop deletes when the driver's JVM ends.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(df: DataFrame) -> str:
@@ -39,7 +44,41 @@ def checkpoint_dir(df: DataFrame) -> str:
     return configured
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _new_stage(df: DataFrame) -> str:
+    spark = df.sparkSession
+    root = f"{checkpoint_dir(df)}/uwlens-stage-{spark.sparkContext.applicationId}"
+    files, at = _hadoop_path(spark, root)
+    if not files.exists(at):
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+    return f"{root}/{uuid.uuid4().hex}"
+
+
 def materialized(df: DataFrame) -> DataFrame:
-    """Eagerly checkpoint ``df`` (reliable checkpoint, never a local one) and return the result."""
-    checkpoint_dir(df)
-    return df.checkpoint(eager=True)
+    """``df`` written once and read back: same rows and columns, no lineage, its true size in bytes."""
+    path = _new_stage(df)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialized_together(*frames: DataFrame) -> list[DataFrame]:
+    """Several frames that do not depend on each other, written at the same time."""
+    if len(frames) < 2:
+        return [materialized(f) for f in frames]
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return list(pool.map(inheritable_thread_target(frames[0].sparkSession)(materialized), frames))
+
+
+def bytes_of(frame: DataFrame) -> int:
+    """Bytes of a materialised frame's files."""
+    total = 0
+    for name in frame.inputFiles():
+        files, at = _hadoop_path(frame.sparkSession, name)
+        total += files.getFileStatus(at).getLen()
+    return total

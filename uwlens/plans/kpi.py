@@ -6,13 +6,14 @@ green/red band.
 
 Candidate pruning: the driver date is always one of the facts' event dates (a MIN or a COALESCE of
 them), so a submission can only pass the window if at least one of its events lies in the window.
-Each report first collects those *candidate* submissions from window-filtered scans (predicates
-the parquet reader can push down), materialises that small set, and then runs the exact report
-logic on the tables restricted to the candidates' rows - every per-key aggregate for a candidate
-still sees all of the key's rows, so results are identical, but the expensive shuffles (documents
-per file, tracers per quote, quotes per submission) only carry candidate keys.  Facts are
-aggregated per key *before* they meet the spine; the latest option is computed only for quotes
-that survived the window.
+Each report first takes the keys of those events from window-filtered scans (predicates the parquet
+reader can push down), then the *candidate* submissions with their quotes and files, and runs the exact
+report logic on these rows - every per-key aggregate for a candidate still sees all of the key's rows,
+so results are identical.  All of these sets are materialised: their true sizes are known, so documents,
+tracers and options meet them as a broadcast right above the scan and are never shuffled whole; sets
+beyond the broadcast threshold are joined by shuffle.  Each large table is read once for its events in
+the window and once for its candidates' rows.  Facts are aggregated per key *before* they meet the spine;
+the latest option is computed only for quotes that survived the window.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from ..functions import text as X
 from ..operators.asof import first_at_or_after
 from ..operators.documents import document_events, first_documents, tracer_extremes
 from ..operators.latest import option_effective_date, preferred_quote
-from ..operators.lineage import materialized
+from ..operators.lineage import materialized, materialized_together
 from ..params import ReportParams
 from ..sources.catalog import Tables
 from .common import live_submissions, quotes_with_type, sort_for_output, users
@@ -38,43 +39,48 @@ _Q_COLS = ["quote_id", "submission_id", "quote_code", "policy_number", "bind_dt"
            "quote_dt", "created_dt"]
 
 
-def _doc_codes(t: Tables, cls, w) -> DataFrame:
-    """Submission codes with a document of class ``cls`` created in the window."""
-    d = t.dms_document_detail_mst.where(cls & D.in_window("created_dt", w.start, w.end)).select("file_id")
-    return t.dms_file_mst.join(d, "file_id", "left_semi").select(F.col("submission_number").alias("submission_code"))
+def _doc_files(t: Tables, cls, w) -> DataFrame:
+    """Files with a document of class ``cls`` created in the window."""
+    return t.dms_document_detail_mst.where(cls & D.in_window("created_dt", w.start, w.end)).select("file_id").distinct()
 
 
-def _quote_codes(t: Tables, quote_pred) -> DataFrame:
-    """Submission codes of quotes matching ``quote_pred``."""
-    q = t.bms_quote_mst.where(quote_pred).select("submission_id")
-    return t.bms_submission_mst.join(q, "submission_id", "left_semi").select("submission_code")
+def _tracer_quotes(t: Tables, tracer_pred, w) -> DataFrame:
+    """Quotes with a tracer matching ``tracer_pred`` created in the window."""
+    return t.bms_tracers.where(tracer_pred & D.in_window("created_dt", w.start, w.end)).select("quote_id").distinct()
 
 
-def _tracer_codes(t: Tables, tracer_pred, w) -> DataFrame:
-    """Submission codes of quotes with a tracer matching ``tracer_pred`` created in the window."""
-    tr = t.bms_tracers.where(tracer_pred & D.in_window("created_dt", w.start, w.end)).select("quote_id")
-    q = t.bms_quote_mst.join(tr, "quote_id", "left_semi").select("submission_id")
-    return t.bms_submission_mst.join(q, "submission_id", "left_semi").select("submission_code")
-
-
-def _scoped(t: Tables, *candidate_codes: DataFrame) -> Tables:
+def _scoped(t: Tables, files: DataFrame | None = None, quotes: DataFrame | None = None, quote_pred=None) -> Tables:
     """``t`` restricted to the rows of candidate submissions (all of their rows, nothing else).
 
-    Only the candidate submissions are materialised (one small checkpoint); every restricted
-    table is then a scan plus a broadcastable semi-join on that stored set or on a restricted
-    parent (files -> documents, quotes -> tracers and options)."""
-    cand = candidate_codes[0]
-    for c in candidate_codes[1:]:
-        cand = cand.unionByName(c)
-    subs = materialized(t.bms_submission_mst.join(cand, "submission_code", "left_semi")
-                        .select("submission_id", "submission_code").distinct())
-    sb = t.bms_submission_mst.join(subs.select("submission_id"), "submission_id", "left_semi")
-    q = t.bms_quote_mst.join(subs.select("submission_id"), "submission_id", "left_semi")
-    files = t.dms_file_mst.join(subs.select(F.col("submission_code").alias("submission_number")),
-                                "submission_number", "left_semi")
+    Candidates have one of the ``files``, one of the ``quotes`` or a quote that satisfies ``quote_pred``."""
+    given = {k: f for k, f in (("file", files), ("quote", quotes)) if f is not None}
+    given = dict(zip(given, materialized_together(*given.values()), strict=True))
+    by: list[tuple[str, DataFrame]] = []
+    if "file" in given:
+        codes = t.dms_file_mst.join(given["file"], "file_id", "left_semi")
+        by.append(("submission_code", codes.select(F.col("submission_number").alias("submission_code"))))
+    hit = []
+    if quote_pred is not None:
+        hit.append(t.bms_quote_mst.where(quote_pred).select("submission_id"))
+    if "quote" in given:
+        hit.append(t.bms_quote_mst.join(given["quote"], "quote_id", "left_semi").select("submission_id"))
+    if hit:
+        by.append(("submission_id", hit[0] if len(hit) == 1 else hit[0].unionByName(hit[1])))
+    keys = materialized_together(*[k.distinct() for _, k in by])
+    sb = t.bms_submission_mst
+    if len(keys) == 1:
+        sb = sb.join(keys[0], by[0][0], "left_semi")
+    else:  # one pass over the submissions for both kinds of keys
+        for (name, _), k in zip(by, keys, strict=True):
+            sb = sb.join(k.withColumn(f"_by_{name}", F.lit(True)), name, "left")
+        sb = sb.where(F.col("_by_submission_code").isNotNull() | F.col("_by_submission_id").isNotNull())
+    sb = materialized(sb.select(*t.bms_submission_mst.columns))
+    q, f = materialized_together(
+        t.bms_quote_mst.join(sb.select("submission_id"), "submission_id", "left_semi"),
+        t.dms_file_mst.join(sb.select(F.col("submission_code").alias("submission_number")), "submission_number", "left_semi"))
     return replace(
-        t, bms_submission_mst=sb, bms_quote_mst=q, dms_file_mst=files,
-        dms_document_detail_mst=t.dms_document_detail_mst.join(files.select("file_id"), "file_id", "left_semi"),
+        t, bms_submission_mst=sb, bms_quote_mst=q, dms_file_mst=f,
+        dms_document_detail_mst=t.dms_document_detail_mst.join(f.select("file_id"), "file_id", "left_semi"),
         bms_tracers=t.bms_tracers.join(q.select("quote_id"), "quote_id", "left_semi"),
         bms_options_mst=t.bms_options_mst.join(q.select("quote_id"), "quote_id", "left_semi"))
 
@@ -91,7 +97,7 @@ def _spine(t: Tables, descs: tuple[str, ...]) -> DataFrame:
 def _finish(df: DataFrame, t: Tables) -> DataFrame:
     """Attach the underwriter (inner: unknown users drop the row) and the option effective date.
 
-    ``df`` is already cut to the two-week window, so it is small: it is checkpointed once (both the join
+    ``df`` is already cut to the two-week window, so it is small: it is materialised once (both the join
     chain and the option pruning read it) and the latest-option aggregation only sees options of
     quotes that passed the window - a broadcast semi-join instead of a shuffle of every option."""
     uw = users(t).select("user_id", "first_name", "last_name")
@@ -110,8 +116,8 @@ def kpi1_submission_to_quote(t: Tables, p: ReportParams) -> DataFrame:
     """Business days from submission received to first quote sent (New Business only)."""
     w = p.weeks
     # candidates: a quote document, or a 'Quote%' tracer (any sub-type: a superset), in the window
-    t = _scoped(t, _doc_codes(t, L.doc_is_quote_to_agent("document_name"), w),
-                _tracer_codes(t, L.tracer_is_quote("tracer_desc"), w))
+    t = _scoped(t, _doc_files(t, L.doc_is_quote_to_agent("document_name"), w),
+                _tracer_quotes(t, L.tracer_is_quote("tracer_desc"), w))
     sb = live_submissions(t).select("submission_id", "submission_code",
                                     F.col("created_dt").alias("sb_created_dt"), "user_id_accexecutive")
     nb = quotes_with_type(t, (V.TT_NEW_BUSINESS,))
@@ -143,7 +149,7 @@ def kpi1_submission_to_quote(t: Tables, p: ReportParams) -> DataFrame:
 def kpi2_binder(t: Tables, p: ReportParams) -> DataFrame:
     """Business days (inclusive) from binder request to the first binder sent at or after it."""
     w = p.weeks
-    t = _scoped(t, _doc_codes(t, L.doc_is_binder_sent("document_name"), w))
+    t = _scoped(t, _doc_files(t, L.doc_is_binder_sent("document_name"), w))
     req = first_documents(t.dms_file_mst, t.dms_document_detail_mst,
                           {"req_dt": L.doc_is_bind_request("document_name")})
     binders = document_events(t.dms_file_mst, t.dms_document_detail_mst, L.doc_is_binder_sent("document_name"))
@@ -176,9 +182,9 @@ def kpi3_endorsement(t: Tables, p: ReportParams) -> DataFrame:
     """Business days (inclusive) from the latest endorsement request to the endorsement sent:
     the first endorsement document at or after the request, else the latest finalized tracer."""
     w = p.weeks
-    t = _scoped(t, _doc_codes(t, L.doc_is_endorsement_sent("document_name"), w),
-                _tracer_codes(t, L.tracer_is_endorsement("tracer_desc")
-                                      & L.tracer_is_endorsement_finalized("tracer_desc"), w))
+    t = _scoped(t, _doc_files(t, L.doc_is_endorsement_sent("document_name"), w),
+                _tracer_quotes(t, L.tracer_is_endorsement("tracer_desc")
+                               & L.tracer_is_endorsement_finalized("tracer_desc"), w))
     span = tracer_extremes(t.bms_tracers, L.tracer_is_endorsement("tracer_desc"), maxs={
         "req_dt": L.tracer_is_endorsement_start("tracer_desc"),
         "fin_dt": L.tracer_is_endorsement_finalized("tracer_desc")})
@@ -207,8 +213,8 @@ def kpi3_endorsement(t: Tables, p: ReportParams) -> DataFrame:
 def kpi4_policy_sent(t: Tables, p: ReportParams) -> DataFrame:
     """Calendar days from policy effective date to policy sent (document, else finalize date)."""
     w = p.weeks
-    t = _scoped(t, _doc_codes(t, L.doc_is_policy_sent("document_name"), w),
-                _quote_codes(t, D.in_window("trans_finalize_dt", w.start, w.end)))
+    t = _scoped(t, _doc_files(t, L.doc_is_policy_sent("document_name"), w),
+                quote_pred=D.in_window("trans_finalize_dt", w.start, w.end))
     docs = first_documents(t.dms_file_mst, t.dms_document_detail_mst,
                            {"policy_doc_dt": L.doc_is_policy_sent("document_name")})
     sp = _spine(t, V.TT_NB_AND_RENEWAL)
@@ -232,10 +238,10 @@ def kpi5_renewal_lead(t: Tables, p: ReportParams) -> DataFrame:
     Sent date priority: quote-to-agent document, renewal invoice document, quote-sent tracer,
     quote date, quote creation."""
     w = p.weeks
-    t = _scoped(t, _doc_codes(t, L.doc_is_quote_to_agent_prefix("document_name")
-                                          | L.doc_is_renewal_invoice("document_name"), w),
-                _tracer_codes(t, L.tracer_is_quote_sent("tracer_desc"), w),
-                _quote_codes(t, D.in_window("quote_dt", w.start, w.end) | D.in_window("created_dt", w.start, w.end)))
+    t = _scoped(t, _doc_files(t, L.doc_is_quote_to_agent_prefix("document_name")
+                              | L.doc_is_renewal_invoice("document_name"), w),
+                _tracer_quotes(t, L.tracer_is_quote_sent("tracer_desc"), w),
+                D.in_window("quote_dt", w.start, w.end) | D.in_window("created_dt", w.start, w.end))
     docs = first_documents(t.dms_file_mst, t.dms_document_detail_mst, {
         "agent_quote_doc_dt": L.doc_is_quote_to_agent_prefix("document_name"),
         "renewal_invoice_dt": L.doc_is_renewal_invoice("document_name")})

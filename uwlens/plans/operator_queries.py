@@ -19,6 +19,7 @@ from ..operators.asof import first_at_or_after
 from ..operators.distinct import distinct_flags, merge_on
 from ..operators.documents import document_events, first_documents, tracer_extremes
 from ..operators.existence import min_over_sources, semi_join_any
+from ..operators.joins import keyed, split_join
 from ..operators.latest import latest_option, preferred_quote
 from ..params import ReportParams
 from ..sources.catalog import TABLE_NAMES, Tables
@@ -232,9 +233,10 @@ def scalar_subq_agency(t: Tables, p: ReportParams) -> DataFrame:
 
 
 def join_fanout_kept(t: Tables, p: ReportParams) -> DataFrame:
-    o = t.bms_options_mst.select("quote_id", "product_id")
-    ins = t.bms_quote_insured_mst.select("quote_id", "insured_name")
-    return o.join(t.bms_quote_mst.select("quote_id"), "quote_id").join(ins, "quote_id")
+    o = keyed(t.bms_options_mst.select("quote_id", "product_id"), ["quote_id"], "_option")
+    ins = keyed(t.bms_quote_insured_mst.select("quote_id", "insured_name"), ["quote_id"], "_insured")
+    df = split_join(o.frame, t.bms_quote_mst.select("quote_id"), ["quote_id"], "inner", left_hot=o)
+    return split_join(df, ins.frame, ["quote_id"], "inner", left_hot=o, right_hot=ins).drop("_option", "_insured")
 
 
 # ---------------------------------------------------------------- aggregations

@@ -16,7 +16,7 @@ from ..functions import text as X
 from ..operators import filters as FL
 from ..operators.distinct import distinct_flags
 from ..operators.existence import min_over_sources, semi_join_any
-from ..operators.joins import left_join_hot_right
+from ..operators.joins import keyed, left_join_hot_right, split_join
 from ..operators.lineage import materialized
 from ..params import ReportParams
 from ..sources.catalog import Tables
@@ -188,7 +188,11 @@ def renewals_forecast(t: Tables, p: ReportParams) -> DataFrame:
     ag = agencies(t).select("agency_id", "agency_code", "agency_name")
     us = users(t).select("user_id", "first_name", "middle_name", "last_name")
     ins = t.bms_quote_insured_mst.select("quote_id", "adr_phy_city", "adr_phy_state_code", "adr_phy_zip")
-    df = (left_join_hot_right(o.join(q, "quote_id").join(sb, "submission_id", "left"), ins, ["quote_id"])
+    # options and insured rows per quote and quotes per submission may be hot; each table is read once
+    o, q, ins = keyed(o, ["quote_id"], "_option"), keyed(q, ["submission_id"], "_quote"), keyed(ins, ["quote_id"], "_insured")
+    quotes = split_join(q.frame, sb, ["submission_id"], "left", left_hot=q)
+    priced = split_join(o.frame, quotes, ["quote_id"], "inner", left_hot=o)
+    df = (split_join(priced, ins.frame, ["quote_id"], "left", left_hot=o, right_hot=ins)
           .withColumn("agency_id", resolved_agency_id(F.col("q_producer"), F.col("s_producer")))
           .join(ag, "agency_id", "left")
           .join(us, F.col("user_id_acc_executive") == us.user_id, "left"))
@@ -247,7 +251,7 @@ def submission_lookup(t: Tables, p: ReportParams | None = None) -> DataFrame:
     ag = agencies(t, FL.active_lenient("flg_active")).select("agency_id", "agency_name")
     q = live_quotes(t).select("quote_id", "submission_id")
     ins = t.bms_quote_insured_mst.select("quote_id", "insured_name")
-    # quotes per submission and insured rows per quote may be hot: skew-safe left joins
+    # quotes per submission and insured rows per quote may be hot: joins that split hot keys
     df = sb.join(ag, sb.original_producer_id == ag.agency_id, "left").drop("agency_id")
     df = left_join_hot_right(df, q, ["submission_id"])
     df = left_join_hot_right(df, ins, ["quote_id"])

@@ -97,8 +97,8 @@ def submission_counts(universe: DataFrame) -> DataFrame:
 
 def needed_option_dollars(t: Tables, p: ReportParams) -> DataFrame:
     """Latest-option premium and fees of the quotes the scorecard prices: bound in the window or
-    with a decline closure created in it (key sets from pushed-down window filters).  The scorecard
-    materialises it once and joins it to both consumers."""
+    with a decline closure created in it (key sets from pushed-down window filters).  It comes materialised,
+    and the scorecard joins it to both consumers."""
     w = p.rolling3
     bound = t.bms_quote_mst.where(F.col("bind_dt").isNotNull() & D.in_window("bind_dt", w.start, w.end)).select("quote_id")
     declined = _decline_closures(t, p).select("quote_id")
@@ -180,7 +180,7 @@ def agency_metrics(t: Tables, p: ReportParams) -> DataFrame:
     agencies.  All per-agency parts are hash-partitioned on agency_id, so joining them needs no
     further shuffle."""
     u = materialized(submission_universe(t, p))
-    dollars = materialized(needed_option_dollars(t, p))
+    dollars = needed_option_dollars(t, p)
     ag = agencies(t, FL.active_lenient("flg_active")).select("agency_id", "agency_code", "agency_name")
     df = submission_counts(u).join(ag, "agency_id")
     for part in (quote_measures(t, p, u, dollars), declines(t, p, u, dollars)):
