@@ -1,7 +1,8 @@
 """DuckDB statements of the operators that SQL can express, for the value check.
 
-op2, op4 (classifiers), op3 (character offsets of regular expressions), op6 (sampling) and op10
-(similarity of all pairs) have none; tests hold them against brute force or held-out labels.
+op2, op4 (classifiers), op3 (character offsets of regular expressions), op6 (sampling), op10
+(similarity of all pairs) and op11 (eigenvectors) have none; tests hold them against brute force, numpy or
+held-out labels.
 """
 
 from __future__ import annotations
@@ -121,6 +122,51 @@ SELECT doc_id, n AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sent
        coalesce(array_to_string(list_sort(list_distinct(list_filter([{cases}], lambda x: x IS NOT NULL))), ','), '') AS licenses FROM both_cuts"""
 
 
+def _op12() -> str:
+    return """
+WITH v AS (SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS (SELECT q.row_no, q.vec_id AS query_id, c.vec_id,
+             coalesce(list_sum(list_transform(range(1, least(len(q.x), len(c.x)) + 1), lambda i: q.x[i] * c.x[i])), 0) AS score
+      FROM v q JOIN v c ON q.row_no <> c.row_no WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY score DESC, vec_id NULLS LAST) AS place FROM p)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE place <= 5"""
+
+
+def _op13() -> str:
+    return r"""
+WITH RECURSIVE
+steps(n, c, k) AS (SELECT range, CAST(range AS BIGINT), 0 FROM range(256)
+                   UNION ALL SELECT n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+bytes AS (SELECT n, c FROM steps WHERE k = 8),
+sums(doc_id, digits, i, c) AS (
+  SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR), 0, 4294967295 FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT s.doc_id, s.digits, s.i + 1, xor(b.c, s.c >> 8) FROM sums s JOIN bytes b ON b.n = xor(s.c, CAST(ascii(s.digits[s.i + 1]) AS BIGINT)) & 255
+  WHERE s.i < len(s.digits)),
+checked AS (SELECT doc_id, xor(c, 4294967295) AS h FROM sums WHERE i = len(digits)),
+d AS (SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+loops AS (SELECT row_no, doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS looped, h // 10 AS g FROM d LEFT JOIN checked USING (doc_id)),
+bounds AS (SELECT *, CASE WHEN looped THEN g % n END AS a, CASE WHEN looped THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM loops),
+flat AS (SELECT row_no, n, unnest(range(n)) AS i, w, a, p FROM bounds),
+words AS (SELECT row_no, n, i, w[1 + CASE WHEN i < a THEN i WHEN a IS NULL THEN i ELSE a + (i - a) % p END] AS word FROM flat),
+pairs AS (SELECT x.row_no, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.row_no = y.row_no AND x.word = y.word
+          AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretches AS (SELECT row_no, q, min(i) AS start, count(*) + q AS length
+              FROM (SELECT *, i - row_number() OVER (PARTITION BY row_no, q ORDER BY i) AS island FROM pairs)
+              GROUP BY row_no, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT row_no, start, length, min(q) AS period FROM stretches GROUP BY row_no, start, length),
+best AS (SELECT row_no, count(*) AS n_runs, arg_min({'s': start, 'l': length, 'p': period}, [-length, start, period]) AS top,
+                string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY row_no),
+gone AS (SELECT DISTINCT row_no, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT row_no, string_agg(word, ' ' ORDER BY i) AS collapsed FROM words ANTI JOIN gone USING (row_no, i) GROUP BY row_no)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(top.s AS BIGINT) AS start, CAST(top.l AS BIGINT) AS length, CAST(top.p AS BIGINT) AS period,
+       CAST(1000 * top.l // top.p AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (row_no) LEFT JOIN kept USING (row_no)"""
+
+
 def all_sql() -> dict[str, str]:
     return {"op1_preference_format": _op1(), "op5_decontamination": _op5(), "op7_exact_dedup": _op7(),
-            "op8_source_mix": _op8(), "op9_license_rules": _op9()}
+            "op8_source_mix": _op8(), "op9_license_rules": _op9(), "op12_top_products": _op12(),
+            "op13_periodic_runs": _op13()}
