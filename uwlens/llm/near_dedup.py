@@ -28,6 +28,7 @@ one row of each component; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 from math import comb
 
 import numpy as np
@@ -36,6 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import keyed, split_join
 from .common import Scratch, bitmap_of, flagged_by, pick, text_batches, text_bytes
 from .components import components
 
@@ -218,9 +220,8 @@ def _texts_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Sc
     slot = F.pmod(F.xxhash64("row_key"), F.lit(ID_FILTER_BITS))
     marked = bitmap_of(ends.select(slot.alias("slot")).distinct(), "slot")
     near = flagged_by(texts.withColumn("slot", slot), marked, "slot", "wanted").where("wanted").drop("slot", "wanted")
-    # equal texts without an id have one row key: one of them is enough
-    near = near.where("has_id").unionByName(near.where("not has_id").dropDuplicates(["row_key"]))
-    return ends.join(near, "row_key").select("node", "text")
+    # rows that repeat id and text have one row key: one of them is enough (the join deals by the same key)
+    return ends.join(near.dropDuplicates(["row_key"]), "row_key").select("node", "text")
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, ratio: tuple[int, int], miss: float,
@@ -292,19 +293,25 @@ def _rest_pairs(open_nodes: DataFrame, nodes: DataFrame, texts: DataFrame, teste
                .agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))
                .withColumn("alone", F.col("n") - F.size("own")))
     places = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1 - F.col("alone")
-    rare = scratch.save(ordered.where(places > 0)
-                        .select("node", "root", "n", "alone", F.posexplode(F.slice("own", F.lit(1), places)).alias("i", "v"))
-                        .select("node", "root", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("left"), F.col("v.value").alias("value")), "rare")
+    # a passage that many texts share makes some values hot: their rows are dealt over a grid of cells
+    prefixes = keyed(ordered.where(places > 0)
+                     .select("node", "root", "n", "alone", F.posexplode(F.slice("own", F.lit(1), places)).alias("i", "v"))
+                     .select("node", "root", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("left"), F.col("v.value").alias("value")),
+                     ["value"], "place")
+    rare = prefixes.frame
     # per value, every node outside the value's largest component meets the nodes of other components
     sizes = rare.groupBy("value", "root").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("value").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    placed = rare.join(main.select("value", F.col("top.root").alias("main")), "value")
+    main = main.select("value", F.col("top.root").alias("main"))
+    placed = scratch.save(split_join(rare, main, ["value"], "inner", left_hot=prefixes), "placed")
     left = placed.where(F.col("root") != F.col("main")).select(
-        "value", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("left").alias("la"))
-    right = placed.select("value", "main", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("left").alias("lb"))
+        "value", "place", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("left").alias("la"))
+    right = placed.select("value", F.col("place").alias("place_b"), "main", F.col("node").alias("b"), F.col("root").alias("rb"),
+                          F.col("n").alias("nb"), F.col("left").alias("lb"))
     # from the shared value on, the shorter rest bounds the overlap
     enough = F.least("la", "lb") * (num + den) >= num * (F.col("na") + F.col("nb"))
-    met = left.join(right, "value").where(enough & (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))))
+    once = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b")))
+    met = split_join(left, right, ["value"], "inner", left_hot=prefixes, right_hot=replace(prefixes, mark="place_b")).where(enough & once)
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.join(done, ["a", "b"], "left_anti")
@@ -319,7 +326,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, ratio: tuple[int, int
                          .agg(F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.first("sig").alias("sig"),
                               F.count(F.lit(1)).alias("copies")), "nodes")
     rows = pick(docs, doc_id=id_col, text=text_col)
-    texts = rows.select(_row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.col("doc_id").isNotNull().alias("has_id"),
+    texts = rows.select(_row_key(F.col("doc_id"), F.col("text")).alias("row_key"),
                         text_bytes(F.col("text")).alias("text"))
     members = scratch.save(_memberships(nodes, band_rows(ratio[0] / ratio[1])), "members")
     stars = scratch.save(_star_pairs(members), "stars")
