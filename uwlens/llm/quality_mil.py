@@ -7,13 +7,16 @@ words before them, then one learned tanh layer ``h``.  Gated
 attention weighs the passages, ``a = softmax(w . (tanh(V h) * sigmoid(U h)))``, and the document's score
 is the logistic score of the weighted representation ``sum a h``.  Only document labels are used.
 
-Fitting takes a bounded sample: at most ``SAMPLE_DOCS`` labelled documents and, while fitting only,
-``SAMPLE_PASSAGES`` evenly spaced passages of each.  Scoring reads every passage of every text in one
-column function (no shuffle); the model is a few thousand numbers.
+Fitting takes a bounded sample of whole documents, all passages of each: at most ``SAMPLE_DOCS`` different
+labelled texts with at most ``SAMPLE_BYTES`` in all.  Scoring reads every passage of every text in one
+column function (no shuffle); the model is a few thousand numbers.  Passages are told apart by the shapes of
+their characters and by repetition, not by their words: the model knows junk, lists and broken text from prose,
+not good prose from bad.
 
 Defined results: null or empty text is one empty passage and gets a score like any other; without
 usable labels, or with labels of one kind only, every score is that share of good labels (0.5 without
-any); rows are scored one by one, repeated rows alike; other columns pass through.
+any); an empty table gives an empty result; rows are scored one by one, repeated rows alike; texts of any length
+are scored whole; other columns, however called, pass through.
 """
 
 from __future__ import annotations
@@ -27,11 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_batches, text_bytes
-from .labelled import labelled_sample
+from .labelled import labelled_rows
 
 PASSAGE = 512
 SAMPLE_DOCS = 8000
-SAMPLE_PASSAGES = 32
+SAMPLE_BYTES = 48 << 20
 HIDDEN, ATTENTION = 24, 12
 EPOCHS, BATCH, RATE = 12, 64, 0.01
 MIN_STEPS = 1200
@@ -147,21 +150,18 @@ def fit(bags: list[np.ndarray], y: np.ndarray, seed: int = 5) -> GatedAttention:
 def _training_bag(text: Column) -> Column:
     @F.pandas_udf("binary")
     def bag(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            rows = encode_passages(t)
-            at = np.unique(np.linspace(0, len(rows) - 1, min(len(rows), SAMPLE_PASSAGES)).astype(int))
-            out.append(rows[at].astype(np.float16).tobytes())
-        return pd.Series(out)
+        return pd.Series([encode_passages(t).astype(np.float16).tobytes() for t in texts])
 
     return bag(text_bytes(text))
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, label_col: str = "quality",
-                  id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> GatedAttention:
-    """Fit on at most ``sample_docs`` labelled documents; ``learn_from`` is a condition on doc_id."""
+                  id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS,
+                  sample_bytes: int = SAMPLE_BYTES) -> GatedAttention:
+    """Fit on at most ``sample_docs`` labelled texts of at most ``sample_bytes`` together (a passage is about as
+    many bytes as its features, so this bounds what the driver holds); ``learn_from`` is a condition on doc_id."""
     text_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, label_col, learn_from, sample_docs, id_col, text_col)
+    sample = labelled_rows(docs, labels, label_col, learn_from, sample_docs, sample_bytes, id_col, text_col)
     rows = sample.select("doc_id", "label", _training_bag(F.col("text")).alias("bag")).collect()
     rows.sort(key=lambda r: (str(r["doc_id"]), bytes(r["bag"])))
     bags = [np.frombuffer(r["bag"], np.float16).reshape(-1, FEATURES).astype(np.float32) for r in rows]
