@@ -1,7 +1,7 @@
 """Secret scan with multipart credential linking.
 
 Every whole text is scanned for strong findings (assignments with a long value, access-key ids, long
-hexadecimal runs) and for weak parts: short assigned values, short access ids, short hexadecimal runs
+hexadecimal runs) and for weak parts: short values assigned to the same words or to others, short access ids, short hexadecimal runs
 and endpoints (URLs, host:port, user@host).  A weak part alone is no finding.  The parts are joined by
 interval: within a scope (the part widened by ``reach`` characters on either side, cut at blank lines)
 a weak part is reported when a part of a complementary role stands there, so an identifier needs a
@@ -36,6 +36,7 @@ BASE = (
 WEAK = (
     ("weak_id", "id", r"\b(?:user(?:name)?|login|account|client_?id|access_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{3,}"),
     ("weak_id", "id", r"\bAKIA[A-Z0-9]{4,15}\b"),
+    ("weak_secret", "secret", r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{3,5}(?![A-Za-z0-9+/_.=-])"),
     ("weak_secret", "secret", r"\b(?:pwd|pass|auth|key|credential)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{4,}"),
     ("weak_secret", "secret", r"\b(?=[0-9a-f]{0,15}[0-9])(?=[0-9a-f]{0,15}[a-f])[0-9a-f]{16,23}\b"),
     ("endpoint", "endpoint", r"\b(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|amqp)://[^\s\"'<>]+"),
