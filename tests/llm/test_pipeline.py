@@ -39,9 +39,11 @@ def test_each_stage_against_brute_force(spark, stages):
     assert sorted(r.doc_id for r in exact) == sorted(best.values())
 
     left = stages["near_dedup"].collect()
+    num, den = corpus_pipeline.NEAR_RATIO
+    assert (num, den) == (80, 100)
     sets = {r.doc_id: shingles(r.text) for r in exact}
     stay = {r.doc_id for r in left}
-    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    linked = {(a, b) for a in sets for b in sets if a < b and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])}
     assert all(not (a in stay and b in stay) for a, b in linked)
     assert set(sets) - stay == {b for a, b in linked if b not in stay} and len(left) == len(stay)
 
