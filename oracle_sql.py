@@ -76,6 +76,11 @@ def _ratio4(a: str, b: str) -> str:
     return f"CASE WHEN ({b}) = 0 THEN NULL ELSE CAST((20000 * CAST({a} AS HUGEINT) + ({b})) // (2 * CAST({b} AS HUGEINT)) AS DOUBLE) / 10000.0 END"
 
 
+def _pos(*keys: str) -> str:
+    """The row's place in the report's order: ascending keys, NULL first, unless a key says otherwise."""
+    return f"row_number() OVER (ORDER BY {', '.join(k if ' NULLS ' in k else k + ' ASC NULLS FIRST' for k in keys)}) AS position"
+
+
 _WEEKS = (f"win AS (SELECT CAST(date_trunc('week', {AS_OF} - 14) AS DATE) AS s, "
           f"CAST(date_trunc('week', {AS_OF}) AS DATE) AS e)")
 
@@ -132,7 +137,7 @@ quote_trc AS (SELECT tr.quote_id, MIN(tr.created_dt) AS d FROM bms_tracers tr
        JOIN adm_bm_tracer_sub_types st ON st.tracer_sub_type_id = tr.tracer_sub_type_id
        WHERE st.tracer_type_code = {_q(V.TRACER_SUBTYPE_QUOTE)} AND tr.tracer_desc LIKE {_q(V.TRACER_QUOTE_PREFIX)} GROUP BY 1),
 base AS (
-  SELECT sb.submission_code, sb.created_dt AS sb_created, pq.quote_code, pq.policy_number, pq.bind_dt, pq.trans_finalize_dt,
+  SELECT sb.submission_code, sb.created_dt AS sb_created, pq.quote_id, pq.quote_code, pq.policy_number, pq.bind_dt, pq.trans_finalize_dt,
          uw.first_name, uw.last_name, latest_opt.eff, COALESCE(quote_doc.d, quote_trc.d) AS sent
   FROM bms_submission_mst sb JOIN pq ON pq.submission_id = sb.submission_id
   JOIN adm_co_users uw ON uw.user_id = sb.user_id_accexecutive
@@ -140,7 +145,7 @@ base AS (
   LEFT JOIN quote_doc ON quote_doc.submission_number = sb.submission_code
   LEFT JOIN quote_trc ON quote_trc.quote_id = pq.quote_id
   WHERE {_LIVE.format(a='sb')})
-SELECT {_week_cols('sent')}, {_uw_short()} AS underwriter, {_q(V.KPI1_TRANSACTION_LABEL)} AS transaction_type,
+SELECT {_pos(_uw_short(), 'CAST(sent AS DATE)', 'eff', 'CAST(sb_created AS DATE)', 'quote_id')}, {_week_cols('sent')}, {_uw_short()} AS underwriter, {_q(V.KPI1_TRANSACTION_LABEL)} AS transaction_type,
   submission_code AS submission_number, quote_code AS quote_number, policy_number, {_status()} AS policy_status,
   eff AS policy_effective_dt, CAST(sb_created AS DATE) AS submission_received_dt, CAST(sent AS DATE) AS quote_sent_dt,
   CAST({_bd_exclusive('sb_created', 'sent')} AS BIGINT) AS kpi1_business_days,
@@ -159,7 +164,7 @@ sent AS (SELECT r.submission_number, r.req_dt, MIN(d.created_dt) AS sent_dt FROM
          WHERE {_like_any('upper(d.document_name)', V.DOC_BINDER_SENT)} GROUP BY 1, 2),
 base AS (SELECT s.*, sent.req_dt, sent.sent_dt, latest_opt.eff FROM spine s
          JOIN sent ON sent.submission_number = s.submission_code LEFT JOIN latest_opt ON latest_opt.quote_id = s.quote_id)
-SELECT {_week_cols('sent_dt')}, {_uw_short()} AS underwriter, lkp_desc AS transaction_type,
+SELECT {_pos(_uw_short(), 'CAST(sent_dt AS DATE)', 'eff', 'quote_id')}, {_week_cols('sent_dt')}, {_uw_short()} AS underwriter, lkp_desc AS transaction_type,
   submission_code AS submission_number, quote_code AS quote_number, policy_number, {_status()} AS policy_status,
   eff AS policy_effective_dt, req_dt AS binder_requested_dttime, sent_dt AS binder_sent_dttime,
   CAST(sent_dt AS DATE) AS binder_sent_dt, CAST({_bd_inclusive('req_dt', 'sent_dt')} AS BIGINT) AS kpi2_business_days,
@@ -182,7 +187,7 @@ endt_doc AS (SELECT s2.quote_id, MIN(d.created_dt) AS d FROM s2 JOIN docs d
         WHERE {_like_all('upper(d.document_name)', V.DOC_ENDORSEMENT_SENT_ALL)} GROUP BY 1),
 base AS (SELECT s2.*, COALESCE(endt_doc.d, s2.fin_dt) AS sent, latest_opt.eff FROM s2 LEFT JOIN endt_doc ON endt_doc.quote_id = s2.quote_id
          LEFT JOIN latest_opt ON latest_opt.quote_id = s2.quote_id)
-SELECT {_week_cols('sent')}, {_uw_short()} AS underwriter, {_q(V.KPI3_TRANSACTION_LABEL)} AS transaction_type,
+SELECT {_pos(_uw_short(), 'CAST(sent AS DATE)', 'eff', 'quote_id')}, {_week_cols('sent')}, {_uw_short()} AS underwriter, {_q(V.KPI3_TRANSACTION_LABEL)} AS transaction_type,
   quote_code AS quote_number, policy_number, {_status()} AS policy_status, eff AS endorsement_effective_dt,
   req_dt AS endorsement_requested_dttime, sent AS endorsement_sent_dttime, CAST(sent AS DATE) AS endorsement_sent_dt,
   CAST(CASE WHEN req_dt IS NULL THEN NULL ELSE {_bd_inclusive('req_dt', 'sent')} END AS BIGINT) AS kpi3_business_days,
@@ -199,7 +204,7 @@ policy_doc AS (SELECT submission_number, MIN(created_dt) AS d FROM docs
        WHERE {_like_all('upper(document_name)', V.DOC_POLICY_SENT_ALL)} GROUP BY 1),
 base AS (SELECT s.*, COALESCE(policy_doc.d, s.trans_finalize_dt) AS sent, latest_opt.eff FROM spine s
          LEFT JOIN policy_doc ON policy_doc.submission_number = s.submission_code LEFT JOIN latest_opt ON latest_opt.quote_id = s.quote_id)
-SELECT {_week_cols('sent')}, {_uw_short()} AS underwriter, lkp_desc AS transaction_type,
+SELECT {_pos(_uw_short(), 'CAST(sent AS DATE)', 'eff', 'quote_id')}, {_week_cols('sent')}, {_uw_short()} AS underwriter, lkp_desc AS transaction_type,
   submission_code AS submission_number, quote_code AS quote_number, policy_number, {_status()} AS policy_status,
   eff AS policy_effective_dt, CAST(sent AS DATE) AS policy_sent_dt,
   CAST(CAST(sent AS DATE) - eff AS BIGINT) AS kpi4_calendar_days,
@@ -219,7 +224,7 @@ quote_trc AS (SELECT quote_id, MIN(created_dt) AS d FROM bms_tracers WHERE trace
 base AS (SELECT s.*, COALESCE(agent_doc.d, invoice_doc.d, quote_trc.d, s.quote_dt, s.created_dt) AS sent, latest_opt.eff FROM spine s
          LEFT JOIN agent_doc ON agent_doc.submission_number = s.submission_code LEFT JOIN invoice_doc ON invoice_doc.submission_number = s.submission_code
          LEFT JOIN quote_trc ON quote_trc.quote_id = s.quote_id LEFT JOIN latest_opt ON latest_opt.quote_id = s.quote_id)
-SELECT {_week_cols('sent')}, {_uw_short()} AS underwriter, {_q(V.KPI5_TRANSACTION_LABEL)} AS transaction_type,
+SELECT {_pos(_uw_short(), 'CAST(sent AS DATE)', 'eff', 'quote_id')}, {_week_cols('sent')}, {_uw_short()} AS underwriter, {_q(V.KPI5_TRANSACTION_LABEL)} AS transaction_type,
   submission_code AS submission_number, quote_code AS quote_number, policy_number, {_status()} AS policy_status,
   eff AS renewal_effective_dt, CAST(sent AS DATE) AS renewal_quote_sent_dt, CAST(trans_finalize_dt AS DATE) AS finalize_dt,
   CAST(eff - CAST(sent AS DATE) AS BIGINT) AS kpi5_days_before_eff,
@@ -229,6 +234,10 @@ FROM base, win WHERE sent IS NOT NULL AND CAST(sent AS DATE) >= win.s AND CAST(s
     return _with(_KPI_TABLES + ["bms_tracers"], body)
 
 
+def _code_number(code: str) -> str:
+    return f"TRY_CAST(NULLIF(replace({code}, {_q(V.AGENCY_CODE_PREFIX)}, ''), '') AS INTEGER)"
+
+
 def retention() -> str:
     body = f"""producers AS (
   SELECT submission_id, TRY_CAST(NULLIF(trim(substr(CAST(original_producer_id AS VARCHAR), 1, 50)), '') AS INTEGER) AS agency_id
@@ -242,7 +251,8 @@ quotes AS (
   WHERE agency_id IS NOT NULL AND cohort_year BETWEEN 1995 AND 2001 GROUP BY ALL),
 cohorts AS (
   SELECT agency_id, cohort_year, COUNT(*) AS started, COUNT(*) FILTER (bound) AS bound FROM quotes GROUP BY ALL)
-SELECT substr(agency_code, 1, 50) AS agency_code, substr(agency_name, 1, 150) AS agency_name,
+SELECT {_pos(_code_number('agency_code'), 'agency_code', 'cohort_year', 'agency_id')},
+  substr(agency_code, 1, 50) AS agency_code, substr(agency_name, 1, 150) AS agency_name,
   CAST(cohort_year AS BIGINT) AS cohort_year, CAST(started AS BIGINT) AS renewals_started,
   CAST(bound AS BIGINT) AS renewals_bound, CAST((20000 * bound + started) // (2 * started) AS DOUBLE) / 100.0 AS renewal_retention_pct
 FROM cohorts JOIN (SELECT agency_id, agency_code, agency_name FROM adm_co_agencies
@@ -271,8 +281,9 @@ premiums AS (
   SELECT quote_id, product_id, CAST(sub_total_premium AS VARCHAR) AS premium FROM bms_options_mst
   WHERE flg_active = 1 AND {_money('sub_total_premium')} > 0 AND business_id IN (SELECT business_id FROM sites)),
 risks AS (
-  SELECT quote_id, trim(adr_phy_city) AS city, trim(adr_phy_state_code) AS state, trim(adr_phy_zip) AS zip FROM bms_quote_insured_mst)
-SELECT policy_number, COALESCE(lob, '') AS lob, COALESCE(product, '') AS product_name, policy_status,
+  SELECT quote_id, insured_name, adr_phy_city AS raw_city, adr_phy_state_code AS raw_state,
+         trim(adr_phy_city) AS city, trim(adr_phy_state_code) AS state, trim(adr_phy_zip) AS zip FROM bms_quote_insured_mst)
+SELECT {_pos('raw_state', 'raw_city', 'policy_number', 'quote_id', 'product_id', 'insured_name')}, policy_number, COALESCE(lob, '') AS lob, COALESCE(product, '') AS product_name, policy_status,
   COALESCE(label.code, '') AS agency_id, COALESCE(label.name, '') AS agency_name, COALESCE(city, '') AS risk_city,
   COALESCE(state, '') AS risk_state, COALESCE(zip, '') AS risk_zip, lkp_desc AS transaction_type,
   substr(premium, 1, 50) AS written_premium
@@ -305,7 +316,7 @@ def quotes_due() -> str:
     body = f"""{_email_union("IN " + _in(V.EMAIL_QUOTE_OR_RENEWAL))},
 mailed AS (SELECT DISTINCT business_id, quote_id FROM em),
 due AS (
-  SELECT quote_id, user_id_acc_executive AS user_id, sub_total_premium AS premium, proposed_eff_date AS eff, proposed_exp_date AS expires
+  SELECT quote_id, business_id, user_id_acc_executive AS user_id, sub_total_premium AS premium, proposed_eff_date AS eff, proposed_exp_date AS expires
   FROM bms_options_mst JOIN mailed USING (business_id, quote_id)
   WHERE flg_active = 1 AND sub_total_premium > {V.PREMIUM_THRESHOLD}
     AND proposed_eff_date BETWEEN DATE '2001-04-01' AND DATE '2001-06-30'),
@@ -313,7 +324,8 @@ open_statuses AS (SELECT status_id, main_status_text FROM adm_bm_statuses WHERE
 brokers AS (SELECT u.user_id, {_name3(False)} AS broker FROM adm_co_users u),
 {_PLACED},
 agencies AS (SELECT agency_id, agency_code, agency_name FROM adm_co_agencies)
-SELECT substr(submission_code, 1, 100) AS submission_number, substr(quote_code, 1, 100) AS quote_number, broker AS uw_broker,
+SELECT {_pos('eff', 'submission_code', 'quote_code', 'quote_id', 'business_id', 'insured_name')},
+  substr(submission_code, 1, 100) AS submission_number, substr(quote_code, 1, 100) AS quote_number, broker AS uw_broker,
   substr(insured_name, 1, 400) AS insured_name, substr(COALESCE(agency_code, ''), 1, 100) AS agency_code,
   substr(COALESCE(agency_name, ''), 1, 400) AS agency_name, substr(lkp_desc, 1, 400) AS transaction_type,
   substr(CAST(premium AS VARCHAR), 1, 50) AS premium, {_us('eff')} AS proposed_eff_date, {_us('expires')} AS proposed_exp_date,
@@ -363,7 +375,7 @@ offered AS (
   SELECT quote_id, quote_code, status_text FROM bms_quote_mst
   JOIN (SELECT status_id, substr(main_status_text, 1, 400) AS status_text FROM adm_bm_statuses) USING (status_id)
   WHERE flg_active = 1 AND status_text = {_q(V.STATUS_NB_QUOTE_OFFERED_TEXT)})
-SELECT substr(quote_code, 1, 100) AS quote_code, substr(CAST(business_id AS VARCHAR), 1, 100) AS business_id,
+SELECT {_pos('sent', 'quote_id', 'business_id', 'proposed_eff_date', 'proposed_exp_date', 'sub_total_premium')}, substr(quote_code, 1, 100) AS quote_code, substr(CAST(business_id AS VARCHAR), 1, 100) AS business_id,
   {_us('sent')} AS quote_sent_date, {_us(f'CAST(sent AS DATE) + {d1}')} AS first_follow_up_due_date,
   {_us(f'CAST(sent AS DATE) + {d2}')} AS second_follow_up_due_date, {_us(f'CAST(sent AS DATE) + {d3}')} AS qcl_due_date,
   {_us('proposed_eff_date')} AS proposed_eff_date, {_us('proposed_exp_date')} AS proposed_exp_date,
@@ -381,7 +393,8 @@ def submission_lookup() -> str:
 agencies AS (
   SELECT agency_id AS original_producer_id, substr(agency_name, 1, 150) AS agency_name FROM adm_co_agencies
   WHERE COALESCE(flg_active, 1) = 1)
-SELECT substr(submission_code, 1, 50) AS submission_number, agency_name, insured_name
+SELECT {_pos('submission_code', 'agency_name', 'insured_name')},
+  substr(submission_code, 1, 50) AS submission_number, agency_name, insured_name
 FROM (SELECT * FROM bms_submission_mst WHERE {_LIVE_ROW})
 LEFT JOIN agencies USING (original_producer_id) LEFT JOIN insured USING (submission_id)"""
     return _with(["bms_submission_mst", "adm_co_agencies", "bms_quote_mst", "bms_quote_insured_mst"], body)
@@ -504,7 +517,9 @@ def scorecard() -> str:
     lw, ew, aw = V.PROBLEM_TEXT_WIDTHS
     cents = lambda c: f"CAST(({c}) * 100 AS HUGEINT)"
     body = f"""{_sc_ctes()}
-SELECT substr(agency_code, 1, 50) AS agency_code, substr(agency_name, 1, 150) AS agency_name,
+SELECT {_pos(scores_sql['mvs_overall'] + ' DESC NULLS LAST', 'bound_premium DESC NULLS LAST',
+                 'submissions_created DESC NULLS LAST', 'agency_name', 'agency_code')},
+  substr(agency_code, 1, 50) AS agency_code, substr(agency_name, 1, 150) AS agency_name,
   CAST(submissions_created AS BIGINT) AS submissions_created_r3m, CAST(submissions_activity AS BIGINT) AS submissions_activity_r3m,
   CAST(submissions_quoted AS BIGINT) AS submissions_quoted_r3m, CAST(quotes_started AS BIGINT) AS quotes_started_r3m,
   CAST(raw_quote_rows_started AS BIGINT) AS raw_quote_rows_started_r3m,
@@ -542,6 +557,10 @@ FROM final_agg"""
     return _with(_SC_TABLES, body)
 
 
+#: each holds the option's creation date, written in one text form and read back
+DATE_FORM_COLUMNS = ("compact", "slashes", "dots", "us_short", "six_digits", "month_first", "day_first", "dashes", "year_first",
+                     "iso_time", "us_time")
+
 REPORT_SQL = {
     "rpt_kpi1_submission_to_quote": kpi1,
     "rpt_kpi2_binder": kpi2,
@@ -767,8 +786,8 @@ SELECT quote_id, MAX(CASE WHEN {_like_any('tracer_desc', V.TRACER_ENDORSEMENT_ST
   MAX(CASE WHEN {_like_any('tracer_desc', V.TRACER_ENDORSEMENT_FINALIZED)} THEN created_dt END) AS fin_dt
 FROM bms_tracers WHERE tracer_desc LIKE {_q(V.TRACER_ENDORSEMENT_ANY)} GROUP BY 1"""),
         "sort_numeric_suffix": _with(["bms_submission_mst", "adm_co_agencies"], f"""x AS (SELECT 1)
-SELECT sb.submission_id, ag.agency_code,
-  CAST(TRY_CAST(NULLIF(replace(ag.agency_code, {_q(V.AGENCY_CODE_PREFIX)}, ''), '') AS INTEGER) AS BIGINT) AS code_number
+SELECT sb.submission_id, ag.agency_code, CAST({_code_number('ag.agency_code')} AS BIGINT) AS code_number,
+  {_pos(_code_number('ag.agency_code'), 'ag.agency_code', 'sb.submission_id')}
 FROM bms_submission_mst sb JOIN adm_co_agencies ag ON ag.agency_id = sb.original_producer_id"""),
         "union_distinct_spine": _sc("SELECT DISTINCT agency_id FROM touched"),
         "fn_strings": _with(["bms_quote_insured_mst"], """x AS (SELECT 1)
@@ -789,7 +808,8 @@ FROM bms_quote_mst"""),
         "fn_try_cast": _with(["bms_options_mst"], f"""x AS (SELECT 1)
 SELECT quote_id, product_id, {_try_date('effective_dt')} AS eff_date,
   CAST(TRY_CAST(NULLIF(trim(substr(CAST(business_id AS VARCHAR), 1, 50)), '') AS INTEGER) AS BIGINT) AS business_int,
-  CAST(TRY_CAST(NULLIF(trim(substr(effective_dt, 1, 50)), '') AS INTEGER) AS BIGINT) AS eff_as_int FROM bms_options_mst"""),
+  CAST(TRY_CAST(NULLIF(trim(substr(effective_dt, 1, 50)), '') AS INTEGER) AS BIGINT) AS eff_as_int,
+  {', '.join(f'CAST(created_dt AS DATE) AS {n}' for n in DATE_FORM_COLUMNS)} FROM bms_options_mst"""),
         "fn_ratio": _with(["bms_quote_mst", "bms_submission_mst"], f"""{_sub_quotes()},
 a AS (SELECT agency_id, COUNT(DISTINCT quote_id) AS quotes, COUNT(DISTINCT CASE WHEN bind_dt IS NOT NULL THEN quote_id END) AS bound
       FROM sq GROUP BY 1)

@@ -56,6 +56,27 @@ def test_try_date(spark):
     assert got == [date(2001, 6, 15), date(2001, 6, 15), None, None, None]
 
 
+DATE_TEXTS = {
+    "2026-01-05": (2026, 1, 5), "2026/1/5": (2026, 1, 5), "2026.01.05": (2026, 1, 5), "20260105": (2026, 1, 5), "260105": (2026, 1, 5),
+    "1/5/2026": (2026, 1, 5), "01-05-2026": (2026, 1, 5), "1.5.26": (2026, 1, 5), "12/31/50": (1950, 12, 31), "12/31/49": (2049, 12, 31),
+    "Jan 5 2026": (2026, 1, 5), "JANUARY 5, 2026": (2026, 1, 5), "jan 5,26": (2026, 1, 5), "5 Jan 2026": (2026, 1, 5),
+    "5-Jan-26": (2026, 1, 5), "05 january, 2026": (2026, 1, 5), "2026 Jan 5": (2026, 1, 5), "2026 5 Jan": (2026, 1, 5),
+    "Jan 2026": (2026, 1, 1), "January, 2026": (2026, 1, 1), "2026 May": (2026, 5, 1), "2026": (2026, 1, 1), "  2026-01-05  ": (2026, 1, 5),
+    "2026-01-05 23:59:59.999": (2026, 1, 5), "2026-01-05T10:11:12Z": (2026, 1, 5), "2026-01-05T10:11:12.1234567+05:30": (2026, 1, 5),
+    "1/5/2026 3:04 PM": (2026, 1, 5), "Jan  5 2026  3:04PM": (2026, 1, 5), "20260105 10:11": (2026, 1, 5), "1/5/2026 3 pm": (2026, 1, 5),
+    "2024-02-29": (2024, 2, 29), "5 sept 2026": None, "2026-02-30": None, "2023-02-29": None, "13/1/2026": None, "2026-13-01": None,
+    "2026-01-05 25:00": None, "2026-01-05 10:61": None, "Foo 5 2026": None, "2026-01": None, "1/5": None, "n/a": None, "": None, "   ": None,
+    "tomorrow": None, "2026-01-05 x": None, "0000-01-05": None, "12345": None,
+}
+
+
+def test_every_date_form_of_the_source(spark):
+    df = spark.createDataFrame([(x,) for x in DATE_TEXTS] + [(None,)], "x string")
+    got = {r.x: r.d for r in df.select("x", D.try_date("x").alias("d")).collect()}
+    assert got.pop(None) is None
+    assert got == {x: want and date(*want) for x, want in DATE_TEXTS.items()}
+
+
 @pytest.mark.parametrize("text,want", [
     ("$1,234.50", Decimal("1234.50")), ("1234.5", Decimal("1234.50")), (" 12.345 ", Decimal("12.35")),
     ("1e3", None), ("abc", None), ("", None), (None, None), ("-5", Decimal("-5.00")), (".5", Decimal("0.50")),

@@ -144,3 +144,40 @@ def test_min_over_sources_keeps_every_source_row(spark):
     s2 = spark.createDataFrame([(1, 1, "2024-01-04"), (None, 1, "2024-01-01")], "b int, q int, ts string")
     got = sorted((r.b or 0, r.q, r.m) for r in min_over_sources([s1, s2], ["b", "q"], "ts", "m").collect())
     assert got == [(0, 1, "2024-01-01"), (1, 1, "2024-01-04")]
+
+
+def test_positions_of_sorted_rows(spark, capsys):
+    from uwlens.operators.ordering import with_position
+    rng = random.Random(6)
+    rows = [(rng.choice([None, *range(9)]), i) for i in range(700)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(7)
+    got = with_position(df.orderBy(F.col("k").desc(), F.col("v")).select("v", "k"))
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -1), r[1]))
+    assert got.columns == ["v", "k", "position"]
+    assert sorted((r.position, r.k, r.v) for r in got.collect()) == [(n, *r) for n, r in enumerate(order, 1)]
+    capsys.readouterr()
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "Window" not in plan and "SinglePartition" not in plan
+    assert with_position(df.where("v < 0").orderBy("v")).count() == 0
+
+
+def test_bitmap_distinct_counts_merge_up_the_roll_up(spark, capsys):
+    from uwlens.operators.distinct import distinct_counts, id_bitmaps, merged_bitmaps
+    rng = random.Random(2)
+    groups = {1: "A", 2: "A", 3: "B", 4: "B", 5: None, 6: "C"}
+    rows = [(rng.choice([1, 2, 3, 4, 5]), rng.choice([None, -3, 5, *range(90_000, 90_040)]), rng.randrange(200_000)) for _ in range(4000)]
+    rows += [(1, 77, 1), (2, 77, 2), (6, None, 3)]  # one submission of two agencies; an agency without submissions
+    df = spark.createDataFrame([(groups[a], a, s, q) for a, s, q in rows], "code string, agency int, s int, q long")
+    ids = {"subs": "s", "quotes": "q"}
+    maps = id_bitmaps(df, ["code", "agency"], ids)
+    def brute(key):
+        keys = {key(r) for r in rows}
+        return {k: (len({r[1] for r in rows if key(r) == k and r[1] is not None}), len({r[2] for r in rows if key(r) == k})) for k in keys}
+    fine = {r.agency: (r.subs, r.quotes) for r in distinct_counts(maps, ["agency"], list(ids)).collect()}
+    assert fine == brute(lambda r: r[0]) and fine[6][0] == 0
+    coarse = distinct_counts(merged_bitmaps(maps, ["code"]), ["code"], list(ids))
+    assert {r.code: (r.subs, r.quotes) for r in coarse.collect()} == brute(lambda r: groups[r[0]])
+    capsys.readouterr()
+    coarse.explain()
+    assert "Expand" not in capsys.readouterr().out

@@ -163,3 +163,27 @@ def test_materialised_frames_have_true_sizes_and_go_with_the_session(spark, wide
     assert few.count() == big.where("quote_id < 200").select("quote_id").distinct().count() > 0
     assert 0 < bytes_of(few) < 20_000 and all("uwlens-stage-" in f for f in few.inputFiles())
     assert few.columns == ["quote_id"] and bytes_of(materialized(few.where("quote_id is null"))) < 5_000
+
+
+def test_scorecard_reads_quotes_once_and_stacks_its_measures(spark, parquet_tables, capsys, monkeypatch):
+    from __spark_entry__ import fixture_params
+    from uwlens.operators import latest
+    from uwlens.plans import scorecard
+    parts, real = [], latest.materialized
+
+    def recorded(df):
+        parts.append(_plan(df, capsys))
+        return real(df)
+
+    for module in (latest, scorecard):
+        monkeypatch.setattr(module, "materialized", recorded)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        last = _plan(REPORTS["rpt_agency_scorecard"](parquet_tables, fixture_params()), capsys)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert last.count("Arguments: hashpartitioning") <= 6
+    for table in ("bms_quote_mst", "bms_options_mst", "bms_quote_closed", "bms_submission_mst"):
+        located = [line for plan in (*parts, last) for line in plan.splitlines() if line.startswith("Location") and table in line]
+        assert len(located) == 1, (table, located)

@@ -1,6 +1,6 @@
 """Command line: run reports for one as-of date and publish them.
 
-    python -m uwlens (--tables /data/extract | --catalog-db uw) --as-of 2026-05-01 --out /data/reports [--report NAME ...]
+    python -m uwlens (--tables /data/extract | --snapshots /data/published | --catalog-db uw) --as-of 2026-05-01 --out /data/reports [--report NAME ...]
         [--quarter 2026-04-01 2026-06-30] [--cohorts 2020 2026] [--display-names]
 
 Each report is written to ``<out>/<report>/as_of=<date>/`` (dynamic partition overwrite, so a
@@ -25,6 +25,7 @@ def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="uwlens")
     src = ap.add_mutually_exclusive_group(required=True)
     src.add_argument("--tables", help="folder holding one parquet table per operational table")
+    src.add_argument("--snapshots", help="folder under which the tables of the as-of date were published")
     src.add_argument("--catalog-db", help="catalog database holding the tables (e.g. saved bucketed)")
     ap.add_argument("--as-of", required=True)
     ap.add_argument("--out", required=True)
@@ -40,7 +41,10 @@ def main(argv: list[str] | None = None) -> None:
         kw.update(cohort_first_year=a.cohorts[0], cohort_last_year=a.cohorts[1])
     params = ReportParams.of(a.as_of, **kw)
     spark = configured(SparkSession.builder.appName("uwlens")).getOrCreate()
-    tables = load_catalog_tables(spark, a.catalog_db) if a.catalog_db else load_tables(spark, a.tables)
+    if a.catalog_db:
+        tables = load_catalog_tables(spark, a.catalog_db)
+    else:
+        tables = load_tables(spark, a.snapshots or a.tables, as_of=params.as_of if a.snapshots else None)
     for name in a.report or sorted(REPORTS):
         df = REPORTS[name](tables, params)
         if a.display_names:

@@ -25,16 +25,64 @@ def day(c: ColumnLike) -> Column:
     return _c(c).cast(T.DateType())
 
 
-def try_date(c: ColumnLike, dtype: T.DataType | None = None) -> Column:
-    """TRY_CONVERT(date, x): temporal values pass through, text is parsed, bad text gives NULL.
+#: Month names as SQL Server's us_english knows them: the full name or its first three letters.
+_MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: Two-digit years up to this one belong to the 2000s.
+_YEAR_CUTOFF = 49
+_TIME = r"(?:[01]?[0-9]|2[0-3]):[0-5]?[0-9](?::[0-5]?[0-9](?:[.:][0-9]{1,9})?)?\s*(?:[ap]m)?|(?:0?[1-9]|1[0-2])\s*[ap]m"
+_ZONE = r"(?:\s*(?:z|[+-](?:0[0-9]|1[0-4]):[0-5][0-9]))?"
+#: pattern of the date part -> the groups that hold year, month, day ("" where the form has none: the first)
+_FORMS: tuple[tuple[str, tuple[int, int, int]], ...] = (
+    (r"([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})", (1, 2, 3)),
+    (r"([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4}|[0-9]{2})", (3, 1, 2)),
+    (r"([0-9]{4})([0-9]{2})([0-9]{2})", (1, 2, 3)),
+    (r"([0-9]{2})([0-9]{2})([0-9]{2})", (1, 2, 3)),
+    (r"([0-9]{4})", (1, 0, 0)),
+    (r"([a-z]{3,9})\s*([0-9]{1,2})(?:\s*,\s*|\s+)([0-9]{4}|[0-9]{2})", (3, 1, 2)),
+    (r"([0-9]{1,2})[\s-]*([a-z]{3,9})[\s,-]*([0-9]{4}|[0-9]{2})", (3, 2, 1)),
+    (r"([0-9]{4})\s*([a-z]{3,9})\s*([0-9]{1,2})", (1, 2, 3)),
+    (r"([0-9]{4})\s+([0-9]{1,2})\s*([a-z]{3,9})", (1, 3, 2)),
+    (r"([a-z]{3,9})[\s,]*([0-9]{4})", (2, 1, 0)),
+    (r"([0-9]{4})\s*([a-z]{3,9})", (1, 2, 0)),
+)
+
+
+def text_date(c: ColumnLike) -> Column:
+    """The date a text spells, in any form SQL Server reads without a style under us_english (month before day).
+
+    Numbers with ``-``, ``/`` or ``.`` between them, year first or last; eight or six digits, year first; a year
+    alone; month names before or after the day; two-digit years from 1950 to 2049; each with or without a time of
+    day.  The form is chosen by pattern, so each text is read one way only.  Impossible dates and any other text
+    give NULL, as do empty and blank texts."""
+    text = F.lower(F.trim(_c(c).cast(T.StringType())))
+    timed = text.contains(":") | text.endswith("m")
+    dated = F.when(~timed, text).otherwise(F.regexp_replace(text, r"^(.*[0-9a-z])(?:\s+|(?<=[0-9])t)(?:" + _TIME + ")" + _ZONE + "$", "$1"))
+    # the forms refer to the text many times: as a lambda's argument it is computed once and stays a small plan
+    return F.element_at(F.transform(F.array(dated), _by_form), 1)
+
+
+def _by_form(text: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for n, m in enumerate(_MONTHS, 1) for k in dict.fromkeys((m, m[:3])) for x in (k, str(n))])
+    parsed = None
+    for pattern, (y, m, d) in _FORMS:
+        whole = f"^{pattern}$"
+        part = lambda n, whole=whole: F.regexp_extract(text, whole, n) if n else F.lit("1")
+        year = part(y)
+        year = F.when(F.length(year) == 2, F.concat(F.when(year <= f"{_YEAR_CUTOFF:02d}", "20").otherwise("19"), year)).otherwise(year)
+        month = F.coalesce(F.try_element_at(names, part(m)), part(m))
+        when = text.rlike(whole)
+        value = F.concat(F.nullif(year, F.lit("0000")), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(part(d), 2, "0"))
+        parsed = F.when(when, value) if parsed is None else parsed.when(when, value)
+    # "march" padded to two letters is no month: the cast gives NULL
+    return parsed.try_cast(T.DateType())
 
-    Accepted text: ISO ``yyyy-mm-dd`` (optionally followed by a time) and US ``m/d/yyyy``.
-    """
+
+def try_date(c: ColumnLike, dtype: T.DataType | None = None) -> Column:
+    """TRY_CONVERT(date, x): temporal values pass through, text is parsed (``text_date``), bad text gives NULL."""
     c = _c(c)
     if dtype is not None and not isinstance(dtype, T.StringType):
         return c.cast(T.DateType())
-    s = c.cast(T.StringType())
-    return F.coalesce(s.try_cast(T.DateType()), F.try_to_date(s, "M/d/yyyy"))
+    return text_date(c)
 
 
 def in_window(c: ColumnLike, start: date, end: date, closed: bool = False) -> Column:

@@ -5,6 +5,11 @@ once per distinct expression.  Instead: stage 1 groups by (group keys, id) and k
 whether *any* row of that id satisfied it (plus raw sums); stage 2 sums those 0/1 flags per group.
 Both stages are ordinary hash aggregates with map-side partial aggregation, so hot groups are
 pre-reduced before each shuffle.  Exact for any multiplicity of ``id``.
+
+Distinct counts that can be merged (``id_bitmaps``): the distinct whole-number ids of a group are kept as
+bitmaps of 32,768 ids each.  Bitmaps of several groups, or of parts of the rows, are merged by OR, so a
+count per agency and one per reporting group of agencies come from the same bitmaps and a submission that
+two agencies share counts once in their group.  For dense ids; a sparse group costs 4 KiB per id.
 """
 
 from __future__ import annotations
@@ -36,3 +41,25 @@ def merge_on(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     r = right.withColumnRenamed(key, "_rk")
     j = left.join(r, left[key].eqNullSafe(r["_rk"]), "full")
     return j.withColumn(key, F.coalesce(left[key], F.col("_rk"))).drop("_rk")
+
+
+def id_bitmaps(df: DataFrame, group_keys: list[str], ids: dict[str, str]) -> DataFrame:
+    """(group keys, name, bucket, ids): per group, the distinct non-NULL values of each id column as bitmaps.
+
+    ``ids`` maps a name to an id column.  All of them are gathered in one pass over the rows, and map tasks send
+    bitmaps, not ids.  Every group has a row, also one without ids (an empty bitmap)."""
+    tagged = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast(T.LongType()).alias("id")) for n, c in ids.items()]))
+    rows = df.select(*group_keys, tagged.alias("_t")).select(*group_keys, F.col("_t.name").alias("name"), F.col("_t.id").alias("_id"))
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position("_id"))
+    return rows.groupBy(*group_keys, "name", F.bitmap_bucket_number("_id").alias("bucket")).agg(bits.alias("ids"))
+
+
+def merged_bitmaps(bitmaps: DataFrame, group_keys: list[str]) -> DataFrame:
+    """The bitmaps of coarser groups, whose keys ``bitmaps`` also carries."""
+    return bitmaps.groupBy(*group_keys, "name", "bucket").agg(F.bitmap_or_agg("ids").alias("ids"))
+
+
+def distinct_counts(bitmaps: DataFrame, group_keys: list[str], names: list[str]) -> DataFrame:
+    """One row per group: for each of the ``names`` the number of distinct ids."""
+    ones = F.bitmap_count("ids")
+    return bitmaps.groupBy(*group_keys).agg(*[F.coalesce(F.sum(F.when(F.col("name") == n, ones)), F.lit(0)).alias(n) for n in names])

@@ -50,7 +50,8 @@ def _hadoop_path(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def _new_stage(df: DataFrame) -> str:
+def new_stage(df: DataFrame) -> str:
+    """An unused folder name below the application's staging folder."""
     spark = df.sparkSession
     root = f"{checkpoint_dir(df)}/uwlens-stage-{spark.sparkContext.applicationId}"
     files, at = _hadoop_path(spark, root)
@@ -62,7 +63,7 @@ def _new_stage(df: DataFrame) -> str:
 
 def materialized(df: DataFrame) -> DataFrame:
     """``df`` written once and read back: same rows and columns, no lineage, its true size in bytes."""
-    path = _new_stage(df)
+    path = new_stage(df)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -20,4 +20,7 @@ REPORTS = {
     "rpt_submission_lookup": submission_lookup,
 }
 
-__all__ = ["REPORTS"]
+#: Reports whose rows come in a defined order (the renewals forecast has none).
+SORTED_REPORTS = frozenset(REPORTS) - {"rpt_renewals_forecast"}
+
+__all__ = ["REPORTS", "SORTED_REPORTS"]

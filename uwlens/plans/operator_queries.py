@@ -16,16 +16,19 @@ from ..functions import money as M
 from ..functions import text as X
 from ..operators import filters as FL
 from ..operators.asof import first_at_or_after
-from ..operators.distinct import distinct_flags, merge_on
+from ..operators.distinct import distinct_counts, distinct_flags, id_bitmaps, merge_on
 from ..operators.documents import document_events, first_documents, tracer_extremes
 from ..operators.existence import min_over_sources, semi_join_any
 from ..operators.joins import keyed, split_join
 from ..operators.latest import latest_option, preferred_quote
+from ..operators.lineage import new_stage
+from ..operators.ordering import with_position
 from ..params import ReportParams
-from ..sources.catalog import TABLE_NAMES, Tables
+from ..sources.catalog import TABLE_NAMES, Tables, load_tables
+from ..sources.snapshots import publish_tables
 from . import scorecard as SC
 from .common import (agencies, agency_scalar_lookup, live_quotes, live_submissions, quotes_with_type,
-                     resolved_agency_id, types_where, users)
+                     resolved_agency_id, sort_for_output, types_where, users)
 from .reports import _email_keys, active_building_businesses, agency_code_number, agency_id_from_text
 
 I = lambda c: F.col(c).cast(T.IntegerType())
@@ -39,7 +42,10 @@ def _b(c) -> F.Column:
 # ---------------------------------------------------------------- scans, parameters, projection
 
 def src_scan(t: Tables, p: ReportParams) -> DataFrame:
-    """Row count of every operational table read through its declared schema."""
+    """Row count of every operational table, published as a snapshot of the as-of date and loaded from it."""
+    root = new_stage(t.bms_quote_mst)
+    publish_tables(t, root, p.as_of)
+    t = load_tables(t.bms_quote_mst.sparkSession, root, as_of=p.as_of)
     frames = [getattr(t, n).select(F.lit(n).alias("table_name")) for n in TABLE_NAMES]
     u = frames[0]
     for f in frames[1:]:
@@ -254,8 +260,8 @@ def agg_group_sum_count(t: Tables, p: ReportParams) -> DataFrame:
 
 
 def agg_count_distinct(t: Tables, p: ReportParams) -> DataFrame:
-    return _sub_quotes(t).groupBy("agency_id").agg(F.count_distinct("submission_id").alias("n_submissions"),
-                                                   F.count_distinct("quote_id").alias("n_quotes"))
+    ids = {"n_submissions": "submission_id", "n_quotes": "quote_id"}
+    return distinct_counts(id_bitmaps(_sub_quotes(t), ["agency_id"], ids), ["agency_id"], list(ids))
 
 
 def agg_cond_count_distinct(t: Tables, p: ReportParams) -> DataFrame:
@@ -288,7 +294,8 @@ def sort_numeric_suffix(t: Tables, p: ReportParams) -> DataFrame:
     ag = agencies(t).select("agency_id", "agency_code")
     sb = t.bms_submission_mst.select("submission_id", "original_producer_id")
     df = sb.join(ag, sb.original_producer_id == ag.agency_id)
-    return df.select("submission_id", "agency_code", agency_code_number("agency_code").alias("code_number"))
+    df = df.select("submission_id", "agency_code", agency_code_number("agency_code").alias("code_number"))
+    return with_position(sort_for_output(df, [F.col("code_number"), F.col("agency_code")], ["submission_id"]))
 
 
 def union_distinct_spine(t: Tables, p: ReportParams) -> DataFrame:
@@ -334,11 +341,21 @@ def fn_dates(t: Tables, p: ReportParams) -> DataFrame:
                     F.year("created_dt").alias("created_year"))
 
 
+#: name -> text form of a date that TRY_CONVERT(date, text) reads, as a Spark pattern
+DATE_FORMS = {"compact": "yyyyMMdd", "slashes": "yyyy/MM/dd", "dots": "MM.dd.yyyy", "us_short": "M/d/yy", "six_digits": "yyMMdd",
+              "month_first": "MMM d, yyyy", "day_first": "dd MMMM yyyy", "dashes": "d-MMM-yy", "year_first": "yyyy MMM d",
+              "iso_time": "yyyy-MM-dd'T'HH:mm:ss", "us_time": "M-d-yyyy hh:mm a"}
+
+
 def fn_try_cast(t: Tables, p: ReportParams) -> DataFrame:
+    """Dates and numbers from text: as the table has them, and dates written in each further form and read again."""
     o = t.bms_options_mst
-    return o.select("quote_id", "product_id", D.try_date("effective_dt", o.schema["effective_dt"].dataType).alias("eff_date"),
+    eff = D.try_date("effective_dt", o.schema["effective_dt"].dataType)
+    again = [D.try_date(F.date_format(F.col("created_dt") + F.expr("INTERVAL 14 HOURS 5 MINUTES"), f), T.StringType()).alias(n)
+             for n, f in DATE_FORMS.items()]
+    return o.select("quote_id", "product_id", eff.alias("eff_date"),
                     agency_id_from_text(F.col("business_id")).alias("business_int"),
-                    agency_id_from_text(F.col("effective_dt")).alias("eff_as_int"))
+                    agency_id_from_text(F.col("effective_dt")).alias("eff_as_int"), *again)
 
 
 def fn_ratio(t: Tables, p: ReportParams) -> DataFrame:
@@ -414,27 +431,16 @@ def sc_submissions_activity(t: Tables, p: ReportParams) -> DataFrame:
     return SC.submission_counts(SC.submission_universe(t, p)).select("agency_id", "submissions_activity")
 
 
-def _per_universe_agency(t: Tables, p: ReportParams, measures: list[str]) -> DataFrame:
-    """Quote measures for every universe agency (zeros where its submissions have no live quote),
-    the grain of the source's per-agency aggregate."""
-    u = SC.submission_universe(t, p)
-    m = SC.quote_measures(t, p, u).join(SC.submission_counts(u).select("agency_id", "submissions_quoted"),
-                                         "agency_id", "full")
-    df = u.select("agency_id").distinct().join(m, "agency_id", "left")
-    zero = {c: (F.lit(0).cast(M.MONEY) if c in SC._MONEY_MEASURES else F.lit(0).cast(T.LongType())) for c in measures}
-    return df.select("agency_id", *[F.coalesce(c, zero[c]).alias(c) for c in measures])
-
-
 def sc_quote_start(t: Tables, p: ReportParams) -> DataFrame:
-    return _per_universe_agency(t, p, SC.QUOTE_START_MEASURES)
+    return SC.agency_measures(t, p).select("agency_id", *SC.QUOTE_START_MEASURES)
 
 
 def sc_production(t: Tables, p: ReportParams) -> DataFrame:
-    return _per_universe_agency(t, p, SC.PRODUCTION_MEASURES)
+    return SC.agency_measures(t, p).select("agency_id", *SC.PRODUCTION_MEASURES)
 
 
 def sc_decline(t: Tables, p: ReportParams) -> DataFrame:
-    return SC.declines(t, p, SC.submission_universe(t, p))
+    return SC.agency_measures(t, p).where("declines > 0").select("agency_id", *SC.DECLINE_MEASURES)
 
 
 def sc_agency_metrics(t: Tables, p: ReportParams) -> DataFrame:

@@ -229,7 +229,7 @@ def quote_followup(t: Tables, p: ReportParams) -> DataFrame:
         "quote_id", "quote_code", "main_status_text")
     df = o.join(sent, ["business_id", "quote_id"]).join(q, "quote_id")
     d1, d2, d3 = V.FOLLOW_UP_DAYS
-    out = sort_for_output(df, [F.col("sent_dt")], ["quote_id", "business_id"])
+    out = sort_for_output(df, [F.col("sent_dt")], ["quote_id", "business_id", "proposed_eff_date", "proposed_exp_date", "premium_amt"])
     return out.select(
         X.fixed_width("quote_code", 100).alias("quote_code"), X.fixed_width("business_id", 100).alias("business_id"),
         FMT.us_date("sent_dt").alias("quote_sent_date"),

@@ -3,18 +3,20 @@ and a problem type with explanation and recommended action, per rolled-up agency
 
 Plan shape (each step one function, so every intermediate result is testable on its own):
 
+  quote facts    one row per live quote that was started, bound or declined in the window, with its
+                 conditions as columns; quotes and closures are read once
   universe       submissions with any activity in the window (created, quote started or bound),
                  flagged "created in window" and "had a quote started in window"
-  counts         created / activity / quoted submissions per agency, one aggregation
-  quote measures one pass over universe quotes: 10 conditional distinct counts and 9 sums,
-                 computed per (agency, quote) then per agency - no row-multiplying Expand
-  declines       decline closures in the window, reduced per quote before any join
-  metrics        agency spine (universe or created) x active agencies, five aggregates, NULL -> 0
+  dollars        latest-option premium and fees of the facts' quotes only, not of the whole option table
+  measures       the universe's submissions and its priced facts as one tagged stack of rows, reduced per
+                 (agency, tag, id) and then per agency: 13 conditional distinct counts and 10 sums from one
+                 pair of aggregates - no row-multiplying Expand and no join of partial results
+  metrics        active agencies with their measures
   final          roll-up of member agencies to reporting codes, re-aggregated
   scored         ratios, scores and the problem type (first matching rule wins)
 
-Option dollars (latest option per quote) are computed only for quotes that need them (bound or
-declined in the window) through a semi-join on their ids, not for the whole option table.
+Facts, universe, dollars and priced facts are materialised with their true sizes, each because the next
+step and a later one read it.
 """
 
 from __future__ import annotations
@@ -49,8 +51,6 @@ PRODUCTION_MEASURES = [
 DECLINE_MEASURES = ["declines", "declined_premium"]
 ALL_MEASURES = (["submissions_created", "submissions_activity"] + QUOTE_START_MEASURES + DECLINE_MEASURES
                 + PRODUCTION_MEASURES)
-_MONEY_MEASURES = {"sum_days_to_bind", "bound_premium", "bound_fees", "bound_premium_from_cohort",
-                   "bound_fees_from_cohort", "nb_bound_premium", "renewal_bound_premium", "declined_premium"}
 
 
 def _producer_submissions(t: Tables) -> DataFrame:
@@ -58,52 +58,50 @@ def _producer_submissions(t: Tables) -> DataFrame:
             .select("submission_id", F.col("original_producer_id").alias("agency_id"), "created_dt"))
 
 
-def _quote_rows(t: Tables) -> DataFrame:
-    q = live_quotes(t).select("quote_id", "submission_id", "quote_dt", F.col("created_dt").alias("q_created_dt"),
-                              "bind_dt", "lkp_transaction_type_id")
-    return q.withColumn("start_dt", F.coalesce("quote_dt", "q_created_dt"))
+def _decline_closures(t: Tables, p: ReportParams) -> DataFrame:
+    w = p.rolling3
+    return (t.bms_quote_closed.where(FL.active_lenient("flg_active") & FL.flag_set("flg_decline")
+                                     & D.in_window("created_dt", w.start, w.end))
+            .groupBy("quote_id").agg(F.count(F.lit(1)).alias("n_closures")))
+
+
+def quote_facts(t: Tables, p: ReportParams) -> DataFrame:
+    """Live quotes that count in some measure: ``started`` or ``bound_in`` the window or with decline
+    closures in it (``n_closures``).  A quote that is none of these adds nothing to any measure."""
+    w = p.rolling3
+    q = live_quotes(t).select("quote_id", "submission_id", F.coalesce("quote_dt", "created_dt").alias("start_dt"), "bind_dt",
+                              "lkp_transaction_type_id")
+    tt = types_where(t).select("lkp_id", "lkp_desc")
+    q = q.join(_decline_closures(t, p), "quote_id", "left")
+    started = F.coalesce(D.in_window("start_dt", w.start, w.end), F.lit(False))
+    bound_in = F.coalesce(D.in_window("bind_dt", w.start, w.end), F.lit(False))
+    q = q.where(started | bound_in | F.col("n_closures").isNotNull())
+    q = q.join(tt, q.lkp_transaction_type_id == tt.lkp_id, "left")
+    desc = F.coalesce("lkp_desc", F.lit(""))
+    return q.select("quote_id", "submission_id", "start_dt", "bind_dt", started.alias("started"), bound_in.alias("bound_in"),
+                    (desc == V.TT_NEW_BUSINESS).alias("nb"), desc.isin(*V.TT_RENEWALS).alias("rn"),
+                    F.coalesce("n_closures", F.lit(0)).alias("n_closures"))
 
 
-def submission_universe(t: Tables, p: ReportParams) -> DataFrame:
+def submission_universe(t: Tables, p: ReportParams, facts: DataFrame | None = None) -> DataFrame:
     """(submission_id, agency_id, created_in, quoted_in) of live producer submissions created,
     quote-started or bound in the window.
 
-    The OR across the submission and its quotes becomes: window-filtered live quotes reduced to one
-    row per submission (with "some quote started in the window"), which complete the submissions created
-    in the window (a filter the scan can take) and bring in the other submissions they belong to.
-    ``quoted_in`` is exactly the condition of the "submissions quoted" count, so all three
-    submission counts later come from one aggregation over the universe."""
+    The OR across the submission and its quotes: the facts started or bound in the window, one row per
+    submission (with "some quote started in the window"), are attached to the submissions in one pass.
+    ``quoted_in`` is exactly the condition of the "submissions quoted" count."""
     w = p.rolling3
-    sb = _producer_submissions(t)
-    q = _quote_rows(t)
-    started = D.coalesce_in_window("quote_dt", "q_created_dt", w.start, w.end)
-    bound_in = F.col("bind_dt").isNotNull() & D.in_window("bind_dt", w.start, w.end)
-    touched = (q.where(started | bound_in).groupBy("submission_id")
-               .agg(F.max(F.coalesce(started, F.lit(False)).cast("int")).alias("_q")))
-    in_window = D.in_window("created_dt", w.start, w.end)
-    created_in = F.coalesce(in_window, F.lit(False))
-    u = (sb.where(in_window).join(touched, "submission_id", "left")
-         .unionByName(sb.where(~created_in).join(touched, "submission_id")))
-    return u.select("submission_id", "agency_id", created_in.alias("created_in"),
-                    (F.coalesce(F.col("_q"), F.lit(0)) == 1).alias("quoted_in"))
-
-
-def submission_counts(universe: DataFrame) -> DataFrame:
-    """Submissions created, with activity, and with a quote started in the window, per agency."""
-    return distinct_flags(universe, ["agency_id"], "submission_id", {
-        "submissions_created": F.col("created_in"), "submissions_activity": F.lit(True),
-        "submissions_quoted": F.col("quoted_in")})
+    facts = quote_facts(t, p) if facts is None else facts
+    touched = facts.where("started or bound_in").groupBy("submission_id").agg(F.max("started").alias("_q"))
+    created_in = F.coalesce(D.in_window("created_dt", w.start, w.end), F.lit(False))
+    u = _producer_submissions(t).join(touched, "submission_id", "left").where(created_in | F.col("_q").isNotNull())
+    return u.select("submission_id", "agency_id", created_in.alias("created_in"), F.coalesce("_q", F.lit(False)).alias("quoted_in"))
 
 
-def needed_option_dollars(t: Tables, p: ReportParams) -> DataFrame:
-    """Latest-option premium and fees of the quotes the scorecard prices: bound in the window or
-    with a decline closure created in it (key sets from pushed-down window filters).  It comes materialised,
-    and the scorecard joins it to both consumers."""
-    w = p.rolling3
-    bound = t.bms_quote_mst.where(F.col("bind_dt").isNotNull() & D.in_window("bind_dt", w.start, w.end)).select("quote_id")
-    declined = _decline_closures(t, p).select("quote_id")
-    opts = t.bms_options_mst.join(bound.unionByName(declined), "quote_id", "left_semi")
-    return option_dollars(opts)
+def needed_option_dollars(t: Tables, facts: DataFrame) -> DataFrame:
+    """Latest-option premium and fees of the quotes the scorecard prices: bound in the window or declined in it."""
+    priced = facts.where(F.col("bound_in") | (F.col("n_closures") > 0)).select("quote_id")
+    return option_dollars(t.bms_options_mst.join(priced, "quote_id", "left_semi"))
 
 
 def submissions_created(t: Tables, p: ReportParams) -> DataFrame:
@@ -112,83 +110,74 @@ def submissions_created(t: Tables, p: ReportParams) -> DataFrame:
     return sb.groupBy("agency_id").agg(F.count_distinct("submission_id").alias("submissions_created"))
 
 
-def quote_measures(t: Tables, p: ReportParams, universe: DataFrame, dollars: DataFrame | None = None) -> DataFrame:
-    """Quote-start cohort and production measures per agency, in one pass over universe quotes.
+def submission_counts(universe: DataFrame) -> DataFrame:
+    """Submissions created, with activity, and with a quote started in the window, per agency."""
+    return distinct_flags(universe, ["agency_id"], "submission_id", {
+        "submissions_created": F.col("created_in"), "submissions_activity": F.lit(True),
+        "submissions_quoted": F.col("quoted_in")})
 
-    Submissions without a live quote contribute nothing to any measure, so the universe is joined
-    *inner* to quotes; agencies left without rows get zeros from the metrics step."""
-    w = p.rolling3
-    tt = types_where(t).select("lkp_id", "lkp_desc")
-    q = _quote_rows(t).join(universe, "submission_id")
-    q = q.join(tt, q.lkp_transaction_type_id == tt.lkp_id, "left")
-    started = D.in_window("start_dt", w.start, w.end)
-    bound_in = F.col("bind_dt").isNotNull() & D.in_window("bind_dt", w.start, w.end)
-    bound = F.col("bind_dt").isNotNull()
-    desc = F.coalesce("lkp_desc", F.lit(""))
-    nb, rn = desc == V.TT_NEW_BUSINESS, desc.isin(*V.TT_RENEWALS)
-    q = q.withColumn("_s", F.coalesce(started, F.lit(False))).withColumn("_b", F.coalesce(bound_in, F.lit(False)))
-    s, b = F.col("_s"), F.col("_b")
-    # every dollar measure is cut to quotes bound in the window, so further priced quotes add nothing
-    q = q.join(needed_option_dollars(t, p) if dollars is None else dollars, "quote_id", "left")
-    prem, fees = F.coalesce("prem", F.lit(0).cast(M.MONEY)), F.coalesce("fees", F.lit(0).cast(M.MONEY))
-    zero = F.lit(0).cast(M.MONEY)
-    dated = b & F.col("start_dt").isNotNull()
+
+def stacked(universe: DataFrame, priced: DataFrame) -> DataFrame:
+    """Submissions and priced facts as one stack of rows: agency, tagged id and the columns the measures need."""
+    no, nothing = F.lit(False), F.lit(0).cast(M.MONEY)
+    tag = lambda n, c: F.struct(F.lit(n).alias("tag"), F.col(c).cast("bigint").alias("id")).alias("_id")
+    subs = universe.select("agency_id", tag(0, "submission_id"), F.lit(True).alias("sub"), "created_in", "quoted_in",
+                           no.alias("s"), no.alias("b"), no.alias("bound"), no.alias("nb"), no.alias("rn"),
+                           F.lit(0).cast(T.LongType()).alias("n_closures"), F.lit(None).cast(T.IntegerType()).alias("days"),
+                           nothing.alias("prem"), nothing.alias("fees"))
+    quotes = priced.select("agency_id", tag(1, "quote_id"), no.alias("sub"), no.alias("created_in"), no.alias("quoted_in"),
+                           F.col("started").alias("s"), F.col("bound_in").alias("b"), F.col("bind_dt").isNotNull().alias("bound"),
+                           "nb", "rn", "n_closures", D.days_between("start_dt", "bind_dt").cast(T.IntegerType()).alias("days"),
+                           F.coalesce("prem", nothing).alias("prem"), F.coalesce("fees", nothing).alias("fees"))
+    return subs.unionByName(quotes)
+
+
+def measures(universe: DataFrame, priced: DataFrame) -> DataFrame:
+    """All measures per agency of the universe.
+
+    A quote with several decline closures counts once but its premium once per closure, as the source
+    defines it; agencies without facts have zeros, since their submissions are in the stack."""
+    s, b, bound, nb, rn = (F.col(c) for c in ("s", "b", "bound", "nb", "rn"))
+    prem, fees, zero = F.col("prem"), F.col("fees"), F.lit(0).cast(M.MONEY)
+    dated = b & F.col("days").isNotNull()
     flags = {
+        "submissions_created": F.col("created_in"), "submissions_activity": F.col("sub"), "submissions_quoted": F.col("quoted_in"),
         "quotes_started": s, "quotes_started_bound": s & bound,
         "nb_quotes_started": s & nb, "nb_quotes_bound": s & nb & bound,
         "renewal_quotes_started": s & rn, "renewal_quotes_bound": s & rn & bound,
         "binds": b, "binds_from_cohort": b & s, "nb_binds": b & nb, "renewal_binds": b & rn,
+        "declines": F.col("n_closures") > 0,
     }
     sums = {
         "raw_quote_rows_started": F.when(s, 1).otherwise(0).cast(T.LongType()),
-        "sum_days_to_bind": F.when(dated, D.days_between("start_dt", "bind_dt").cast(M.MONEY)).otherwise(zero),
+        "sum_days_to_bind": F.when(dated, F.col("days").cast(M.MONEY)).otherwise(zero),
         "cnt_days_to_bind": F.when(dated, 1).otherwise(0).cast(T.LongType()),
         "bound_premium": F.when(b, prem).otherwise(zero), "bound_fees": F.when(b, fees).otherwise(zero),
         "bound_premium_from_cohort": F.when(b & s, prem).otherwise(zero),
         "bound_fees_from_cohort": F.when(b & s, fees).otherwise(zero),
         "nb_bound_premium": F.when(b & nb, prem).otherwise(zero),
         "renewal_bound_premium": F.when(b & rn, prem).otherwise(zero),
+        "declined_premium": (prem * F.col("n_closures")).cast(T.DecimalType(38, 2)),
     }
-    return distinct_flags(q, ["agency_id"], "quote_id", flags, sums)
-
-
-def _decline_closures(t: Tables, p: ReportParams) -> DataFrame:
-    w = p.rolling3
-    return (t.bms_quote_closed.where(FL.active_lenient("flg_active") & FL.flag_set("flg_decline")
-                                     & D.in_window("created_dt", w.start, w.end))
-            .groupBy("quote_id").agg(F.count(F.lit(1)).alias("n_closures")))
+    return distinct_flags(stacked(universe, priced), ["agency_id"], "_id", flags, sums)
 
 
-def declines(t: Tables, p: ReportParams, universe: DataFrame, dollars: DataFrame | None = None) -> DataFrame:
-    """Distinct declined quotes and declined premium per agency.  A quote with several decline
-    closures counts once but its premium once per closure, as the source defines it."""
-    qc = _decline_closures(t, p)
-    # the window-filtered closures are small: meet them first, then the universe
-    q = live_quotes(t).select("quote_id", "submission_id").join(qc, "quote_id").join(universe, "submission_id")
-    q = q.join((needed_option_dollars(t, p) if dollars is None else dollars).select("quote_id", "prem"), "quote_id", "left")
-    amount = (F.coalesce("prem", F.lit(0).cast(M.MONEY)) * F.col("n_closures")).cast(T.DecimalType(38, 2))
-    return distinct_flags(q, ["agency_id"], "quote_id", {"declines": F.lit(True)}, {"declined_premium": amount})
+def agency_measures(t: Tables, p: ReportParams) -> DataFrame:
+    """``measures`` of the window."""
+    facts = materialized(quote_facts(t, p))
+    u = materialized(submission_universe(t, p, facts))
+    dollars = needed_option_dollars(t, facts)
+    priced = materialized(facts.join(u.select("submission_id", "agency_id"), "submission_id").join(dollars, "quote_id", "left"))
+    return measures(u, priced)
 
 
 def agency_metrics(t: Tables, p: ReportParams) -> DataFrame:
     """All measures per active agency of the spine (universe agencies and created agencies).
 
-    The universe feeds three branches (submission counts, quote measures, declines); it is one
-    row per submission active in the window, so it is checkpointed once instead of being
-    recomputed from the submission and quote tables.  Submissions created in the window are a
-    subset of the universe (same submission filters), so the spine is simply the universe's
-    agencies.  All per-agency parts are hash-partitioned on agency_id, so joining them needs no
-    further shuffle."""
-    u = materialized(submission_universe(t, p))
-    dollars = needed_option_dollars(t, p)
+    Submissions created in the window are a subset of the universe (same submission filters), so the spine
+    is simply the universe's agencies."""
     ag = agencies(t, FL.active_lenient("flg_active")).select("agency_id", "agency_code", "agency_name")
-    df = submission_counts(u).join(ag, "agency_id")
-    for part in (quote_measures(t, p, u, dollars), declines(t, p, u, dollars)):
-        df = df.join(part, "agency_id", "left")
-    zero_money = F.lit(0).cast(M.MONEY)
-    return df.select("agency_id", "agency_code", "agency_name", *[
-        F.coalesce(m, zero_money if m in _MONEY_MEASURES else F.lit(0).cast(T.LongType())).alias(m)
-        for m in ALL_MEASURES])
+    return agency_measures(t, p).join(ag, "agency_id").select("agency_id", "agency_code", "agency_name", *ALL_MEASURES)
 
 
 def rollup_map(spark: SparkSession) -> DataFrame:

@@ -9,6 +9,7 @@ and families and projects the declared columns only, so every scan is pruned to
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -151,6 +152,11 @@ class Tables:
             setattr(self, f.name, check_schema(getattr(self, f.name), f.name))
 
 
-def load_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> Tables:
-    """Load every operational table from ``root/<table>`` (a parquet file or directory)."""
+def load_tables(spark: SparkSession, root: str, fmt: str = "parquet", as_of: date | None = None) -> Tables:
+    """Load every operational table from ``root/<table>`` (a parquet file or directory), or, with ``as_of``, from
+    the snapshot of that date that was published under ``root`` (``snapshots``)."""
+    if as_of is not None:
+        from .snapshots import load_snapshot
+
+        return load_snapshot(spark, root, as_of)
     return Tables(**{n: read_table(spark, f"{root}/{n}", n, fmt) for n in TABLE_NAMES})
