@@ -125,8 +125,14 @@ def _week_cols(d: str) -> str:
     return f"CAST(year(CAST({d} AS DATE)) AS BIGINT) AS week_year, CAST(weekofyear(CAST({d} AS DATE)) AS BIGINT) AS week_of_year"
 
 
-def kpi1() -> str:
-    body = f"""{_WEEKS}, {_OPX}, {_DOCS},
+#: the 52 weekly as-of dates up to the fixed one, each with its own window
+_YEAR_OF_WEEKS = f"""win AS (SELECT as_of, CAST(date_trunc('week', as_of - 14) AS DATE) AS s, CAST(date_trunc('week', as_of) AS DATE) AS e
+  FROM (SELECT CAST({AS_OF} - CAST(7 * range AS INTEGER) AS DATE) AS as_of FROM range(52)))"""
+
+
+def kpi1(weeks: str = _WEEKS, first: str = "") -> str:
+    first = first or _pos(_uw_short(), 'CAST(sent AS DATE)', 'eff', 'CAST(sb_created AS DATE)', 'quote_id')
+    body = f"""{weeks}, {_OPX}, {_DOCS},
 pq AS (
   SELECT q.* FROM bms_quote_mst q LEFT JOIN adm_bm_lkp_transaction_types tt ON tt.lkp_id = q.lkp_transaction_type_id
   WHERE {_LIVE.format(a='q')} AND tt.lkp_desc = {_q(V.TT_NEW_BUSINESS)}
@@ -145,7 +151,7 @@ base AS (
   LEFT JOIN quote_doc ON quote_doc.submission_number = sb.submission_code
   LEFT JOIN quote_trc ON quote_trc.quote_id = pq.quote_id
   WHERE {_LIVE.format(a='sb')})
-SELECT {_pos(_uw_short(), 'CAST(sent AS DATE)', 'eff', 'CAST(sb_created AS DATE)', 'quote_id')}, {_week_cols('sent')}, {_uw_short()} AS underwriter, {_q(V.KPI1_TRANSACTION_LABEL)} AS transaction_type,
+SELECT {first}, {_week_cols('sent')}, {_uw_short()} AS underwriter, {_q(V.KPI1_TRANSACTION_LABEL)} AS transaction_type,
   submission_code AS submission_number, quote_code AS quote_number, policy_number, {_status()} AS policy_status,
   eff AS policy_effective_dt, CAST(sb_created AS DATE) AS submission_received_dt, CAST(sent AS DATE) AS quote_sent_dt,
   CAST({_bd_exclusive('sb_created', 'sent')} AS BIGINT) AS kpi1_business_days,
@@ -785,6 +791,7 @@ FROM bms_options_mst o JOIN sq ON sq.quote_id = o.quote_id GROUP BY 1"""),
 SELECT quote_id, MAX(CASE WHEN {_like_any('tracer_desc', V.TRACER_ENDORSEMENT_START)} THEN created_dt END) AS req_dt,
   MAX(CASE WHEN {_like_any('tracer_desc', V.TRACER_ENDORSEMENT_FINALIZED)} THEN created_dt END) AS fin_dt
 FROM bms_tracers WHERE tracer_desc LIKE {_q(V.TRACER_ENDORSEMENT_ANY)} GROUP BY 1"""),
+        "kpi1_backfill": kpi1(_YEAR_OF_WEEKS, "as_of"),
         "sort_numeric_suffix": _with(["bms_submission_mst", "adm_co_agencies"], f"""x AS (SELECT 1)
 SELECT sb.submission_id, ag.agency_code, CAST({_code_number('ag.agency_code')} AS BIGINT) AS code_number,
   {_pos(_code_number('ag.agency_code'), 'ag.agency_code', 'sb.submission_id')}

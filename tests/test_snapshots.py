@@ -77,3 +77,36 @@ def test_operational_tables_through_load_tables(spark, tmp_path):
         load_tables(spark, root, as_of=date(2030, 1, 1))
     main(["--snapshots", root, "--as-of", FIXTURE_AS_OF, "--out", str(tmp_path / "out"), "--report", "rpt_submission_lookup"])
     assert spark.read.parquet(str(tmp_path / "out" / "rpt_submission_lookup")).count() > 0
+
+
+def test_case_and_trailing_blanks_do_not_matter_when_the_parameter_is_on(spark, tmp_path, capsys):
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    from __spark_entry__ import fixture_params
+    from uwlens.functions import labels as L
+    from uwlens.plans import REPORTS
+    from uwlens.sources.fixtures import derive_tables
+    from uwlens.sources.normalize import COMPARED
+    t = derive_tables(spark, "/root/testdata/sf0.01")
+    odd = {}
+    for (table, column) in COMPARED:
+        df = odd.get(table, getattr(t, table))
+        c = F.col(column)
+        by = F.pmod(F.xxhash64(*df.columns), F.lit(4))
+        codes = column.startswith("submission")  # join keys differ in blanks only
+        other = F.when(by == 0, c if codes else F.upper(c)).when(by == 1, F.concat(c, F.lit("  "))).when(by == 2, c if codes else F.lower(c))
+        odd[table] = df.withColumn(column, other.otherwise(c))
+    odd, root = replace(t, **odd), str(tmp_path / "odd")
+    publish_tables(odd, root, DAY, ignore_case=True)
+    back = load_tables(spark, root, as_of=DAY)
+    sent = back.bms_tracers.where(L.tracer_is_quote_sent("tracer_desc"))
+    assert sent.count() == t.bms_tracers.where(L.tracer_is_quote_sent("tracer_desc")).count() > 0
+    assert odd.bms_tracers.where(L.tracer_is_quote_sent("tracer_desc")).count() < sent.count()
+    capsys.readouterr()
+    sent.explain("formatted")
+    assert "PushedFilters: [In(tracer_desc, [Quote Sent,Renewal Quote Sent])]" in capsys.readouterr().out
+    for name in ("rpt_kpi5_renewal_lead", "rpt_kpi3_endorsement", "rpt_agency_retention"):
+        want = sorted(map(repr, REPORTS[name](t, fixture_params()).collect()))
+        assert sorted(map(repr, REPORTS[name](back, fixture_params()).collect())) == want and want

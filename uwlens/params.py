@@ -72,7 +72,8 @@ class ReportParams:
 
     ``quarter_start``/``quarter_end`` is the closed proposed-effective window of the quotes-due
     report; when not given it is the calendar quarter containing ``as_of``.
-    ``cohort_first_year``/``cohort_last_year`` bound the retention cohorts.
+    ``cohort_first_year``/``cohort_last_year`` bound the retention cohorts.  ``week_span`` stands for the
+    two full weeks where a run covers those of several as-of dates (``plans.backfill``).
     """
 
     as_of: date
@@ -80,6 +81,7 @@ class ReportParams:
     quarter_end: date | None = None
     cohort_first_year: int = 2020
     cohort_last_year: int = 2026
+    week_span: Window | None = None
 
     def __post_init__(self) -> None:
         if (self.quarter_start is None) != (self.quarter_end is None):
@@ -96,7 +98,7 @@ class ReportParams:
 
     @property
     def weeks(self) -> Window:
-        return last_two_full_weeks(self.as_of)
+        return self.week_span or last_two_full_weeks(self.as_of)
 
     @property
     def ytd(self) -> Window:

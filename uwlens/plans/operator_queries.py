@@ -4,6 +4,8 @@ oracle in ``oracle_sql.py``).  The scorecard's intermediate steps are exposed th
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,7 @@ from ..params import ReportParams
 from ..sources.catalog import TABLE_NAMES, Tables, load_tables
 from ..sources.snapshots import publish_tables
 from . import scorecard as SC
+from .backfill import weekly_backfill
 from .common import (agencies, agency_scalar_lookup, live_quotes, live_submissions, quotes_with_type,
                      resolved_agency_id, sort_for_output, types_where, users)
 from .reports import _email_keys, active_building_businesses, agency_code_number, agency_id_from_text
@@ -70,6 +73,11 @@ def proj_alias_const(t: Tables, p: ReportParams) -> DataFrame:
                     F.col("policy_number"), (F.col("quote_id") * 10).alias("quote_id_x10"))
 
 
+def kpi1_backfill(t: Tables, p: ReportParams) -> DataFrame:
+    """KPI 1 for the 52 weekly as-of dates up to the parameter's, in one run."""
+    return weekly_backfill(t, p, "rpt_kpi1_submission_to_quote", [p.as_of - timedelta(weeks=n) for n in range(52)])
+
+
 # ---------------------------------------------------------------- filters
 
 def flt_soft_delete_lenient(t: Tables, p: ReportParams) -> DataFrame:
@@ -475,7 +483,7 @@ def sc_problem_type(t: Tables, p: ReportParams) -> DataFrame:
 
 
 OPERATOR_QUERIES = {f.__name__: f for f in [
-    src_scan, param_windows, proj_alias_const,
+    src_scan, param_windows, proj_alias_const, kpi1_backfill,
     flt_soft_delete_lenient, flt_soft_delete_strict, flt_in_like_3vl, flt_not_in_null, flt_doc_name_like,
     flt_halfopen_window, flt_closed_window, flt_nonblank, flt_premium_threshold, fn_parse_money,
     join_inner_dims, join_left_lookup, join_left_filter_on, join_left_to_inner, join_coalesce_key,

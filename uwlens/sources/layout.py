@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from .catalog import TABLE_NAMES, Tables
+from .normalize import normalized
 
 # table -> bucket columns (all quote-grained tables share quote_id, document tables file_id)
 BUCKETING: dict[str, tuple[str, ...]] = {
@@ -28,11 +29,14 @@ BUCKETING: dict[str, tuple[str, ...]] = {
 }
 
 
-def save_bucketed(tables: Tables, database: str, root: str, num_buckets: int) -> None:
+def save_bucketed(tables: Tables, database: str, root: str, num_buckets: int, ignore_case: bool = False) -> None:
     """Save every table as an external catalog table under ``root`` (large ones bucketed).
 
     ``num_buckets`` should put a few hundred MB in a bucket file at the target size and be the
-    same for every bucketed table, so joins between them need no shuffle."""
+    same for every bucketed table, so joins between them need no shuffle.  ``ignore_case`` stores compared
+    texts in the reports' spelling (``normalize``)."""
+    if ignore_case:
+        tables = normalized(tables)
     spark = tables.bms_quote_mst.sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}'")
     for name in TABLE_NAMES:

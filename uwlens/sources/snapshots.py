@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .catalog import TABLE_NAMES, Tables, check_schema
+from .normalize import normalized
 
 
 class SnapshotError(RuntimeError):
@@ -103,8 +104,11 @@ def snapshot(spark: SparkSession, root: str, as_of: date) -> dict[str, DataFrame
     return out
 
 
-def publish_tables(tables: Tables, root: str, as_of: date) -> dict:
-    """The 20 operational tables as the snapshot of ``as_of``."""
+def publish_tables(tables: Tables, root: str, as_of: date, ignore_case: bool = False) -> dict:
+    """The 20 operational tables as the snapshot of ``as_of``; with ``ignore_case`` compared texts are stored in
+    the reports' spelling, without trailing blanks (``normalize``)."""
+    if ignore_case:
+        tables = normalized(tables)
     return publish({n: getattr(tables, n) for n in TABLE_NAMES}, root, as_of)
 
 
