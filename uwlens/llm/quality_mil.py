@@ -34,7 +34,7 @@ from .labelled import labelled_rows
 
 PASSAGE = 512
 SAMPLE_DOCS = 8000
-SAMPLE_BYTES = 48 << 20
+SAMPLE_BYTES = 16 << 20
 HIDDEN, ATTENTION = 24, 12
 EPOCHS, BATCH, RATE = 12, 64, 0.01
 MIN_STEPS = 1200
@@ -162,10 +162,10 @@ def train_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, label_
     many bytes as its features, so this bounds what the driver holds); ``learn_from`` is a condition on doc_id."""
     text_batches(docs.sparkSession)
     sample = labelled_rows(docs, labels, label_col, learn_from, sample_docs, sample_bytes, id_col, text_col)
-    rows = sample.select("doc_id", "label", _training_bag(F.col("text")).alias("bag")).collect()
-    rows.sort(key=lambda r: (str(r["doc_id"]), bytes(r["bag"])))
-    bags = [np.frombuffer(r["bag"], np.float16).reshape(-1, FEATURES).astype(np.float32) for r in rows]
-    return fit(bags, np.array([r["label"] for r in rows]))
+    sample = sample.select("doc_id", "label", _training_bag(F.col("text")).alias("bag"))
+    rows = sorted(((str(r["doc_id"]), bytes(r["bag"]), r["label"]) for r in sample.toLocalIterator()), key=lambda r: r[:2])
+    bags = [np.frombuffer(bag, np.float16).reshape(-1, FEATURES) for _, bag, _ in rows]
+    return fit(bags, np.array([label for *_, label in rows]))
 
 
 def quality_score(text: Column, model: GatedAttention) -> Column:
