@@ -120,3 +120,30 @@ def test_licenses_awkward_and_empty(spark):
 def test_license_plan_has_no_python_and_no_shuffle(spark):
     plan = license_rules.scan_licenses(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_the_sql_has_its_own_rules_and_all_three_cuts(spark):
+    import duckdb
+    import pandas as pd
+
+    from uwlens.llm import oracle
+    forms = [MIT, APACHE, "Released under the MIT License.", "x", "", None, "This work is licensed under\n\nthe GNU General Public License, version 3.",
+             "Licensed under the MIT License.\n\n\nLicensed under the Apache License,\nVersion 2.0.", MIT.replace("\n", "\r\n")]
+    forms += ["".join(f"# {line}".rstrip() + "\n" for line in t.splitlines()) for t in (MIT, APACHE)]
+    forms += [" ".join(n.split()) for _, n in license_rules.NOTICES]
+    docs = documents(spark, [(i, t, "s") for i, t in enumerate(forms)])
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame({"doc_id": range(len(forms)), "text": pd.Series(forms, dtype=object)}))
+    con.execute("CREATE VIEW documents AS SELECT doc_id, text FROM given")
+    want = {r[0]: tuple(r[1:]) for r in con.execute(oracle.all_sql()["op9_license_rules"]).fetchall()}
+    got = {r.doc_id: (r.n_sentences, ",".join(r.sentence_ids), ",".join(r.licenses)) for r in license_rules.scan_licenses(docs).collect()}
+    assert got == want and got[0][2] == "MIT" and got[1][2] == "Apache-2.0"
+    assert "from .license_rules" not in open(oracle.__file__).read()
+
+
+def test_short_values_of_the_base_words_are_weak_parts(spark):
+    for text, kinds in (("user: bob password: abcd", ["weak_id", "weak_secret"]), ("login=bob token=ab12x", ["weak_id", "weak_secret"]),
+                        ("host: db.example.com secret=abc12", ["endpoint", "weak_secret"]), ("user: bob api_key = 12345", ["weak_id", "weak_secret"]),
+                        ("password: abcd", []), ("token: ab", [])):
+        base = secret_scan.base_spans(text)
+        assert base == [] and [s[2] for s in secret_scan.link_parts(text, base, secret_scan.weak_parts(text, base))] == kinds, text

@@ -7,7 +7,88 @@ held-out labels.
 
 from __future__ import annotations
 
-from .license_rules import NOTICES, SENTENCE_IDS, sentences
+#: The oracle's own copy of the fixed values: licences and the normalised sentences of their rules, in order.
+_RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("MIT", (
+        "released under the mit license",
+    )),
+    ("MIT", (
+        "licensed under the mit license",
+    )),
+    ("MIT", (
+        "this project is licensed under the mit license",
+    )),
+    ("MIT", (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+        "documentation files the software to deal in the software without restriction including without limitation the "
+        "rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of"
+        " the software",
+    )),
+    ("Apache-2.0", (
+        "licensed under the apache license version 2 0",
+    )),
+    ("Apache-2.0", (
+        "licensed under the apache license version 2 0 the license",
+        "you may not use this file except in compliance with the license",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed "
+        "on an as is basis without warranties or conditions of any kind either express or implied",
+        "see the license for the specific language governing permissions and limitations under the license",
+    )),
+    ("GPL-3.0", (
+        "this work is licensed under the gnu general public license version 3",
+    )),
+    ("GPL-3.0-or-later", (
+        "this program is free software",
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
+        "free software foundation either version 3 of the license or at your option any later version",
+    )),
+    ("GPL-2.0-or-later", (
+        "this program is free software",
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the "
+        "free software foundation",
+        "either version 2 of the license or at your option any later version",
+    )),
+    ("BSD-2-Clause", (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+        "following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following "
+        "disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+        "following disclaimer in the documentation and or other materials provided with the distribution",
+    )),
+    ("BSD-3-Clause", (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+        "following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following "
+        "disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+        "following disclaimer in the documentation and or other materials provided with the distribution",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission",
+    )),
+    ("ISC", (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+        "granted provided that the above copyright notice and this permission notice appear in all copies",
+    )),
+    ("Unlicense", (
+        "this is free and unencumbered software released into the public domain",
+    )),
+    ("CC-BY-4.0", (
+        "this work is licensed under a creative commons attribution 4 0 international license",
+    )),
+    ("CC-BY-SA-4.0", (
+        "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+    )),
+    ("CC-BY-NC-4.0", (
+        "licensed under cc by nc 4 0",
+    )),
+    ("CC0-1.0", (
+        "to the extent possible under law the author has waived all copyright and related or neighboring rights to this "
+        "work",
+    )),
+)
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -93,33 +174,44 @@ SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken
 
 
 def _op9() -> str:
-    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCE_IDS.items())
-    rules = []
-    for name, notice in NOTICES:
-        ids = [SENTENCE_IDS[s] for s in sentences(notice)]
-        larger = [more for other, text in NOTICES if (more := [SENTENCE_IDS[s] for s in sentences(text)]) != ids
-                  and other != name and ",".join(ids) in ",".join(more)]
-        rules.append((name, "%" + "%".join(f"|{i}|" for i in ids) + "%", ["%" + "%".join(f"|{i}|" for i in m) + "%" for m in larger]))
-
-    def hit(pattern: str) -> str:
-        return f"(line_seq LIKE '{pattern}' OR mark_seq LIKE '{pattern}')"
-
-    cases = ", ".join(f"CASE WHEN {' AND NOT '.join([hit(p), *map(hit, larger)])} THEN '{name}' END" for name, p, larger in rules)
+    ids: dict[str, str] = {}
+    for _, rule in _RULES:
+        for sentence in rule:
+            ids.setdefault(sentence, f"S{len(ids) + 1}")
+    known = ", ".join(f"('{sentence}', '{i}')" for sentence, i in ids.items())
+    listed = [(name, [ids[x] for x in rule]) for name, rule in _RULES]
+
+    def holds(rule: list[str]) -> str:
+        pattern = "%" + "%".join(f"|{i}|" for i in rule) + "%"
+        return "(" + " OR ".join(f"{how} LIKE '{pattern}'" for how in ("line_seq", "mark_seq", "block_seq")) + ")"
+
+    def within(short: list[str], long: list[str]) -> bool:
+        at = 0
+        for x in long:
+            at += at < len(short) and x == short[at]
+        return at == len(short) and len(long) > len(short)
+
+    cases = ", ".join(f"CASE WHEN {' AND NOT '.join([holds(rule), *(holds(more) for _, more in listed if within(rule, more))])} THEN '{name}' END"
+                      for name, rule in listed)
+    sequence = "coalesce(array_to_string(list_transform({how}, lambda x: '|' || x || '|'), ''), '') AS {how}_seq"
     return rf"""
-WITH m AS (SELECT doc_id, regexp_replace(regexp_replace({_LOWER}, '[.!?;:]+([\x09-\x0D\x20]|$)', chr(1) || '\1', 'g'),
-                                         '[^a-z0-9\x01\n]+', ' ', 'g') AS t FROM documents),
-cut AS (SELECT doc_id, 'line' AS how, string_split(replace(t, chr(1), chr(10)), chr(10)) AS parts FROM m
-        UNION ALL SELECT doc_id, 'mark', string_split(regexp_replace(t, '[ \n]+', ' ', 'g'), chr(1)) FROM m),
+WITH m AS (SELECT row_number() OVER () AS row_no, doc_id,
+                  regexp_replace(regexp_replace({_LOWER}, '[.!?;:]+([\x09-\x0D\x20]|$)', chr(1) || '\1', 'g'), '[^a-z0-9\x01\n]+', ' ', 'g') AS t
+           FROM documents),
+cut AS (SELECT row_no, 'line' AS how, string_split(replace(t, chr(1), chr(10)), chr(10)) AS parts FROM m
+        UNION ALL SELECT row_no, 'mark', string_split(regexp_replace(t, '[ \n]+', ' ', 'g'), chr(1)) FROM m
+        UNION ALL SELECT row_no, 'block', string_split(regexp_replace(regexp_replace(t, '\n([ \x01]*\n)+', chr(1), 'g'), '[ \n]+', ' ', 'g'), chr(1)) FROM m),
 known(sentence, id) AS (VALUES {known}),
-s AS (SELECT doc_id, how, trim(unnest(parts)) AS sentence, generate_subscripts(parts, 1) AS spot FROM cut),
-seq AS (SELECT doc_id, how, list(id ORDER BY spot) FILTER (id IS NOT NULL) AS ids, count(*) FILTER (sentence <> '') AS n
-        FROM s LEFT JOIN known USING (sentence) GROUP BY doc_id, how),
-both_cuts AS (SELECT l.doc_id, l.n, CASE WHEN coalesce(len(k.ids), 0) > coalesce(len(l.ids), 0) THEN k.ids ELSE l.ids END AS ids,
-              coalesce(array_to_string(list_transform(l.ids, lambda x: '|' || x || '|'), ''), '') AS line_seq,
-              coalesce(array_to_string(list_transform(k.ids, lambda x: '|' || x || '|'), ''), '') AS mark_seq
-       FROM seq l JOIN seq k ON l.doc_id = k.doc_id AND l.how = 'line' AND k.how = 'mark')
-SELECT doc_id, n AS n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
-       coalesce(array_to_string(list_sort(list_distinct(list_filter([{cases}], lambda x: x IS NOT NULL))), ','), '') AS licenses FROM both_cuts"""
+s AS (SELECT row_no, how, trim(unnest(parts)) AS sentence, generate_subscripts(parts, 1) AS spot FROM cut),
+seq AS (SELECT row_no, how, coalesce(list(id ORDER BY spot) FILTER (id IS NOT NULL), []) AS ids, count(*) FILTER (sentence <> '') AS n
+        FROM s LEFT JOIN known USING (sentence) GROUP BY row_no, how),
+wide AS (SELECT row_no, max(n) FILTER (how = 'line') AS n, any_value(ids) FILTER (how = 'line') AS line,
+                any_value(ids) FILTER (how = 'mark') AS mark, any_value(ids) FILTER (how = 'block') AS block FROM seq GROUP BY row_no),
+best AS (SELECT row_no, n, CASE greatest(len(line), len(mark), len(block)) WHEN len(line) THEN line WHEN len(mark) THEN mark ELSE block END AS ids,
+                {sequence.format(how="line")}, {sequence.format(how="mark")}, {sequence.format(how="block")} FROM wide)
+SELECT doc_id, n AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
+       coalesce(array_to_string(list_sort(list_distinct(list_filter([{cases}], lambda x: x IS NOT NULL))), ','), '') AS licenses
+FROM m JOIN best USING (row_no)"""
 
 
 def _op12() -> str:
