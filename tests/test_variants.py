@@ -114,12 +114,14 @@ def _report_names():
 def _compare(spark, root, name, check):
     import oracle_sql as O
     from __spark_entry__ import fixture_params, normalize
-    from uwlens.plans import REPORTS
+    from uwlens.operators.ordering import with_position
+    from uwlens.plans import REPORTS, SORTED_REPORTS
     from uwlens.sources.catalog import TABLE_NAMES, load_tables
 
     t = load_tables(spark, root)
     check(t)
-    sdf = normalize(REPORTS[name](t, fixture_params()))
+    out = REPORTS[name](t, fixture_params())
+    sdf = normalize(with_position(out) if name in SORTED_REPORTS else out)
     con = duckdb.connect()
     for n in TABLE_NAMES:
         con.execute(f"CREATE VIEW {n} AS SELECT * FROM read_parquet('{root}/{n}/*.parquet')")

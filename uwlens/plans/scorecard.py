@@ -209,7 +209,7 @@ def _d6(c: Column) -> Column:
 
 
 def _decline_factor() -> Column:
-    x = _n("1.0") - _d6(F.col("declines")) / F.nullif(_d6(F.col("submissions_quoted")) + _n("10.0"), F.lit(0))
+    x = _n("1.0") - _d6(F.col("declines")) / F.nullif(_d6(F.col("submissions_quoted")) + _n(f"{V.DECLINE_SMOOTHING}.0"), F.lit(0))
     return F.when(x < _n("0.0"), _n("0.0")).otherwise(x)
 
 
@@ -220,7 +220,7 @@ def _throughput_capped() -> Column:
 
 def _volume_ramp() -> Column:
     c = _d6(F.col("submissions_created"))
-    return c / F.nullif(c + _n("15.0"), F.lit(0))
+    return c / F.nullif(c + _n(f"{V.VOLUME_RAMP}.0"), F.lit(0))
 
 
 def _cohort_share() -> Column:
@@ -232,12 +232,12 @@ def _speed() -> Column:
     avg = _d6(F.col("sum_days_to_bind")) / F.nullif(_d6(F.col("cnt_days_to_bind")), F.lit(0))
     # an average of -10 days would divide by zero; the score is then unknown (NULL)
     return F.when(F.col("cnt_days_to_bind") == 0, _n("0.0")).otherwise(
-        F.try_divide(_n("1.0"), _n("1.0") + avg / _n("10.0")))
+        F.try_divide(_n("1.0"), _n("1.0") + avg / _n(f"{V.SPEED_SCALE_DAYS}.0")))
 
 
 def _volume_factor() -> Column:
     a = F.col("submissions_activity")
-    return F.when(a >= 20, _n("1.0")).when(a <= 0, _n("0.0")).otherwise(_d6(a) / _n("20.0"))
+    return F.when(a >= V.CREDIBILITY_FULL, _n("1.0")).when(a <= 0, _n("0.0")).otherwise(_d6(a) / _n(f"{V.CREDIBILITY_FULL}.0"))
 
 
 def scores(df: DataFrame) -> DataFrame:
@@ -245,9 +245,9 @@ def scores(df: DataFrame) -> DataFrame:
     dollars = F.col("bound_premium") + F.col("bound_fees")
     created0 = F.col("submissions_created") == 0
     mvs = F.when(created0, None).otherwise(
-        dollars * _throughput_capped() * _decline_factor() * _volume_ramp() / _n("1000.0"))
+        dollars * _throughput_capped() * _decline_factor() * _volume_ramp() / _n(f"{V.MVS_DIVISOR}.0"))
     momentum = F.when(created0, None).otherwise(
-        dollars * _throughput_capped() * _cohort_share() * _decline_factor() * _volume_ramp() / _n("1000.0"))
+        dollars * _throughput_capped() * _cohort_share() * _decline_factor() * _volume_ramp() / _n(f"{V.MVS_DIVISOR}.0"))
     ops = (F.when(F.col("submissions_activity") == 0, None).when(F.col("quotes_started") == 0, None).otherwise(
         _n("100.0")
         * (_d6(F.col("submissions_quoted")) / F.nullif(_d6(F.col("submissions_activity")), F.lit(0)))
