@@ -134,3 +134,18 @@ def test_components_of_a_long_chain_and_a_star(spark):
     roots = components(spark.createDataFrame(edges, "a bigint, b bigint"), Scratch(spark, "test-cc"))
     got = {r.node: r.root for r in roots.collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 601)}}
+
+
+def test_one_text_per_node_however_often_its_row_repeats(spark):
+    from pyspark.sql import functions as F
+
+    from uwlens.llm.common import text_bytes
+    base = [f"w{n}" for n in range(120)]
+    rows = [(1, " ".join(base), "s")] * 200 + [(None, " ".join(base[1:]), "s")] * 50 + [(i, " ".join(base[:100 + i % 20]), "s") for i in range(2, 30)]
+    docs = documents(spark, rows)
+    texts = docs.select(near_dedup._row_key(F.col("doc_id"), F.col("text")).alias("row_key"), text_bytes(F.col("text")).alias("text"))
+    nodes = near_dedup.signed_documents(docs, "doc_id", "text").groupBy("node").agg(F.min("row_key").alias("row_key"))
+    found = near_dedup._texts_of(nodes.select("node"), nodes, texts, Scratch(spark, "texts"), "t").collect()
+    assert len(found) == nodes.count() == len({bytes(r.node) for r in found})
+    got = near_dedup.near_duplicates(docs).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {1}

@@ -125,3 +125,20 @@ def test_reseat_mean_matches_exact_seating():
 
 def test_language_model_empty(spark):
     assert pitman_yor.score_documents(empty(spark), F.lit(False)).count() == 0
+
+
+def test_sample_is_bounded_by_texts_and_bytes_when_one_id_has_a_third_of_the_rows(spark):
+    from uwlens.llm.labelled import labelled_rows
+    rows = [(5, "the same text", "s")] * 400 + [(5, f"another text {i}", "s") for i in range(40)] + [(i, f"text of {i} " * 9, "s") for i in range(10, 800)]
+    rows += [(900, "long " * 5000, "s"), (901, None, "s")]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in {r[0] for r in rows}] + [(5, 0), (None, 1), (7777, 1)], "doc_id bigint, quality int")
+    every = labelled_rows(docs, labels, "quality", F.lit(True), 5000, 1 << 20).collect()
+    assert len(every) == len({(i, t) for i, t, _ in rows}) and {r.label for r in every if r.doc_id == 5} == {1.0}
+    for most, size in ((30, 1 << 20), (5000, 4000)):
+        got = labelled_rows(docs, labels, "quality", F.lit(True), most, size).collect()
+        assert 0 < len(got) <= most and sum(len((r.text or "").encode()) for r in got) <= size
+        assert len({(r.doc_id, r.text) for r in got}) == len(got) and {(r.doc_id, r.text) for r in got} <= {(i, t) for i, t, _ in rows}
+        again = labelled_rows(docs, labels, "quality", F.lit(True), most, size).collect()
+        assert sorted(map(str, got)) == sorted(map(str, again))
+    assert labelled_rows(empty(spark), labels, "quality", F.lit(True), 10, 100).count() == 0
