@@ -163,7 +163,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, label_
     text_batches(docs.sparkSession)
     sample = labelled_rows(docs, labels, label_col, learn_from, sample_docs, sample_bytes, id_col, text_col)
     sample = sample.select("doc_id", "label", _training_bag(F.col("text")).alias("bag"))
-    rows = sorted(((str(r["doc_id"]), bytes(r["bag"]), r["label"]) for r in sample.toLocalIterator()), key=lambda r: r[:2])
+    rows = sorted(((str(r["doc_id"]), bytes(r["bag"]), r["label"]) for r in sample.collect()), key=lambda r: r[:2])
     bags = [np.frombuffer(bag, np.float16).reshape(-1, FEATURES) for _, bag, _ in rows]
     return fit(bags, np.array([label for *_, label in rows]))
 
