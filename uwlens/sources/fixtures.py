@@ -16,6 +16,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.lineage import bytes_of
+from ..session import deal_by_size
 from .catalog import Tables, TABLE_NAMES, read_table
 
 # Source tables of the driver's test data that the mapping reads.
@@ -140,9 +142,11 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Build all 20 operational tables lazily from the raw test tables under ``sf_dir``.
 
     Each table is one Spark SQL statement over DataFrame parameters, so no session-global view is
-    created and Catalyst prunes every derivation down to the columns a report reads.
+    created and Catalyst prunes every derivation down to the columns a report reads.  The session's shuffles
+    get partitions in proportion to the source files (``session.deal_by_size``).
     """
     src = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in SOURCE_TABLES}
+    deal_by_size(spark, sum(bytes_of(df) for df in src.values()))
     frames: dict[str, DataFrame] = {}
     for name, sql in FIXTURE_SQL.items():
         used = {n: src[n] for n in SOURCE_TABLES if re.search(rf"\b{n}\b", sql)}
