@@ -36,6 +36,7 @@ from .common import SPACES, text_batches, text_bytes, whole_text
 LEAST_WORDS = 6
 LEAST_TURNS = 4
 DIRECT = 16
+BATCH_ROWS, BATCH_BYTES = 250, 1 << 20  # a text is many times its size while its runs are found
 _RUN = "struct<start: bigint, length: bigint, period: bigint>"
 _U64 = np.uint64
 
@@ -191,7 +192,7 @@ def _detect(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def periodic_runs(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` plus n_words, runs (array of start, length, period by start and period) and collapsed (the text
     without repetitions, words joined by one space)."""
-    text_batches(docs.sparkSession)
+    text_batches(docs.sparkSession, BATCH_ROWS, BATCH_BYTES)
     detect = F.pandas_udf(_detect, f"n_words bigint, runs array<{_RUN}>, collapsed string")
     kept = [c for c in docs.columns if c.lower() not in ("n_words", "runs", "collapsed")]
     found = docs.select(*[F.col(f"`{c}`") for c in kept], detect(text_bytes(F.col(f"`{text_col}`"))).alias("found_runs"))
