@@ -77,6 +77,23 @@ def test_every_date_form_of_the_source(spark):
     assert got == {x: want and date(*want) for x, want in DATE_TEXTS.items()}
 
 
+def test_a_date_text_is_matched_against_one_pattern(spark, capsys):
+    df = spark.createDataFrame([("2026-01-05\n",), ("2026-01-05\n\n",), ("#2026#1#5",), ("2026#1#5",)], "x string").select(D.try_date("x").alias("d"))
+    assert [r.d for r in df.collect()] == [date(2026, 1, 5), None, None, None]
+    capsys.readouterr()
+    df.explain("extended")
+    plan = capsys.readouterr().out.partition("Optimized Logical Plan")[2].partition("Physical Plan")[0].lower()
+    assert plan.count("regexp_replace") <= 2 and "regexp_extract" not in plan and "rlike" not in plan
+
+
+def test_agency_ids_from_text(spark):
+    from uwlens.plans.reports import agency_id_from_text
+    texts = {"12": 12, " 12 ": 12, "-7": -7, "+7": 7, "": None, " ": None, "n/a": None, "2001-06-15": None, "12.5": None, "1e3": None,
+             "99999999999": None, "12\n": 12, "1 2": None, "x1": None}
+    got = {r.x: r.n for r in spark.createDataFrame([(x,) for x in texts], "x string").select("x", agency_id_from_text("x").alias("n")).collect()}
+    assert got == texts
+
+
 @pytest.mark.parametrize("text,want", [
     ("$1,234.50", Decimal("1234.50")), ("1234.5", Decimal("1234.50")), (" 12.345 ", Decimal("12.35")),
     ("1e3", None), ("abc", None), ("", None), (None, None), ("-5", Decimal("-5.00")), (".5", Decimal("0.50")),

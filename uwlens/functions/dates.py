@@ -52,29 +52,40 @@ def text_date(c: ColumnLike) -> Column:
 
     Numbers with ``-``, ``/`` or ``.`` between them, year first or last; eight or six digits, year first; a year
     alone; month names before or after the day; two-digit years from 1950 to 2049; each with or without a time of
-    day.  The form is chosen by pattern, so each text is read one way only.  Impossible dates and any other text
+    day.  One pattern of all forms chooses the form, so each text is read once and one way only.  Impossible dates and any other text
     give NULL, as do empty and blank texts."""
     text = F.lower(F.trim(_c(c).cast(T.StringType())))
     timed = text.contains(":") | text.endswith("m")
     dated = F.when(~timed, text).otherwise(F.regexp_replace(text, r"^(.*[0-9a-z])(?:\s+|(?<=[0-9])t)(?:" + _TIME + ")" + _ZONE + "$", "$1"))
-    # the forms refer to the text many times: as a lambda's argument it is computed once and stays a small plan
-    return F.element_at(F.transform(F.array(dated), _by_form), 1)
+    # the parts are read several times: as a lambda's argument they are computed once and stay a small plan
+    parts = F.split(F.regexp_replace(dated, _ANY_FORM, _PARTS), "#")
+    return F.element_at(F.transform(F.array(parts), _of_parts), 1)
 
 
-def _by_form(text: Column) -> Column:
+def _any_form() -> tuple[str, str]:
+    """One pattern of all forms, the first that fits, and what puts "year#month#day" in a text's place ("##" where none
+    fits, "" for a part the form has not).  A line end after the date is read over, as "$" does."""
+    forms, parts, groups = [], ([], [], []), 0
+    for pattern, numbers in _FORMS:
+        forms.append(pattern)
+        for part, n in zip(parts, numbers, strict=True):
+            if n:
+                part.append(f"${groups + n}")
+        groups += max(numbers)
+    return rf"(?s)^(?:(?:{'|'.join(forms)})(?:\r\n|[\n\r\u0085\u2028\u2029])?|.*)\z", "#".join("".join(x) for x in parts)
+
+
+_ANY_FORM, _PARTS = _any_form()
+
+
+def _of_parts(parts: Column) -> Column:
+    year, month, day_ = (F.element_at(parts, n) for n in (1, 2, 3))
+    year = F.when(F.length(year) == 2, F.concat(F.when(year <= f"{_YEAR_CUTOFF:02d}", "20").otherwise("19"), year)).when(
+        ~year.isin("", "0000"), year)
     names = F.create_map(*[F.lit(x) for n, m in enumerate(_MONTHS, 1) for k in dict.fromkeys((m, m[:3])) for x in (k, str(n))])
-    parsed = None
-    for pattern, (y, m, d) in _FORMS:
-        whole = f"^{pattern}$"
-        part = lambda n, whole=whole: F.regexp_extract(text, whole, n) if n else F.lit("1")
-        year = part(y)
-        year = F.when(F.length(year) == 2, F.concat(F.when(year <= f"{_YEAR_CUTOFF:02d}", "20").otherwise("19"), year)).otherwise(year)
-        month = F.coalesce(F.try_element_at(names, part(m)), part(m))
-        when = text.rlike(whole)
-        value = F.concat(F.nullif(year, F.lit("0000")), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(part(d), 2, "0"))
-        parsed = F.when(when, value) if parsed is None else parsed.when(when, value)
-    # "march" padded to two letters is no month: the cast gives NULL
-    return parsed.try_cast(T.DateType())
+    month = F.when(month == "", "1").when(month < "a", month).otherwise(F.try_element_at(names, month))
+    # no form, no such month or no such day: the cast gives NULL
+    return F.concat(year, F.lit("-"), month, F.lit("-"), F.when(day_ == "", "1").otherwise(day_)).try_cast(T.DateType())
 
 
 def try_date(c: ColumnLike, dtype: T.DataType | None = None) -> Column:
