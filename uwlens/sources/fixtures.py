@@ -15,8 +15,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.lineage import bytes_of
+from ..operators.lineage import bytes_of, materialized
 from ..session import deal_by_size
 from .catalog import Tables, TABLE_NAMES, read_table
 
@@ -138,19 +139,33 @@ def fixture_cte(names: list[str] | tuple[str, ...]) -> str:
     return "WITH " + ",\n".join(parts)
 
 
-def derive_tables(spark: SparkSession, sf_dir: str) -> Tables:
+#: The join below every table of a line's grain.
+_LINES = "lineitem JOIN orders ON o_orderkey = l_orderkey"
+
+
+def _line_rows(src: dict[str, DataFrame]) -> DataFrame:
+    """``_LINES`` joined once and staged, with the columns that some table is made from."""
+    text = " ".join(FIXTURE_SQL.values())
+    lines, orders = ([c for c in src[n].columns if re.search(rf"\b{c}\b", text)] for n in ("lineitem", "orders"))
+    return materialized(src["lineitem"].select(*lines).join(src["orders"].select(*orders), F.expr("o_orderkey = l_orderkey")))
+
+
+def derive_tables(spark: SparkSession, sf_dir: str, lines_once: bool = False) -> Tables:
     """Build all 20 operational tables lazily from the raw test tables under ``sf_dir``.
 
     Each table is one Spark SQL statement over DataFrame parameters, so no session-global view is
     created and Catalyst prunes every derivation down to the columns a report reads.  The session's shuffles
-    get partitions in proportion to the source files (``session.deal_by_size``).
+    get partitions in proportion to the source files (``session.deal_by_size``).  With ``lines_once`` the join of
+    lines and orders, below most of the tables, is written once and read by each: for queries that read many of
+    the tables, which would shuffle both sides again for each.
     """
     src = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in SOURCE_TABLES}
     deal_by_size(spark, sum(bytes_of(df) for df in src.values()))
+    given = src | ({"line_rows": _line_rows(src)} if lines_once else {})
     frames: dict[str, DataFrame] = {}
     for name, sql in FIXTURE_SQL.items():
-        used = {n: src[n] for n in SOURCE_TABLES if re.search(rf"\b{n}\b", sql)}
-        frames[name] = spark.sql(_spark_text(sql), **used)
+        text = _spark_text(sql.replace(_LINES, "{line_rows}") if lines_once else sql)
+        frames[name] = spark.sql(text, **{n: df for n, df in given.items() if f"{{{n}}}" in text})
     return Tables(**frames)
 
 
