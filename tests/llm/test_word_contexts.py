@@ -1,6 +1,7 @@
 """The language model's restaurants are those of whole preceding tokens."""
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -109,3 +110,45 @@ def test_probabilities_are_those_of_a_plain_sampler(spark):
         own = next(s for s in samples if names[t] in s.part.words)
         log_p, _ = own.entries(np.array([names[t]]), np.array([1]), np.array([names[u]]))
         assert 10 ** log_p[0] == pytest.approx(p, abs=0.06), (u, t)
+
+
+def test_every_part_has_a_partition_of_its_own(spark):
+    """A hash of the part's number would put several parts in one task and none in others."""
+    rows = documents(spark, [(i, f"w{i} v{i % 7} u{i % 31}", "s") for i in range(300)]).select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.lit(False).alias("held_out"))
+    table, _ = pitman_yor.fit(rows, pitman_yor.Scratch(spark, "test-py"), 12)
+    files = table.groupBy(F.input_file_name().alias("file")).agg(F.count("part").alias("n")).where("n > 0").collect()
+    assert len(files) == 12 and {r.n for r in files} == {1}
+
+
+def test_workers_of_the_language_model_give_memory_back(spark):
+    """After arrays of 64 MiB in all are freed, a worker holds little more than before."""
+    names = ("MALLOC_MMAP_THRESHOLD_", "MALLOC_TRIM_THRESHOLD_", "ARROW_DEFAULT_MEMORY_POOL")
+    environment = spark.sparkContext.environment
+    before = {n: environment.pop(n, None) for n in names}
+    try:
+        environment[names[2]] = "mimalloc"  # a value that was given stays
+        pitman_yor.score_documents(documents(spark, [(1, "a b", "s")]), F.lit(False))
+
+        def kept(batches):
+            import os
+
+            def resident() -> int:
+                with open("/proc/self/statm") as f:
+                    return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+            for _ in batches:
+                np.ones(3 << 20)  # freed at once: glibc would now raise its threshold to this size
+                was = resident()
+                arrays = [np.ones(1 << 20) for _ in range(8)]
+                last = np.ones(1 << 20)
+                del arrays
+                yield pd.DataFrame({"kept": [resident() - was - last.nbytes], "given": [os.environ[names[2]]]})
+
+        got = spark.range(1, numPartitions=1).mapInPandas(kept, "kept bigint, given string").first()
+    finally:
+        for n, v in before.items():
+            environment.pop(n, None)
+            if v is not None:
+                environment[n] = v
+    assert got.kept < 8 << 20 and got.given == "mimalloc"

@@ -41,7 +41,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, pick, text_batches, text_bytes
+from .common import Scratch, freed_at_once, partitions, pick, text_batches, text_bytes
 
 SWEEPS, BURN_IN = 3, 1
 CONCENTRATION = 1.0
@@ -223,7 +223,7 @@ def _summed_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part = p
             pieces.append(tuple(_unpack(body, np.uint64, np.uint32, np.uint64, np.uint32, np.uint32)))
             size += len(pieces[-1][3])
-            if size > 4 * max(1 << 20, len(pieces[0][3])):
+            if size > 2 * max(1 << 19, len(pieces[0][3])):
                 pieces = [add_up()]
                 size = len(pieces[0][3])
     if part is not None:
@@ -451,7 +451,7 @@ def fit(docs: DataFrame, scratch: Scratch, parts: int) -> tuple[DataFrame, Model
     """The parts' table (one row each) and the model, from rows (doc_id, text, held_out)."""
     spark = docs.sparkSession
     counted = docs.mapInPandas(_training_counts(parts), _PACKED)
-    dealt = counted.repartition(parts, "part").sortWithinPartitions("part")
+    dealt = counted.repartitionById(parts, "part").sortWithinPartitions("part")
     table = scratch.save_only(dealt.mapInPandas(_summed_parts, _PACKED), "parts0")
     names = ["tokens", "words", *[f"{n}{level}" for level in range(2) for n in ("one", "two")]]
     facts = (table.mapInPandas(_count_statistics, ", ".join(f"{n} bigint" for n in names))
@@ -461,11 +461,11 @@ def fit(docs: DataFrame, scratch: Scratch, parts: int) -> tuple[DataFrame, Model
     shared = ", ".join(f"{n} bigint" for n in _SHARED)
     for number in range(1, SWEEPS + 2):
         questions = table.mapInPandas(_questions(parts), f"part int, source int, body binary, {shared}")
-        answers = scratch.save_only(questions.repartition(parts, "part").sortWithinPartitions("part", "source")
+        answers = scratch.save_only(questions.repartitionById(parts, "part").sortWithinPartitions("part", "source")
                                .mapInPandas(_answers, f"{_PACKED}, {shared}"), f"totals{number}")
         totals = answers.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _SHARED]).first().asDict()
         model = Model(discounts, model.tokens, model.vocabulary, [*model.totals, totals], model.frequent)
-        told = table.unionByName(answers.drop(*_SHARED)).repartition(parts, "part").sortWithinPartitions("part", "kind")
+        told = table.unionByName(answers.drop(*_SHARED)).repartitionById(parts, "part").sortWithinPartitions("part", "kind")
         table = scratch.save_only(told.mapInPandas(_next_seatings(spark.sparkContext.broadcast(model), number, parts), _PACKED), f"parts{number}")
         scratch.drop(f"totals{number}")
         scratch.drop(f"parts{number - 1}")
@@ -617,6 +617,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     perplexity.  The model learns from the rows where ``held_out`` (a condition on doc_id) is false."""
     spark = docs.sparkSession
     text_batches(spark)
+    freed_at_once(spark)
     scratch = Scratch(spark, "pitman-yor")
     parts = partitions(spark)
     rows = pick(docs, doc_id=id_col, text=text_col)
@@ -626,7 +627,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     table, model = fit(rows, scratch, parts)
     shared = spark.sparkContext.broadcast(model)
     requests = rows.mapInPandas(_scoring_requests(parts, shared), _PACKED).unionByName(table)
-    scored = (requests.repartition(parts, "part").sortWithinPartitions("part", "kind")
+    scored = (requests.repartitionById(parts, "part").sortWithinPartitions("part", "kind")
               .mapInPandas(_score_entries(shared), "chunk string, kind int, body binary, ids array<string>"))
     summed = (scored.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind")
               .mapInPandas(_document_sums, "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"))
